@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +30,39 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str, params: CutParams = TEST_CUT):
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
-        self.views = sample.corpus_views(spark, sf_dir)
-        ids = corpus.id_source(self.views.papers)
-        self.seeds = corpus.build_seeds(ids, self.views.papers, self.views.abstracts)
-        self.edges = corpus.dedup_edges(self.views.raw_edges, self.seeds)
-        self.citers = corpus.build_citers(
-            self.edges, self.views.citing_papers, self.views.abstracts, self.views.citing_ids
+
+    @cached_property
+    def raw_edges(self) -> DataFrame:
+        return sample.raw_edges(self.spark, self.sf_dir)
+
+    @cached_property
+    def papers(self) -> DataFrame:
+        return sample.cited_papers(self.spark, self.sf_dir, self.raw_edges)
+
+    @cached_property
+    def abstracts(self) -> DataFrame:
+        return sample.abstracts(self.spark, self.sf_dir)
+
+    @cached_property
+    def seeds(self) -> DataFrame:
+        return corpus.build_seeds(corpus.id_source(self.papers), self.papers, self.abstracts)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return corpus.dedup_edges(self.raw_edges, self.seeds)
+
+    @cached_property
+    def citers(self) -> DataFrame:
+        return corpus.build_citers(
+            self.edges, sample.citing_papers(self.spark, self.sf_dir), self.abstracts,
+            sample.citing_ids(self.spark, self.sf_dir),
         )
-        self.thresholds = corpus.influence_thresholds(
-            ids, self.views.papers, params.seed_infl_top_frac, params.seed_infl_cap_frac
+
+    @cached_property
+    def thresholds(self) -> DataFrame:
+        return corpus.influence_thresholds(
+            corpus.id_source(self.papers), self.papers, self.params.seed_infl_top_frac,
+            self.params.seed_infl_cap_frac,
         )
 
     def pairs(self, banded: bool = True, **changes) -> DataFrame:

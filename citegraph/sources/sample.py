@@ -6,23 +6,31 @@ edges and documents for abstracts. Every view covers its whole source table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared schemas spare one footer-reading job per table.
+TABLES = {
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "labels": "doc_id long, quality int, toxic int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
 
 
-@dataclass
-class CorpusViews:
-    raw_edges: DataFrame
-    papers: DataFrame
-    citing_papers: DataFrame
-    abstracts: DataFrame
-    citing_ids: DataFrame
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,14 +105,6 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("corpusid"), "lang")
 
 
-def corpus_views(spark: SparkSession, sf_dir: str) -> CorpusViews:
-    edges = raw_edges(spark, sf_dir)
-    return CorpusViews(
-        edges, cited_papers(spark, sf_dir, edges), citing_papers(spark, sf_dir), abstracts(spark, sf_dir),
-        citing_ids(spark, sf_dir),
-    )
-
-
 def vector_roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(generations, targets) over all embeddings: seed = label, side = language of the document.
 
