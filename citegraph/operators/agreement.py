@@ -65,7 +65,7 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = (), at_least:
     def ranks(value: str, name: str) -> DataFrame:
         counts = points.groupBy(*group, value).agg(F.sum("w").alias("c"))
         ranked = tied_ranks(counts, value, group)
-        return ranked.select(*group, value, (F.col("rank") - (F.col("n") + 1) / 2).alias(name))
+        return ranked.select(*group, value, (F.col("rank") - (F.col("n_rows") + 1) / 2).alias(name))
 
     joined = points.join(ranks(x, "rx"), [*group, x]).join(ranks(y, "ry"), [*group, y])
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")

@@ -32,16 +32,16 @@ def _squeezed(value: Column) -> Column:
 
 
 def _sliced(counts: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
-    """Attach the group's totals (``n``, ``total``) and the slice number."""
+    """Attach the group's totals (``n_rows``, ``total``) and the slice number."""
     totals = [
         F.min(_squeezed(F.col(value))).alias("lo"), F.max(_squeezed(F.col(value))).alias("hi"),
-        F.sum("c").alias("n"), F.sum(F.col(value).cast("double") * F.col("c")).alias("total"),
+        F.sum("c").alias("n_rows"), F.sum(F.col(value).cast("double") * F.col("c")).alias("total"),
     ]
     if group:
         joined = counts.join(counts.groupBy(*group).agg(*totals), list(group))
     else:
-        one = counts.agg(*totals).select(F.struct("lo", "hi", "n", "total").alias("t"))
-        joined = counts.withColumn("t", one.scalar()).select("*", "t.lo", "t.hi", "t.n", "t.total").drop("t")
+        one = counts.agg(*totals).select(F.struct("lo", "hi", "n_rows", "total").alias("t"))
+        joined = counts.withColumn("t", one.scalar()).select("*", "t.lo", "t.hi", "t.n_rows", "t.total").drop("t")
     width = F.col("hi") - F.col("lo")
     position = F.floor((_squeezed(F.col(value)) - F.col("lo")) / width * SLICES).cast("int")
     slice_no = F.when(width > 0, F.least(position, F.lit(SLICES - 1))).otherwise(F.lit(0))
@@ -50,7 +50,7 @@ def _sliced(counts: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
 
 def _slice_offsets(sliced: DataFrame, group: Sequence[str]) -> DataFrame:
     """Rows before each slice; the window sees at most ``SLICES`` rows per group."""
-    per_slice = sliced.groupBy(*group, "slice").agg(F.sum("c").alias("in_slice"), F.max("n").alias("n_rows"))
+    per_slice = sliced.groupBy(*group, "slice").agg(F.sum("c").alias("in_slice"), F.max("n_rows").alias("in_group"))
     earlier = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     return per_slice.withColumn("before_slice", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)))
 
@@ -63,9 +63,9 @@ def _within(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
 
 
 def cumulative(counts: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Value counts plus ``before`` (rows with a smaller value), ``n`` and ``total``."""
+    """Value counts plus ``before`` (rows with a smaller value), ``n_rows`` and ``total``."""
     sliced = _sliced(counts, value, group)
-    offsets = _slice_offsets(sliced, group).drop("in_slice", "n_rows")
+    offsets = _slice_offsets(sliced, group).drop("in_slice", "in_group")
     return _within(sliced.join(offsets, [*group, "slice"]), value, group).drop("slice", "before_slice")
 
 
@@ -99,11 +99,11 @@ def quantiles(
     offsets = _slice_offsets(sliced, group)
     wanted = F.lit(False)
     for p in probs.values():
-        for at in _rank_positions(kind, p, F.col("n_rows"))[:2]:
+        for at in _rank_positions(kind, p, F.col("in_group"))[:2]:
             wanted |= (F.col("before_slice") <= at) & (at < F.col("before_slice") + F.col("in_slice"))
-    picked = sliced.join(offsets.where(wanted).drop("in_slice", "n_rows"), [*group, "slice"])
+    picked = sliced.join(offsets.where(wanted).drop("in_slice", "in_group"), [*group, "slice"])
     ranked = _within(picked, value, group)
-    n = F.col("n")
+    n = F.col("n_rows")
     outputs = []
     for name, p in probs.items():
         low_at, high_at, share = _rank_positions(kind, p, n)
@@ -115,7 +115,7 @@ def quantiles(
             outputs.append((low + (high - low) * F.max(share)).alias(name))
         else:
             outputs.append(low.alias(name))
-    return ranked.groupBy(*group).agg(F.max("n").alias("n"), F.max("total").alias("total"), *outputs)
+    return ranked.groupBy(*group).agg(F.max("n_rows").alias("n"), F.max("total").alias("total"), *outputs)
 
 
 def summary(
@@ -141,7 +141,7 @@ def nearest_rank_summary(df: DataFrame, value: str, group: Sequence[str] = ()) -
 def dense_index(df: DataFrame, order: str) -> DataFrame:
     """0-based position of each row by a unique numeric column, as ``row_index``."""
     counts = df.select(order).withColumn("c", F.lit(1).cast("long"))
-    ranked = cumulative(counts, order).select(order, F.col("before").alias("row_index"), F.col("n").alias("n_rows"))
+    ranked = cumulative(counts, order).select(order, F.col("before").alias("row_index"), "n_rows")
     return df.join(ranked, order)
 
 

@@ -55,11 +55,11 @@ def evenly_spread(ids: DataFrame, order: str, wanted: int) -> DataFrame:
     return dense_index(ids, order).where((F.col("n_rows") <= wanted) | kept).drop("row_index", "n_rows")
 
 
-def random_other(index: Column, n_rows: Column, key: Column, seed: int = 0) -> Column:
+def random_other(index: Column, n_rows: Column, *key: Column, seed: int = 0) -> Column:
     """Index of a pseudo-random other row, never the row itself.
 
     A hash of the pair's key stands in for a sequential generator, so the draw does not
     depend on row order or partitioning.
     """
-    shift = F.pmod(F.xxhash64(key, F.lit(seed)), n_rows - 1) + 1
-    return F.pmod(index + shift, n_rows)
+    draw = F.conv(F.substring(stable_hash(F.lit(seed), *key, algorithm="sha256"), 1, 8), 16, 10).cast("long")
+    return F.pmod(index + F.pmod(draw, n_rows - 1) + 1, n_rows)

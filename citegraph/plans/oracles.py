@@ -166,3 +166,348 @@ oracle("benchmark_records", ["bench", "seeds"],
   any_value(n_citers) AS n_citers_qualifying, string_agg(CAST(citer_id AS VARCHAR), ',' ORDER BY h) AS citer_ids,
   sum(n_contexts) AS n_contexts, sum(len(intents)) AS n_intents, sum(citer_len) AS citer_chars
 FROM bench b JOIN seeds s ON s.corpusid = b.seed_id GROUP BY b.seed_id""")
+
+
+def r(expression: str) -> str:
+    """Six decimals, without a negative zero."""
+    return f"round({expression}, 6) + 0.0"
+
+
+def quants(value: str, names: dict[str, float], kind: str = "quantile_cont") -> str:
+    return ", ".join(f"{r(f'{kind}({value}, {p})')} AS {n}" for n, p in names.items())
+
+
+SUMMARY = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+# ---- corpus statistics
+
+LINKS = {"links": """SELECT s.corpusid AS seed_id, s.s2fieldsofstudy AS seed_fields, c.corpusid AS citer_id,
+  c.abstract IS NOT NULL AS has_abstract, c.acl_id IS NOT NULL AS is_acl, c.venue, c.s2fieldsofstudy AS fields
+FROM edges e JOIN seeds s ON s.corpusid = e.citedcorpusid JOIN citers c ON c.corpusid = e.citingcorpusid
+WHERE s.year BETWEEN 1985 AND 1997"""}
+PER_SEED = {**LINKS, "per_seed": """SELECT s.corpusid, coalesce(n, 0) AS n FROM seeds s
+LEFT JOIN (SELECT seed_id, CAST(sum(has_abstract::INT) AS BIGINT) AS n FROM links GROUP BY 1) ON seed_id = s.corpusid
+WHERE s.year BETWEEN 1985 AND 1997"""}
+
+oracle("edge_counts", ["edges", "seeds", "citers"],
+       f"""SELECT count(*) AS n_edges, CAST(sum(has_abstract::INT) AS BIGINT) AS n_edges_with_abstract,
+  {r("avg(CASE WHEN has_abstract THEN is_acl::INT END)")} AS citer_is_acl_frac,
+  {r("avg(CASE WHEN has_abstract THEN coalesce(list_has_any(fields, seed_fields), FALSE)::INT END)")} AS citer_same_field_frac
+FROM links""", LINKS)
+oracle("citers_per_seed_bins", ["edges", "seeds", "citers"],
+       """SELECT bin, (SELECT count(*) FROM per_seed WHERE n BETWEEN lo AND hi) AS n_seeds
+FROM (VALUES ('0-0', 0, 0), ('1-4', 1, 4), ('5-9', 5, 9), ('10-19', 10, 19), ('20-49', 20, 49), ('50-99', 50, 99),
+             ('100-499', 100, 499), ('500-inf', 500, 1000000000)) b(bin, lo, hi)""", PER_SEED)
+oracle("citers_per_seed_quantiles", ["edges", "seeds", "citers"],
+       f"SELECT count(*) AS n, {r('avg(n)')} AS mean, {quants('n', SUMMARY)} FROM per_seed", PER_SEED)
+oracle("top_fields", ["edges", "seeds", "citers"],
+       """SELECT field, count(*) AS n FROM (SELECT unnest(fields) AS field FROM links WHERE has_abstract)
+GROUP BY 1 ORDER BY n DESC, field LIMIT 15""", LINKS)
+oracle("top_venues", ["edges", "seeds", "citers"],
+       """SELECT venue, count(*) AS n FROM links WHERE has_abstract AND NOT is_acl AND venue IS NOT NULL
+GROUP BY 1 ORDER BY n DESC, venue LIMIT 20""", LINKS)
+oracle("duplicate_copies", ["raw_edges"],
+       "SELECT copies, count(*) AS n_pairs FROM (SELECT count(*) AS copies FROM raw_edges GROUP BY citedcorpusid, citingcorpusid) GROUP BY 1")
+oracle("edge_overview", ["raw_edges"],
+       """SELECT count(*) AS n_rows, CAST(sum((citedcorpusid = citingcorpusid)::INT) AS BIGINT) AS self_rows,
+  CAST(sum(isinfluential::INT) AS BIGINT) AS influential_rows, count(contexts) AS with_contexts, count(intents) AS with_intents,
+  (SELECT count(*) FROM (SELECT DISTINCT citedcorpusid, citingcorpusid FROM raw_edges)) AS distinct_pairs,
+  count(DISTINCT citedcorpusid) AS distinct_cited, count(DISTINCT citingcorpusid) AS distinct_citing FROM raw_edges""")
+oracle("in_degree_quantiles", ["raw_edges"],
+       "SELECT count(*) AS n, " + quants("d", {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99, "p999": 0.999, "max": 1.0})
+       + " FROM (SELECT count(DISTINCT citingcorpusid) AS d FROM raw_edges GROUP BY citedcorpusid)")
+oracle("context_sizes", ["raw_edges"],
+       "SELECT CAST(coalesce(len(contexts), 0) AS INTEGER) AS n_contexts, count(*) AS n_rows FROM raw_edges GROUP BY 1")
+oracle("intent_label_rows", ["raw_edges"],
+       """SELECT intent, count(*) AS n_rows FROM (SELECT unnest(list_distinct(list_filter(
+  flatten(list_filter(intents, lambda l: l IS NOT NULL)), lambda x: x IS NOT NULL AND x <> ''))) AS intent FROM raw_edges) GROUP BY 1""")
+oracle("abstracts_by_year", ["cited_papers"],
+       """SELECT year, count(*) AS n_papers, count(text) AS with_abstract FROM cited_papers LEFT JOIN documents ON doc_id = corpusid
+WHERE acl_id IS NOT NULL GROUP BY 1""")
+
+# ---- benchmark pairs and plot tables
+
+COVARIATES = {"cov": """SELECT seed_id, CAST(citer_id AS VARCHAR) AS citer_id, citer_id AS citer_key,
+  coalesce(list_has_any(fields, seed_fields), FALSE) AS same_field, citer_acl,
+  CAST(coalesce(nullif(citer_year, 0), seed_year) - seed_year AS INTEGER) AS horizon,
+  CASE WHEN coalesce(nullif(citer_year, 0), seed_year) < seed_year THEN 'neg'
+       WHEN coalesce(nullif(citer_year, 0), seed_year) - seed_year <= 1 THEN '0-1y'
+       WHEN coalesce(nullif(citer_year, 0), seed_year) - seed_year <= 3 THEN '2-3y'
+       WHEN coalesce(nullif(citer_year, 0), seed_year) - seed_year <= 6 THEN '4-6y' ELSE '7y+' END AS horizon_bucket,
+  coalesce(isinfluential, FALSE) AS influential, coalesce(nullif(array_to_string(intents, '/'), ''), 'unknown') AS intent,
+  CAST(coalesce(citer_citations, 0) AS INTEGER) AS citer_citations FROM bench"""}
+
+
+def year_bars(source: str) -> str:
+    return f"""SELECT CASE WHEN y < 1990 THEN '<1990' ELSE CAST(y AS VARCHAR) END AS label, count(x.year) AS n
+FROM (SELECT unnest(range(1989, (SELECT greatest(max(year), 1990) FROM {source}) + 1)) AS y) a
+LEFT JOIN {source} x ON greatest(x.year, 1989) = y GROUP BY y"""
+
+
+LOG_BINS = """(VALUES (0, '1', 1, 2), (1, '2', 2, 3), (2, '3-4', 3, 5), (3, '5-9', 5, 10), (4, '10-19', 10, 20), (5, '20-29', 20, 30),
+  (6, '30-49', 30, 50), (7, '50-99', 50, 100), (8, '100-199', 100, 200), (9, '200-299', 200, 300), (10, '300-499', 300, 500),
+  (11, '500-999', 500, 1000), (12, '1,000-1,999', 1000, 2000), (13, '2,000-4,999', 2000, 5000), (14, '5,000-9,999', 5000, 10000),
+  (15, '10,000+', 10000, 1000000001)) b(bin, label, lo, hi)"""
+HISTOGRAM = {"h": f"""SELECT bin, label, (SELECT count(*) FROM seeds WHERE citationcount >= lo AND citationcount < hi) AS n FROM {LOG_BINS}"""}
+CURVE = {"sizes": "SELECT n_citers, count(*) AS n_seeds FROM eligible GROUP BY 1",
+         "curve": """SELECT n_citers, n_seeds, sum(n_seeds) OVER w AS cum_seeds, sum(n_seeds * n_citers) OVER w AS cum_pairs,
+  sum(n_seeds) OVER () AS all_seeds, sum(n_seeds * n_citers) OVER () AS all_pairs
+FROM sizes WINDOW w AS (ORDER BY n_citers DESC)"""}
+
+oracle("pair_covariates", ["bench"], "SELECT * EXCLUDE (citer_key) FROM cov", COVARIATES)
+oracle("covariate_shares", ["bench"],
+       f"""SELECT {r('avg(same_field::INT)')} AS same_field_frac, {r('avg(citer_acl::INT)')} AS citer_acl_frac,
+  {r('avg(influential::INT)')} AS influential_frac FROM cov""", COVARIATES)
+oracle("horizon_buckets", ["bench"], "SELECT horizon_bucket, count(*) AS n FROM cov GROUP BY 1", COVARIATES)
+oracle("top_intents", ["bench"], "SELECT intent, count(*) AS n FROM cov GROUP BY 1 ORDER BY n DESC, intent LIMIT 12", COVARIATES)
+oracle("seeds_per_year", ["eligible", "seeds"], year_bars("chosen"),
+       {"chosen": "SELECT year FROM seeds WHERE corpusid IN (SELECT seed_id FROM eligible)"})
+oracle("citers_per_year", ["bench"], year_bars("cy"), {"cy": "SELECT citer_year AS year FROM bench"})
+oracle("seed_citation_bins", ["seeds"],
+       """SELECT bin, label, n FROM h WHERE bin BETWEEN (SELECT min(bin) FROM h WHERE n > 0) AND (SELECT max(bin) FROM h WHERE n > 0)""",
+       HISTOGRAM)
+oracle("seed_citation_note", ["seeds"],
+       f"""SELECT count(citationcount) AS n, {r('quantile_cont(citationcount, 0.5)')} AS median,
+  (SELECT label FROM h ORDER BY n DESC, bin LIMIT 1) AS fullest_bin FROM seeds""", HISTOGRAM)
+oracle("concentration_curve", ["eligible"],
+       f"""SELECT n_citers, n_seeds, CAST(cum_seeds AS BIGINT) AS cum_seeds, CAST(cum_pairs AS BIGINT) AS cum_pairs,
+  {r('100.0 * cum_seeds / all_seeds')} AS seed_share, {r('100.0 * cum_pairs / all_pairs')} AS pair_share FROM curve""", CURVE)
+oracle("top_seed_shares", ["eligible"],
+       f"""SELECT pct, CAST(k AS BIGINT) AS top_seeds, {r('100.0 * sum(n_citers) FILTER (WHERE rn <= k) / sum(n_citers)')} AS pair_share
+FROM (SELECT n_citers, row_number() OVER (ORDER BY n_citers DESC) AS rn FROM eligible),
+     (SELECT pct, greatest(1, round_even((SELECT count(*) FROM eligible) * pct / 100.0, 0)) AS k FROM (VALUES (1), (10)) v(pct))
+GROUP BY pct, k""")
+oracle("nearest_rank_quantiles", ["eligible"],
+       "SELECT " + ", ".join(f"v[CAST(round_even({p} * (len(v) - 1), 0) AS INTEGER) + 1] AS {n}" for n, p in {**SUMMARY, "max": 1.0}.items())
+       + f", {r('round_even(list_sum(v) / len(v), 2)')} AS mean FROM (SELECT list_sort(list(n_citers)) AS v FROM eligible)")
+oracle("horizon_bars", ["bench"],
+       """SELECT CAST(b AS INTEGER) AS bin, CASE WHEN b = 16 THEN '16+' ELSE CAST(b AS VARCHAR) END AS label, count(horizon) AS n
+FROM (SELECT unnest(range(0, 17)) AS b) LEFT JOIN (SELECT horizon FROM cov WHERE horizon >= 0) ON least(horizon, 16) = b GROUP BY b""",
+       COVARIATES)
+oracle("horizon_note", ["bench"], f"SELECT count(*) AS n, {quants('horizon', {'median': 0.5, 'p90': 0.9})} FROM cov", COVARIATES)
+oracle("length_histogram", [],
+       """SELECT CAST(b AS INTEGER) AS bin_start, count(n) AS n FROM (SELECT unnest(range(200, 5000, 100)) AS b)
+LEFT JOIN (SELECT length(text) AS n FROM documents) ON n >= b AND (n < b + 100 OR (b = 4900 AND n = 5000)) GROUP BY b""")
+oracle("field_shares", ["bench"],
+       f"""SELECT field, count(*) AS n, {r('100.0 * count(*) / (SELECT count(*) FROM bench)')} AS share
+FROM (SELECT unnest(list_distinct(fields)) AS field FROM bench) GROUP BY 1 ORDER BY n DESC, field LIMIT 10""")
+
+# ---- similarity
+
+SIMS = {
+    "known": """SELECT b.*, sv.embedding::DOUBLE[] AS seed_vec, cv.embedding::DOUBLE[] AS vec FROM bench b
+JOIN embeddings sv ON sv.vec_id = b.seed_id JOIN embeddings cv ON cv.vec_id = b.citer_id""",
+    "placed": """SELECT seed_id, any_value(seed_vec) AS seed_vec, row_number() OVER (ORDER BY seed_id) - 1 AS ix,
+  count(*) OVER () AS n FROM known GROUP BY seed_id""",
+    "sims": """SELECT k.seed_id, k.citer_id, k.intents, list_dot_product(k.vec, k.seed_vec) AS sim, list_dot_product(k.vec, o.seed_vec) AS null_sim
+FROM known k JOIN placed p ON p.seed_id = k.seed_id JOIN placed o ON o.ix = (p.ix +
+  CAST('0x' || substr(sha256('0' || chr(9) || k.seed_id || chr(9) || k.citer_id), 1, 8) AS BIGINT) % (p.n - 1) + 1) % p.n""",
+}
+oracle("pair_similarities", ["bench"], f"SELECT seed_id, citer_id, {r('sim')} AS sim, {r('null_sim')} AS null_sim FROM sims", SIMS)
+oracle("similarity_by_stratum", ["bench"],
+       f"SELECT stratum, count(*) AS n, {r('avg(sim)')} AS mean, {quants('sim', SUMMARY)} FROM strata GROUP BY 1",
+       {**SIMS, **COVARIATES,
+        "joined": "SELECT cov.*, sims.sim FROM cov JOIN sims ON sims.seed_id = cov.seed_id AND sims.citer_id = cov.citer_key",
+        "common": "SELECT intent FROM joined GROUP BY 1 ORDER BY count(*) DESC, intent LIMIT 6",
+        "strata": """SELECT 'all' AS stratum, sim FROM joined UNION ALL SELECT 'same_field=' || CAST(same_field AS VARCHAR), sim FROM joined
+UNION ALL SELECT 'citer_acl=' || CAST(citer_acl AS VARCHAR), sim FROM joined
+UNION ALL SELECT 'influential=' || CAST(influential AS VARCHAR), sim FROM joined
+UNION ALL SELECT 'horizon=' || horizon_bucket, sim FROM joined WHERE horizon_bucket <> 'neg'
+UNION ALL SELECT 'intent=' || intent, sim FROM joined WHERE intent IN (SELECT intent FROM common)"""})
+oracle("intent_similarity", ["bench"],
+       f"""SELECT code, name, n, p10, p25, p50, p75, p90, above FROM (
+SELECT code, CASE code WHEN 0 THEN 'no label' WHEN 1 THEN 'background' WHEN 2 THEN 'methodology' WHEN 3 THEN 'background + methodology'
+  WHEN 4 THEN 'result' WHEN 5 THEN 'background + result' WHEN 6 THEN 'methodology + result' ELSE 'background + methodology + result' END AS name,
+  count(*) AS n, {quants('sim', SUMMARY)},
+  {r('100.0 * avg((sim > (SELECT quantile_cont(null_sim, 0.95) FROM sims))::INT)')} AS above FROM coded GROUP BY 1
+UNION ALL SELECT -1, 'random other seed', count(*), {quants('null_sim', SUMMARY)}, 5.0 FROM sims)""",
+       {**SIMS, "coded": """SELECT *, CAST(list_contains(intents, 'background')::INT + 2 * list_contains(intents, 'methodology')::INT
+  + 4 * list_contains(intents, 'result')::INT AS INTEGER) AS code FROM sims"""})
+
+VEC = {"vec": """SELECT label AS seed_id, vec_id AS item_id, embedding::DOUBLE[] AS vec, coalesce(lang, '') = 'en' AS is_target, lang
+FROM embeddings LEFT JOIN documents ON doc_id = vec_id"""}
+BEST = {**VEC, "best": """SELECT t.seed_id, t.item_id, max(list_dot_product(t.vec, g.vec)) AS best_cos
+FROM vec t LEFT JOIN (SELECT * FROM vec WHERE NOT is_target) g ON g.seed_id = t.seed_id WHERE t.is_target GROUP BY 1, 2"""}
+SEED_SIMS = {**VEC, "s": """SELECT v.seed_id, v.item_id, list_dot_product(v.vec, f.vec) AS sim FROM vec v
+JOIN (SELECT seed_id, arg_min(vec, item_id) AS vec FROM vec GROUP BY 1) f USING (seed_id)"""}
+
+oracle("best_similarity", [], f"SELECT seed_id, item_id, {r('best_cos')} AS best_cos FROM best", BEST)
+oracle("cosine_coverage", [],
+       f"SELECT seed_id, {r('avg(best_cos)')} AS coverage, count(best_cos) AS n_targets FROM best GROUP BY 1", BEST)
+oracle("coverage_at_tau", [], f"SELECT seed_id, {r('avg((best_cos >= 0.25)::INT)')} AS coverage_at_tau FROM best GROUP BY 1", BEST)
+oracle("null_tau", [], f"SELECT {r('quantile_cont(best_cos, 0.95)')} AS tau FROM best", BEST)
+oracle("mean_pairwise_similarity", [],
+       f"""SELECT a.seed_id, count(DISTINCT a.item_id) AS n, {r("coalesce(avg(list_dot_product(a.vec, b.vec)) FILTER (WHERE a.item_id <> b.item_id), 'nan'::DOUBLE)")} AS mps
+FROM vec a JOIN vec b USING (seed_id) GROUP BY 1""", VEC)
+oracle("centroid_dispersion", [],
+       f"""SELECT seed_id, n, CASE WHEN n < 2 THEN 'nan'::DOUBLE ELSE {r('1.0 - (len * len) / (len + 1e-12)')} END AS disp
+FROM (SELECT seed_id, max(n) AS n, sqrt(sum(s * s)) / max(n) AS len FROM
+  (SELECT seed_id, i, sum(x) AS s, count(*) AS n FROM
+    (SELECT seed_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vec) GROUP BY 1, 2) GROUP BY 1)""", VEC)
+oracle("seed_similarity", [], f"SELECT seed_id, item_id, {r('sim')} AS sim FROM s", SEED_SIMS)
+oracle("similarity_density", [],
+       f"""SELECT CAST(b AS INTEGER) AS bin, count(x.sim) AS n, {r('count(x.sim) / ((SELECT count(*) FROM inside) * (any_value(hi) - any_value(lo)) / 60)')} AS density
+FROM (SELECT unnest(range(0, 60)) AS b) CROSS JOIN bounds LEFT JOIN (SELECT sim, least(floor((sim - lo) / (hi - lo) * 60), 59) AS k FROM inside) x ON x.k = b
+GROUP BY b""",
+       {**SEED_SIMS, "bounds": "SELECT quantile_cont(sim, 0.005) AS lo, max(sim) AS hi FROM s",
+        "inside": "SELECT sim, lo, hi FROM s, bounds WHERE sim BETWEEN lo AND hi"})
+
+# ---- recall
+
+MATCHES = {"em": """SELECT event_type AS condition, user_id AS seed_id, CAST(count(*) AS INTEGER) AS n_gen,
+  CAST(sum((value > 50)::INT) AS INTEGER) AS m FROM events GROUP BY 1, 2"""}
+
+
+def recall(k: str) -> str:
+    return (f"1.0 - list_aggregate(list_transform(range(0, least({k}, n_gen)), "
+            f"lambda i: greatest(n_gen - m - i, 0)::DOUBLE / (n_gen - i)), 'product')")
+
+
+oracle("recall_at_k", [],
+       f"SELECT condition, seed_id, n_gen, m, {r(recall('10'))} AS recall_10, {r(recall('51'))} AS recall_51 FROM em", MATCHES)
+oracle("recall_curve", [],
+       f"""SELECT condition, CAST(k AS INTEGER) AS k, {r('avg(' + recall('k') + ')')} AS recall
+FROM em, (SELECT unnest([1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 51]) AS k) GROUP BY 1, 2""", MATCHES)
+oracle("recall_gain", [],
+       f"SELECT condition, k, {r('recall')} AS recall, {r('recall - first_value(recall) OVER (PARTITION BY condition ORDER BY k)')} AS gain FROM cu",
+       {**MATCHES, "cu": f"""SELECT condition, CAST(k AS INTEGER) AS k, avg({recall('k')}) AS recall
+FROM em, (SELECT unnest(range(1, 52)) AS k) GROUP BY 1, 2"""})
+
+# ---- targets and shards
+
+oracle("shuffled_targets", ["en_pairs"],
+       """SELECT d.seed_id, p.citer_id FROM donor d JOIN en_pairs p ON p.seed_id = d.donor_id
+WHERE NOT EXISTS (SELECT 1 FROM en_pairs o WHERE o.seed_id = d.seed_id AND o.citer_id = p.citer_id)""",
+       {"donor": """SELECT seed_id, coalesce(lead(seed_id) OVER (ORDER BY h), first_value(seed_id) OVER (ORDER BY h)) AS donor_id
+FROM (SELECT DISTINCT seed_id, sha256('shuffle' || chr(9) || seed_id) AS h FROM en_pairs)"""})
+oracle("common_seeds", [],
+       """SELECT user_id AS seed_id FROM events GROUP BY 1
+HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)""")
+oracle("shard_assignment", [],
+       """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index,
+  CAST((row_number() OVER (ORDER BY doc_id) - 1) % 8 AS INTEGER) AS shard FROM documents""")
+oracle("pilot_subset", [],
+       """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+WHERE n <= 50 OR (i % (n // 50) = 0 AND i // (n // 50) < 50)""")
+
+# ---- contrast
+
+SYSTEMS = {"per_seed": """SELECT o_orderpriority || '/' || o_orderstatus AS system, o_custkey AS seed_id, avg(o_totalprice) AS coverage,
+  count(*)::DOUBLE AS vendi, min(o_totalprice) AS mps, max(o_totalprice) - min(o_totalprice) AS disp,
+  avg(dayofyear(o_orderdate)) AS mean_len FROM orders GROUP BY 1, 2"""}
+ONE_SYSTEM_TABLE = {**SYSTEMS, "tab": """SELECT system, avg(coverage) AS coverage, avg(vendi) AS vendi, avg(mps) AS mps, avg(disp) AS disp,
+  avg(mean_len) AS mean_len FROM per_seed GROUP BY 1"""}
+oracle("spearman", [],
+       f"""SELECT system, metric, {r('corr(ry, rx)')} AS rho, count(*) AS n FROM ranked GROUP BY 1, 2 HAVING count(*) >= 10""",
+       {**SYSTEMS, "long": """SELECT system, coverage, metric, value FROM (SELECT system, coverage, unnest(['vendi', 'mps', 'disp', 'mean_len']) AS metric,
+  unnest([vendi, mps, disp, mean_len]) AS value FROM per_seed)""",
+        "kept": "SELECT * FROM long WHERE (system, metric) IN (SELECT (system, metric) FROM long GROUP BY system, metric HAVING count(*) >= 10)",
+        "pooled": "SELECT * FROM kept UNION ALL SELECT 'pooled', coverage, metric, value FROM kept",
+        "ranked": """SELECT system, metric,
+  rank() OVER (PARTITION BY system, metric ORDER BY coverage) + (count(*) OVER (PARTITION BY system, metric, coverage) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY system, metric ORDER BY value) + (count(*) OVER (PARTITION BY system, metric, value) - 1) / 2.0 AS ry FROM pooled"""})
+oracle("system_table", [],
+       "SELECT system, " + ", ".join(f"{r(m)} AS {m}" for m in ("coverage", "vendi", "mps", "disp", "mean_len")) + " FROM tab", ONE_SYSTEM_TABLE)
+oracle("system_rankings", [],
+       """SELECT model, metric, system, CAST(row_number() OVER (PARTITION BY model, metric ORDER BY key, system) AS INTEGER) AS place FROM (
+SELECT system, split_part(system, '/', 1) AS model, unnest(['coverage', 'vendi', 'mps', 'disp', 'mean_len']) AS metric,
+  unnest([-coverage, -vendi, mps, -disp, -mean_len]) AS key FROM tab)""", ONE_SYSTEM_TABLE)
+oracle("decile_coverage", [],
+       f"""SELECT l_returnflag AS system, CAST(least(greatest(len(list_filter(edges, lambda e: e <= l_extendedprice)) - 1, 0), 9) AS INTEGER) AS decile,
+  {r('avg((l_discount >= 0.05)::INT)')} AS coverage, count(*) AS n_pairs
+FROM lineitem, (SELECT quantile_cont(l_extendedprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS edges FROM lineitem) GROUP BY 1, 2""")
+oracle("agreement_kappa", [],
+       f"""SELECT n, {r('(same / n - chance) / (1 - chance)')} AS kappa, {r('tp / greatest(n_pred, 1)')} AS precision, {r('tp / greatest(n_ref, 1)')} AS recall
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS same, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp,
+  count(*) FILTER (WHERE toxic = 1) AS n_pred, count(*) FILTER (WHERE quality = 1) AS n_ref FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+ (SELECT sum(a.c * b.c) / (SELECT count(*) FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL) ** 2 AS chance
+  FROM (SELECT quality AS v, count(*) AS c FROM labels WHERE toxic IS NOT NULL GROUP BY 1) a JOIN (SELECT toxic AS v, count(*) AS c FROM labels WHERE quality IS NOT NULL GROUP BY 1) b USING (v))""")
+
+# ---- lexical
+
+oracle("distinct_2", [],
+       f"""SELECT role, conv_id, CASE WHEN count(g) = 0 THEN 'nan'::DOUBLE ELSE {r('count(DISTINCT g) / count(g)')} END AS distinct2
+FROM (SELECT role, conv_id, unnest(CASE WHEN len(w) < 2 THEN [NULL] ELSE list_transform(range(1, len(w)), lambda i: w[i] || chr(9) || w[i + 1]) END) AS g
+  FROM (SELECT role, conv_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations)) GROUP BY 1, 2""")
+oracle("mean_length", [],
+       f"""SELECT role, conv_id, {r('avg(n)')} AS mean_len FROM (SELECT role, conv_id,
+  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations) GROUP BY 1, 2""")
+
+# ---- model output and result removal
+
+REPLIES = {"answers": """SELECT doc_id, CASE lang WHEN 'en' THEN '**Abstract:** ' || text
+  WHEN 'de' THEN 'Title: ' || source || chr(10) || chr(10) || text WHEN 'fr' THEN '**Header**' || chr(10) || text ELSE '' END AS a, lang, text FROM documents"""}
+TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+oracle("strip_reasoning", [], "SELECT doc_id, md5(a) AS answer FROM answers", REPLIES)
+oracle("parse_list", [],
+       "SELECT doc_id, CAST(2 AS INTEGER) AS n, md5(" + TRIM.format("text") + ") AS first, source AS second FROM documents")
+
+ROLE = ("CASE WHEN length(s) < 20 THEN NULL WHEN contains(s, ',') THEN 'RESULT' WHEN length(s) > 200 THEN 'OTHER' "
+        "WHEN contains(s, '-') THEN 'OBJECTIVE' WHEN length(s) > 120 THEN 'METHOD' ELSE 'BACKGROUND' END")
+LINES = {
+    "lines": """SELECT doc_id, lang, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS ls FROM documents""",
+    "roles": f"SELECT *, list_transform(ls, lambda s: {ROLE}) AS labs FROM lines",
+    "kept": """SELECT *, list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN coalesce(labs[i] IN ('RESULT', 'OTHER'), FALSE) THEN NULL ELSE ls[i] END),
+  lambda s: s IS NOT NULL) AS k FROM roles""",
+}
+oracle("parse_labels", [],
+       "SELECT doc_id, coalesce(array_to_string(list_transform(labs, lambda x: coalesce(x, '-')), ','), '') AS labels FROM roles", LINES)
+oracle("kept_text", [],
+       "SELECT doc_id AS citer_id, CAST(len(ls) AS INTEGER) AS n_sentences, md5(coalesce(array_to_string(k, ' '), '')) AS kept, len(k) = 0 AS emptied FROM kept", LINES)
+WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
+oracle("removal_counters", [],
+       "SELECT lang, count(*) AS units, " + ", ".join(f"CAST(sum({e}) AS BIGINT) AS {n}" for n, e in {
+           "sentences": "len(ls)", "sentences_removed": "len(ls) - len(k)", "unlabelled_too_long": "(len(ls) > 120)::INT",
+           "emptied": "(len(k) = 0)::INT", "one_sentence_left": "(len(k) = 1)::INT", "unchanged": "(len(k) = len(ls))::INT",
+           "last_sentence_removed": "coalesce((labs[-1] IN ('RESULT', 'OTHER'))::INT, 0)",
+           "words": WORDS.format("text"), "words_kept": WORDS.format("coalesce(array_to_string(k, ' '), '')"),
+           **{f"label_{x}": f"len(list_filter(labs, lambda x: x = '{x}'))" for x in ("BACKGROUND", "OBJECTIVE", "METHOD", "RESULT", "OTHER")},
+           "label_UNPARSED": "len(list_filter(labs, lambda x: x IS NULL))",
+       }.items()) + " FROM kept GROUP BY 1", LINES)
+FLOOR = {**LINES, "left_pairs": "SELECT p.* FROM en_pairs p JOIN kept ON doc_id = citer_id WHERE len(k) > 0",
+         "counts": """SELECT seed_id, count(*) AS n_before, count(*) FILTER (WHERE citer_id IN (SELECT citer_id FROM left_pairs)) AS n_left
+FROM en_pairs GROUP BY 1"""}
+oracle("refloored_pairs", ["en_pairs"],
+       "SELECT l.seed_id, citer_id, n_left AS n_citers FROM left_pairs l JOIN counts USING (seed_id) WHERE n_left >= 5", FLOOR)
+oracle("removal_totals", ["en_pairs"],
+       """SELECT count(*) FILTER (WHERE n_left >= 5) AS seeds, CAST(coalesce(sum(n_left) FILTER (WHERE n_left >= 5), 0) AS BIGINT) AS pairs,
+  CAST(sum(n_before - n_left) AS BIGINT) AS pairs_dropped_emptied, count(*) FILTER (WHERE n_left < 5) AS seeds_dropped_under_floor,
+  CAST(coalesce(sum(n_left) FILTER (WHERE n_left < 5), 0) AS BIGINT) AS pairs_dropped_with_seed FROM counts""", FLOOR)
+
+# ---- scoring
+
+SCORES = {
+    **VEC,
+    "tgt": "SELECT seed_id, item_id AS citer_id, vec FROM vec WHERE is_target",
+    "donor": """SELECT seed_id, coalesce(lead(seed_id) OVER (ORDER BY h), first_value(seed_id) OVER (ORDER BY h)) AS donor_id
+FROM (SELECT DISTINCT seed_id, sha256('shuffle' || chr(9) || seed_id) AS h FROM tgt)""",
+    "goal": """SELECT 'own' AS mode, * FROM tgt UNION ALL SELECT 'shuffled', d.seed_id, t.citer_id, t.vec FROM donor d JOIN tgt t ON t.seed_id = d.donor_id
+WHERE NOT EXISTS (SELECT 1 FROM tgt o WHERE o.seed_id = d.seed_id AND o.citer_id = t.citer_id)""",
+    "gen": "SELECT lang AS condition, seed_id, vec FROM vec WHERE NOT is_target AND lang IS NOT NULL",
+    "scores": """SELECT g.condition, t.mode, t.seed_id, t.citer_id, any_value(c.year) AS citer_year, any_value(c.publicationdate) AS citer_pubdate,
+  CAST(count(*) AS INTEGER) AS n_gen, max(list_dot_product(t.vec, g.vec)) AS best_cos
+FROM goal t JOIN gen g ON g.seed_id = t.seed_id LEFT JOIN citing_papers c ON c.corpusid = t.citer_id GROUP BY 1, 2, 3, 4""",
+    "sides": """SELECT *, CASE WHEN citer_pubdate >= '1995-06-01' THEN 'post' WHEN citer_pubdate IS NOT NULL THEN 'pre'
+  WHEN citer_year < 1995 AND citer_year <> 0 THEN 'pre' END AS side FROM scores""",
+}
+oracle("pair_scores", ["citing_papers"],
+       f"SELECT condition, mode, seed_id, citer_id, CAST(citer_year AS INTEGER) AS citer_year, citer_pubdate, n_gen, {r('best_cos')} AS best_cos FROM scores", SCORES)
+oracle("score_strata", ["citing_papers"],
+       f"""SELECT condition, mode, stratum, count(*) AS n_pairs, count(DISTINCT seed_id) AS n_seeds, {r('avg(best_cos)')} AS coverage FROM st GROUP BY 1, 2, 3""",
+       {**SCORES, "st": """SELECT *, 'all' AS stratum FROM sides UNION ALL SELECT *, side || '_cutoff' FROM sides WHERE side IS NOT NULL
+UNION ALL SELECT *, 'year ' || CASE WHEN citer_year < 2015 THEN '<=2014' ELSE CAST(citer_year AS VARCHAR) END FROM sides WHERE coalesce(citer_year, 0) <> 0"""})
+oracle("undated_pairs", ["citing_papers"],
+       "SELECT condition, mode, count(*) FILTER (WHERE side IS NULL) AS n_pairs_undated FROM sides GROUP BY 1, 2", SCORES)
+
+# ---- ingestion
+
+oracle("paper_records", [],
+       """SELECT p_partkey AS corpusid, CASE WHEN p_type <> 'ECONOMY' THEN p_type || '-' || p_partkey END AS acl_id, p_brand AS doi,
+  CAST(NULL AS VARCHAR) AS arxiv, p_name AS title,
+  CASE WHEN p_size > 10 THEN p_name || '|' || p_brand WHEN p_size > 5 THEN p_name END AS authors, p_size AS year,
+  CASE WHEN p_size <= 25 THEN p_type END AS venue, p_brand AS journal_name, array_to_string(list_sort([p_type, p_brand]), '|') AS fields FROM part""")
+oracle("bucket_counts", ["raw_edges"],
+       "SELECT CAST(((citedcorpusid - 1000) % 64 + 64) % 64 AS INTEGER) AS bucket, count(*) AS n FROM raw_edges GROUP BY 1")
+oracle("embed_cache_misses", [],
+       """SELECT DISTINCT sha256(text) AS text_key, CAST(length(text) AS INTEGER) AS n_chars FROM documents
+WHERE text NOT IN (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)""")

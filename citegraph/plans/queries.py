@@ -8,9 +8,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, pairs as P, records
-from ..params import CutParams
-from ..sources import sample
+from ..functions import text as TX
+from ..functions.numeric import recall_at_k
+from ..operators import (
+    agreement as A, corpus, lexical, matching, models, pairs as P, ranking, records, removal, resampling, targets as T,
+    vectors as V,
+)
+from ..params import K_GRID, CutParams
+from ..session import materialise
+from ..sources import layers, sample
+from . import characterise as CH, contrast, diagnosis, distributions as D, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -18,6 +25,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TEST_CUT = CutParams(seed_infl_top_frac=0.5, min_citers=5)
 
 
+WINDOW = (1985, 1997)
+
+
+def r6(column):
+    column = F.col(column) if isinstance(column, str) else column
+    return F.round(column, 6)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals, so that results do not depend on summation order."""
+    return df.select(*[r6(n).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes])
+
+
 def query(name: str):
     def register(function):
         QUERIES[name] = function
@@ -26,10 +46,15 @@ def query(name: str):
 
 
 class Corpus:
-    """The corpus tables of one test directory, as lazy DataFrames."""
+    """The corpus tables of one test directory.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, params: CutParams = TEST_CUT):
+    Tables that several branches of a query consume are materialised once, as the corpus
+    files of a real run are; ``stored=False`` keeps everything lazy.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, params: CutParams = TEST_CUT, stored: bool = True):
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
+        self.keep = materialise if stored else (lambda df: df)
 
     @cached_property
     def raw_edges(self) -> DataFrame:
@@ -37,7 +62,7 @@ class Corpus:
 
     @cached_property
     def papers(self) -> DataFrame:
-        return sample.cited_papers(self.spark, self.sf_dir, self.raw_edges)
+        return self.keep(sample.cited_papers(self.spark, self.sf_dir, self.raw_edges))
 
     @cached_property
     def abstracts(self) -> DataFrame:
@@ -49,7 +74,7 @@ class Corpus:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return corpus.dedup_edges(self.raw_edges, self.seeds)
+        return self.keep(corpus.dedup_edges(self.raw_edges, self.seeds))
 
     @cached_property
     def citers(self) -> DataFrame:
@@ -73,19 +98,49 @@ class Corpus:
 
     def english_pairs(self) -> DataFrame:
         tagged = self.citers.join(sample.languages(self.spark, self.sf_dir), "corpusid", "left")
-        return P.english_pairs(
-            self.pairs(), tagged, self.params.min_citers, lambda citers: F.col("lang") == "en"
-        )
+        return self.keep(P.english_pairs(
+            self.keep(self.pairs()), tagged, self.params.min_citers, lambda citers: F.col("lang") == "en"
+        ))
 
     def benchmark(self) -> DataFrame:
         """One row per benchmark pair: seed columns plus the citer struct."""
         picked = records.cut(self.english_pairs(), self.params, "sha256")
         return records.benchmark_pairs(picked, self.citers, self.edges)
 
+    def benchmark_rows(self) -> DataFrame:
+        seeds = self.seeds.select(
+            F.col("corpusid").alias("seed_id"), F.col("year").alias("seed_year"), F.col("s2fieldsofstudy").alias("seed_fields"),
+        )
+        return self.keep(self.benchmark().join(seeds, "seed_id"))
+
+    def links(self) -> DataFrame:
+        return self.keep(CH.corpus_links(self.edges, self.seeds, self.citers, *WINDOW))
+
+    def seed_sizes(self) -> DataFrame:
+        return P.eligible_seeds(self.english_pairs(), self.params.min_citers)
+
+    def pair_similarities(self) -> DataFrame:
+        """Benchmark pairs whose papers both have vectors, with the cosine to the own and to another seed."""
+        vectors = sample.table(self.spark, self.sf_dir, "embeddings").select(
+            F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec")
+        )
+        rows = self.benchmark_rows()
+        known = rows.join(vectors.select(F.col("id").cast("long").alias("seed_id"), F.col("vec").alias("seed_vec")), "seed_id")
+        known = self.keep(known.join(vectors.select(F.col("id").cast("long").alias("citer_id"), "vec"), "citer_id"))
+        seeds = ranking.dense_index(known.select("seed_id", "seed_vec").dropDuplicates(["seed_id"]), "seed_id")
+        placed = known.join(seeds.select("seed_id", "row_index", "n_rows"), "seed_id").withColumn(
+            "other", T.random_other(F.col("row_index"), F.col("n_rows"), F.col("seed_id"), F.col("citer_id"))
+        ).drop("row_index", "n_rows")
+        others = seeds.select(F.col("row_index").alias("other"), F.col("seed_vec").alias("other_vec"))
+        return self.keep(placed.join(others, "other").select(
+            *rows.columns, V.dot(F.col("vec"), F.col("seed_vec")).alias("sim"),
+            V.dot(F.col("vec"), F.col("other_vec")).alias("null_sim"),
+        ))
+
 
 @query("edge_dedup")
 def edge_dedup(spark, sf_dir):
-    edges = Corpus(spark, sf_dir).edges
+    edges = Corpus(spark, sf_dir, stored=False).edges
     return edges.select(
         "citedcorpusid", "citingcorpusid", "isinfluential", F.array_join("contexts", "|").alias("contexts"),
         F.to_json("intents").alias("intents"),
@@ -94,7 +149,7 @@ def edge_dedup(spark, sf_dir):
 
 @query("seed_corpus")
 def seed_corpus(spark, sf_dir):
-    return Corpus(spark, sf_dir).seeds.select(
+    return Corpus(spark, sf_dir, stored=False).seeds.select(
         "corpusid", "acl_id", F.length("abstract").alias("n_chars"), "title", "year", "venue", "citationcount",
         "influentialcitationcount",
     )
@@ -102,7 +157,7 @@ def seed_corpus(spark, sf_dir):
 
 @query("citer_corpus")
 def citer_corpus(spark, sf_dir):
-    return Corpus(spark, sf_dir).citers.select(
+    return Corpus(spark, sf_dir, stored=False).citers.select(
         "corpusid", "acl_id", F.length("abstract").alias("n_chars"), "title", "year", "publicationdate", "venue",
         "citationcount",
     )
@@ -110,7 +165,7 @@ def citer_corpus(spark, sf_dir):
 
 @query("influence_thresholds")
 def influence_thresholds(spark, sf_dir):
-    return Corpus(spark, sf_dir).thresholds
+    return Corpus(spark, sf_dir, stored=False).thresholds
 
 
 @query("qualifying_pairs")
@@ -161,3 +216,604 @@ def benchmark_records(spark, sf_dir):
         total(F.transform("citers", lambda x: F.size(x["intents"]))).alias("n_intents"),
         total(F.transform("citers", lambda x: F.length(x["abstract"]))).alias("citer_chars"),
     )
+
+
+# ---- corpus statistics
+
+@query("edge_counts")
+def edge_counts(spark, sf_dir):
+    return rounded(CH.edge_counts(Corpus(spark, sf_dir).links()))
+
+
+@query("citers_per_seed_bins")
+def citers_per_seed_bins(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return CH.citer_bins(CH.citers_with_abstract(c.links(), c.seeds, *WINDOW))
+
+
+@query("citers_per_seed_quantiles")
+def citers_per_seed_quantiles(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return rounded(ranking.summary(CH.citers_with_abstract(c.links(), c.seeds, *WINDOW), "n"))
+
+
+@query("top_fields")
+def top_fields(spark, sf_dir):
+    return CH.top_fields(Corpus(spark, sf_dir).links())
+
+
+@query("top_venues")
+def top_venues(spark, sf_dir):
+    return CH.top_venues(Corpus(spark, sf_dir).links())
+
+
+@query("duplicate_copies")
+def duplicate_copies(spark, sf_dir):
+    return diagnosis.copies_per_pair(sample.raw_edges(spark, sf_dir))
+
+
+@query("edge_overview")
+def edge_overview(spark, sf_dir):
+    return diagnosis.edge_overview(sample.raw_edges(spark, sf_dir))
+
+
+@query("in_degree_quantiles")
+def in_degree_quantiles(spark, sf_dir):
+    return rounded(diagnosis.in_degree_quantiles(sample.raw_edges(spark, sf_dir)))
+
+
+@query("context_sizes")
+def context_sizes(spark, sf_dir):
+    return diagnosis.context_sizes(sample.raw_edges(spark, sf_dir))
+
+
+@query("intent_label_rows")
+def intent_label_rows(spark, sf_dir):
+    return diagnosis.intent_label_rows(sample.raw_edges(spark, sf_dir))
+
+
+@query("abstracts_by_year")
+def abstracts_by_year(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return diagnosis.abstracts_by_year(corpus.id_source(c.papers), c.papers, c.abstracts)
+
+
+# ---- benchmark pairs and plot tables
+
+@query("pair_covariates")
+def pair_covariates(spark, sf_dir):
+    return CH.pair_covariates(Corpus(spark, sf_dir).benchmark_rows())
+
+
+@query("covariate_shares")
+def covariate_shares(spark, sf_dir):
+    return rounded(CH.covariate_shares(pair_covariates(spark, sf_dir)))
+
+
+@query("horizon_buckets")
+def horizon_buckets(spark, sf_dir):
+    return pair_covariates(spark, sf_dir).groupBy("horizon_bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("top_intents")
+def top_intents(spark, sf_dir):
+    return CH.top_intents(pair_covariates(spark, sf_dir))
+
+
+@query("seeds_per_year")
+def seeds_per_year(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    chosen = c.seeds.join(c.seed_sizes(), c.seeds.corpusid == F.col("seed_id"), "left_semi")
+    return D.year_bars(chosen, "year")
+
+
+@query("citers_per_year")
+def citers_per_year(spark, sf_dir):
+    return D.year_bars(Corpus(spark, sf_dir).benchmark().select(F.col("citer.year").alias("year")), "year")
+
+
+@query("seed_citation_bins")
+def seed_citation_bins(spark, sf_dir):
+    return D.log_histogram(Corpus(spark, sf_dir).seeds, "citationcount")
+
+
+@query("seed_citation_note")
+def seed_citation_note(spark, sf_dir):
+    return rounded(D.histogram_note(Corpus(spark, sf_dir).seeds, "citationcount"))
+
+
+@query("concentration_curve")
+def concentration_curve(spark, sf_dir):
+    return rounded(D.concentration(Corpus(spark, sf_dir).seed_sizes()))
+
+
+@query("top_seed_shares")
+def top_seed_shares(spark, sf_dir):
+    return rounded(D.top_shares(Corpus(spark, sf_dir).seed_sizes()))
+
+
+@query("nearest_rank_quantiles")
+def nearest_rank_quantiles(spark, sf_dir):
+    return rounded(ranking.nearest_rank_summary(Corpus(spark, sf_dir).seed_sizes(), "n_citers"))
+
+
+@query("horizon_bars")
+def horizon_bars(spark, sf_dir):
+    return D.horizon_bars(pair_covariates(spark, sf_dir))
+
+
+@query("horizon_note")
+def horizon_note(spark, sf_dir):
+    return rounded(D.horizon_note(pair_covariates(spark, sf_dir)))
+
+
+@query("length_histogram")
+def length_histogram(spark, sf_dir):
+    return D.length_histogram(sample.abstracts(spark, sf_dir).select(F.length("abstract").alias("length")), "length")
+
+
+@query("field_shares")
+def field_shares(spark, sf_dir):
+    return rounded(D.field_shares(Corpus(spark, sf_dir).benchmark().select(F.col("citer.fields").alias("fields"))))
+
+
+# ---- similarity
+
+def _with_code(pairs: DataFrame) -> DataFrame:
+    from ..functions.arrays import intent_code
+    return pairs.withColumn("code", intent_code(F.col("citer.intents")))
+
+
+@query("pair_similarities")
+def pair_similarities(spark, sf_dir):
+    return rounded(Corpus(spark, sf_dir).pair_similarities().select("seed_id", "citer_id", "sim", "null_sim"))
+
+
+@query("similarity_by_stratum")
+def similarity_by_stratum(spark, sf_dir):
+    sims = Corpus(spark, sf_dir).pair_similarities()
+    covariates = CH.pair_covariates(sims).withColumn("citer_id", F.col("citer_id").cast("long"))
+    return rounded(CH.similarity_by_stratum(covariates.join(sims.select("seed_id", "citer_id", "sim"), ["seed_id", "citer_id"])))
+
+
+@query("intent_similarity")
+def intent_similarity(spark, sf_dir):
+    return rounded(D.intent_groups(_with_code(Corpus(spark, sf_dir).pair_similarities())))
+
+
+@query("similarity_density")
+def similarity_density(spark, sf_dir):
+    items, _ = _seed_items(spark, sf_dir)
+    sims = items.select("sim")
+    low = ranking.quantiles(sims, "sim", {"lo": 0.005}).select("lo").scalar()
+    return rounded(D.density(sims, "sim", low, sims.agg(F.max("sim")).scalar()))
+
+
+def _all_vectors(spark, sf_dir) -> DataFrame:
+    return sample.table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("seed_id"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec")
+    )
+
+
+def _seed_items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Similarity of every vector to its label's first vector, and those first vectors."""
+    items = _all_vectors(spark, sf_dir)
+    seeds = items.groupBy("seed_id").agg(F.min_by("vec", "item_id").alias("seed_vec"))
+    return V.seed_similarity(items, seeds), seeds
+
+
+@query("best_similarity")
+def best_similarity(spark, sf_dir):
+    return rounded(V.best_similarity(*sample.vector_roles(spark, sf_dir)))
+
+
+@query("cosine_coverage")
+def cosine_coverage(spark, sf_dir):
+    return rounded(V.cosine_coverage(V.best_similarity(*sample.vector_roles(spark, sf_dir))))
+
+
+@query("coverage_at_tau")
+def coverage_at_tau(spark, sf_dir):
+    return rounded(V.coverage_at(V.best_similarity(*sample.vector_roles(spark, sf_dir)), 0.25))
+
+
+@query("mean_pairwise_similarity")
+def mean_pairwise_similarity(spark, sf_dir):
+    return rounded(V.mean_pairwise_similarity(_all_vectors(spark, sf_dir)))
+
+
+@query("centroid_dispersion")
+def centroid_dispersion(spark, sf_dir):
+    return rounded(V.centroid_dispersion(_all_vectors(spark, sf_dir)))
+
+
+@query("seed_similarity")
+def seed_similarity(spark, sf_dir):
+    return rounded(_seed_items(spark, sf_dir)[0])
+
+
+@query("vendi")
+def vendi(spark, sf_dir):
+    return rounded(V.vendi(_all_vectors(spark, sf_dir)))
+
+
+@query("target_spread")
+def target_spread(spark, sf_dir):
+    pairs = _all_vectors(spark, sf_dir).select("seed_id", F.col("item_id").alias("citer_id"))
+    return rounded(CH.target_spread(pairs, _all_vectors(spark, sf_dir).select("item_id", "vec")))
+
+
+# ---- recall
+
+def _event_matches(spark, sf_dir) -> DataFrame:
+    """Event groups as targets: events of the group are tries, high values are matches."""
+    return sample.table(spark, sf_dir, "events").groupBy(
+        F.col("event_type").alias("condition"), F.col("user_id").alias("seed_id")
+    ).agg(F.count(F.lit(1)).cast("int").alias("n_gen"), F.sum((F.col("value") > 50).cast("int")).cast("int").alias("m"))
+
+
+@query("recall_at_k")
+def recall_at_10(spark, sf_dir):
+    m, n = F.col("m"), F.col("n_gen")
+    return rounded(_event_matches(spark, sf_dir).select(
+        "condition", "seed_id", "n_gen", "m", recall_at_k(m, n, 10).alias("recall_10"), recall_at_k(m, n, 51).alias("recall_51"),
+    ))
+
+
+@query("recall_curve")
+def recall_curve(spark, sf_dir):
+    return rounded(matching.recall_curve(_event_matches(spark, sf_dir), ["condition"], K_GRID))
+
+
+@query("recall_gain")
+def recall_gain(spark, sf_dir):
+    curve = matching.recall_curve(_event_matches(spark, sf_dir), ["condition"], range(1, 52))
+    return rounded(matching.recall_gain(curve, ["condition"]))
+
+
+# ---- targets and shards
+
+@query("shuffled_targets")
+def shuffled_targets(spark, sf_dir):
+    return T.target_citers(Corpus(spark, sf_dir).english_pairs(), "shuffled", "sha256")
+
+
+@query("common_seeds")
+def common_seeds(spark, sf_dir):
+    users = sample.table(spark, sf_dir, "events").select(F.col("event_type").alias("condition"), F.col("user_id").alias("seed_id"))
+    return T.common_seeds(users)
+
+
+@query("shard_assignment")
+def shard_assignment(spark, sf_dir):
+    return T.shard_of(sample.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 8)
+
+
+@query("pilot_subset")
+def pilot_subset(spark, sf_dir):
+    return T.evenly_spread(sample.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
+
+
+# ---- contrast
+
+ORDER_METRICS = ("vendi", "mps", "disp", "mean_len")
+
+
+def _system_metrics(spark, sf_dir) -> DataFrame:
+    return sample.table(spark, sf_dir, "orders").groupBy(
+        F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("system"), F.col("o_custkey").alias("seed_id")
+    ).agg(
+        F.avg("o_totalprice").alias("coverage"), F.count(F.lit(1)).cast("double").alias("vendi"),
+        F.min("o_totalprice").alias("mps"), (F.max("o_totalprice") - F.min("o_totalprice")).alias("disp"),
+        F.avg(F.dayofyear("o_orderdate").cast("double")).alias("mean_len"),
+    )
+
+
+@query("spearman")
+def spearman(spark, sf_dir):
+    return rounded(contrast.correlations(_system_metrics(spark, sf_dir), ORDER_METRICS).drop("p"))
+
+
+@query("spearman_significance")
+def spearman_significance(spark, sf_dir):
+    return rounded(contrast.correlations(_system_metrics(spark, sf_dir), ORDER_METRICS).select("system", "metric", "p"))
+
+
+@query("system_table")
+def system_table(spark, sf_dir):
+    return rounded(contrast.system_table(_system_metrics(spark, sf_dir), ORDER_METRICS))
+
+
+@query("system_rankings")
+def system_rankings(spark, sf_dir):
+    return contrast.rankings(contrast.system_table(_system_metrics(spark, sf_dir), ORDER_METRICS), ORDER_METRICS)
+
+
+@query("decile_coverage")
+def decile_coverage(spark, sf_dir):
+    pairs = sample.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("system"), F.col("l_extendedprice").alias("seed_sim"), F.col("l_discount").alias("best_cos")
+    )
+    return rounded(contrast.decile_coverage(pairs, 0.05))
+
+
+@query("null_tau")
+def null_tau(spark, sf_dir):
+    return rounded(contrast.tau_from_null(V.best_similarity(*sample.vector_roles(spark, sf_dir))))
+
+
+@query("agreement_kappa")
+def agreement_kappa(spark, sf_dir):
+    return rounded(A.agreement(sample.table(spark, sf_dir, "labels"), "quality", "toxic", [1]))
+
+
+# ---- resampling
+
+@query("bootstrap_mean")
+def bootstrap_mean(spark, sf_dir):
+    values = sample.table(spark, sf_dir, "customer").withColumn("cnt", F.lit(1.0))
+    return rounded(resampling.bootstrap(
+        values.select("c_mktsegment", "c_custkey", F.col("c_acctbal").alias("total"), "cnt"), "c_custkey", ["c_mktsegment"]
+    ))
+
+
+@query("bootstrap_pooled")
+def bootstrap_pooled(spark, sf_dir):
+    events = sample.table(spark, sf_dir, "events")
+    return rounded(resampling.bootstrap(resampling.cells(events, "value", "user_id", ["event_type"]), "user_id", ["event_type"]))
+
+
+# ---- lexical
+
+def _turns(spark, sf_dir, role: str) -> DataFrame:
+    turns = sample.table(spark, sf_dir, "conversations")
+    return turns.where(F.col("role") == role).select("conv_id", "turn", "text")
+
+
+def _role_turns(spark, sf_dir) -> DataFrame:
+    return sample.table(spark, sf_dir, "conversations").select("role", "conv_id", "turn", "text")
+
+
+@query("distinct_2")
+def distinct_2(spark, sf_dir):
+    return rounded(lexical.distinct_n(_role_turns(spark, sf_dir), ["role", "conv_id"], 2))
+
+
+@query("mean_length")
+def mean_length(spark, sf_dir):
+    return rounded(lexical.mean_length(_role_turns(spark, sf_dir), ["role", "conv_id"]))
+
+
+@query("self_bleu")
+def self_bleu(spark, sf_dir):
+    return rounded(lexical.self_bleu(_role_turns(spark, sf_dir), ["role", "conv_id"], "turn", 15))
+
+
+@query("rouge_l")
+def rouge_l(spark, sf_dir):
+    return rounded(lexical.rouge_l_max(
+        _turns(spark, sf_dir, "assistant"), _turns(spark, sf_dir, "user"), ["conv_id"], "turn", 15
+    ))
+
+
+# ---- model output and result removal
+
+def _raw_replies(spark, sf_dir) -> DataFrame:
+    """Documents wrapped the way each model family wraps an answer; the language picks the wrapping."""
+    text, source = F.col("text"), F.col("source")
+    wrapped = (
+        F.when(F.col("lang") == "en", F.concat(F.lit("analysis "), source, F.lit(" assistantfinal  **Abstract:** "), text))
+        .when(F.col("lang") == "de", F.concat(F.lit("<think>"), source, F.lit("</think>\n\nTitle: "), source, F.lit("\n\n"), text))
+        .when(F.col("lang") == "fr", F.concat(F.lit("<|channel>thought "), source, F.lit("<channel|> **Header**\n"), text))
+        .otherwise(F.concat(F.lit("<think>"), source, text))
+    )
+    return sample.table(spark, sf_dir, "documents").select("doc_id", wrapped.alias("raw"))
+
+
+@query("strip_reasoning")
+def strip_reasoning(spark, sf_dir):
+    return _raw_replies(spark, sf_dir).select("doc_id", F.md5(TX.strip_reasoning(F.col("raw"))).alias("answer"))
+
+
+@query("clean_output")
+def clean_output(spark, sf_dir):
+    answer = TX.clean_output(TX.strip_reasoning(F.col("raw")))
+    return _raw_replies(spark, sf_dir).select("doc_id", F.length(answer).alias("n_chars"), F.md5(answer).alias("answer"))
+
+
+@query("parse_list")
+def parse_list(spark, sf_dir):
+    """Abstracts of verbalised replies: two documents' texts per reply, as a JSON list inside prose."""
+    items = F.to_json(F.array(
+        F.struct(F.col("text").alias("abstract"), F.lit(0.5).alias("probability")),
+        F.struct(F.col("source").alias("abstract"), F.lit(0.5).alias("probability")),
+    ))
+    replies = sample.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("Sure:\n"), items, F.lit("\nDone.")).alias("raw")
+    )
+    found = replies.select("doc_id", TX.parse_list(F.col("raw")).alias("found"))
+    return found.select("doc_id", F.size("found").alias("n"), F.md5(F.get("found", F.lit(0))).alias("first"), F.get("found", F.lit(1)).alias("second"))
+
+
+def lines_of(text):
+    """Splitter for the queries below: every non-blank line is a sentence."""
+    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+
+
+def line_role(s):
+    return (
+        F.when(F.length(s) < 20, F.lit(None).cast("string")).when(F.contains(s, F.lit(",")), "RESULT")
+        .when(F.length(s) > 200, "OTHER").when(F.contains(s, F.lit("-")), "OBJECTIVE").when(F.length(s) > 120, "METHOD")
+        .otherwise("BACKGROUND")
+    )
+
+
+@query("parse_labels")
+def parse_labels(spark, sf_dir):
+    """A labeller's reply, one numbered line per document line, read back to labels."""
+    lines = sample.table(spark, sf_dir, "documents").select("doc_id", lines_of(F.col("text")).alias("s"))
+    said = F.transform("s", lambda s, i: F.concat(i.cast("string"), F.lit(": "), F.coalesce(F.lower(line_role(s)), F.lit("unsure"))))
+    labels = TX.parse_labels(F.array_join(said, "\n"), F.size("s"))
+    return lines.select("doc_id", F.array_join(labels, ",", "-").alias("labels"))
+
+
+def _stripped(spark, sf_dir) -> DataFrame:
+    docs = sample.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("citer_id"), "lang", "text")
+    labels = docs.select("citer_id", F.transform(lines_of(F.col("text")), line_role).alias("labels"))
+    return removal.strip_units(docs, labels, ["citer_id"], lines_of)
+
+
+@query("kept_text")
+def kept_text(spark, sf_dir):
+    return _stripped(spark, sf_dir).select("citer_id", F.size("audit").alias("n_sentences"), F.md5("kept").alias("kept"), "emptied")
+
+
+@query("removal_counters")
+def removal_counters(spark, sf_dir):
+    return removal.removal_counters(_stripped(spark, sf_dir), ["lang"])
+
+
+def _refloored(spark, sf_dir):
+    return removal.refloor(Corpus(spark, sf_dir).english_pairs(), _stripped(spark, sf_dir), 5)
+
+
+@query("refloored_pairs")
+def refloored_pairs(spark, sf_dir):
+    return _refloored(spark, sf_dir)[0]
+
+
+@query("removal_totals")
+def removal_totals(spark, sf_dir):
+    return removal.removal_totals(_refloored(spark, sf_dir)[1])
+
+
+# ---- scoring
+
+CUTOFF = "1995-06-01"
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    """Vectors of other languages, one condition each, against English ones, own and shuffled."""
+    lang = sample.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang")
+    gens, goals = sample.vector_roles(spark, sf_dir)
+    conditions = gens.join(lang, "item_id").select(F.col("lang").alias("condition"), "seed_id", "item_id", "vec")
+    people = sample.citing_papers(spark, sf_dir).select(
+        F.col("corpusid").alias("citer_id"), F.col("year").alias("citer_year"), F.col("publicationdate").alias("citer_pubdate")
+    )
+    own = goals.withColumnRenamed("item_id", "citer_id")
+    both = T.target_citers(own, "own").withColumn("mode", F.lit("own")).unionByName(
+        T.target_citers(own, "shuffled", "sha256").withColumn("mode", F.lit("shuffled"))
+    )
+    dated = both.join(people.select("citer_id", "citer_year"), "citer_id", "left")
+    return score.pair_scores(dated, conditions, people.select("citer_id", "citer_pubdate"))
+
+
+@query("pair_scores")
+def pair_scores(spark, sf_dir):
+    return rounded(_scores(spark, sf_dir).drop("m"))
+
+
+@query("score_strata")
+def score_strata(spark, sf_dir):
+    rows = score.with_strata(_scores(spark, sf_dir), CUTOFF)
+    means = rows.groupBy(*score.KEYS).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("seed_id").alias("n_seeds"), F.avg("best_cos").alias("coverage")
+    )
+    return rounded(means)
+
+
+@query("undated_pairs")
+def undated_pairs(spark, sf_dir):
+    return score.undated_pairs(_scores(spark, sf_dir), CUTOFF)
+
+
+@query("score_summary")
+def score_summary(spark, sf_dir):
+    return rounded(score.summarise(score.with_strata(_scores(spark, sf_dir), CUTOFF)))
+
+
+# ---- ingestion
+
+@query("paper_records")
+def paper_records(spark, sf_dir):
+    """Raw paper records written as JSON text per part, read back and flattened."""
+    from .. import schemas
+
+    p_size, name, kind = F.col("p_size"), F.col("p_name"), F.col("p_type")
+    raw = F.to_json(F.struct(
+        F.col("p_partkey").alias("corpusid"),
+        F.struct(F.when(kind == "ECONOMY", "").otherwise(F.concat_ws("-", kind, "p_partkey")).alias("ACL"), F.col("p_brand").alias("DOI")).alias("externalids"),
+        name.alias("title"),
+        F.array(F.struct(F.when(p_size > 5, name).alias("name")), F.struct(F.when(p_size > 10, F.col("p_brand")).otherwise("").alias("name"))).alias("authors"),
+        p_size.alias("year"), F.when(p_size > 25, F.lit("")).otherwise(kind).alias("venue"),
+        F.struct(F.col("p_brand").alias("name")).alias("journal"),
+        F.array(F.struct(kind.alias("category")), F.struct(F.col("p_brand").alias("category")), F.struct(kind.alias("category")), F.struct(F.lit("").alias("category"))).alias("s2fieldsofstudy"),
+    ))
+    parsed = sample.table(spark, sf_dir, "part").select(F.from_json(raw, schemas.RAW_PAPER).alias("r")).select("r.*")
+    flat = layers.paper_rows(parsed)
+    return flat.select(
+        "corpusid", "acl_id", "doi", "arxiv", "title", F.array_join("authors", "|").alias("authors"), "year", "venue",
+        "journal_name", F.array_join("s2fieldsofstudy", "|").alias("fields"),
+    )
+
+
+@query("bucket_counts")
+def bucket_counts(spark, sf_dir):
+    keys = sample.raw_edges(spark, sf_dir).select(layers.bucket_of(F.col("citedcorpusid") - 1000).alias("bucket"))
+    return keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("embed_cache_misses")
+def embed_cache_misses(spark, sf_dir):
+    """Document texts that are not among the cached texts of the conversations and benchmark items."""
+    cached = sample.table(spark, sf_dir, "conversations").select("text").unionByName(
+        sample.table(spark, sf_dir, "benchmark").select("text")
+    ).select(F.sha2("text", 256).alias("text_key"))
+    misses = models.cache_misses(sample.table(spark, sf_dir, "documents").select("text"), cached, algorithm="sha256")
+    return misses.select("text_key", F.length("text").alias("n_chars"))
+
+
+# ---- model back ends (stand-ins)
+
+@query("language_verdicts")
+def language_verdicts(spark, sf_dir):
+    docs = sample.abstracts(spark, sf_dir)
+    verdict = models.language_rule(models.word_share_language)(docs)
+    return docs.select("corpusid", verdict.alias("is_english"))
+
+
+@query("embed_documents")
+def embed_documents(spark, sf_dir):
+    docs = models.cache_misses(sample.table(spark, sf_dir, "documents").select("text"), None)
+    vectors = models.embed(docs, models.HashedBag)
+    return vectors.select("text_key", F.size("vec").alias("width"), r6(V.dot(F.col("vec"), F.col("vec"))).alias("norm"))
+
+
+@query("rerank_recall")
+def rerank_recall(spark, sf_dir):
+    goals = _turns(spark, sf_dir, "user").select(F.col("conv_id").alias("seed_id"), F.col("turn").alias("citer_id"), "text")
+    gens = lexical.first_items(
+        _turns(spark, sf_dir, "assistant").withColumnRenamed("conv_id", "seed_id"), ["seed_id"], "turn", 51
+    ).withColumnRenamed("items", "predictions")
+    unit = [F.lit("stub").alias("condition"), F.lit("own").alias("mode")]
+    probs = models.rerank(goals, gens, models.WordOverlap).select(*unit, "*")
+    sizes = gens.select("seed_id", F.size("predictions").alias("n_gen"))
+    wanted = goals.join(sizes, "seed_id").select(*unit, "seed_id", "citer_id", "n_gen")
+    return rounded(matching.recall_curve(matching.with_matches(wanted, probs, threshold=0.05), ["condition", "mode"]))
+
+
+@query("generated_sets")
+def generated_sets(spark, sf_dir):
+    seeds = sample.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seed_id"), F.col("source").alias("seed_title"), F.lit(None).cast("int").alias("seed_year"),
+        F.col("text").alias("seed_abstract"),
+    )
+    made = models.predictions(models.sample_replies(seeds, models.PromptEcho, "gemma_t10", n=3), "gemma_t10", n=3)
+    return made.select("seed_id", "condition", F.size("predictions").alias("n"), "short_by")
+
+
+@query("sentence_labels")
+def sentence_labels(spark, sf_dir):
+    items = sample.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("citer_id"), F.col("source").alias("title"), "text")
+    labels = models.label_texts(items, models.KeywordRoles, ["citer_id"])
+    return labels.select("citer_id", F.size("labels").alias("n"), F.array_join("labels", ",", "-").alias("labels"))

@@ -119,6 +119,8 @@ def read_bucketed(
         return spark.read.schema(table).parquet(path)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table)
     df = spark.read.schema(f"{ddl}, bucket int").parquet(path)
+    # Loads kept in sub-folders add a partition column of their own; only the layer's columns count.
+    df = df.select(*table.names, "bucket")
     if buckets is not None:
         df = df.where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
     return df.drop("bucket") if hide_bucket else df

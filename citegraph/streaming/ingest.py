@@ -11,7 +11,7 @@ from ..sources.layers import NORMALISERS, RAW_SCHEMAS, exists, write_bucketed
 def ingest(
     spark: SparkSession, kind: str, source: str, dest: str, checkpoint: str, max_files: int | None = None
 ) -> int:
-    """New shards of ``source`` into the bucketed layer at ``dest``; returns the rows added.
+    """New shards of ``source`` into the bucketed layer at ``dest``; returns the rows read.
 
     The checkpoint keeps the list of finished files. Every micro-batch writes to its own
     sub-folder in overwrite mode, so a batch replayed after a lost driver replaces itself
@@ -32,11 +32,6 @@ def ingest(
     return sum(p["numInputRows"] for p in running.recentProgress)
 
 
-def load_paths(spark: SparkSession, dest: str) -> str:
-    """Glob over the loads of a layer, for readers that take one path."""
-    return f"{dest}/load=*" if exists(spark, dest) else dest
-
-
 def append_new(units: DataFrame, key: list[str], path: str, build, partition_by: str | None = None) -> None:
     """Run ``build`` on the units not stored at ``path`` yet and append the result.
 
