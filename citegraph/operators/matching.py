@@ -43,7 +43,7 @@ def with_matches(
     ).drop("probs")
     unit = list(keys)[:2]
     complete = checked.groupBy(*unit).agg(F.bool_and(F.col("m").isNotNull()).alias("complete"))
-    return checked.join(complete, unit).withColumn("m", F.when("complete", F.col("m"))).drop("complete")
+    return checked.join(complete, unit).withColumn("m", F.when(F.col("complete"), F.col("m"))).drop("complete")
 
 
 def match_profile(scores: DataFrame, group: Sequence[str]) -> DataFrame:

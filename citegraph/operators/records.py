@@ -60,6 +60,12 @@ def benchmark_pairs(picked: DataFrame, citers: DataFrame, edges: DataFrame) -> D
     return joined.select("seed_id", "citer_id", "n_citers", "h", citer.alias("citer"))
 
 
+def part_of(per_record: int):
+    """Even stretch of the hash order a citer falls into; 0 for seeds that fit one record."""
+    n_parts = F.ceil(F.col("n_citers") / per_record)
+    return F.floor(hash_fraction(F.col("h")) * n_parts).cast("int")
+
+
 def benchmark_records(
     pairs: DataFrame, seeds: DataFrame, per_record: int = CITERS_PER_RECORD
 ) -> DataFrame:
@@ -69,8 +75,7 @@ def benchmark_records(
     1, ...), each holding one even stretch of the hash order, so no group is gathered
     whole. All other seeds have exactly one record.
     """
-    n_parts = F.ceil(F.col("n_citers") / per_record)
-    parted = pairs.withColumn("part", F.floor(hash_fraction(F.col("h")) * n_parts).cast("int"))
+    parted = pairs.withColumn("part", part_of(per_record))
     nested = parted.groupBy("seed_id", "part").agg(
         F.first("n_citers").alias("n_citers_qualifying"),
         F.array_sort(F.collect_list(F.struct("h", "citer_id", "citer"))).alias("ordered"),
