@@ -9,6 +9,7 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 
 from .params import CutParams, parse_bool, parse_buckets, parse_optional_int
+from .session import ship
 
 
 def _cut_arguments(parser: argparse.ArgumentParser) -> None:
@@ -82,13 +83,14 @@ def run(spark: SparkSession, args: argparse.Namespace):
             corpus.id_source(papers, side), papers, params.seed_infl_top_frac, params.seed_infl_cap_frac
         )
         params = cut.resolved(params, table)
-    tables = [spark.read.parquet(f"{args.corpus_root}/{name}") for name in ("edges", "seeds", "citers")]
-    return cut.make_benchmark(*tables, args.out, params, mode="overwrite" if args.force else "errorifexists")
+    seeds, citers = (spark.read.parquet(f"{args.corpus_root}/{name}") for name in ("seeds", "citers"))
+    edges = cut.read_edges(spark, args.corpus_root)
+    return cut.make_benchmark(edges, seeds, citers, args.out, params, mode="overwrite" if args.force else "errorifexists")
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName(f"citegraph {args.command}").getOrCreate()
+    spark = ship(SparkSession.builder.appName(f"citegraph {args.command}").getOrCreate())
     print(json.dumps(run(spark, args), indent=1, default=str))
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 from .ranking import quantiles, tied_ranks
@@ -39,6 +39,8 @@ def two_sided_p(rho: float, n: int) -> float:
         return float("nan")
     if abs(rho) >= 1:
         return 0.0
+    if rho == 0:
+        return 1.0
     dof = n - 2
     a, b, x = dof / 2, 0.5, 1.0 - rho * rho
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
@@ -47,9 +49,10 @@ def two_sided_p(rho: float, n: int) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@pandas_udf(DoubleType())
-def correlation_p(rho: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([two_sided_p(r, int(k)) for r, k in zip(rho, n)], dtype=float)
+@arrow_udf(DoubleType())
+def correlation_p(rho: pa.Array, n: pa.Array) -> pa.Array:
+    pairs = zip(rho.to_pylist(), n.to_pylist())
+    return pa.array([math.nan if r is None else two_sided_p(r, k) for r, k in pairs], pa.float64())
 
 
 def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = (), at_least: int = 10) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions import lexical as L
@@ -51,9 +51,9 @@ def first_items(texts: DataFrame, group: Sequence[str], order: str, limit: int,
     )
 
 
-@pandas_udf(DoubleType())
-def _self_bleu(items: pd.Series) -> pd.Series:
-    return pd.Series([L.self_bleu(list(texts), len(texts)) for texts in items], dtype=float)
+@arrow_udf(DoubleType())
+def _self_bleu(items: pa.Array) -> pa.Array:
+    return pa.array([L.self_bleu(texts, len(texts)) for texts in items.to_pylist()], pa.float64())
 
 
 def self_bleu(
@@ -71,8 +71,8 @@ def rouge_l_max(
 
     References stay rows, so they spread over tasks; each meets its group's bounded array.
     """
-    @pandas_udf(DoubleType())
-    def best(refs: pd.Series, items: pd.Series) -> pd.Series:
+    @arrow_udf(DoubleType())
+    def best(refs: pa.Array, items: pa.Array) -> pa.Array:
         known: dict[str, list[str]] = {}
 
         def words(t: str) -> list[str]:
@@ -81,10 +81,10 @@ def rouge_l_max(
             return known[t]
 
         scores = []
-        for ref, texts in zip(refs, items):
+        for ref, texts in zip(refs.to_pylist(), items.to_pylist()):
             target = L.rouge_tokens(ref, stem)
             scores.append(max(L.rouge_l_f1(target, words(t)) for t in texts))
-        return pd.Series(scores, dtype=float)
+        return pa.array(scores, pa.float64())
 
     joined = references.select(*group, F.col(text).alias("reference")).join(
         first_items(predictions, group, order, max_items, text), list(group)

@@ -92,7 +92,7 @@ def quantiles(
 
     ``linear`` interpolates, ``disc`` takes the smallest value whose cumulative share
     reaches p, ``nearest`` rounds the position half to even. Only slices that hold a
-    wanted position are sorted.
+    wanted position are sorted. No values give no row.
     """
     counts = value_counts(df, value, group, weight)
     sliced = _sliced(counts, value, group)
@@ -115,7 +115,8 @@ def quantiles(
             outputs.append((low + (high - low) * F.max(share)).alias(name))
         else:
             outputs.append(low.alias(name))
-    return ranked.groupBy(*group).agg(F.max("n_rows").alias("n"), F.max("total").alias("total"), *outputs)
+    found = ranked.groupBy(*group).agg(F.max("n_rows").alias("n"), F.max("total").alias("total"), *outputs)
+    return found.where(F.col("n").isNotNull())
 
 
 def summary(

@@ -75,6 +75,9 @@ def bootstrap(
     if hot is not None:
         large = unit_cells.join(hot.select(*keys), keys, "left_semi")
         result = result.unionByName(_poisson(large, unit, keys, key_schema, n_boot, seed, alpha))
+    # Undefined means stay NaN; the pandas exchange would turn them into NULL.
+    nan = F.lit(float("nan"))
+    result = result.select(*keys, *[F.coalesce(c, nan).alias(c) for c in ("mean", "ci_low", "ci_high")])
     return result.drop("all_units") if drop else result
 
 

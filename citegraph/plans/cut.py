@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus, pairs as P, ranking, records
 from ..operators.models import default_detector, language_rule
 from ..params import CutParams
+from ..schemas import EDGES
 from ..session import materialise
 from ..sources import layers
 
@@ -40,7 +41,7 @@ def build_corpus(
     if "edges" in steps:
         rows["edges"] = build_edge_buckets(spark, derived, out, buckets)
     if "citers" in steps:
-        edges = spark.read.parquet(f"{out}/edges")
+        edges = read_edges(spark, out)
         rows["citers"] = layers.write_once(
             spark, f"{out}/citers", lambda: corpus.build_citers(edges, papers, abstracts, ids)
         )
@@ -68,9 +69,13 @@ def build_edge_buckets(spark: SparkSession, derived: str, out: str, buckets: lis
             "compression", "zstd"
         ).partitionBy("bucket").parquet(f"{out}/edges")
         spark.createDataFrame([(b,) for b in missing], "bucket int").coalesce(1).write.mode("append").parquet(done_path)
-    if not wanted or not layers.exists(spark, f"{out}/edges/_SUCCESS"):
+    if not wanted or not layers.exists(spark, f"{out}/edges"):
         return 0
-    return spark.read.parquet(f"{out}/edges").where(F.col("bucket").isin(*wanted)).count()
+    return read_edges(spark, out).where(F.col("bucket").isin(*wanted)).count()
+
+
+def read_edges(spark: SparkSession, corpus_root: str) -> DataFrame:
+    return spark.read.schema(EDGES).parquet(f"{corpus_root}/edges")
 
 
 def resolved(params: CutParams, thresholds: DataFrame) -> CutParams:

@@ -637,7 +637,7 @@ def parse_list(spark, sf_dir):
 
 def lines_of(text):
     """Splitter for the queries below: every non-blank line is a sentence."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def line_role(s):

@@ -11,6 +11,11 @@ def _struct(**fields) -> StructType:
     return StructType([StructField(name, kind) for name, kind in fields.items()])
 
 
+def with_corrupt_record(schema: StructType) -> StructType:
+    """The schema plus the column that takes lines which do not parse."""
+    return StructType([*schema.fields, StructField("_corrupt_record", StringType())])
+
+
 RAW_ABSTRACT = _struct(corpusid=LongType(), abstract=StringType())
 
 RAW_EDGE = _struct(
@@ -31,6 +36,10 @@ RAW_PAPER = _struct(
     publicationtypes=STRINGS,
 )
 
+EDGES = _struct(
+    citedcorpusid=LongType(), citingcorpusid=LongType(), isinfluential=BooleanType(), contexts=STRINGS,
+    intents=ArrayType(STRINGS), bucket=IntegerType(),
+)
 ABSTRACTS = RAW_ABSTRACT
 EDGES_RAW = RAW_EDGE
 PAPERS = _struct(

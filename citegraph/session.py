@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,24 @@ def local_session(cores: int | str = 8, app: str = "citegraph", **conf) -> Spark
     return spark
 
 
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Functions of the package are pickled by name, so workers must be able to import it.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="citegraph-ship-"), "citegraph")
+        archive = shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+        _shipped[app] = archive
+    return spark
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 

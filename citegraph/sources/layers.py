@@ -24,7 +24,7 @@ def read_shards(spark: SparkSession, kind: str, path: str, strict: bool = True)
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     return (
-        spark.read.schema(schema.add("_corrupt_record", "string"))
+        spark.read.schema(schemas.with_corrupt_record(schema))
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     )
 

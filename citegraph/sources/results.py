@@ -29,9 +29,8 @@ def _log(spark: SparkSession, schema, path: str) -> DataFrame:
 
     A line cut short by a crash does not parse and is left out.
     """
-    kept = schema.add("_corrupt_record", "string") if "_corrupt_record" not in schema.names else schema
     lines = (
-        spark.read.schema(kept).option("columnNameOfCorruptRecord", "_corrupt_record")
+        spark.read.schema(schemas.with_corrupt_record(schema)).option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*shard_*.jsonl").json(path)
         .select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row"))
@@ -117,7 +116,7 @@ def read_review(spark: SparkSession, path: str) -> DataFrame:
 
     Only four-cell rows with a numeric first cell count; escaped pipes stay in a cell.
     """
-    cells = F.transform(F.split("value", r"(?<!\\)\|"), F.trim)
+    cells = F.transform(F.split("value", r"(?<!\\)\|"), lambda c: F.trim(c))
     inner = F.slice(cells, 2, F.size(cells) - 2)
     rows = spark.read.text(path).where(F.size(F.split("value", r"(?<!\\)\|")) == 6).select(inner.alias("c"))
     bare = lambda c: F.regexp_replace(c, r"^\*+|\*+$", "")

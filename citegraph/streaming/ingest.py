@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.layers import NORMALISERS, RAW_SCHEMAS, exists, write_bucketed
@@ -11,7 +11,7 @@ from ..sources.layers import NORMALISERS, RAW_SCHEMAS, exists, write_bucketed
 def ingest(
     spark: SparkSession, kind: str, source: str, dest: str, checkpoint: str, max_files: int | None = None
 ) -> int:
-    """New shards of ``source`` into the bucketed layer at ``dest``; returns the rows read.
+    """New shards of ``source`` into the bucketed layer at ``dest``; returns the rows added.
 
     The checkpoint keeps the list of finished files. Every micro-batch writes to its own
     sub-folder in overwrite mode, so a batch replayed after a lost driver replaces itself
@@ -22,14 +22,19 @@ def ingest(
         reader = reader.option("maxFilesPerTrigger", max_files)
     rows = NORMALISERS[kind](reader.json(source))
 
+    added = []
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_bucketed(batch, kind, f"{dest}/load={batch_id}", mode="overwrite")
+        seen = Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("rows"))
+        write_bucketed(counted, kind, f"{dest}/load={batch_id}", mode="overwrite")
+        added.append(seen.get["rows"])
 
     running = (
         rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return sum(p["numInputRows"] for p in running.recentProgress)
+    return sum(added)
 
 
 def append_new(units: DataFrame, key: list[str], path: str, build, partition_by: str | None = None) -> None:

@@ -5,9 +5,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from citegraph.session import local_session  # noqa: E402
+from citegraph.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "citegraph-tests", **{"spark.sql.shuffle.partitions": "4"})
+    return ship(local_session(4, "citegraph-tests", **{"spark.sql.shuffle.partitions": "4"}))
