@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
+from ..session import materialise
 from .ranking import quantiles, tied_ranks
 
 
@@ -63,7 +64,8 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = (), at_least:
     """
     group = list(group)
     valid = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    points = df.where(valid(x) & valid(y)).groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("w"))
+    # Both rankings and the final sums read the points.
+    points = materialise(df.where(valid(x) & valid(y)).groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("w")))
 
     def ranks(value: str, name: str) -> DataFrame:
         counts = points.groupBy(*group, value).agg(F.sum("w").alias("c"))
@@ -84,7 +86,7 @@ def decile_of(df: DataFrame, value: str, n_bins: int = 10) -> DataFrame:
     """
     probs = {f"e{i}": i / n_bins for i in range(n_bins + 1)}
     edges = quantiles(df, value, probs).select(F.array(*probs).alias("edges")).scalar()
-    reached = F.size(F.filter(F.col("edges"), lambda e: e <= F.col(value).cast("double")))
+    reached = sum((F.col("edges")[i] <= F.col(value).cast("double")).cast("int") for i in range(n_bins + 1))
     return (
         df.withColumn("edges", edges)
         .withColumn("decile", F.least(F.greatest(reached - 1, F.lit(0)), F.lit(n_bins - 1)))

@@ -31,42 +31,51 @@ def _squeezed(value: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 
 
-def _sliced(counts: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
-    """Attach the group's totals (``n_rows``, ``total``) and the slice number."""
-    totals = [
-        F.min(_squeezed(F.col(value))).alias("lo"), F.max(_squeezed(F.col(value))).alias("hi"),
-        F.sum("c").alias("n_rows"), F.sum(F.col(value).cast("double") * F.col("c")).alias("total"),
-    ]
-    if group:
-        joined = counts.join(counts.groupBy(*group).agg(*totals), list(group))
-    else:
-        one = counts.agg(*totals).select(F.struct("lo", "hi", "n_rows", "total").alias("t"))
-        joined = counts.withColumn("t", one.scalar()).select("*", "t.lo", "t.hi", "t.n_rows", "t.total").drop("t")
-    width = F.col("hi") - F.col("lo")
-    position = F.floor((_squeezed(F.col(value)) - F.col("lo")) / width * SLICES).cast("int")
-    slice_no = F.when(width > 0, F.least(position, F.lit(SLICES - 1))).otherwise(F.lit(0))
-    return joined.withColumn("slice", slice_no).drop("lo", "hi")
-
-
-def _slice_offsets(sliced: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rows before each slice; the window sees at most ``SLICES`` rows per group."""
-    per_slice = sliced.groupBy(*group, "slice").agg(F.sum("c").alias("in_slice"), F.max("n_rows").alias("in_group"))
+def _sliced(counts: DataFrame, value: str) -> DataFrame:
+    """Attach the slice number.
+
+    All groups share the cut points, which come from one scalar subquery: a row of a hot
+    group then needs no join to learn its group's range.
+    """
+    squeezed = _squeezed(F.col(value))
+    bounds = counts.agg(F.min(squeezed).alias("lo"), F.max(squeezed).alias("hi")).select(F.struct("lo", "hi").alias("b"))
+    low, width = F.col("b.lo"), F.col("b.hi") - F.col("b.lo")
+    position = F.least(F.floor((squeezed - low) / width * SLICES).cast("int"), F.lit(SLICES - 1))
+    sliced = counts.withColumn("b", bounds.scalar()).withColumn("slice", F.when(width > 0, position).otherwise(F.lit(0)))
+    return sliced.drop("b")
+
+
+def _slice_offsets(sliced: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """Rows before each slice and the group's totals; the windows see at most ``SLICES`` rows per group."""
+    per_slice = sliced.groupBy(*group, "slice").agg(
+        F.sum("c").alias("in_slice"), F.sum(F.col(value).cast("double") * F.col("c")).alias("sum_slice")
+    )
     earlier = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return per_slice.withColumn("before_slice", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)))
+    whole = Window.partitionBy(*group)
+    return per_slice.select(
+        *group, "slice", "in_slice", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)).alias("before_slice"),
+        F.sum("in_slice").over(whole).alias("n_rows"), F.sum("sum_slice").over(whole).alias("total"),
+    )
 
 
 def _within(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """Rows of the same slice with a smaller value."""
     earlier = (
         Window.partitionBy(*group, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return df.withColumn("before", F.col("before_slice") + F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    return df.withColumn("before_within", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
 
 
 def cumulative(counts: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Value counts plus ``before`` (rows with a smaller value), ``n_rows`` and ``total``."""
-    sliced = _sliced(counts, value, group)
-    offsets = _slice_offsets(sliced, group).drop("in_slice", "in_group")
-    return _within(sliced.join(offsets, [*group, "slice"]), value, group).drop("slice", "before_slice")
+    """Value counts plus ``before`` (rows with a smaller value), ``n_rows`` and ``total``.
+
+    The window and the join that follows share one shuffle by (group, slice).
+    """
+    sliced = _sliced(counts, value)
+    placed = _within(sliced, value, group).join(_slice_offsets(sliced, value, group), [*group, "slice"])
+    return placed.select(
+        *counts.columns, (F.col("before_slice") + F.col("before_within")).alias("before"), "n_rows", "total"
+    )
 
 
 def _rank_positions(kind: str, p: float, n: Column) -> tuple[Column, Column, Column]:
@@ -95,14 +104,15 @@ def quantiles(
     wanted position are sorted. No values give no row.
     """
     counts = value_counts(df, value, group, weight)
-    sliced = _sliced(counts, value, group)
-    offsets = _slice_offsets(sliced, group)
+    sliced = _sliced(counts, value)
     wanted = F.lit(False)
     for p in probs.values():
-        for at in _rank_positions(kind, p, F.col("in_group"))[:2]:
+        for at in _rank_positions(kind, p, F.col("n_rows"))[:2]:
             wanted |= (F.col("before_slice") <= at) & (at < F.col("before_slice") + F.col("in_slice"))
-    picked = sliced.join(offsets.where(wanted).drop("in_slice", "in_group"), [*group, "slice"])
-    ranked = _within(picked, value, group)
+    offsets = _slice_offsets(sliced, value, group).where(wanted).drop("in_slice")
+    ranked = _within(sliced.join(offsets, [*group, "slice"]), value, group).withColumn(
+        "before", F.col("before_slice") + F.col("before_within")
+    )
     n = F.col("n_rows")
     outputs = []
     for name, p in probs.items():

@@ -62,7 +62,7 @@ class Corpus:
 
     @cached_property
     def papers(self) -> DataFrame:
-        return self.keep(sample.cited_papers(self.spark, self.sf_dir, self.raw_edges))
+        return sample.cited_papers(self.spark, self.sf_dir, self.raw_edges)
 
     @cached_property
     def abstracts(self) -> DataFrame:
@@ -170,22 +170,22 @@ def influence_thresholds(spark, sf_dir):
 
 @query("qualifying_pairs")
 def qualifying_pairs(spark, sf_dir):
-    return Corpus(spark, sf_dir).pairs()
+    return Corpus(spark, sf_dir, stored=False).pairs()
 
 
 @query("pairs_with_background")
 def pairs_with_background(spark, sf_dir):
-    return Corpus(spark, sf_dir).pairs(drop_background_only=False)
+    return Corpus(spark, sf_dir, stored=False).pairs(drop_background_only=False)
 
 
 @query("pairs_any_influence")
 def pairs_any_influence(spark, sf_dir):
-    return Corpus(spark, sf_dir).pairs(influential_only=False)
+    return Corpus(spark, sf_dir, stored=False).pairs(influential_only=False)
 
 
 @query("pairs_without_band")
 def pairs_without_band(spark, sf_dir):
-    return Corpus(spark, sf_dir).pairs(banded=False)
+    return Corpus(spark, sf_dir, stored=False).pairs(banded=False)
 
 
 @query("english_pairs")
@@ -274,7 +274,7 @@ def intent_label_rows(spark, sf_dir):
 
 @query("abstracts_by_year")
 def abstracts_by_year(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, stored=False)
     return diagnosis.abstracts_by_year(corpus.id_source(c.papers), c.papers, c.abstracts)
 
 

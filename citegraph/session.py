@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,21 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back from there.
 
-    Used where several branches consume one expensive result. The folder is the one the
-    cluster names in ``spark.checkpoint.dir``; only a session without it gets its own.
+    Used where several branches consume one expensive result. A Parquet table survives lost
+    executors like a checkpoint does, and its readers prune columns and know its size. The
+    folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without
+    it gets its own.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="citegraph-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder is None:
+        context.setCheckpointDir(
+            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="citegraph-checkpoint-")
+        )
+        folder = context.getCheckpointDir()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
