@@ -519,3 +519,33 @@ CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
 oracle("clean_output", [],
        "SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS answer FROM (SELECT doc_id, " + TRIM.format(
            "regexp_replace(regexp_replace(" + TRIM.format(CLEAN.format("a")) + r""", '^"+', ''), '"+$', '')""") + " AS t FROM answers)", REPLIES)
+
+# ---- model back ends (stand-ins)
+
+oracle("language_verdicts", [],
+       r"""SELECT doc_id AS corpusid, len(w) > 0 AND 8 * len(list_filter(w, lambda x: x IN ('a', 'an', 'and', 'are', 'as', 'at', 'by', 'for', 'from', 'in',
+  'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'we', 'with'))) >= len(w) AS is_english
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)""")
+oracle("embed_documents", [],
+       r"""SELECT DISTINCT sha256(text) AS text_key, CAST(64 AS INTEGER) AS width,
+  CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""")
+oracle("generated_sets", [],
+       "SELECT CAST(doc_id AS VARCHAR) AS seed_id, 'gemma_t10' AS condition, CAST(3 AS INTEGER) AS n, CAST(0 AS INTEGER) AS short_by FROM documents")
+oracle("rerank_recall", [],
+       f"""SELECT 'stub' AS condition, 'own' AS mode, CAST(k AS INTEGER) AS k, {r('avg(' + recall('k') + ')')} AS recall
+FROM matched, (SELECT unnest([1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 51]) AS k) GROUP BY k""",
+       {"words": r"""SELECT conv_id, turn, role, list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 3000)), '\s+'), lambda x: x <> '')) AS w,
+  trim(text) <> '' AS filled FROM conversations""",
+        "gens": "SELECT * FROM words WHERE role = 'assistant' AND filled QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 51",
+        "shared": """SELECT u.conv_id, u.turn, len(list_intersect(u.w, g.w)) AS both_w, len(u.w) + len(g.w) AS all_w
+FROM words u JOIN gens g USING (conv_id) WHERE u.role = 'user'""",
+        "matched": """SELECT conv_id, turn, CAST(count(*) AS INTEGER) AS n_gen,
+  CAST(count(*) FILTER (WHERE 1 / (1 + exp(-12 * (both_w / greatest(all_w - both_w, 1) - 0.3))) > 0.05) AS INTEGER) AS m FROM shared GROUP BY 1, 2"""})
+oracle("sentence_labels", [],
+       """SELECT doc_id AS citer_id, CAST(len(s) AS INTEGER) AS n, coalesce(array_to_string(list_transform(s, lambda x:
+  CASE WHEN len(s) > 120 THEN '-' WHEN contains(lower(x), 'outperform') OR contains(lower(x), 'results show') OR contains(lower(x), 'achiev') THEN 'RESULT'
+       WHEN contains(lower(x), 'available at') OR contains(lower(x), 'github') THEN 'OTHER'
+       WHEN contains(lower(x), 'we propose') OR contains(lower(x), 'this paper') THEN 'OBJECTIVE'
+       WHEN contains(lower(x), 'using') OR contains(lower(x), 'train') THEN 'METHOD' ELSE 'BACKGROUND' END), ','), '') AS labels FROM cut""",
+       {"cut": r"""SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
+  '([.!?]) ([\p{Lu}0-9"''(])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents"""})

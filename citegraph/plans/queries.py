@@ -784,7 +784,7 @@ def language_verdicts(spark, sf_dir):
 
 @query("embed_documents")
 def embed_documents(spark, sf_dir):
-    docs = models.cache_misses(sample.table(spark, sf_dir, "documents").select("text"), None)
+    docs = models.cache_misses(sample.table(spark, sf_dir, "documents").select("text"), None, algorithm="sha256")
     vectors = models.embed(docs, models.HashedBag)
     return vectors.select("text_key", F.size("vec").alias("width"), r6(V.dot(F.col("vec"), F.col("vec"))).alias("norm"))
 
