@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import lexical as L
 from ..functions.stemming import porter
-from ..functions.text import tokens, word_count
+from ..functions.text import strip, tokens, word_count
 
 
 def distinct_n(texts: DataFrame, group: Sequence[str], n: int = 2, text: str = "text") -> DataFrame:
@@ -44,7 +44,7 @@ def first_items(texts: DataFrame, group: Sequence[str], order: str, limit: int,
     """
     w = Window.partitionBy(*group).orderBy(order)
     kept = (
-        texts.where(F.trim(F.col(text)) != "").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+        texts.where(strip(F.col(text)) != "").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
     )
     return kept.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rn", text))).alias("ranked")).select(
         *group, F.transform("ranked", lambda r: r[text]).alias("items")
