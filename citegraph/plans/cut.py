@@ -43,7 +43,7 @@ def build_corpus(
     if "citers" in steps:
         edges = read_edges(spark, out)
         rows["citers"] = layers.write_once(
-            spark, f"{out}/citers", lambda: corpus.build_citers(edges, papers, abstracts, ids)
+            spark, f"{out}/citers", lambda: corpus.build_citers(edges, papers, abstracts, ids), inputs=(f"{out}/edges_done",)
         )
     return rows
 

@@ -131,18 +131,27 @@ def with_bucket_filter(df: DataFrame, key: str, value: int, n_buckets: int = N_B
     return df.where((F.col(key) == value) & (F.col("bucket") == bucket_of(F.lit(value), n_buckets)))
 
 
-def compact(spark: SparkSession, kind: str, path: str, out: str, files: int | None = None) -> int:
+def without_file(df: DataFrame, name: str) -> DataFrame:
+    """rows of a file scan that do not come from files called ``name``."""
+    return df.where(F.col("_metadata.file_name") != name)
+
+
+def compact(
+    spark: SparkSession, kind: str, path: str, out: str, files: int | None = None, skip: str | None = None
+) -> int:
     """Rewrite a layer sorted by its key, into a new folder.
 
     Ranges of (bucket, key, spread key) become files: each bucket is a run of sorted files
     with disjoint key ranges, so row-group statistics prune lookups. A key that fills more
-    than one file is cut by the spread key. Returns the row count.
+    than one file is cut by the spread key. ``skip`` leaves out a file of an unbucketed layer,
+    for example an earlier result kept beside its inputs. Returns the row count.
     """
     if kind in SORT_KEY:
         stored = read_bucketed(spark, kind, path, hide_bucket=False)
         order = ["bucket", SORT_KEY[kind], SPREAD_KEY[kind]]
     else:
         stored, order = read_bucketed(spark, kind, path), ["corpusid"]
+        stored = without_file(stored, skip) if skip else stored
     ranged = stored.repartitionByRange(files, *order) if files else stored.repartitionByRange(*order)
     return write_counted(ranged.sortWithinPartitions(*order), out, partition_by="bucket" if kind in SORT_KEY else None)
 
@@ -166,9 +175,24 @@ def write_counted(df: DataFrame, path: str, mode: str = "errorifexists", partiti
     return seen.get["rows"]
 
 
-def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: str | None = None) -> int:
-    """Build and write unless a committed result exists; the row count either way."""
-    if exists(spark, f"{path}/_SUCCESS"):
+def committed_at(spark: SparkSession, path: str) -> int:
+    """When the output at ``path`` was committed, in milliseconds; -1 if it was not."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    system = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getFileStatus(marker).getModificationTime() if system.exists(marker) else -1
+
+
+def write_once(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: str | None = None,
+    inputs: tuple[str, ...] = (),
+) -> int:
+    """Build and write unless a committed result exists; the row count either way.
+
+    A result older than one of the ``inputs`` it was made from is built again.
+    """
+    written = committed_at(spark, path)
+    if written >= 0 and all(committed_at(spark, source) <= written for source in inputs):
         return spark.read.parquet(path).count()
     return write_counted(build(), path, "overwrite", partition_by)
 

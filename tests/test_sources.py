@@ -209,3 +209,26 @@ def test_parameters_and_command_line():
     assert params.chat_flags("openai/GPT-OSS-20b") == {"reasoning_effort": "low"} and params.chat_flags("x/llama") == {}
     args = cli.parser().parse_args(["make-benchmark", "--corpus-root", "c", "--out", "o", "--n-seeds", "none", "--english-only", "no", "--min-citers", "3"])
     assert (args.n_seeds, args.english_only, args.min_citers, args.seed_infl_top_frac) == (None, False, 3, 0.1)
+
+
+def test_results_follow_their_inputs(spark, tmp_path):
+    import os
+    write = lambda n: layers.write_once(spark, str(tmp_path / "o"), lambda: spark.range(n), inputs=(str(tmp_path / "i"),))
+    layers.write_counted(spark.range(1), str(tmp_path / "i"))
+    assert write(3) == 3 and write(5) == 3
+    later = layers.committed_at(spark, str(tmp_path / "o")) / 1000 + 60
+    os.utime(tmp_path / "i/_SUCCESS", (later, later))
+    assert write(5) == 5
+    assert layers.committed_at(spark, str(tmp_path / "none")) == -1
+
+
+def test_side_table_compaction_skips_its_old_result(spark, tmp_path):
+    row = lambda i: (i, f"id{i}", None, None, None, None)
+    for name, ids in (("a", [3, 1]), ("b", [2])):
+        spark.createDataFrame([row(i) for i in ids], layers.schemas.ACL_IDS).coalesce(1).write.parquet(str(tmp_path / name))
+        source = next((tmp_path / name).glob("part-*.parquet"))
+        (tmp_path / "side").mkdir(exist_ok=True)
+        (tmp_path / "side" / f"{name}.parquet").write_bytes(source.read_bytes())
+    assert layers.compact(spark, "acl_ids", str(tmp_path / "side"), str(tmp_path / "x")) == 3
+    assert layers.compact(spark, "acl_ids", str(tmp_path / "side"), str(tmp_path / "y"), files=1, skip="b.parquet") == 2
+    assert [r.corpusid for r in spark.read.parquet(str(tmp_path / "y")).collect()] == [1, 3]
