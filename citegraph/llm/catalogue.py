@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, token_counts, toxicity
+from . import decontaminate, exact_dedup, mixing, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE}
