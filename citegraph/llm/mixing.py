@@ -78,6 +78,11 @@ def fitting(df: DataFrame, keys: list[str], order: list, size: str, room: Column
         "_fits", F.col("_before") + F.col(size) <= room)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(blocks: Column, left: Column, right: Column, u: Column) -> Column:
     """Of ``blocks`` blocks, how many of them fall into ``left`` of ``left + right`` places: inverse distribution at u.
 
@@ -85,23 +90,25 @@ def hypergeometric(blocks: Column, left: Column, right: Column, u: Column) -> Co
     sums of logarithms, shifted by their largest value. The array is as long as the quota, which
     BLOCKS bounds.
     """
-    low = F.greatest(F.lit(0), blocks - right)
-    high = F.least(blocks, left)
-    steps = F.sequence(low, high)
-    logs = F.aggregate(
-        steps, F.array(F.lit(0.0)),
-        lambda acc, x: F.when(x == high, acc).otherwise(F.concat(acc, F.array(
-            F.element_at(acc, -1)
-            + F.log((blocks - x) * (left - x) * F.lit(1.0)) - F.log((x + 1) * (right - blocks + x + 1) * F.lit(1.0))
-        ))),
-    )
-    parts = F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
-    total = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
-    picked = F.aggregate(
-        parts, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-        lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + F.when(a["sum"] + v < u * total, 1).otherwise(0)).alias("n")),
-    )
-    return F.least(low + picked["n"], high)
+    def log_weights(low: Column, high: Column) -> Column:
+        return F.aggregate(
+            F.sequence(low, high), F.array(F.lit(0.0)),
+            lambda acc, x: F.when(x == high, acc).otherwise(F.concat(acc, F.array(
+                F.element_at(acc, -1)
+                + F.log((blocks - x) * (left - x) * F.lit(1.0)) - F.log((x + 1) * (right - blocks + x + 1) * F.lit(1.0))
+            ))),
+        )
+
+    def position(parts: Column, bound: Column) -> Column:
+        return F.aggregate(
+            parts, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
+            lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + F.when(a["sum"] + v < bound, 1).otherwise(0)).alias("n")),
+        )["n"]
+
+    low, high = F.greatest(F.lit(0), blocks - right), F.least(blocks, left)
+    return let(log_weights(low, high), lambda logs: let(F.array_max(logs), lambda most: let(
+        F.transform(logs, lambda v: F.exp(v - most)), lambda parts: let(
+            F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) * u, lambda bound: F.least(low + position(parts, bound), high)))))
 
 
 def quotas(blocks: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
