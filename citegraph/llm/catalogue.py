@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, near_join, quality, token_counts, toxicity
+from . import brown, decontaminate, exact_dedup, mixing, near_join, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
     "op5_near_join": near_join.op5_near_join,
+    "op6_brown": brown.op6_brown,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,

@@ -27,6 +27,19 @@ def text_of(column: Column | str) -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """Rows (doc_id, text) for Python, and the type of the id.
+
+    The id travels as a string: a column of whole numbers with nulls would become floating point in pandas.
+    """
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_of(text_col).alias("text"))
+    return rows, docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+
+
+def unkeyed(df: DataFrame, kind: str, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast(kind))
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")) % parts
@@ -37,4 +50,4 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "fold", "materialise", "numbered", "table", "text_of"]
+__all__ = ["BLANKS", "WORD", "ascii_lower", "fold", "keyed", "materialise", "numbered", "table", "text_of", "unkeyed"]

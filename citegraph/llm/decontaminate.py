@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_of
+from .common import keyed, materialise, table, text_of, unkeyed
 
 WINDOW = 8
 SHORTEST = 3
@@ -102,8 +102,8 @@ def slots(tokens: list[str], kinds: np.ndarray, at: int, size: int) -> list[str]
 
 def item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """Rows (hash, item_id, at, size, n_tokens, slots) of all windows; an item shorter than WINDOW is one window."""
-    rows = items.select(F.col(item_col).alias("item_id"), text_of(text_col).alias("text"))
-    kind = rows.schema["item_id"].dataType.simpleString()
+    rows, kind = keyed(items, item_col, text_col)
+    rows = rows.withColumnRenamed("doc_id", "item_id")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -122,12 +122,11 @@ def item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
                         out.append((int(typed[at].view(np.int64)), item, at, size, len(tokens), slots(tokens, kinds, at, size)))
             yield pd.DataFrame(out, columns=["hash", "item_id", "at", "size", "n_tokens", "slots"])
 
-    return rows.mapInPandas(batches, f"hash long, item_id {kind}, at int, size int, n_tokens int, slots array<string>")
+    return unkeyed(rows.mapInPandas(batches, "hash long, item_id string, at int, size int, n_tokens int, slots array<string>"), kind, "item_id")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
     """Rows (doc_id, text_key, hash, doc_at, doc_slots) of windows whose hash is in ``wanted``, or of all windows if it is None."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +153,7 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
                             out += [(doc, key, int(hashes[i].view(np.int64)), int(i), [] if kinds is None else slots(tokens, kinds, i, size)) for i in at]
             yield pd.DataFrame(out, columns=["doc_id", "text_key", "hash", "doc_at", "doc_slots"])
 
-    return docs.mapInPandas(batches, f"doc_id {kind}, text_key long, hash long, doc_at int, doc_slots array<string>")
+    return docs.mapInPandas(batches, "doc_id string, text_key long, hash long, doc_at int, doc_slots array<string>")
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
@@ -164,8 +163,8 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
     few = index.select("hash").distinct()
     n = few.count()
     wanted = np.sort(np.array([r["hash"] for r in few.collect()], dtype=np.int64).view(np.uint64)) if n <= FILTER_WINDOWS else None
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = document_windows(texts, sizes, wanted).distinct().join(index, "hash")
+    texts, kind = keyed(docs, id_col, text_col)
+    found = unkeyed(document_windows(texts.withColumn("text_key", F.xxhash64("text")), sizes, wanted), kind).distinct().join(index, "hash")
     pairs = F.arrays_zip(F.col("slots").alias("b"), F.col("doc_slots").alias("d"))
     aligned = found.where(F.size("slots") == F.size("doc_slots")).groupBy("doc_id", "text_key", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"), F.collect_set("at").alias("at"),

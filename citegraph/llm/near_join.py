@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, materialise, table, text_of
+from .common import UPPER, keyed, materialise, table, text_of, unkeyed
 from .groups import components, merge_labels, whole_groups
 
 SHINGLE = 5
@@ -91,8 +91,8 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc_id, text_key, n, keys, marks): shingles, prefix hashes per tree and the signature bytes; keys empty without shingles."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows, kind = keyed(docs, id_col, text_col)
+    rows = rows.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     depth = depth_for()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 marks.append((low * _M >> np.uint64(56)).astype(np.uint8).tobytes())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "text_key": frame["text_key"], "n": sizes, "keys": keys, "marks": marks})
 
-    return rows.mapInPandas(batches, f"doc_id {kind}, text_key binary, n int, keys array<long>, marks binary")
+    return unkeyed(rows.mapInPandas(batches, "doc_id string, text_key binary, n int, keys array<long>, marks binary"), kind)
 
 
 def blocked(df: DataFrame, key: list[str], item: str, size: DataFrame, block: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, table, text_of
+from .common import fold, keyed, materialise, table, text_of, unkeyed
 
 FEATURES = 384
 WIDTH = 3.5
@@ -82,14 +82,13 @@ def statistics(text: str) -> list[float]:
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc_id, stats), one per input row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows, kind = keyed(docs, id_col, text_col)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "stats": [statistics(t) for t in frame["text"]]})
 
-    return rows.mapInPandas(batches, f"doc_id {kind}, stats array<double>")
+    return unkeyed(rows.mapInPandas(batches, "doc_id string, stats array<double>"), kind)
 
 
 class Model:
@@ -186,16 +185,16 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def apply_model(described: DataFrame, model: Model, *more: str) -> DataFrame:
-    """Rows (doc_id, score, *more) of described rows."""
-    kept = described.select("doc_id", *more, "stats")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "stats")
+def apply_model(described: DataFrame, model: Model) -> DataFrame:
+    """Rows (doc_id, score) of described rows."""
+    kind = described.schema["doc_id"].dataType.simpleString()
+    kept = described.select(F.col("doc_id").cast("string"), "stats")
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[["doc_id", *more]].assign(score=model.score(stacked(frame["stats"])))
+            yield frame[["doc_id"]].assign(score=model.score(stacked(frame["stats"])))
 
-    return kept.mapInPandas(scored, f"{schema}, score double")
+    return unkeyed(kept.mapInPandas(scored, "doc_id string, score double"), kind)
 
 
 def labelled_rows(described: DataFrame, labels: DataFrame, label_col: str, parts: int, held: int) -> DataFrame:

@@ -17,9 +17,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import keyed, table, unkeyed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -129,9 +128,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 "doc_id": frame["doc_id"], "n_tokens": pd.Series([counter.count(t) for t in frame["text"]], dtype="int64"),
             })
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(batches, f"doc_id {kind}, n_tokens long")
+    rows, kind = keyed(docs, id_col, text_col)
+    return unkeyed(rows.mapInPandas(batches, "doc_id string, n_tokens long"), kind)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

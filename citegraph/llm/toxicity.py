@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table, text_of
+from .common import fold, keyed, table, unkeyed
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 16_000_000
@@ -240,7 +240,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held:
 
     Ids and lengths are ordered, the chosen texts are then read; a text longer than what is left is passed over.
     """
-    marks = labels.select(F.col("doc_id").alias("l_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    marks = labels.select(F.col("doc_id").cast("string").alias("l_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     pool = docs.where(fold("doc_id", parts) != held).select("doc_id", F.length("text").alias("n")).join(marks, F.col("doc_id") == F.col("l_id"))
     chosen: dict = {}
     for label in (1, 0):
@@ -251,8 +251,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held:
                 chosen[r["doc_id"]] = label
     if not chosen:
         return []
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"w_id {kind}")
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "w_id string")
     found = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("w_id"), "left_semi").collect()
     texts = {r["doc_id"]: r["text"] for r in sorted(found, key=lambda r: r["text"])}
     return [(texts[i], chosen[i]) for i in sorted(texts)]
@@ -269,11 +268,10 @@ def score_toxicity(
     scores as one whose largest marginal is 0. Without labels of both classes no token is
     toxic. Labels outside the learning folds are never read; repeated rows score alike.
     """
-    rows_in = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows_in, kind = keyed(docs, id_col, text_col)
     learned = sample(rows_in, labels, label_col, parts, held, rows, chars)
     field = fit([t for t, _ in learned], np.array([y for _, y in learned], dtype=bool))
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    kind = rows_in.schema["doc_id"].dataType.simpleString()
 
     def spans(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
         if not len(p) or p.max() < SPAN:
@@ -301,8 +299,8 @@ def score_toxicity(
                     "spans": [spans(t, p) for t, p in zip(texts, tagged, strict=True)],
                 })
 
-    schema = f"doc_id {kind}, score double, n_toxic double, spans array<struct<start:int,end:int,probability:double>>"
-    return rows_in.mapInPandas(batches, schema).select(
+    schema = "doc_id string, score double, n_toxic double, spans array<struct<start:int,end:int,probability:double>>"
+    return unkeyed(rows_in.mapInPandas(batches, schema), kind).select(
         "doc_id", (fold("doc_id", parts) == held).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), F.round("n_toxic", 6).alias("n_toxic"), "spans",
     )
