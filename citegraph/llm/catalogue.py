@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, exact_dedup, mixing, near_join, quality, token_counts, toxicity
+from . import brown, decontaminate, exact_dedup, html_text, mixing, near_join, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
+    "op4_html_text": html_text.op4_html_text,
     "op5_near_join": near_join.op5_near_join,
     "op6_brown": brown.op6_brown,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
