@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, exact_dedup, html_text, mixing, near_join, quality, token_counts, toxicity
+from . import brown, decontaminate, exact_dedup, html_text, mixing, near_join, quality, repeats, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_text": html_text.op4_html_text,
     "op5_near_join": near_join.op5_near_join,
     "op6_brown": brown.op6_brown,
+    "op7_repeats": repeats.op7_repeats,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
