@@ -17,10 +17,3 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE}
-
-STAGES: list = []
-ORACLE_SQL = None
-
-
-def run(spark, sf_dir):
-    raise NotImplementedError

@@ -45,9 +45,15 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with a number behind it if ``df`` has such a column."""
+    taken = {n.lower() for n in df.columns}
+    return next(n for n in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """Stored copy of ``df`` with a row number that is the same for every later reader."""
     return materialise(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "fold", "keyed", "materialise", "numbered", "table", "text_of", "unkeyed"]
+__all__ = ["BLANKS", "WORD", "ascii_lower", "fold", "keyed", "materialise", "numbered", "table", "text_of", "unkeyed", "unused"]

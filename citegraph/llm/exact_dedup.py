@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, numbered, text_of
+from .common import ascii_lower, materialise, numbered, table, text_of, unused
 
 # Share of all rows from which a digest counts as frequent; 1 / SUPPORT bounds the broadcast rows.
 SUPPORT = 0.002
@@ -66,8 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    taken = {name.lower() for name in docs.columns}
-    row = next(name for name in ("_row", *(f"_row{i}" for i in range(len(taken) + 1))) if name not in taken)
+    row = unused(docs, "_row")
     stored = numbered(docs, row)
     digests = materialise(stored.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"), F.col(row).alias("_row")))
     losers = decide(digests, support).where(~F.col("kept")).select(F.col("_row").alias("_loser"))
@@ -75,7 +74,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, numbered, table, text_of
+from .common import WORD, materialise, numbered, table, text_of, unused
 
 # Fixed values of the contract: weights by rank of the source, repeated, and the highest number of passes.
 WEIGHTS = (5, 2, 1)
@@ -148,9 +148,9 @@ def quotas(blocks: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFra
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, levels: int = LEVELS, seed: int = SEED,
+    weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, levels: int = LEVELS, seed: int = SEED, row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken, shard, place.
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken, shard, place; _row if ``row_col`` numbers the rows.
 
     ``size`` counts words, a null text has none; a null source is a source of its own, ordered
     last. ``taken`` is copies times size; a source's sum misses its target by less than the one
@@ -159,8 +159,9 @@ def mix(
     ``place`` say where a taken document goes: shard number, and a key that shuffles the shard;
     null where no copy is taken. An empty table gives no rows.
     """
-    sized = numbered(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"),
+    row = [F.col(row_col).alias("_row")] if row_col else []
+    sized = (materialise if row_col else numbered)(docs.select(
+        *row, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"),
     ).withColumn("block", part(BLOCKS, seed, "block", F.col("doc_id"))).withColumn("cell", part(BLOCKS, seed, "cell", F.col("doc_id"))))
     cells = materialise(sized.groupBy("source", "block", "cell").agg(F.sum("size").alias("cell_size")))
     per_source = materialise(targets(weighted(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights), cap))
@@ -220,9 +221,22 @@ def mix(
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken"),
         F.when(copies > 0, F.coalesce(F.col("shard"), F.lit(0))).alias("shard"),
-        F.when(copies > 0, F.xxhash64(F.lit(seed), F.lit("place"), F.col("doc_id"))).alias("place"),
+        F.when(copies > 0, F.xxhash64(F.lit(seed), F.lit("place"), F.col("doc_id"))).alias("place"), *(["_row"] if row_col else []),
     )
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rules) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with their own columns and copies, shard and place.
+
+    An output writer repeats a row ``copies`` times, sends it to its shard and orders the shard by place.
+    """
+    row = unused(docs, "_row")
+    stored = numbered(docs, row)
+    taken = mix(stored, id_col, text_col, source_col, row_col=row, **rules).where("copies > 0")
+    added = {name: unused(docs, name) for name in ("copies", "shard", "place")}
+    taken = taken.select(F.col("_row").alias("_taken"), *[F.col(n).alias(a) for n, a in added.items()])
+    return stored.join(taken, stored[row] == F.col("_taken")).select(*docs.columns, *added.values())
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source_size", "target", "taken", "size", "copies", "shard")
