@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--source", "--dest", "--checkpoint"):
         ingest.add_argument(name, required=True)
     ingest.add_argument("--max-files", type=int)
+    ingest.add_argument("--bad-lines", help="folder for malformed lines; without it the first one stops the load")
     compact = commands.add_parser("compact", help="rewrite a layer sorted by its key")
     compact.add_argument("kind", choices=["abstracts", "acl_ids", "citers", "papers"])
     compact.add_argument("--source", required=True)
@@ -50,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     cut.add_argument("--acl-ids")
     cut.add_argument("--out", required=True)
     cut.add_argument("--force", action="store_true")
+    cut.add_argument("--detector", choices=["langdetect", "word-share"], help="language rule of an English-only cut")
     cut.add_argument("--seed-infl-thresholds", help="JSON file {year: [floor, cap]}")
     _cut_arguments(cut)
     return root
@@ -57,12 +59,13 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, args: argparse.Namespace):
     from .operators import corpus
+    from .operators.models import DETECTORS, language_rule
     from .plans import cut
     from .sources import layers
     from .streaming.ingest import ingest
 
     if args.command == "ingest":
-        return ingest(spark, args.kind, args.source, args.dest, args.checkpoint, args.max_files)
+        return ingest(spark, args.kind, args.source, args.dest, args.checkpoint, args.max_files, args.bad_lines)
     if args.command == "compact":
         return layers.compact(spark, args.kind, args.source, args.dest, args.files)
     if args.command == "build-corpus":
@@ -85,7 +88,8 @@ def run(spark: SparkSession, args: argparse.Namespace):
         params = cut.resolved(params, table)
     seeds, citers = (spark.read.parquet(f"{args.corpus_root}/{name}") for name in ("seeds", "citers"))
     edges = cut.read_edges(spark, args.corpus_root)
-    return cut.make_benchmark(edges, seeds, citers, args.out, params, mode="overwrite" if args.force else "errorifexists")
+    rule = language_rule(DETECTORS[args.detector]) if args.detector else None
+    return cut.make_benchmark(edges, seeds, citers, args.out, params, rule, mode="overwrite" if args.force else "errorifexists")
 
 
 def main(argv: list[str] | None = None) -> None:

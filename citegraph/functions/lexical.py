@@ -1,75 +1,10 @@
-"""Small per-row text scores used inside Arrow functions: sentence BLEU and ROUGE-L."""
+"""ROUGE-L of two texts, used inside Arrow functions."""
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Callable
 
-# The published 13a tokenisation rules, applied in this order.
-_RULES_13A = (
-    (re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "),
-    (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "),
-    (re.compile(r"([\.,])([^0-9])"), r" \1 \2"),
-    (re.compile(r"([0-9])(-)"), r"\1 \2 "),
-)
-_ENTITIES_13A = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
-
-
-def tokens_13a(text: str) -> list[str]:
-    for old, new in _ENTITIES_13A:
-        text = text.replace(old, new)
-    text = f" {text} "
-    for pattern, replacement in _RULES_13A:
-        text = pattern.sub(replacement, text)
-    return text.split()
-
-
-def ngrams(tokens: list[str], n: int) -> Counter:
-    return Counter(zip(*[tokens[i:] for i in range(n)]))
-
-
-def profile(text: str) -> tuple[int, list[Counter]]:
-    """Token count and 1- to 4-gram counts of a text."""
-    tokens = tokens_13a(text.rstrip())
-    return len(tokens), [ngrams(tokens, n) for n in range(1, 5)]
-
-
-def sentence_bleu(hypothesis: tuple, references: list[tuple]) -> float:
-    """BLEU of one profile against several, 0-100, exponential smoothing, effective order."""
-    length, grams = hypothesis
-    closest = min((abs(r[0] - length), r[0]) for r in references)[1]
-    matched, logs, smooth = 0, [], 1.0
-    for n in range(4):
-        total = length - n
-        if total <= 0:
-            break
-        allowed: Counter = Counter()
-        for _, other in references:
-            allowed |= other[n]
-        hits = sum((grams[n] & allowed).values())
-        matched += hits
-        if hits:
-            logs.append(math.log(100.0 * hits / total))
-        else:
-            smooth *= 2
-            logs.append(math.log(100.0 / (smooth * total)))
-    if not matched:
-        return 0.0
-    brevity = 1.0 if length >= closest else math.exp(1 - closest / length)
-    return brevity * math.exp(sum(logs) / len(logs))
-
-
-def self_bleu(texts: list[str], max_items: int = 50) -> float:
-    """Mean BLEU of each text against the others; NaN below two non-blank texts."""
-    profiles = [profile(t) for t in texts if t.strip()][:max_items]
-    if len(profiles) < 2:
-        return math.nan
-    scores = [sentence_bleu(p, profiles[:i] + profiles[i + 1:]) for i, p in enumerate(profiles)]
-    return sum(scores) / len(scores)
-
-
 def rouge_tokens(text: str, stem: Callable[[str], str] | None = None) -> list[str]:
     words = re.findall(r"[a-z0-9]+", text.lower())
     return [stem(w) if stem and len(w) > 3 else w for w in words]

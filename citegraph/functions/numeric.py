@@ -34,3 +34,8 @@ def match_count(probs: Column, threshold: float) -> Column:
 
 def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
+
+
+def reaches(value: Column, bound: float) -> Column:
+    """Whether a value reaches the bound; NULL and NaN do not."""
+    return F.coalesce((value >= bound) & ~F.isnan(value), F.lit(False))

@@ -79,13 +79,15 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = (), at_least:
     return result.select(*group, "rho", correlation_p("rho", "n").alias("p"), "n")
 
 
-def decile_of(df: DataFrame, value: str, n_bins: int = 10) -> DataFrame:
+def decile_of(df: DataFrame, value: str, n_bins: int = 10, unit: Sequence[str] = ()) -> DataFrame:
     """Bin by percentile edges (not equal counts), as ``decile`` 0..n-1.
 
-    The edges are a single row, attached as a scalar subquery.
+    The edges are a single row, attached as a scalar subquery. With ``unit`` they are those of
+    one row per unit, however often ``df`` repeats a unit; a unit has one value.
     """
     probs = {f"e{i}": i / n_bins for i in range(n_bins + 1)}
-    edges = quantiles(df, value, probs).select(F.array(*probs).alias("edges")).scalar()
+    once = df.groupBy(*unit).agg(F.max(value).alias(value)) if unit else df
+    edges = quantiles(once, value, probs).select(F.array(*probs).alias("edges")).scalar()
     reached = sum((F.col("edges")[i] <= F.col(value).cast("double")).cast("int") for i in range(n_bins + 1))
     return (
         df.withColumn("edges", edges)

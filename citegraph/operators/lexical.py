@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
@@ -14,6 +14,14 @@ from ..functions import lexical as L
 from ..functions.stemming import porter
 from ..functions.text import strip, tokens, word_count
 
+BLOCK_TEXTS = 64
+
+# The published 13a tokenisation rules, applied in this order (Java syntax).
+ENTITIES_13A = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+RULES_13A = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "),
+)
+
 
 def distinct_n(texts: DataFrame, group: Sequence[str], n: int = 2, text: str = "text") -> DataFrame:
     """Unique n-grams over all n-grams of a group; NaN when it has none.
@@ -36,41 +44,86 @@ def mean_length(texts: DataFrame, group: Sequence[str], text: str = "text") -> D
     return texts.groupBy(*group).agg(F.avg(word_count(F.col(text))).alias("mean_len"))
 
 
-def first_items(texts: DataFrame, group: Sequence[str], order: str, limit: int, text: str = "text") -> DataFrame:
-    """The first ``limit`` non-blank texts of each group, as one array ``items``.
-
-    This is the sets' definition for the quadratic scores below. The rank limit is applied
-    in each map task before the shuffle, so a group of any size arrives already cut.
-    """
-    w = Window.partitionBy(*group).orderBy(order)
-    kept = (
-        texts.where(strip(F.col(text)) != "").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
-    )
-    return kept.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rn", text))).alias("ranked")).select(
-        *group, F.transform("ranked", lambda r: r[text]).alias("items")
-    )
-
+def _words_13a(text: Column) -> Column:
+    """Tokens by the published 13a rules."""
+    for old, new in ENTITIES_13A:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, replacement in RULES_13A:
+        text = F.regexp_replace(text, pattern, replacement)
+    return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
 
-@arrow_udf(DoubleType())
-def _self_bleu(items: pa.Array) -> pa.Array:
-    return pa.array([L.self_bleu(texts, len(texts)) for texts in items.to_pylist()], pa.float64())
 
+def _matched_grams(words: DataFrame, group: list[str]) -> DataFrame:
+    """(group, id, h1..h4): a text's n-grams also found in one of the others, each as often as in one of them at most.
 
-def self_bleu(
-    texts: DataFrame, group: Sequence[str], order: str, max_items: int = 50, text: str = "text"
-) -> DataFrame:
-    """Mean BLEU of each of the first ``max_items`` texts against the others."""
-    return first_items(texts, group, order, max_items, text).select(*group, _self_bleu("items").alias("self_bleu"))
+    Per n-gram the largest count with a holder and the largest count of all other texts are
+    enough: the holder is clipped by the second, everyone else by the first.
+    """
+    starts = lambda n: F.when(F.size("words") >= n, F.transform(
+        F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.slice("words", i, n))).otherwise(F.array().cast("array<array<string>>"))
+    grams = words.select(*group, "id", F.explode(F.concat(*[starts(n) for n in range(1, 5)])).alias("gram"))
+    counts = grams.groupBy(*group, "gram", "id").agg(F.count(F.lit(1)).alias("c"))
+    first = counts.groupBy(*group, "gram").agg(F.max(F.struct("c", "id")).alias("top"))
+    held = counts.join(first, [*group, "gram"])
+    others = held.where(F.col("id") != F.col("top.id")).groupBy(*group, "gram").agg(F.max("c").alias("second"))
+    met = held.join(others, [*group, "gram"])
+    allowed = F.when(F.col("id") == F.col("top.id"), F.col("second")).otherwise(F.col("top.c"))
+    return met.groupBy(*group, "id").agg(*[
+        F.sum(F.when(F.size("gram") == n, F.least("c", allowed)).otherwise(0)).alias(f"h{n}") for n in range(1, 5)])
+
+
+def self_bleu(texts: DataFrame, group: Sequence[str], order: str, text: str = "text") -> DataFrame:
+    """Mean BLEU (0-100, exponential smoothing, effective order) of each text against all others of its set.
+
+    Blank texts are left out; a set of fewer than two texts has NaN. The work is linear in the
+    n-grams. The reference length is the closest among the other texts, the shorter of two.
+    """
+    group = list(group)
+    words = texts.where(strip(F.col(text)) != "").select(
+        *group, F.col(order).alias("id"), _words_13a(F.regexp_replace(F.col(text), r"(?U)\s+$", "")).alias("words")
+    ).withColumn("len", F.size("words"))
+    # Sets have far fewer lengths than texts.
+    lengths = words.groupBy(*group, "len").agg(F.count(F.lit(1)).alias("same"))
+    near = Window.partitionBy(*group).orderBy("len")
+    lengths = lengths.withColumn("shorter", F.lag("len").over(near)).withColumn("longer", F.lead("len").over(near))
+    closest = F.when(F.col("same") > 1, F.col("len")).when(F.col("shorter").isNull(), F.col("longer")).when(
+        F.col("longer").isNull() | (F.col("len") - F.col("shorter") <= F.col("longer") - F.col("len")), F.col("shorter")).otherwise(F.col("longer"))
+    lengths = lengths.select(*group, "len", closest.alias("closest"))
+    rows = words.select(*group, "id", "len").join(lengths, [*group, "len"]).join(_matched_grams(words, group), [*group, "id"], "left")
+    zeros, logs, orders, matched = F.lit(0), F.lit(0.0), F.lit(0), F.lit(0)
+    for n in range(1, 5):
+        total = F.col("len") - (n - 1)
+        hits = F.coalesce(F.col(f"h{n}"), F.lit(0))
+        used = total > 0
+        zeros = zeros + (used & (hits == 0)).cast("int")
+        share = F.when(hits > 0, F.log(100.0 * hits / total)).otherwise(F.log(100.0 / (F.pow(F.lit(2.0), zeros) * total)))
+        logs, orders, matched = logs + F.when(used, share).otherwise(0.0), orders + used.cast("int"), matched + hits
+    brevity = F.when(F.col("len") >= F.col("closest"), 1.0).otherwise(F.exp(1 - F.col("closest") / F.col("len")))
+    bleu = F.when(matched > 0, brevity * F.exp(logs / orders)).otherwise(0.0)
+    scored = rows.groupBy(*group).agg(F.avg(bleu).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return scored.select(*group, F.when(F.col("n") >= 2, F.col("mean")).otherwise(F.lit(float("nan"))).alias("self_bleu"))
+
+
+def _blocks(texts: DataFrame, group: list[str], order: str, text: str) -> DataFrame:
+    """(group, items): all non-blank texts of a group in arrays of about BLOCK_TEXTS."""
+    kept = texts.where(strip(F.col(text)) != "")
+    sizes = kept.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).alias("blocks"))
+    dealt = kept.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(order), F.col("blocks")))
+    return dealt.groupBy(*group, "block").agg(F.collect_list(text).alias("items")).drop("block")
 
 
 def rouge_l_max(
-    predictions: DataFrame, references: DataFrame, group: Sequence[str], order: str, max_items: int,
-    text: str = "text", stem: Callable[[str], str] | None = porter,
+    predictions: DataFrame, references: DataFrame, group: Sequence[str], order: str, text: str = "text",
+    stem: Callable[[str], str] | None = porter,
 ) -> DataFrame:
-    """Mean over references of the best ROUGE-L F1 against the first ``max_items`` predictions.
+    """Mean over references of the best ROUGE-L F1 against all predictions of the group.
 
-    References stay rows, so they spread over tasks; each meets its group's bounded array.
+    Every reference meets every block of its group's predictions in a row of its own; the best
+    of the blocks counts. Equal references of a group are scored once and weighted.
     """
+    group = list(group)
+
     @arrow_udf(DoubleType())
     def best(refs: pa.Array, items: pa.Array) -> pa.Array:
         known: dict[str, list[str]] = {}
@@ -80,15 +133,12 @@ def rouge_l_max(
                 known[t] = L.rouge_tokens(t, stem)
             return known[t]
 
-        scores = []
-        for ref, texts in zip(refs.to_pylist(), items.to_pylist()):
-            target = L.rouge_tokens(ref, stem)
-            scores.append(max(L.rouge_l_f1(target, words(t)) for t in texts))
-        return pa.array(scores, pa.float64())
+        return pa.array([
+            max(L.rouge_l_f1(words(ref), words(t)) for t in texts) for ref, texts in zip(refs.to_pylist(), items.to_pylist())
+        ], pa.float64())
 
-    joined = references.select(*group, F.col(text).alias("reference")).join(
-        first_items(predictions, group, order, max_items, text), list(group)
-    )
-    return joined.select(*group, best("reference", "items").alias("best")).groupBy(*group).agg(
-        F.avg("best").alias("rouge_l")
-    )
+    distinct = references.groupBy(*group, F.col(text).alias("reference")).agg(F.count(F.lit(1)).alias("times"))
+    met = distinct.join(_blocks(predictions, group, order, text), group)
+    scored = met.select(*group, "reference", "times", best("reference", "items").alias("best"))
+    tops = scored.groupBy(*group, "reference", "times").agg(F.max("best").alias("best"))
+    return tops.groupBy(*group).agg((F.sum(F.col("best") * F.col("times")) / F.sum("times")).alias("rouge_l"))

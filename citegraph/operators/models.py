@@ -1,14 +1,11 @@
 """Model operators: back ends plug in as small objects, Spark moves the data.
 
 A back end is created once per task by a zero-argument factory, sees Arrow batches of
-rows and never the whole table. The stand-ins at the end are deterministic and exist for
-tests and dry runs.
+rows and never the whole table.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -21,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from ..functions.hashing import text_key
-from ..functions.text import citer_prompt, extract, label_prompt, model_input, parse_labels, split_sentences, strip_reasoning
+from ..functions.text import citer_prompt, extract, instructions, label_prompt, parse_labels, split_sentences, strip_reasoning
 from ..params import CONDITIONS, MAX_SENTENCES, N_GENERATIONS, sampling_for
 
 
@@ -37,7 +34,7 @@ class Reranker(Protocol):
 
 class Generator(Protocol):
     def sample(self, prompts: Sequence[str], n_calls: Sequence[int], settings: dict) -> list[list[str]]:
-        """Raw replies, ``n_calls[i]`` of them for prompt i."""
+        """Raw replies, ``n_calls[i]`` of them for prompt i; ``settings["system"]`` says what to write."""
 
 
 class Labeller(Protocol):
@@ -61,16 +58,7 @@ def language_rule(detect: Callable[[str], str], language: str = "en") -> Callabl
     return lambda citers: verdict(citers["abstract"])
 
 
-def default_detector() -> Callable[[str], str]:
-    """The ``langdetect`` package with a fixed seed where it is installed, else a word-share rule."""
-    try:
-        from langdetect import DetectorFactory, detect
-    except ImportError:
-        return word_share_language
-    DetectorFactory.seed = 0
-    return detect
-
-
+# Common English words of the word-share rule.
 ENGLISH_WORDS = frozenset("a an and are as at by for from in is it of on or that the this to we with".split())
 
 
@@ -80,6 +68,18 @@ def word_share_language(text: str) -> str:
     return "en" if words and sum(w in ENGLISH_WORDS for w in words) * 8 >= len(words) else "other"
 
 
+def langdetect_language(text: str) -> str:
+    """The ``langdetect`` package with a fixed seed; workers without it fail instead of deciding otherwise."""
+    from langdetect import DetectorFactory, detect
+
+    DetectorFactory.seed = 0
+    return detect(text)
+
+
+# Which citers a cut keeps depends on the detector, so a caller names one.
+DETECTORS: dict[str, Callable[[str], str]] = {"langdetect": langdetect_language, "word-share": word_share_language}
+
+
 # ---- embedding
 
 def embed(texts: DataFrame, factory: Callable[[], Encoder], key: str = "text_key", text: str = "text") -> DataFrame:
@@ -133,16 +133,15 @@ def _read_cache(spark, path: str, encoder: str) -> DataFrame | None:
 # ---- reranking
 
 def rerank(targets: DataFrame, generations: DataFrame, factory: Callable[[], Reranker]) -> DataFrame:
-    """(seed_id, citer_id, n_gen, probs) of each target against its seed's generations.
+    """(seed_id, citer_id, n_gen, probs) of each target against all its seed's generations.
 
     ``targets`` has (seed_id, citer_id, text); ``generations`` one row per seed with the
-    array ``predictions``, of which the first 51 count. Targets stay rows, so a seed with
-    many targets spreads over tasks. Seeds without generations have no output.
+    array ``predictions``. Texts are passed whole; a back end with a window of its own scores
+    the windows. Targets stay rows, so a seed with many targets spreads over tasks. Seeds
+    without generations have no output.
     """
-    documents = generations.select(
-        "seed_id", F.transform(F.slice("predictions", 1, N_GENERATIONS), model_input).alias("documents")
-    ).where(F.size("documents") > 0)
-    joined = targets.select("seed_id", "citer_id", model_input(F.col("text")).alias("query")).join(documents, "seed_id")
+    documents = generations.select("seed_id", F.col("predictions").alias("documents")).where(F.size("documents") > 0)
+    joined = targets.select("seed_id", "citer_id", F.col("text").alias("query")).join(documents, "seed_id")
     kinds = dict(joined.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,167 +164,87 @@ def rerank(targets: DataFrame, generations: DataFrame, factory: Callable[[], Rer
 
 # ---- generation
 
-def sample_replies(
-    seeds: DataFrame, factory: Callable[[], Generator], condition: str, n: int = N_GENERATIONS, max_rounds: int = 4,
-) -> DataFrame:
-    """One round after another of raw replies until every seed has ``n`` usable texts.
+def ask(prompts: DataFrame, factory: Callable[[], Generator], condition: str) -> DataFrame:
+    """(seed_id, raw): ``n_calls`` raw replies to each row's ``prompt``.
 
-    A seed short of ``n`` (unfinished reasoning, broken JSON) is asked again for the calls
-    that fill its gap, at most ``max_rounds`` times. The rounds run inside the task on its
-    own batch of seeds; nothing returns to the driver.
+    The condition's instructions travel with its settings, since they are the same for all seeds.
     """
-    from ..functions.text import listed_abstracts
-
-    plan = CONDITIONS[condition]
-    settings = sampling_for(plan)
-
-    def usable(reply: str) -> int:
-        answer = answer_of(reply)
-        return bool(answer.strip()) if plan.kind == "independent" else len(listed_abstracts(answer))
+    settings = sampling_for(CONDITIONS[condition]) | {"system": instructions(CONDITIONS[condition])}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator = factory()
         for frame in frames:
-            prompts = frame["prompt"].tolist()
-            raws: list[list[str]] = [[] for _ in prompts]
-            have = [0] * len(prompts)
-            for _ in range(max_rounds):
-                short = [i for i, count in enumerate(have) if count < n]
-                if not short:
-                    break
-                calls = [math.ceil((n - have[i]) / plan.per_call) for i in short]
-                for i, replies in zip(short, generator.sample([prompts[i] for i in short], calls, settings)):
-                    raws[i] += replies
-                    have[i] += sum(usable(r) for r in replies)
+            raws = generator.sample(frame["prompt"].tolist(), frame["n_calls"].tolist(), settings)
             yield pd.DataFrame({"seed_id": frame["seed_id"], "raw": raws})
 
+    return prompts.select("seed_id", "prompt", "n_calls").mapInPandas(run, "seed_id string, raw array<string>")
+
+
+def reply_texts(replies: DataFrame, condition: str) -> DataFrame:
+    """(seed_id, call, texts): usable texts of every reply, by the one rule that counts and keeps them."""
+    order = [c for c in ("round",) if c in replies.columns]
+    calls = replies.select("seed_id", *order, F.posexplode_outer("raw").alias("call", "reply"))
+    return calls.select(
+        "seed_id", F.struct(*order, "call").alias("call"),
+        extract(F.coalesce("reply", F.lit("")), CONDITIONS[condition].kind).alias("texts"),
+    )
+
+
+def still_short(seeds: DataFrame, replies: DataFrame | None, condition: str, n: int) -> DataFrame:
+    """(seed_id, prompt, n_calls) of seeds with fewer than ``n`` usable texts, and the calls that fill the gap."""
     prompts = seeds.select(
         F.col("seed_id").cast("string").alias("seed_id"),
         citer_prompt(F.col("seed_title"), F.col("seed_year"), F.col("seed_abstract")).alias("prompt"),
     )
-    return prompts.mapInPandas(run, "seed_id string, raw array<string>")
-
-
-def answer_of(reply: str) -> str:
-    """Counting aid for the rounds above: what is left of a reply without its reasoning."""
-    if "assistantfinal" in reply:
-        return reply.partition("assistantfinal")[2]
-    if "<|channel>thought" in reply:
-        return reply.rpartition("<channel|>")[2] if "<channel|>" in reply else ""
-    if reply.lstrip().startswith("analysis"):
-        return ""
-    rest = re.sub(r"(?s)<think>.*?</think>", "", reply)
-    return "" if "<think>" in rest else rest
+    have = F.lit(0)
+    if replies is not None:
+        counts = reply_texts(replies, condition).groupBy("seed_id").agg(F.sum(F.size("texts")).alias("have"))
+        prompts, have = prompts.join(counts, "seed_id", "left"), F.coalesce("have", F.lit(0))
+    gap = F.ceil((F.lit(n) - have) / F.lit(CONDITIONS[condition].per_call)).cast("int")
+    return prompts.withColumn("n_calls", gap).where(F.col("n_calls") > 0).select("seed_id", "prompt", "n_calls")
 
 
 def predictions(replies: DataFrame, condition: str, n: int = N_GENERATIONS) -> DataFrame:
-    """Generation records from raw replies: cleaned texts cut to ``n``, and the shortfall."""
+    """Generation records from raw replies: all cleaned texts in order, and what is missing of ``n``."""
     plan = CONDITIONS[condition]
-    # One reply per row: cleaning is an expression on a plain column, also for the list parser.
-    pieces = replies.select("seed_id", F.posexplode_outer("raw").alias("call", "reply")).select(
-        "seed_id", "call", extract(F.coalesce("reply", F.lit("")), plan.kind).alias("texts")
-    )
-    # A seed has at most max_rounds * n replies.
-    gathered = pieces.groupBy("seed_id").agg(F.array_sort(F.collect_list(F.struct("call", "texts"))).alias("calls"))
+    # A seed has at most as many replies as the rounds asked for.
+    gathered = reply_texts(replies, condition).groupBy("seed_id").agg(F.array_sort(F.collect_list(F.struct("call", "texts"))).alias("calls"))
     texts = F.flatten(F.transform("calls", lambda c: c["texts"]))
     return gathered.select(
         "seed_id", F.lit(condition).alias("condition"), F.lit(sampling_for(plan)["model"]).alias("model"),
-        F.slice(texts, 1, n).alias("predictions"), F.greatest(F.lit(n) - F.size(texts), F.lit(0)).alias("short_by"),
+        texts.alias("predictions"), F.greatest(F.lit(n) - F.size(texts), F.lit(0)).alias("short_by"),
     )
 
 
 # ---- labelling
 
 def label_texts(
-    items: DataFrame, factory: Callable[[], Labeller], key: list[str], splitter=split_sentences,
+    items: DataFrame, factory: Callable[[], Labeller], key: list[str], splitter=split_sentences, per_prompt: int = MAX_SENTENCES,
 ) -> DataFrame:
     """(key, labels), one label or NULL per sentence of ``text``.
 
-    Texts without a sentence or with more than ``MAX_SENTENCES`` get NULL throughout and
-    never reach the labeller.
+    The sentences are asked about in windows of ``per_prompt``, each numbered from 0, and the
+    windows' labels joined again in order. A text without a sentence has no labels.
     """
     kinds = dict(items.dtypes)
     title = F.col("title") if "title" in items.columns else F.lit(None).cast("string")
-    split = items.select(*key, title.alias("title"), splitter(F.col("text")).alias("sentences")).select(
-        *key, F.size("sentences").alias("n"), label_prompt(F.col("title"), F.col("sentences")).alias("prompt")
-    )
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", n int, reply string"
+    split = items.select(*key, title.alias("title"), splitter(F.col("text")).alias("sentences"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("sentences"), F.lit(1)), F.lit(per_prompt))
+    windows = split.select(*key, "title", "sentences", F.posexplode(starts).alias("window", "start")).select(
+        *key, "window", "title", F.slice("sentences", F.col("start"), F.lit(per_prompt)).alias("part"),
+    ).select(*key, "window", F.size("part").alias("n"), label_prompt(F.col("title"), F.col("part")).alias("prompt"))
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", window int, n int, reply string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = factory()
         for frame in frames:
-            asked = frame["n"].between(1, MAX_SENTENCES)
+            asked = frame["n"] > 0
             replies = pd.Series("", index=frame.index, dtype=object)
             if asked.any():
                 replies[asked] = list(labeller.reply(frame.loc[asked, "prompt"].tolist()))
-            yield frame[[*key, "n"]].assign(reply=replies)
-
-    answered = split.mapInPandas(run, schema)
-    return answered.select(*key, parse_labels(strip_reasoning(F.col("reply")), F.col("n")).alias("labels"))
-
-
-def unfinished(units: DataFrame, done: DataFrame | None, key: list[str]) -> DataFrame:
-    """Units that no earlier run has finished, whatever its sharding was."""
-    return units if done is None else units.join(done.select(*key).distinct(), key, "left_anti")
-
-
-def probe(factory: Callable[[], Generator], prompts: DataFrame, condition: str) -> DataFrame:
-    """One short round on a few prompts, to see that a back end answers usably."""
-    return predictions(sample_replies(prompts, factory, condition, n=1, max_rounds=1), condition, n=1)
-
-
-# ---- deterministic stand-ins
-
-class HashedBag:
-    """Bag-of-words encoder: hashed word counts, unit length."""
-
-    def __init__(self, width: int = 64):
-        self.width = width
-
-    def encode(self, texts: Sequence[str]) -> np.ndarray:
-        rows = np.zeros((len(texts), self.width), dtype=np.float32)
-        for row, text in zip(rows, texts):
-            for word in text.lower().split():
-                digest = hashlib.blake2b(word.encode(), digest_size=4).digest()
-                row[int.from_bytes(digest, "big") % self.width] += 1
-        lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-        return rows / np.where(lengths > 0, lengths, 1)
-
-
-class WordOverlap:
-    """Reranker: logistic of the word-set overlap."""
-
-    def score(self, queries: Sequence[str], documents: Sequence[str]) -> list[float]:
-        scores = []
-        for query, document in zip(queries, documents):
-            a, b = set(query.lower().split()), set(document.lower().split())
-            shared = len(a & b) / max(len(a | b), 1)
-            scores.append(1 / (1 + math.exp(-12 * (shared - 0.3))))
-        return scores
-
-
-class PromptEcho:
-    """Generator: each reply is the prompt's abstract with a running number."""
-
-    def sample(self, prompts: Sequence[str], n_calls: Sequence[int], settings: dict) -> list[list[str]]:
-        bodies = [prompt.partition("Abstract: ")[2] for prompt in prompts]
-        return [[f"Variant {i}. {body}" for i in range(n)] for body, n in zip(bodies, n_calls)]
-
-
-class KeywordRoles:
-    """Labeller: a few cue words per role, BACKGROUND otherwise."""
-
-    # Cue words in order of precedence.
-    CUES = (("RESULT", ("outperform", "results show", "achiev")), ("OTHER", ("available at", "github")),
-            ("OBJECTIVE", ("we propose", "this paper")), ("METHOD", ("using", "train")))
-
-    def reply(self, prompts: Sequence[str]) -> list[str]:
-        return ["\n".join(self._lines(p)) for p in prompts]
+            yield frame[[*key, "window", "n"]].assign(reply=replies)
 
-    def _lines(self, prompt: str) -> Iterator[str]:
-        for line in prompt.split("\n"):
-            number, mark, sentence = line.partition(": ")
-            if mark and number.isdigit():
-                lowered = sentence.lower()
-                role = next((r for r, cues in self.CUES if any(c in lowered for c in cues)), "BACKGROUND")
-                yield f"{number}: {role}"
+    answered = windows.mapInPandas(run, schema)
+    labelled = answered.select(*key, "window", parse_labels(strip_reasoning(F.col("reply")), F.col("n")).alias("labels"))
+    return labelled.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("window", "labels"))).alias("parts")).select(
+        *key, F.flatten(F.transform("parts", lambda p: p["labels"])).alias("labels"))

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import quantiles
-from .skew import hot_groups
-
-EXACT_SEEDS = 200_000
-DRAW_BUDGET = 4_000_000
+DRAWS_PER_HASH = 8
+# Bounds of a 32-bit draw at which a Poisson(1) weight grows by one, from its distribution function.
+POISSON_BOUNDS = tuple(math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
 
 
 def cells(df: DataFrame, value: str, unit: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -25,91 +21,39 @@ def cells(df: DataFrame, value: str, unit: str, keys: Sequence[str] = ()) -> Dat
     )
 
 
-def resample(total: np.ndarray, count: np.ndarray, n_boot: int, seed: int, alpha: float) -> tuple[float, float, float]:
-    """Ratio of sums and its percentile interval over ``n_boot`` draws of whole units.
-
-    Draws come from one generator in row-major order, a stretch of replicates at a time,
-    so memory stays bounded and the stream is the same as for a single large draw.
-    """
-    nan = float("nan")
-    if count.sum() == 0:
-        return nan, nan, nan
-    units, rng, ratios = len(total), np.random.default_rng(seed), []
-    step = max(1, DRAW_BUDGET // units)
-    for start in range(0, n_boot, step):
-        drawn = rng.integers(0, units, size=(min(step, n_boot - start), units))
-        ratios.append(total[drawn].sum(axis=1) / np.maximum(count[drawn].sum(axis=1), 1))
-    low, high = np.percentile(np.concatenate(ratios), [50 * alpha, 100 - 50 * alpha])
-    return float(total.sum() / count.sum()), float(low), float(high)
+def poisson_weight(draw: Column) -> Column:
+    """Weight of a draw in 0..2^32 - 1."""
+    return sum((draw >= bound).cast("int") for bound in POISSON_BOUNDS)
 
 
 def bootstrap(
-    unit_cells: DataFrame, unit: str, keys: Sequence[str] = (), n_boot: int = 1000, seed: int = 0,
-    alpha: float = 0.05, exact_units: int = EXACT_SEEDS,
+    unit_cells: DataFrame, unit: str, keys: Sequence[str] = (), n_boot: int = 1000, seed: int = 0, alpha: float = 0.05,
 ) -> DataFrame:
-    """Mean and interval per key over (total, cnt) cells, one cell per unit.
+    """Mean and percentile interval per key over (total, cnt) cells, one cell per unit.
 
-    Keys with up to ``exact_units`` units draw units exactly, in ascending unit order. A
-    larger key is never gathered: every unit gets independent Poisson(1) weights (the
-    large-sample limit of drawing with replacement), each task sums the weighted cells of
-    its rows, and only ``n_boot`` sums per key are combined.
+    In every replicate each unit has an independent Poisson(1) weight, the limit of drawing
+    units with replacement. Weights are read off the digits of a hash of unit, replicate and
+    seed, eight to a hash, so they depend neither on order nor on partitioning and any SQL
+    engine can repeat them. Weighted cells are summed map-side; a key has ``n_boot`` sums.
     """
     keys = list(keys)
-    kinds = dict(unit_cells.dtypes)
-    if not keys:
-        unit_cells, keys, kinds = unit_cells.withColumn("all_units", F.lit(0)), ["all_units"], {**kinds, "all_units": "int"}
-        drop = True
-    else:
-        drop = False
-    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    schema = f"{key_schema}, mean double, ci_low double, ci_high double"
-
-    def per_key(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(unit)
-        mean, low, high = resample(rows["total"].to_numpy(), rows["cnt"].to_numpy(), n_boot, seed, alpha)
-        return pd.DataFrame([[*key, mean, low, high]], columns=[*keys, "mean", "ci_low", "ci_high"])
-
-    hot = hot_groups(unit_cells, keys, exact_units)
-    ordinary = unit_cells if hot is None else unit_cells.join(hot.select(*keys), keys, "left_anti")
-    result = ordinary.groupBy(*keys).applyInPandas(per_key, schema)
-    if hot is not None:
-        large = unit_cells.join(hot.select(*keys), keys, "left_semi")
-        result = result.unionByName(_poisson(large, unit, keys, key_schema, n_boot, seed, alpha))
-    # Undefined means stay NaN; the pandas exchange would turn them into NULL.
-    nan = F.lit(float("nan"))
-    result = result.select(*keys, *[F.coalesce(c, nan).alias(c) for c in ("mean", "ci_low", "ci_high")])
-    return result.drop("all_units") if drop else result
-
-
-def _poisson(df: DataFrame, unit: str, keys: list[str], key_schema: str, n_boot: int, seed: int, alpha: float) -> DataFrame:
-    hashed = df.withColumn("h", F.xxhash64(unit, F.lit(seed)))
-
-    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            key_rows = zip(*[batch[k].to_pylist() for k in keys])
-            values = zip(batch["h"].to_pylist(), batch["total"].to_pylist(), batch["cnt"].to_pylist())
-            for key, (h, total, count) in zip(key_rows, values):
-                weights = np.random.default_rng(h & 0xFFFFFFFFFFFFFFFF).poisson(1.0, n_boot)
-                acc = sums.setdefault(key, np.zeros((2, n_boot)))
-                acc[0] += weights * total
-                acc[1] += weights * count
-        if sums:
-            columns = [pa.array(list(c)) for c in zip(*sums)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([s[0] for s in sums.values()], pa.list_(pa.float64())),
-                 pa.array([s[1] for s in sums.values()], pa.list_(pa.float64()))],
-                names=[*keys, "w_total", "w_cnt"],
-            )
-
-    partial = hashed.select(*keys, "h", "total", "cnt").mapInArrow(
-        weighted, f"{key_schema}, w_total array<double>, w_cnt array<double>"
-    )
-    replicates = (
-        partial.select(*keys, F.posexplode(F.arrays_zip("w_total", "w_cnt")).alias("b", "w"))
-        .groupBy(*keys, "b")
-        .agg((F.sum("w.w_total") / F.greatest(F.sum("w.w_cnt"), F.lit(1.0))).alias("ratio"))
+    rows = unit_cells if keys else unit_cells.withColumn("all_units", F.lit(0))
+    by = keys or ["all_units"]
+    blocks = rows.select(
+        *by, F.col("total").cast("double").alias("total"), F.col("cnt").cast("double").alias("cnt"), F.col(unit).cast("string").alias("_unit"),
+        F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // DRAWS_PER_HASH) - 1))).alias("_block"),
+    ).withColumn("_hash", F.sha2(F.concat_ws("|", "_unit", "_block", F.lit(seed)), 256))
+    draws = blocks.select(*by, "total", "cnt", "_block", "_hash", F.explode(F.sequence(F.lit(0), F.lit(DRAWS_PER_HASH - 1))).alias("_draw"))
+    drawn = F.conv(F.substring("_hash", F.col("_draw") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    weighted = draws.withColumn("_b", F.col("_block") * DRAWS_PER_HASH + F.col("_draw")).where(F.col("_b") < n_boot).withColumn("_w", poisson_weight(drawn))
+    replicates = weighted.groupBy(*by, "_b").agg(
+        F.sum(F.col("_w") * F.col("total")).alias("_t"), F.sum(F.col("_w") * F.col("cnt")).alias("_c"),
+    ).withColumn("_ratio", F.col("_t") / F.greatest("_c", F.lit(1.0)))
+    interval = replicates.groupBy(*by).agg(F.percentile("_ratio", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"))
+    means = rows.groupBy(*by).agg(F.sum("total").alias("_t"), F.sum("cnt").alias("_c"))
+    known, nan = F.col("_c") > 0, F.lit(float("nan"))
+    result = means.join(interval, by).select(
+        *by, F.when(known, F.col("_t") / F.col("_c")).otherwise(nan).alias("mean"),
+        F.when(known, F.col("_q")[0]).otherwise(nan).alias("ci_low"), F.when(known, F.col("_q")[1]).otherwise(nan).alias("ci_high"),
     )
-    interval = quantiles(replicates, "ratio", {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2}, keys)
-    means = df.groupBy(*keys).agg((F.sum("total") / F.nullif(F.sum("cnt"), F.lit(0.0))).alias("mean"))
-    return means.join(interval, keys).select(*keys, "mean", "ci_low", "ci_high")
+    return result if keys else result.drop("all_units")

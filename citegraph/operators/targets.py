@@ -24,7 +24,9 @@ def target_citers(pairs: DataFrame, mode: str, algorithm: str = "blake2b") -> Da
     if mode != "shuffled":
         raise ValueError(f"unknown target mode {mode!r}")
     moved = pairs.withColumnRenamed("seed_id", "donor_id").join(donors(pairs, algorithm), "donor_id")
-    # A cycle of a single seed has no donor other than itself; its pairs drop out here.
+    # A cycle of a single seed has no donor; the check runs with the query, not before it.
+    lone = F.raise_error(F.lit("shuffled targets need at least two seeds")).cast("boolean")
+    moved = moved.where(F.when(F.col("donor_id") == F.col("seed_id"), lone).otherwise(True))
     own = pairs.select("seed_id", "citer_id")
     return (
         moved.join(own, ["seed_id", "citer_id"], "left_anti")

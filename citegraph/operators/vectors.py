@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import dot
+from ..functions.numeric import dot, reaches
 from .skew import copy_per_piece, hot_groups, with_pieces
 
 BLOCK_ROWS = 2_048
@@ -76,8 +76,8 @@ def cosine_coverage(scored: DataFrame, group: Sequence[str] = ("seed_id",)) -> D
 
 
 def coverage_at(scored: DataFrame, tau: float, group: Sequence[str] = ("seed_id",)) -> DataFrame:
-    """Share of targets whose best similarity reaches ``tau``."""
-    return scored.groupBy(*group).agg(F.avg((F.col("best_cos") >= tau).cast("double")).alias("coverage_at_tau"))
+    """Share of targets whose best similarity reaches ``tau``; a target without any similarity is a miss."""
+    return scored.groupBy(*group).agg(F.avg(reaches(F.col("best_cos"), tau).cast("double")).alias("coverage_at_tau"))
 
 
 def _sums(items: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import nan_to_null
+from ..functions.numeric import nan_to_null, reaches
 from ..operators.agreement import decile_of, spearman
 from ..params import ALTERNATIVE_METRICS, LOWER_IS_BETTER
 
@@ -59,14 +59,17 @@ def rankings(table: DataFrame, metrics: Sequence[str] = ALTERNATIVE_METRICS) ->
     return rows.select("model", "metric", "system", F.row_number().over(order).alias("place"))
 
 
-def decile_coverage(pairs: DataFrame, tau: float, group: Sequence[str] = ("system",)) -> DataFrame:
+def decile_coverage(
+    pairs: DataFrame, tau: float, group: Sequence[str] = ("system",), unit: Sequence[str] = ("seed_id", "citer_id"),
+) -> DataFrame:
     """A24, analysis C: share of targets reaching ``tau`` by decile of their similarity to the seed.
 
-    ``pairs`` has one row per system and pair with ``seed_sim`` and ``best_cos``.
+    ``pairs`` has one row per system and pair with ``seed_sim`` and ``best_cos``. The edges are
+    those of the distinct pairs, and a pair without a similarity is a miss.
     """
-    binned = decile_of(pairs, "seed_sim")
+    binned = decile_of(pairs, "seed_sim", unit=unit)
     return binned.groupBy(*group, "decile").agg(
-        F.avg((F.col("best_cos") >= tau).cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n_pairs")
+        F.avg(reaches(F.col("best_cos"), tau).cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n_pairs")
     )
 
 

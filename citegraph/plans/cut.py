@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, pairs as P, ranking, records
-from ..operators.models import default_detector, language_rule
 from ..params import CutParams
 from ..schemas import EDGES
 from ..session import materialise
@@ -98,8 +97,9 @@ def make_benchmark(
     spark = edges.sparkSession
     pairs = materialise(P.qualifying_pairs(edges, seeds, citers, params))
     if params.english_only:
-        rule = is_english or language_rule(default_detector())
-        pairs = materialise(P.english_pairs(pairs, citers, params.min_citers, rule))
+        if is_english is None:
+            raise ValueError("an English-only cut needs a language rule, for example language_rule(DETECTORS['langdetect'])")
+        pairs = materialise(P.english_pairs(pairs, citers, params.min_citers, is_english))
     picked = materialise(records.cut(pairs, params, algorithm))
     payload = records.benchmark_pairs(picked, citers, edges)
     layers.write_json_lines(records.benchmark_records(payload, seeds), f"{out}/records", mode)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.resampling import POISSON_BOUNDS
+
 # Shared views. Each query takes only the ones it needs, in this order.
 VIEWS = {
     "raw_edges": (
@@ -334,7 +336,7 @@ JOIN (SELECT seed_id, arg_min(vec, item_id) AS vec FROM vec GROUP BY 1) f USING
 oracle("best_similarity", [], f"SELECT seed_id, item_id, {r('best_cos')} AS best_cos FROM best", BEST)
 oracle("cosine_coverage", [],
        f"SELECT seed_id, {r('avg(best_cos)')} AS coverage, count(best_cos) AS n_targets FROM best GROUP BY 1", BEST)
-oracle("coverage_at_tau", [], f"SELECT seed_id, {r('avg((best_cos >= 0.25)::INT)')} AS coverage_at_tau FROM best GROUP BY 1", BEST)
+oracle("coverage_at_tau", [], f"SELECT seed_id, {r('avg(coalesce(best_cos >= 0.25, FALSE)::INT)')} AS coverage_at_tau FROM best GROUP BY 1", BEST)
 oracle("null_tau", [], f"SELECT {r('quantile_cont(best_cos, 0.95)')} AS tau FROM best", BEST)
 oracle("mean_pairwise_similarity", [],
        f"""SELECT a.seed_id, count(DISTINCT a.item_id) AS n, {r("coalesce(avg(list_dot_product(a.vec, b.vec)) FILTER (WHERE a.item_id <> b.item_id), 'nan'::DOUBLE)")} AS mps
@@ -413,9 +415,10 @@ oracle("system_rankings", [],
 SELECT system, split_part(system, '/', 1) AS model, unnest(['coverage', 'vendi', 'mps', 'disp', 'mean_len']) AS metric,
   unnest([-coverage, -vendi, mps, -disp, -mean_len]) AS key FROM tab)""", ONE_SYSTEM_TABLE)
 oracle("decile_coverage", [],
-       f"""SELECT l_returnflag AS system, CAST(least(greatest(len(list_filter(edges, lambda e: e <= l_extendedprice)) - 1, 0), 9) AS INTEGER) AS decile,
-  {r('avg((l_discount >= 0.05)::INT)')} AS coverage, count(*) AS n_pairs
-FROM lineitem, (SELECT quantile_cont(l_extendedprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS edges FROM lineitem) GROUP BY 1, 2""")
+       f"""SELECT system, CAST(least(greatest(len(list_filter(edges, lambda e: e <= l_extendedprice)) - 1, 0), 9) AS INTEGER) AS decile,
+  {r('avg((l_tax > 0 AND l_discount >= 0.05)::INT)')} AS coverage, count(*) AS n_pairs
+FROM (SELECT 'all' AS system, * FROM lineitem UNION ALL SELECT l_returnflag, * FROM lineitem WHERE l_returnflag <> 'R'), (SELECT quantile_cont(l_extendedprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS edges
+  FROM (SELECT max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY l_orderkey, l_linenumber)) GROUP BY 1, 2""")
 oracle("agreement_kappa", [],
        f"""SELECT n, {r('(same / n - chance) / (1 - chance)')} AS kappa, {r('tp / greatest(n_pred, 1)')} AS precision, {r('tp / greatest(n_ref, 1)')} AS recall
 FROM (SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS same, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp,
@@ -423,7 +426,49 @@ FROM (SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS same, cou
  (SELECT sum(a.c * b.c) / (SELECT count(*) FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL) ** 2 AS chance
   FROM (SELECT quality AS v, count(*) AS c FROM labels WHERE toxic IS NOT NULL GROUP BY 1) a JOIN (SELECT toxic AS v, count(*) AS c FROM labels WHERE quality IS NOT NULL GROUP BY 1) b USING (v))""")
 
-# ---- lexical
+# ---- resampling and lexical
+
+BOUNDS = "[" + ", ".join(str(b) for b in POISSON_BOUNDS) + "]"
+
+
+def boot(cells: str, key: str) -> dict[str, str]:
+    return {
+        "cells": cells,
+        "draws": """SELECT *, sha256(concat_ws('|', CAST(u AS VARCHAR), CAST(block AS VARCHAR), '0')) AS h FROM cells, (SELECT unnest(range(0, 125)) AS block)""",
+        "weights": f"""SELECT {key}, total, cnt, block * 8 + k AS b, len(list_filter({BOUNDS}::BIGINT[],
+  lambda t: CAST('0x' || substr(h, CAST(k * 8 + 1 AS BIGINT), 8) AS BIGINT) >= t)) AS w FROM draws, (SELECT unnest(range(0, 8)) AS k)""",
+        "replicates": f"SELECT {key}, b, sum(w * total) / greatest(sum(w * cnt), 1) AS ratio FROM weights GROUP BY 1, 2",
+        "means": f"SELECT {key}, sum(total) AS t, sum(cnt) AS c FROM cells GROUP BY 1",
+    }
+
+
+def boot_sql(key: str) -> str:
+    pick = lambda e: f"CASE WHEN any_value(c) > 0 THEN {r(e)} ELSE 'nan'::DOUBLE END"
+    return f"""SELECT {key}, {pick('any_value(t) / any_value(c)')} AS mean, {pick('quantile_cont(ratio, 0.025)')} AS ci_low,
+  {pick('quantile_cont(ratio, 0.975)')} AS ci_high FROM replicates JOIN means USING ({key}) GROUP BY 1"""
+
+
+oracle("bootstrap_mean", [], boot_sql("c_mktsegment"), boot("SELECT c_mktsegment, c_custkey AS u, c_acctbal::DOUBLE AS total, 1.0 AS cnt FROM customer", "c_mktsegment"))
+oracle("bootstrap_pooled", [], boot_sql("event_type"),
+       boot("SELECT event_type, user_id AS u, coalesce(sum(value), 0)::DOUBLE AS total, count(value)::DOUBLE AS cnt FROM events GROUP BY 1, 2", "event_type"))
+oracle("self_bleu", [],
+       f"""SELECT role, conv_id, CASE WHEN count(*) < 2 THEN 'nan'::DOUBLE ELSE {r('avg(bleu)')} END AS self_bleu FROM scored GROUP BY 1, 2""",
+       {"toks": r"""SELECT role, conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' ||
+  replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '\s+$', ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ',
+  '([\{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda x: x <> '') AS w
+  FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""",
+        "grams": """SELECT role, conv_id, turn, n, g, count(*) AS c FROM (SELECT role, conv_id, turn, n,
+  unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i:i + n - 1], chr(9)))) AS g FROM toks, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL""",
+        "clipped": """SELECT a.role, a.conv_id, a.turn, a.n, a.g, least(any_value(a.c), max(b.c)) AS hit FROM grams a JOIN grams b
+  ON a.role = b.role AND a.conv_id = b.conv_id AND a.n = b.n AND a.g = b.g AND a.turn <> b.turn GROUP BY 1, 2, 3, 4, 5""",
+        "hits": "SELECT role, conv_id, turn, n, sum(hit) AS h FROM clipped GROUP BY ALL",
+        "reflen": """SELECT a.role, a.conv_id, a.turn, arg_min(len(b.w), abs(len(b.w) - len(a.w)) * 100000 + len(b.w)) AS closest FROM toks a JOIN toks b
+  ON a.role = b.role AND a.conv_id = b.conv_id AND a.turn <> b.turn GROUP BY 1, 2, 3""",
+        "parts": """SELECT t.role, t.conv_id, t.turn, len(t.w) AS l, n, len(t.w) - n + 1 AS total, coalesce(h, 0) AS h, closest,
+  sum(CASE WHEN coalesce(h, 0) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY t.role, t.conv_id, t.turn ORDER BY n) AS z
+  FROM toks t CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) LEFT JOIN hits USING (role, conv_id, turn, n) LEFT JOIN reflen USING (role, conv_id, turn)""",
+        "scored": """SELECT role, conv_id, turn, CASE WHEN sum(h) > 0 THEN CASE WHEN any_value(l) >= any_value(closest) THEN 1.0 ELSE exp(1 - any_value(closest) / any_value(l)) END
+  * exp(avg(CASE WHEN h > 0 THEN ln(100.0 * h / total) ELSE ln(100.0 / (2.0 ** z * total)) END) FILTER (WHERE total > 0)) ELSE 0.0 END AS bleu FROM parts GROUP BY 1, 2, 3"""})
 
 oracle("distinct_2", [],
        f"""SELECT role, conv_id, CASE WHEN count(g) = 0 THEN 'nan'::DOUBLE ELSE {r('count(DISTINCT g) / count(g)')} END AS distinct2
@@ -519,33 +564,3 @@ CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
 oracle("clean_output", [],
        "SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS answer FROM (SELECT doc_id, " + TRIM.format(
            "regexp_replace(regexp_replace(" + TRIM.format(CLEAN.format("a")) + r""", '^"+', ''), '"+$', '')""") + " AS t FROM answers)", REPLIES)
-
-# ---- model back ends (stand-ins)
-
-oracle("language_verdicts", [],
-       r"""SELECT doc_id AS corpusid, len(w) > 0 AND 8 * len(list_filter(w, lambda x: x IN ('a', 'an', 'and', 'are', 'as', 'at', 'by', 'for', 'from', 'in',
-  'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'we', 'with'))) >= len(w) AS is_english
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)""")
-oracle("embed_documents", [],
-       r"""SELECT DISTINCT sha256(text) AS text_key, CAST(64 AS INTEGER) AS width,
-  CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""")
-oracle("generated_sets", [],
-       "SELECT CAST(doc_id AS VARCHAR) AS seed_id, 'gemma_t10' AS condition, CAST(3 AS INTEGER) AS n, CAST(0 AS INTEGER) AS short_by FROM documents")
-oracle("rerank_recall", [],
-       f"""SELECT 'stub' AS condition, 'own' AS mode, CAST(k AS INTEGER) AS k, {r('avg(' + recall('k') + ')')} AS recall
-FROM matched, (SELECT unnest([1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 51]) AS k) GROUP BY k""",
-       {"words": r"""SELECT conv_id, turn, role, list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 3000)), '\s+'), lambda x: x <> '')) AS w,
-  trim(text) <> '' AS filled FROM conversations""",
-        "gens": "SELECT * FROM words WHERE role = 'assistant' AND filled QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 51",
-        "shared": """SELECT u.conv_id, u.turn, len(list_intersect(u.w, g.w)) AS both_w, len(u.w) + len(g.w) AS all_w
-FROM words u JOIN gens g USING (conv_id) WHERE u.role = 'user'""",
-        "matched": """SELECT conv_id, turn, CAST(count(*) AS INTEGER) AS n_gen,
-  CAST(count(*) FILTER (WHERE 1 / (1 + exp(-12 * (both_w / greatest(all_w - both_w, 1) - 0.3))) > 0.05) AS INTEGER) AS m FROM shared GROUP BY 1, 2"""})
-oracle("sentence_labels", [],
-       """SELECT doc_id AS citer_id, CAST(len(s) AS INTEGER) AS n, coalesce(array_to_string(list_transform(s, lambda x:
-  CASE WHEN len(s) > 120 THEN '-' WHEN contains(lower(x), 'outperform') OR contains(lower(x), 'results show') OR contains(lower(x), 'achiev') THEN 'RESULT'
-       WHEN contains(lower(x), 'available at') OR contains(lower(x), 'github') THEN 'OTHER'
-       WHEN contains(lower(x), 'we propose') OR contains(lower(x), 'this paper') THEN 'OBJECTIVE'
-       WHEN contains(lower(x), 'using') OR contains(lower(x), 'train') THEN 'METHOD' ELSE 'BACKGROUND' END), ','), '') AS labels FROM cut""",
-       {"cut": r"""SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
-  '([.!?]) ([\p{Lu}0-9"''(])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents"""})

@@ -532,8 +532,10 @@ def system_rankings(spark, sf_dir):
 @query("decile_coverage")
 def decile_coverage(spark, sf_dir):
     pairs = sample.table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("system"), F.col("l_extendedprice").alias("seed_sim"), F.col("l_discount").alias("best_cos")
-    )
+        F.explode(F.array(F.lit("all"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")))).alias("system"),
+        F.col("l_orderkey").alias("seed_id"), F.col("l_linenumber").alias("citer_id"), F.col("l_extendedprice").alias("seed_sim"),
+        F.when(F.col("l_tax") > 0, F.col("l_discount")).otherwise(F.when(F.col("l_discount") > 0.05, F.lit(float("nan")))).alias("best_cos"),
+    ).where(F.col("system").isNotNull())
     return rounded(contrast.decile_coverage(pairs, 0.05))
 
 
@@ -586,13 +588,13 @@ def mean_length(spark, sf_dir):
 
 @query("self_bleu")
 def self_bleu(spark, sf_dir):
-    return rounded(lexical.self_bleu(_role_turns(spark, sf_dir), ["role", "conv_id"], "turn", 15))
+    return rounded(lexical.self_bleu(_role_turns(spark, sf_dir), ["role", "conv_id"], "turn"))
 
 
 @query("rouge_l")
 def rouge_l(spark, sf_dir):
     return rounded(lexical.rouge_l_max(
-        _turns(spark, sf_dir, "assistant"), _turns(spark, sf_dir, "user"), ["conv_id"], "turn", 15
+        _turns(spark, sf_dir, "assistant"), _turns(spark, sf_dir, "user"), ["conv_id"], "turn"
     ))
 
 
@@ -771,49 +773,3 @@ def embed_cache_misses(spark, sf_dir):
     ).select(F.sha2("text", 256).alias("text_key"))
     misses = models.cache_misses(sample.table(spark, sf_dir, "documents").select("text"), cached, algorithm="sha256")
     return misses.select("text_key", F.length("text").alias("n_chars"))
-
-
-# ---- model back ends (stand-ins)
-
-@query("language_verdicts")
-def language_verdicts(spark, sf_dir):
-    docs = sample.abstracts(spark, sf_dir)
-    verdict = models.language_rule(models.word_share_language)(docs)
-    return docs.select("corpusid", verdict.alias("is_english"))
-
-
-@query("embed_documents")
-def embed_documents(spark, sf_dir):
-    docs = models.cache_misses(sample.table(spark, sf_dir, "documents").select("text"), None, algorithm="sha256")
-    vectors = models.embed(docs, models.HashedBag)
-    return vectors.select("text_key", F.size("vec").alias("width"), r6(V.dot(F.col("vec"), F.col("vec"))).alias("norm"))
-
-
-@query("rerank_recall")
-def rerank_recall(spark, sf_dir):
-    goals = _turns(spark, sf_dir, "user").select(F.col("conv_id").alias("seed_id"), F.col("turn").alias("citer_id"), "text")
-    gens = lexical.first_items(
-        _turns(spark, sf_dir, "assistant").withColumnRenamed("conv_id", "seed_id"), ["seed_id"], "turn", 51
-    ).withColumnRenamed("items", "predictions")
-    unit = [F.lit("stub").alias("condition"), F.lit("own").alias("mode")]
-    probs = models.rerank(goals, gens, models.WordOverlap).select(*unit, "*")
-    sizes = gens.select("seed_id", F.size("predictions").alias("n_gen"))
-    wanted = goals.join(sizes, "seed_id").select(*unit, "seed_id", "citer_id", "n_gen")
-    return rounded(matching.recall_curve(matching.with_matches(wanted, probs, threshold=0.05), ["condition", "mode"]))
-
-
-@query("generated_sets")
-def generated_sets(spark, sf_dir):
-    seeds = sample.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("seed_id"), F.col("source").alias("seed_title"), F.lit(None).cast("int").alias("seed_year"),
-        F.col("text").alias("seed_abstract"),
-    )
-    made = models.predictions(models.sample_replies(seeds, models.PromptEcho, "gemma_t10", n=3), "gemma_t10", n=3)
-    return made.select("seed_id", "condition", F.size("predictions").alias("n"), "short_by")
-
-
-@query("sentence_labels")
-def sentence_labels(spark, sf_dir):
-    items = sample.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("citer_id"), F.col("source").alias("title"), "text")
-    labels = models.label_texts(items, models.KeywordRoles, ["citer_id"])
-    return labels.select("citer_id", F.size("labels").alias("n"), F.array_join("labels", ",", "-").alias("labels"))

@@ -24,14 +24,16 @@ def write_tables(tables: dict[str, DataFrame], out: str, mode: str = "errorifexi
 
 def score_report(
     rows: DataFrame, generations: DataFrame, citers: DataFrame, factory: Callable, encoder: str, cache: str, out: str,
-    matches: DataFrame | None = None, n_boot: int = 1000, mode: str = "errorifexists",
+    matches: DataFrame | None = None, n_boot: int = 1000, mode: str = "errorifexists", records: DataFrame | None = None,
 ) -> None:
     """Scores of every condition against both target modes, for the seeds all conditions share.
 
     ``rows`` are benchmark rows, ``generations`` (condition, seed_id, gen_idx, text),
     ``citers`` the corpus table with publication dates, ``matches`` reranker probabilities.
+    ``records`` has (condition, seed_id) of all generation records, those without any text
+    included: a seed with an empty record in one condition is still shared by all.
     """
-    shared = T.common_seeds(generations)
+    shared = T.common_seeds(generations if records is None else records)
     pairs = rows.join(shared, "seed_id", "left_semi").select(
         "seed_id", F.col("citer.id").alias("citer_id"), F.col("citer.year").alias("citer_year")
     )
@@ -60,20 +62,14 @@ def score_report(
 
 
 def set_metrics(
-    generations: DataFrame, vectors: DataFrame, seeds: DataFrame, per_seed: DataFrame, max_seeds: int | None = None,
-    items: int = 15,
+    generations: DataFrame, vectors: DataFrame, seeds: DataFrame, per_seed: DataFrame,
 ) -> DataFrame:
     """The alternative metrics next to ``coverage`` and ``vendi`` of ``per_seed`` (system, seed_id, ...).
 
-    ``seeds`` has (seed_id, text, seed_vec). BLEU and ROUGE-L are quadratic in a set and are by
-    definition taken on its first ``items`` texts. All seeds are covered; a number in
-    ``max_seeds`` restricts the lexical scores to the first seeds by id.
+    ``seeds`` has (seed_id, text, seed_vec). All texts of all seeds count.
     """
     key = ["system", "seed_id"]
-    chosen = seeds.select("seed_id")
-    if max_seeds is not None:
-        chosen = chosen.orderBy(F.col("seed_id").cast("long")).limit(max_seeds)
-    texts = generations.join(chosen, "seed_id", "left_semi")
+    texts = generations.join(seeds.select("seed_id"), "seed_id", "left_semi")
     systems = texts.select(*key).distinct()
     references = systems.join(seeds.select("seed_id", "text"), "seed_id")
     parts = [
@@ -82,8 +78,8 @@ def set_metrics(
             F.avg(dot(F.col("vec"), F.col("seed_vec"))).alias("seed_sim")
         ),
         lexical.distinct_n(texts, key, 2), lexical.mean_length(texts, key),
-        lexical.self_bleu(texts, key, "gen_idx", items),
-        lexical.rouge_l_max(texts, references, key, "gen_idx", items).withColumnRenamed("rouge_l", "rougeL_seed"),
+        lexical.self_bleu(texts, key, "gen_idx"),
+        lexical.rouge_l_max(texts, references, key, "gen_idx").withColumnRenamed("rouge_l", "rougeL_seed"),
     ]
     table = per_seed
     for part in parts:

@@ -47,21 +47,29 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="citegraph-checkpoint-")
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back from there.
 
     Used where several branches consume one expensive result. A Parquet table survives lost
     executors like a checkpoint does, and its readers prune columns and know its size. The
-    folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without
-    it gets its own.
+    folder is the one the cluster names in ``spark.checkpoint.dir``; a local session without
+    it gets its own, a cluster without it is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="citegraph-checkpoint-")
-        )
+        context.setCheckpointDir(_shared_folder(spark))
         folder = context.getCheckpointDir()
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -2,50 +2,86 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.layers import NORMALISERS, RAW_SCHEMAS, exists, write_bucketed
+from .. import schemas
+from ..sources.layers import NORMALISERS, RAW_SCHEMAS, exists, quarantine, write_bucketed
+
+
+def load_token(spark: SparkSession, checkpoint: str) -> str:
+    """Name of a checkpoint's loads, drawn once and kept in the checkpoint folder.
+
+    Two checkpoints never share a name, so the batch numbers of one cannot meet those of another.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/citegraph-load-name")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(path, False)
+        out.writeUTF(uuid.uuid4().hex)
+        out.close()
+    source = files.open(path)
+    try:
+        return source.readUTF()
+    finally:
+        source.close()
 
 
 def ingest(
-    spark: SparkSession, kind: str, source: str, dest: str, checkpoint: str, max_files: int | None = None
+    spark: SparkSession, kind: str, source: str, dest: str, checkpoint: str, max_files: int | None = None,
+    bad_lines: str | None = None,
 ) -> int:
-    """New shards of ``source`` into the bucketed layer at ``dest``; returns the rows added.
+    """New shards of ``source`` into the bucketed layer at ``dest``; returns the rows added.
 
     The checkpoint keeps the list of finished files. Every micro-batch writes to its own
     sub-folder in overwrite mode, so a batch replayed after a lost driver replaces itself
-    instead of adding its rows twice.
+    instead of adding its rows twice; the folder carries the checkpoint's own name, so no
+    other checkpoint can replace it. With ``bad_lines`` malformed lines go to that folder with
+    the name of their shard and all good lines go on; without it the first one stops the batch.
     """
-    reader = spark.readStream.schema(RAW_SCHEMAS[kind]).option("mode", "FAILFAST").option("pathGlobFilter", "*.gz")
+    token = load_token(spark, checkpoint)
+    schema = RAW_SCHEMAS[kind]
+    reader = spark.readStream.option("pathGlobFilter", "*.gz")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = NORMALISERS[kind](reader.json(source))
+    if bad_lines is None:
+        raw = reader.schema(schema).option("mode", "FAILFAST").json(source)
+    else:
+        raw = reader.schema(schemas.with_corrupt_record(schema)).option("mode", "PERMISSIVE").option(
+            "columnNameOfCorruptRecord", "_corrupt_record").json(source).withColumn("_shard", F.input_file_name())
 
     added = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if bad_lines is not None:
+            bad = batch.where(F.col("_corrupt_record").isNotNull()).select("_shard", F.col("_corrupt_record").alias("line"))
+            bad.write.mode("overwrite").json(f"{bad_lines}/load={token}-{batch_id}")
+            batch = quarantine(batch.drop("_shard"))[0]
         seen = Observation()
-        counted = batch.observe(seen, F.count(F.lit(1)).alias("rows"))
-        write_bucketed(counted, kind, f"{dest}/load={batch_id}", mode="overwrite")
+        counted = NORMALISERS[kind](batch).observe(seen, F.count(F.lit(1)).alias("rows"))
+        write_bucketed(counted, kind, f"{dest}/load={token}-{batch_id}", mode="overwrite")
         added.append(seen.get["rows"])
 
     running = (
-        rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     running.awaitTermination()
     return sum(added)
 
 
-def append_new(units: DataFrame, key: list[str], path: str, build, partition_by: str | None = None) -> None:
+def append_new(units: DataFrame, key: list[str], path: str, build, partition_by: str | None = None, slices: int = 1) -> None:
     """Run ``build`` on the units not stored at ``path`` yet and append the result.
 
-    A committed append is the finished marker; a run cut short leaves nothing behind.
+    Units are dealt to ``slices`` by a hash of their key and committed slice by slice. A
+    committed append is the finished marker, so a run cut short loses the current slice only.
     """
     spark = units.sparkSession
-    todo = units
-    if exists(spark, path):
-        done = spark.read.parquet(path).select(*[F.col(k) for k in key]).distinct()
-        todo = units.join(done, key, "left_anti")
-    writer = build(todo).write.mode("append").option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    for number in range(slices):
+        todo = units.where(F.pmod(F.xxhash64(*key), F.lit(slices)) == number)
+        if exists(spark, path):
+            done = spark.read.parquet(path).select(*[F.col(k) for k in key]).distinct()
+            todo = todo.join(done, key, "left_anti")
+        writer = build(todo).write.mode("append").option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

@@ -7,6 +7,7 @@ from citegraph import schemas
 from citegraph.operators import models
 from citegraph.plans import reports
 from citegraph.sources import results
+from standins import HashedBag
 
 WORDS = "graph model parser corpus citation author abstract network token score".split()
 
@@ -46,7 +47,7 @@ def test_score_report(spark, benchmark, tmp_path):
         F.array(*[F.lit(x).cast("float") for x in (0.9, 0.2, 0.6)]).alias("probs"),
     )
     out = tmp_path / "score"
-    reports.score_report(benchmark, generations(spark), citers, models.HashedBag, "bag", str(tmp_path / "cache"), str(out), matches, 50)
+    reports.score_report(benchmark, generations(spark), citers, HashedBag, "bag", str(tmp_path / "cache"), str(out), matches, 50)
     assert len(read(spark, out / "per_seed")) == 8
     pairs = read(spark, out / "per_pair")
     assert len(pairs) == 48 and {r.m for r in pairs if r.condition == "gemma_t10" and r["mode"] == "own"} == {2}
@@ -60,16 +61,16 @@ def test_score_report(spark, benchmark, tmp_path):
 
 def test_contrast_report(spark, benchmark, tmp_path):
     gens = generations(spark).where("seed_id <> '9'").withColumn("system", F.concat(F.lit("m/"), "condition")).drop("condition")
-    bag = models.embed(gens.select(F.concat_ws("|", "system", "seed_id", "gen_idx").alias("text_key"), "text"), models.HashedBag)
+    bag = models.embed(gens.select(F.concat_ws("|", "system", "seed_id", "gen_idx").alias("text_key"), "text"), HashedBag)
     vectors = bag.select(F.split("text_key", r"\|").alias("k"), "vec").select(
         F.col("k")[0].alias("system"), F.col("k")[1].alias("seed_id"), F.col("k")[2].alias("item_id"), "vec"
     )
     seeds = benchmark.select("seed_id", F.col("seed_abstract").alias("text")).distinct()
-    seed_vecs = models.embed(seeds.withColumnRenamed("seed_id", "text_key"), models.HashedBag).select(F.col("text_key").alias("seed_id"), F.col("vec").alias("seed_vec"))
+    seed_vecs = models.embed(seeds.withColumnRenamed("seed_id", "text_key"), HashedBag).select(F.col("text_key").alias("seed_id"), F.col("vec").alias("seed_vec"))
     per_seed = gens.select("system", "seed_id").distinct().withColumn("coverage", F.rand(1)).withColumn("vendi", F.rand(2))
     table = reports.set_metrics(gens, vectors, seeds.join(seed_vecs, "seed_id"), per_seed).cache()
     assert table.count() == 8 and table.where("mps is null or self_bleu is null or seed_sim is null or rougeL_seed is null").count() == 0
-    pairs = spark.range(100).select(F.lit("m/own").alias("system"), (F.col("id") / 100).alias("seed_sim"), (F.col("id") / 100).alias("best_cos"))
+    pairs = spark.range(100).select(F.lit("m/own").alias("system"), F.col("id").alias("seed_id"), F.lit(0).alias("citer_id"), (F.col("id") / 100).alias("seed_sim"), (F.col("id") / 100).alias("best_cos"))
     reports.contrast_report(table, pairs, 0.5, str(tmp_path / "c"))
     assert sorted(r.coverage for r in read(spark, tmp_path / "c/deciles")) == [0.0] * 5 + [1.0] * 5
     assert len(read(spark, tmp_path / "c/rankings")) == 2 * 9 and len(read(spark, tmp_path / "c/systems")) == 2

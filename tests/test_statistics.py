@@ -182,37 +182,49 @@ def test_agreement(spark):
     assert (row.precision, row.recall) == (3 / 4, 3 / 4)
 
 
-def _numpy_interval(total, count, n_boot=200):
-    rng = np.random.default_rng(0)
-    idx = rng.integers(0, len(total), size=(n_boot, len(total)))
-    boots = total[idx].sum(1) / np.maximum(count[idx].sum(1), 1)
-    return tuple(np.percentile(boots, [2.5, 97.5]))
-
-
-def test_bootstrap_pooled(spark):
-    rows = [("k", "a", 1.0)] * 3 + [("k", "b", 0.0)] * 3 + [("k", "b", float("nan"))]
-    cells = resampling.cells(spark.createDataFrame(rows, "k string, unit string, v double"), "v", "unit", ["k"])
-    row = resampling.bootstrap(cells, "unit", ["k"], 200).first()
+def weights_of(unit, n_boot, seed=0):
+    """Poisson weights of a unit, drawn from the hash digits one by one."""
+    from hashlib import sha256
+    out = []
+    for b in range(n_boot):
+        digits = sha256(f"{unit}|{b // 8}|{seed}".encode()).hexdigest()[8 * (b % 8):8 * (b % 8) + 8]
+        out.append(sum(int(digits, 16) >= bound for bound in resampling.POISSON_BOUNDS))
+    return np.array(out)
+
+
+def test_bootstrap_repeats_the_hashed_weights(spark):
+    rng = np.random.default_rng(1)
+    rows = [("k", f"u{i}", float(v), float(c)) for i, (v, c) in enumerate(zip(rng.normal(size=40), rng.integers(0, 5, 40)))]
+    rows += [("none", "u", 0.0, 0.0)]
+    found = {r.k: r for r in resampling.bootstrap(spark.createDataFrame(rows, "k string, unit string, total double, cnt double"), "unit", ["k"], 100).collect()}
+    weights = np.stack([weights_of(u, 100) for k, u, _, _ in rows if k == "k"])
+    totals, counts = (np.array([r[i] for r in rows if r[0] == "k"]) for i in (2, 3))
+    ratios = (weights * totals[:, None]).sum(0) / np.maximum((weights * counts[:, None]).sum(0), 1)
+    assert found["k"].mean == pytest.approx(totals.sum() / counts.sum())
+    assert (found["k"].ci_low, found["k"].ci_high) == pytest.approx(tuple(np.percentile(ratios, [2.5, 97.5])))
+    assert math.isnan(found["none"].mean) and math.isnan(found["none"].ci_low)
+
+
+def test_bootstrap_weights_are_poisson():
+    weights = np.concatenate([weights_of(u, 400) for u in range(20)])
+    assert abs(weights.mean() - 1) < 0.05 and abs(weights.var() - 1) < 0.08
+
+
+def test_bootstrap_of_cells_without_keys(spark):
+    rows = [("a", 1.0)] * 3 + [("b", 0.0)] * 3 + [("b", float("nan"))]
+    cells = resampling.cells(spark.createDataFrame(rows, "unit string, v double"), "v", "unit")
+    row = resampling.bootstrap(cells, "unit", n_boot=200).first()
     assert (row.mean, row.ci_low, row.ci_high) == (0.5, 0.0, 1.0)
 
 
-def test_bootstrap_matches_one_large_draw(spark, monkeypatch):
-    values = np.random.default_rng(1).normal(size=50)
-    monkeypatch.setattr(resampling, "DRAW_BUDGET", 700)
-    mean, low, high = resampling.resample(values, np.ones(50), 200, 0, 0.05)
-    assert mean == pytest.approx(values.mean()) and (low, high) == pytest.approx(_numpy_interval(values, np.ones(50)))
-    assert math.isnan(resampling.resample(np.zeros(2), np.zeros(2), 10, 0, 0.05)[0])
-
-
-def test_bootstrap_of_a_large_key(spark):
-    values = np.random.default_rng(2).normal(size=400) + 1
-    df = spark.createDataFrame([("big", i, float(v), 1.0) for i, v in enumerate(values)] + [("small", 0, 2.0, 1.0)],
-                               "k string, unit int, total double, cnt double")
-    found = {r.k: r for r in resampling.bootstrap(df, "unit", ["k"], 400, exact_units=100).collect()}
-    low, high = _numpy_interval(values, np.ones(400), 400)
-    assert found["big"].mean == pytest.approx(values.mean())
-    assert found["big"].ci_low == pytest.approx(low, abs=0.03) and found["big"].ci_high == pytest.approx(high, abs=0.03)
-    assert found["small"].mean == 2.0
+def test_deciles_of_repeated_pairs(spark):
+    """Edges are those of the distinct pairs, and a pair without a similarity is a miss."""
+    pairs = [(s, i, float(i), None if i == 0 else float("nan") if i == 1 else 1.0) for i in range(7) for s in ("a", "b", "c")]
+    df = spark.createDataFrame(pairs, "system string, seed_id int, seed_sim double, best_cos double").withColumn("citer_id", F.lit(0))
+    found = {(r.system, r.decile): r.coverage for r in contrast.decile_coverage(df, 0.5).collect()}
+    expected = np.minimum(np.searchsorted(np.percentile(np.arange(7), range(0, 101, 10)), np.arange(7), "right") - 1, 9)
+    assert {d for s, d in found if s == "a"} == set(expected.tolist())
+    assert found[("a", expected[0])] == found[("b", expected[1])] == 0.0 and found[("c", expected[6])] == 1.0
 
 
 def test_system_rankings(spark):

@@ -17,36 +17,52 @@ def apply(spark, expression, values, kind="string"):
     return [r.out for r in rows.select("i", expression(F.col("v")).alias("out")).orderBy("i").collect()]
 
 
-def test_strip_reasoning(spark):
-    cases = {
-        "analysis thinking... assistantfinal The answer.": "The answer.", "<think>hmm</think>\nThe answer.": "The answer.",
-        "<think>never closed": "", "plain text": "plain text", "  analysis only": "", "<|channel>thought x<channel|> y<channel|>\n z": "z",
-        "<|channel>thought never ends": "", "a <think>x\ny</think> b <think>z</think>c": "a b c",
-        "x assistantfinal y assistantfinal z": "y assistantfinal z",
-    }
-    assert apply(spark, TX.strip_reasoning, list(cases)) == list(cases.values())
-
-
-def test_clean_output(spark):
-    cases = {
-        "Title: Some paper\n\nAbstract: The body.": "The body.", "**Abstract:** The body.": "The body.",
-        "**Abstract**  \nThe body.": "The body.", "**Abstract – Proposal for X**  \nThe body.": "The body.",
-        "**Abstract** – We propose **a thing**.": "We propose a thing.",
-        "Abstract meaning representation is hard.": "Abstract meaning representation is hard.",
-        '  "Quoted text."  ': "Quoted text.", "": "",
-    }
-    assert apply(spark, TX.clean_output, list(cases)) == list(cases.values())
-
-
-def test_lists_and_extraction(spark):
-    texts = ['Sure:\n[{"abstract": " one "}, {"abstract": "two"}, {"x": 1}]\nthanks', "no json here",
-             '{"abstract": "first one", "year": 2025}\n\n{"title": "t", "abstract": "second one"}\nnot json {broken',
-             '[{"abstract": 3}, "x", {"abstract": ""}]']
-    assert apply(spark, TX.parse_list, texts) == [["one", "two"], [], ["first one", "second one"], []]
-    single = ["analysis plan it assistantfinal **Abstract:** We propose X.", "analysis never reached the answer"]
-    assert apply(spark, lambda c: TX.extract(c, "independent"), single) == [["We propose X."], []]
-    listed = ['[{"abstract": "We study A.", "probability": 0.2}, {"abstract": "", "probability": 0.1}]']
-    assert apply(spark, lambda c: TX.extract(c, "verbalized"), listed) == [["We study A."]]
+@pytest.mark.parametrize("reply, answer", [
+    ("Nothing leaked here.", "Nothing leaked here."),
+    ("analysis first I weigh both sides\nassistantfinal\n Both matter.", "Both matter."),
+    ("one assistantfinal two assistantfinal three", "two assistantfinal three"),
+    ("\n analysis that was cut off", ""),
+    ("<think>\nsteps\n</think>\n\nDone.", "Done."),
+    ("Start <think>p</think> middle <think>q</think> end", "Start middle end"),
+    ("Fine <think>but unfinished", ""),
+    ("<|channel>thought a<channel|>b<channel|>  final words", "final words"),
+    ("<|channel>thought without an end", ""),
+    ("", ""),
+])
+def test_reasoning_is_removed(spark, reply, answer):
+    assert apply(spark, TX.strip_reasoning, [reply]) == [answer]
+
+
+@pytest.mark.parametrize("raw, clean", [
+    ("TITLE: Sorting apples\n\nWe sort apples.", "We sort apples."),
+    ("**A heading of its own**\n\nWe sort **red** apples.", "We sort red apples."),
+    ("Proposal:  We sort apples.", "We sort apples."),
+    ("**Abstract** - We sort apples.", "We sort apples."),
+    ("ABSTRACT\nWe sort apples.", "We sort apples."),
+    ("Proposals for sorting apples abound.", "Proposals for sorting apples abound."),
+    ('\u00a0"We sort apples." \n', "We sort apples."),
+    ("**Abstract:**", ""),
+])
+def test_output_is_cleaned(spark, raw, clean):
+    assert apply(spark, TX.clean_output, [raw]) == [clean]
+
+
+@pytest.mark.parametrize("reply, abstracts", [
+    ('Here you go: [{"abstract": "Red", "probability": 0.3}, {"abstract": "  Green\\n"}] - enjoy', ["Red", "Green"]),
+    ("I have nothing to list.", []),
+    ('{"abstract": "Braces } and { inside", "n": {"deep": 1}} and then {"abstract": "Blue"} {"abstract": "cut', ["Braces } and { inside", "Blue"]),
+    ('[{"abstract": null}, 7, {"abstract": "   "}, {"other": "x"}]', []),
+    ('He said "hi" {"abstract": "After a quote"}', ["After a quote"]),
+    ('[1] is broken {"abstract": "A \\"quoted\\" word"}', []),
+])
+def test_lists_are_parsed(spark, reply, abstracts):
+    assert apply(spark, TX.parse_list, [reply]) == [abstracts]
+
+
+def test_extraction_by_kind(spark):
+    assert apply(spark, lambda c: TX.extract(c, "independent"), ["<think>x</think>Abstract: Pears.", "**Abstract:**"]) == [["Pears."], []]
+    both = '[{"abstract": "Abstract: Pears."}, {"abstract": "**Abstract:**"}, {"abstract": "Plums."}]'
+    assert apply(spark, lambda c: TX.extract(c, "verbalized"), [both]) == [["Pears.", "Plums."]]
 
 
 def test_labels(spark):
@@ -59,6 +75,9 @@ def test_sentences_and_words(spark):
     text = "  First one.  It has\n3.5 points! \"Quoted?\" Yes. e.g. this stays. "
     assert apply(spark, TX.split_sentences, [text, "", "no end"]) == [
         ["First one.", "It has 3.5 points!", '"Quoted?" Yes. e.g. this stays.'], [], ["no end"]]
+    guarded = "We follow Smith et al. 2020 here. See Fig. 3 and Dr. Who vs. BERT. J. R. Roe agrees."
+    assert apply(spark, TX.split_sentences, [guarded]) == [
+        ["We follow Smith et al. 2020 here.", "See Fig. 3 and Dr. Who vs. BERT.", "J. R. Roe agrees."]]
     assert apply(spark, TX.segmenter(lambda t: t.split(";")), ["a; b ;;c"]) == [["a", "b", "c"]]
     assert apply(spark, TX.word_count, ["a  b\tc d", " "]) == [4, 0]
     assert apply(spark, TX.tokens, ["The  Cat"]) == [["the", "cat"]]
@@ -116,10 +135,6 @@ def test_lexical_helpers():
     for _ in range(200):
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in range(2))
         assert L.common_subsequence(a, b) == lcs(a, b)
-    assert L.tokens_13a("It's 3.5, ok-ish (yes).") == ["It's", "3.5", ",", "ok-ish", "(", "yes", ")", "."]
-    same = L.profile("the cat sat on the mat")
-    assert L.sentence_bleu(same, [same]) == pytest.approx(100)
-    assert L.sentence_bleu(L.profile("a b"), [L.profile("c d")]) == 0
     assert L.rouge_l_f1(list("abc"), list("axc")) == pytest.approx(2 / 3)
     assert [porter(w) for w in ("relational", "hopping", "controlling", "happy")] == ["relat", "hop", "control", "happi"]
 
@@ -133,11 +148,47 @@ def test_lexical_operators(spark):
     bleu = {r.g: r.self_bleu for r in lexical.self_bleu(df, ["g"], "i").collect()}
     assert bleu["same"] == pytest.approx(100) and bleu["diff"] < 20 and math.isnan(bleu["short"])
     refs = spark.createDataFrame([("diff", "a dog ran in a park"), ("diff", "zzz")], "g string, text string")
-    row = lexical.rouge_l_max(df, refs, ["g"], "i", 15).first()
+    row = lexical.rouge_l_max(df, refs, ["g"], "i").first()
     assert row.rouge_l == pytest.approx((5 / 6 + 0) / 2)
     assert {r.g: r.mean_len for r in lexical.mean_length(df, ["g"]).collect()}["same"] == 6
 
 
+def plain_bleu(texts):
+    """Mean leave-one-out BLEU from whole count tables."""
+    import collections
+    grams = [[collections.Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) for n in range(1, 5)] for w in texts]
+    scores = []
+    for i, w in enumerate(texts):
+        others = [j for j in range(len(texts)) if j != i]
+        logs, halved, found = [], 0, 0
+        for n in range(4):
+            total = len(w) - n
+            if total > 0:
+                hits = sum(min(c, max(grams[j][n][g] for j in others)) for g, c in grams[i][n].items())
+                halved += hits == 0
+                found += hits
+                logs.append(math.log(100 * hits / total if hits else 100 / (2**halved * total)))
+        ref = min((len(texts[j]) for j in others), key=lambda x: (abs(x - len(w)), x))
+        scores.append((1 if len(w) >= ref else math.exp(1 - ref / len(w))) * math.exp(sum(logs) / len(logs)) if found else 0)
+    return sum(scores) / len(scores)
+
+
+def test_every_text_of_a_large_set_counts(spark):
+    import random
+    rng = random.Random(3)
+    texts = [[rng.choice("red green blue grey pink teal".split()) for _ in range(rng.randint(1, 12))] for _ in range(150)]
+    df = spark.createDataFrame([("g", i, " ".join(w)) for i, w in enumerate(texts)] + [("g", 999, "  ")], "g string, i int, text string")
+    assert lexical.self_bleu(df, ["g"], "i").first().self_bleu == pytest.approx(plain_bleu(texts))
+    refs = [texts[3] + ["red"], ["none", "known"]]
+    best = [max(2 * lcs(r, t) / (len(r) + len(t)) for t in texts) for r in refs]
+    frame = spark.createDataFrame([("g", " ".join(r)) for r in refs], "g string, text string")
+    assert lexical.rouge_l_max(df, frame, ["g"], "i", stem=None).first().rouge_l == pytest.approx(sum(best) / 2)
+
+
+def test_13a_words(spark):
+    assert apply(spark, lexical._words_13a, ["It's 3.5, ok-ish (yes)."]) == [["It's", "3.5", ",", "ok-ish", "(", "yes", ")", "."]]
+
+
 def test_removal(spark):
     units = spark.createDataFrame([("a", "One is. Two is. Three is."), ("b", "Only one here."), ("c", "X is. Y is.")], "citer_id string, text string")
     labels = spark.createDataFrame([("a", ["METHOD", "RESULT", None]), ("b", ["OTHER"]), ("c", ["METHOD", "METHOD"])], "citer_id string, labels array<string>")
