@@ -14,7 +14,6 @@ from ..functions.strata import CITER_BINS, HORIZONS, horizon, horizon_bucket
 from ..operators import vectors as V
 from ..operators.ranking import cumulative, summary, value_counts
 
-DRAW_ROWS = 100_000
 
 
 # ---- corpus level
@@ -129,31 +128,50 @@ def indexed_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index, ranges
 
 
-def random_sets(ranges: DataFrame, repeats: int = 3, seed: int = 0, rows: int = DRAW_ROWS) -> DataFrame:
+def permuted(slot: np.ndarray, room: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Position of each slot under a keyed permutation of 0..room-1.
+
+    A four-round Feistel network permutes the smallest even number of bits that holds the
+    room; values outside are sent through again until they fall inside, which keeps it a
+    permutation.
+    """
+    half = np.maximum(1, (np.ceil(np.log2(np.maximum(room, 2))).astype(np.int64) + 1) // 2)
+    mask = (np.uint64(1) << half.astype(np.uint64)) - np.uint64(1)
+    bits, out = half.astype(np.uint64), slot.astype(np.uint64)
+    todo = np.arange(len(slot))
+    while len(todo):
+        left, right = out[todo] >> bits[todo], out[todo] & mask[todo]
+        for turn in range(4):
+            mixed = (right + key[todo].view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask[todo])
+        out[todo] = (left << bits[todo]) | right
+        todo = todo[out[todo] >= room[todo].astype(np.uint64)]
+    return out.astype(np.int64)
+
+
+def random_sets(ranges: DataFrame, repeats: int = 3, seed: int = 0) -> DataFrame:
     """Per seed and repeat as many distinct pair indices of other seeds as the seed has citers.
 
-    A seed with more than ``rows`` citers draws in pieces; piece p draws from the positions
-    congruent to p, so pieces never draw the same position.
+    A keyed permutation of the other seeds' positions per (seed, repeat) is read at the slots
+    0..size-1, one row each, so draws are distinct without meeting and a seed of any size
+    spreads over rows.
     """
-    n_pieces = F.greatest(F.ceil(F.col("size") / rows).cast("int"), F.lit(1))
-    jobs = ranges.withColumn("n_pieces", n_pieces).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    hashed = jobs.withColumn("h", F.xxhash64("seed_id", "repeat", "piece", F.lit(seed)))
+    others = F.col("n_pairs") - F.col("size")
+    jobs = ranges.withColumn("room", others).where("room > 0 and size > 0").select(
+        "seed_id", "start", "size", "room", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    slots = jobs.withColumn("key", F.xxhash64("seed_id", "repeat", F.lit(seed))).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.least("size", "room") - 1)).alias("slot"))
     kind = dict(ranges.dtypes)["seed_id"]
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for job in frame.itertuples(index=False):
-                others = job.n_pairs - job.size
-                room = max(0, -(-(others - job.piece) // job.n_pieces))
-                wanted = job.size // job.n_pieces + (job.piece < job.size % job.n_pieces)
-                rng = np.random.default_rng(job.h & 0xFFFFFFFFFFFFFFFF)
-                slots = rng.choice(room, size=min(wanted, room), replace=False) * job.n_pieces + job.piece
-                slots = np.where(slots >= job.start, slots + job.size, slots)
-                yield pd.DataFrame({"seed_id": job.seed_id, "repeat": job.repeat, "idx": slots})
-
-    return hashed.mapInPandas(draw, f"seed_id {kind}, repeat int, idx long")
+            at = permuted(*(frame[c].to_numpy(np.int64) for c in ("slot", "room", "key")))
+            idx = np.where(at >= frame["start"], at + frame["size"], at)
+            yield pd.DataFrame({"seed_id": frame["seed_id"], "repeat": frame["repeat"], "idx": idx})
+
+    return slots.select("seed_id", "repeat", "start", "size", "room", "key", "slot").mapInPandas(
+        draw, f"seed_id {kind}, repeat int, idx long")
 
 
 def spread(items: DataFrame, group: list[str]) -> DataFrame:
