@@ -54,9 +54,46 @@ def parser() -> argparse.ArgumentParser:
     cut.add_argument("--detector", choices=["langdetect", "word-share"], help="language rule of an English-only cut")
     cut.add_argument("--seed-infl-thresholds", help="JSON file {year: [floor, cap]}")
     _cut_arguments(cut)
+    describe = commands.add_parser("characterise", help="tables describing a benchmark")
+    describe.add_argument("--records", required=True)
+    describe.add_argument("--sims", help="Parquet rows (seed_id, citer_id, sim)")
+    describe.add_argument("--out", required=True)
+    contrast = commands.add_parser("contrast", help="coverage next to the other set metrics")
+    contrast.add_argument("--per-seed", required=True, help="Parquet rows of one system and seed")
+    contrast.add_argument("--pairs", required=True, help="Parquet rows (system, seed_id, citer_id, seed_sim, best_cos)")
+    contrast.add_argument("--tau", type=float, required=True)
+    contrast.add_argument("--out", required=True)
+    strip = commands.add_parser("strip", help="benchmark copy without result sentences")
+    strip.add_argument("--records", required=True)
+    strip.add_argument("--labels", required=True)
+    strip.add_argument("--min-citers", type=int, default=CutParams().min_citers)
+    strip.add_argument("--out", required=True)
+    agree = commands.add_parser("agreement", help="kappa, precision and recall of two label columns")
+    agree.add_argument("--table", required=True, help="Parquet rows with both labels")
+    agree.add_argument("--reference", required=True)
+    agree.add_argument("--predicted", required=True)
     return root
 
 
+def run_report(spark: SparkSession, args: argparse.Namespace):
+    """The analyses that read finished tables."""
+    from .operators.agreement import agreement
+    from .params import REMOVED_LABELS
+    from .plans import reports, strip
+    from .sources import results
+
+    if args.command == "characterise":
+        sims = spark.read.parquet(args.sims) if args.sims else None
+        rows = results.benchmark_rows(results.read_benchmark(spark, args.records))
+        return reports.characterise_report(rows, args.out, sims=sims)
+    if args.command == "contrast":
+        return reports.contrast_report(spark.read.parquet(args.per_seed), spark.read.parquet(args.pairs), args.tau, args.out)
+    if args.command == "strip":
+        labels = results.read_citer_labels(spark, args.labels)
+        return strip.strip_benchmark(results.read_benchmark(spark, args.records), labels, args.out, args.min_citers)
+    return agreement(spark.read.parquet(args.table), args.reference, args.predicted, REMOVED_LABELS).first().asDict()
+
+
 def run(spark: SparkSession, args: argparse.Namespace):
     from .operators import corpus
     from .operators.models import DETECTORS, language_rule
@@ -64,6 +101,8 @@ def run(spark: SparkSession, args: argparse.Namespace):
     from .sources import layers
     from .streaming.ingest import ingest
 
+    if args.command in ("characterise", "contrast", "strip", "agreement"):
+        return run_report(spark, args)
     if args.command == "ingest":
         return ingest(spark, args.kind, args.source, args.dest, args.checkpoint, args.max_files, args.bad_lines)
     if args.command == "compact":

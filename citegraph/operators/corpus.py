@@ -34,23 +34,25 @@ def dedup_edges(raw: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """One row per (cited, citing) pair pointing at a seed.
 
     The influence flag is OR-ed. Contexts and intents are taken independently from the
-    copy with the smallest citation id that has them. Copies are combined map-side, so a
-    pair (or a cited paper) that makes up most of the rows shrinks before the shuffle.
+    copy with the smallest citation id that has them. Copies are combined map-side and then
+    exchanged by both ids, so a pair that makes up most of the rows shrinks before the shuffle
+    and a very cited paper spreads over its citers. Seeds are met after that, by an inner join
+    with their distinct ids: a semi-join would be moved below the aggregate, and its exchange
+    by the cited paper alone would gather a hot paper's raw copies in one task.
     """
-    edges = raw.where(F.col("citingcorpusid").isNotNull())
-    if seeds is not None:
-        edges = edges.join(
-            seeds.select(F.col("corpusid").alias("citedcorpusid")).distinct(), "citedcorpusid", "left_semi"
-        )
+    edges = raw.where(F.col("citingcorpusid").isNotNull() & F.col("citedcorpusid").isNotNull())
 
     def first_known(name: str):
-        # NULL content last, then NULL ids last; the content itself settles equal ids.
-        order = F.struct(F.col(name).isNull(), F.col("citationid").isNull(), "citationid", name)
+        # NULL content last, then NULL ids last; a hash of the content settles equal ids.
+        order = F.struct(F.col(name).isNull(), F.col("citationid").isNull(), "citationid", F.xxhash64(name))
         return F.min_by(name, order).alias(name)
 
-    return edges.groupBy("citedcorpusid", "citingcorpusid").agg(
+    combined = edges.groupBy("citedcorpusid", "citingcorpusid").agg(
         F.bool_or("isinfluential").alias("isinfluential"), first_known("contexts"), first_known("intents")
     )
+    if seeds is None:
+        return combined
+    return combined.join(seeds.select(F.col("corpusid").alias("citedcorpusid")).distinct(), "citedcorpusid")
 
 
 def build_citers(edges: DataFrame, papers: DataFrame, abstracts: DataFrame, ids: DataFrame) -> DataFrame:

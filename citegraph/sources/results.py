@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..params import CONDITIONS, N_GENERATIONS
+from ..params import CONDITIONS
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +79,7 @@ def write_matches(matches: DataFrame, path: str, mode: str = "append") -> None:
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """Probabilities over a pair's own generations; padding beyond ``n_gen`` is cut."""
     rows = spark.read.schema(schemas.MATCH_ROW).parquet(path)
-    return rows.withColumn("probs", F.slice("probs", 1, F.least("n_gen", F.lit(N_GENERATIONS))))
+    return rows.withColumn("probs", F.slice("probs", 1, F.col("n_gen")))
 
 
 def missing_units(wanted: DataFrame, stored: DataFrame | None) -> DataFrame:

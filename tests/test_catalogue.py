@@ -57,5 +57,12 @@ def test_pair_plan(spark):
 def test_edge_plan(spark):
     from citegraph.operators import corpus
     from citegraph.sources import sample
-    plan = corpus.dedup_edges(sample.raw_edges(spark, DATA))._jdf.queryExecution().executedPlan().toString()
+    raw = sample.raw_edges(spark, DATA)
+    seeds = spark.range(5).withColumnRenamed("id", "corpusid").hint("merge")
+    plan = corpus.dedup_edges(raw, seeds)._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan and "l_extendedprice" not in plan and "l_tax" not in plan
+    # Copies are combined before the first exchange on the edges, and that exchange is by both ids.
+    lines = plan.split("\n")
+    partial = next(i for i, line in enumerate(lines) if "partial_min_by" in line)
+    above = [line for line in lines[:partial] if "Exchange hashpartitioning" in line][-1]
+    assert "citedcorpusid" in above and "citingcorpusid" in above

@@ -243,6 +243,18 @@ def test_parameters_and_command_line():
     assert (args.n_seeds, args.english_only, args.min_citers, args.seed_infl_top_frac) == (None, False, 3, 0.1)
 
 
+def test_report_commands(spark, tmp_path):
+    citer = lambda i: {"id": i, "title": "t", "abstract": "One is. Two is.", "year": 2020, "fields": []}
+    record = {"seed_id": "1", "seed_title": "x", "seed_year": 2019, "seed_abstract": "s", "seed_citationcount": 3, "n_citers_qualifying": 2, "part": 0, "citers": [citer("a"), citer("b")]}
+    (tmp_path / "records.json").write_text(json.dumps(record) + "\n")
+    run = lambda *a: cli.run(spark, cli.parser().parse_args([*a]))
+    run("characterise", "--records", str(tmp_path / "records.json"), "--out", str(tmp_path / "c"))
+    assert (tmp_path / "c" / "covariates").exists() and (tmp_path / "c" / "concentration").exists()
+    spark.createDataFrame([("METHOD", "METHOD"), ("RESULT", "RESULT"), ("RESULT", "OTHER"), ("METHOD", "RESULT")], "r string, p string").write.parquet(str(tmp_path / "l"))
+    found = run("agreement", "--table", str(tmp_path / "l"), "--reference", "r", "--predicted", "p")
+    assert (found["n"], found["precision"], found["recall"]) == (4, pytest.approx(2 / 3), 1.0)
+
+
 def test_results_follow_their_inputs(spark, tmp_path):
     import os
     write = lambda n: layers.write_once(spark, str(tmp_path / "o"), lambda: spark.range(n), inputs=(str(tmp_path / "i"),))
