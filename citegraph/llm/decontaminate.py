@@ -9,9 +9,10 @@ consistent windows cover at least ``COVERED`` of its tokens.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,9 @@ SHORTEST = 3
 COVERED = 0.5
 # Benchmark windows up to which documents are filtered by a broadcast set (8 bytes a window) before the join.
 FILTER_WINDOWS = 4_000_000
-KEPT = 400_000
+KEPT = 600_000
+# Characters of text whose windows are hashed at a time.
+BATCH_CHARS = 2_000_000
 # Units that may follow a number.
 UNITS = set("""
 mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ton tons ml l liter liters litre litres gal
@@ -37,7 +40,8 @@ _tokens = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+").findall
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    raw = text.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1], 77)
 
 
 _PLACE = np.array([0, _hash("<number>"), _hash("<name>"), _hash("<unit>")], dtype=np.uint64)
@@ -62,16 +66,19 @@ class Words(dict):
         return i
 
 
-def encode(tokens: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: hash of the lower-cased token, hash of the template token, kind."""
+def encode(lists: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of some texts: hash of the lower-cased token, hash of the template token, kind; and the tokens per text."""
     if len(words) > KEPT:
         words.clear()
-    ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    raw, kind = words.raw[ids], words.kind[ids].copy()
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    ids = np.fromiter(map(words.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
+    raw, kind = words.raw[ids], words.kind[ids]
     after_number = np.zeros(len(ids), bool)
     after_number[1:] = kind[:-1] == NUMBER
+    heads = (np.cumsum(lengths) - lengths)[lengths > 0]
+    after_number[heads] = False
     kind[words.unit[ids] & after_number] = UNIT
-    return raw, np.where(kind == LITERAL, raw, _PLACE[kind]), kind
+    return raw, np.where(kind == LITERAL, raw, _PLACE[kind]), kind, lengths
 
 
 def window_hashes(codes: np.ndarray, size: int, salt: int) -> np.ndarray:
@@ -86,18 +93,20 @@ def window_hashes(codes: np.ndarray, size: int, salt: int) -> np.ndarray:
     return h
 
 
-def views(tokens: list[str], words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes of the token view and of the template view, and which template windows hold enough words."""
-    raw, typed, kind = encode(tokens, words)
+def views(encoded: tuple, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window hashes of the token view and of the template view, which windows lie in one text, and which of them hold enough words."""
+    raw, typed, kind, lengths = encoded
+    n = max(0, len(raw) - size + 1)
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(raw))
+    inside = room[:n] >= size
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    n = max(0, len(tokens) - size + 1)
-    enough = 2 * (literal[size:size + n] - literal[:n]) >= size
-    return window_hashes(raw, size, 1), window_hashes(typed, size, 2), enough
+    enough = inside & (2 * (literal[size:size + n] - literal[:n]) >= size)
+    return window_hashes(raw, size, 1), window_hashes(typed, size, 2), inside, enough
 
 
-def slots(tokens: list[str], kinds: np.ndarray, at: int, size: int) -> list[str]:
-    """Values in the window's placeholders, in order."""
-    return [tokens[i].lower() for i in range(at, at + size) if kinds[i] != LITERAL]
+def slots(tokens: list[str], kinds: np.ndarray) -> list[str]:
+    """Values in the placeholders of a window, in order."""
+    return [t.lower() for t, kind in zip(tokens, kinds, strict=True) if kind != LITERAL]
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -114,12 +123,12 @@ def item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
                 if len(tokens) < SHORTEST:
                     continue
                 size = min(WINDOW, len(tokens))
-                plain, typed, enough = views(tokens, words, size)
-                kinds = encode(tokens, words)[2]
+                encoded = encode([tokens], words)
+                plain, typed, _, enough = views(encoded, size)
                 for at in range(len(plain)):
                     out.append((int(plain[at].view(np.int64)), item, at, size, len(tokens), []))
                     if enough[at]:
-                        out.append((int(typed[at].view(np.int64)), item, at, size, len(tokens), slots(tokens, kinds, at, size)))
+                        out.append((int(typed[at].view(np.int64)), item, at, size, len(tokens), slots(tokens[at:at + size], encoded[2][at:at + size])))
             yield pd.DataFrame(out, columns=["hash", "item_id", "at", "size", "n_tokens", "slots"])
 
     return unkeyed(rows.mapInPandas(batches, "hash long, item_id string, at int, size int, n_tokens int, slots array<string>"), kind, "item_id")
@@ -132,26 +141,34 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, known = Words(), shared.value
         if known is not None:
-            bits = 1 << max(16, int(np.ceil(np.log2(16 * (len(known) + 1)))))
-            present = np.zeros(bits, bool)
-            present[known & np.uint64(bits - 1)] = True
+            mask = np.uint64((1 << max(16, (64 * (len(known) + 1)).bit_length())) - 1)
+            present = np.zeros(int(mask) + 1, bool)
+            present[known & mask] = True
+
+        def wanted_windows(hashes: np.ndarray, usable: np.ndarray) -> np.ndarray:
+            if known is None:
+                return np.flatnonzero(usable)
+            at = np.flatnonzero(present[hashes & mask] & usable)
+            return at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]] if len(known) else at[:0]
+
         for frame in frames:
-            out = []
-            for doc, key, text in zip(frame["doc_id"], frame["text_key"], frame["text"], strict=True):
-                tokens = _tokens(text)
+            if not len(frame):
+                continue
+            for _, piece in frame.groupby(frame["text"].str.len().to_numpy().cumsum() // BATCH_CHARS):
+                lists = [_tokens(t) for t in piece["text"]]
+                encoded = encode(lists, words)
+                begin = np.cumsum(encoded[3]) - encoded[3]
+                docs_, keys = piece["doc_id"].tolist(), piece["text_key"].tolist()
+                out = []
                 for size in sizes:
-                    plain, typed, enough = views(tokens, words, size)
-                    for hashes, usable in ((plain, None), (typed, enough)):
-                        if known is None:
-                            at = np.arange(len(hashes)) if usable is None else np.flatnonzero(usable)
-                        else:
-                            hit = present[hashes & np.uint64(bits - 1)]
-                            at = np.flatnonzero(hit if usable is None else hit & usable)
-                            at = at[np.isin(hashes[at], known)] if len(at) else at
-                        if len(at):
-                            kinds = encode(tokens, words)[2] if usable is not None else None
-                            out += [(doc, key, int(hashes[i].view(np.int64)), int(i), [] if kinds is None else slots(tokens, kinds, i, size)) for i in at]
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "hash", "doc_at", "doc_slots"])
+                    plain, typed, inside, enough = views(encoded, size)
+                    for hashes, at, typed_view in ((plain, wanted_windows(plain, inside), False), (typed, wanted_windows(typed, enough), True)):
+                        owner = np.searchsorted(begin, at, "right") - 1
+                        for i, k in zip(at.tolist(), owner.tolist(), strict=True):
+                            first = i - int(begin[k])
+                            values = slots(lists[k][first:first + size], encoded[2][i:i + size]) if typed_view else []
+                            out.append((docs_[k], keys[k], int(hashes[i].view(np.int64)), first, values))
+                yield pd.DataFrame(out, columns=["doc_id", "text_key", "hash", "doc_at", "doc_slots"])
 
     return docs.mapInPandas(batches, "doc_id string, text_key long, hash long, doc_at int, doc_slots array<string>")
 
