@@ -13,6 +13,7 @@ the recursion then runs over whole columns at once and is exact whatever a docum
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, keyed, table, unkeyed
 
-SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 16_000_000
+SAMPLE_ROWS = 1500
+SAMPLE_CHARS = 5_000_000
 BUCKETS = 1 << 18
 ROUNDS = 40
 PENALTY = 1e-3
@@ -171,14 +172,31 @@ def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
     return [np.array([label and tells(w) for w in words], dtype=bool) for words, label in zip(docs, toxic, strict=True)]
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Field:
-    """Penalised maximum likelihood by Rprop steps; the gradient is model expectation less observation."""
+def fit(texts: list[str], toxic: np.ndarray, odds: float = 1.0) -> Field:
+    """A field from two thirds of the texts, its curve from the others; ``odds`` are the labels' toxic : clean.
+
+    A text the field was fitted to scores surer than a new one, so the curve needs texts of its own.
+    """
     field = Field()
     toxic = toxic.astype(bool)
     if not toxic.any() or toxic.all():
         field.offset = -2.0 if not toxic.any() else 2.0
         return field
-    docs = [_words(lowered(t)) for t in texts]
+    own = np.ones(len(texts), bool)
+    for label in (True, False):
+        own[np.flatnonzero(toxic == label)[2::3]] = False
+    learned, kept = ([t for t, x in zip(texts, own, strict=True) if x == side] for side in (True, False))
+    fit_weights(field, learned, toxic[own])
+    if not toxic[~own].any() or toxic[~own].all():
+        fit_curve(field, texts, toxic, odds)
+    else:
+        fit_curve(field, kept, toxic[~own], odds)
+    return field
+
+
+def fit_weights(field: Field, texts: list[str], toxic: np.ndarray) -> None:
+    """Penalised maximum likelihood by Rprop steps; the gradient is model expectation less observation."""
+    docs = [list(map(sys.intern, _words(lowered(t)))) for t in texts]
     gold = token_labels(docs, toxic)
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
     y = np.concatenate(gold)
@@ -186,6 +204,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d), np.int64, int(lengths.sum()))
     slots: dict[int, int] = {}
     grid = np.array([[slots.setdefault(bucket(f), len(slots)) for f in features(w)] for w in vocabulary], dtype=np.int64)
+    del docs, gold
     n_words, width = grid.shape
     size = len(slots) + 6  # bias, start, four transitions
     theta = np.zeros(size)
@@ -222,7 +241,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     names = list(slots)
     field.weights = {names[i]: float(theta[i]) for i in np.flatnonzero(np.abs(theta[:-6]) > 1e-6)}
     field.bias, field.start, field.transition = float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy()
-    # Logistic curve from the logit of the largest marginal to the document's label, by Newton steps.
+
+
+def fit_curve(field: Field, texts: list[str], toxic: np.ndarray, odds: float) -> None:
+    """Logistic curve from the logit of the largest marginal to the document's label, by Newton steps, for labels of these odds."""
     most = np.array([m.max() if len(m) else 0.0 for m in field.tag(texts)])
     x = np.clip(np.log(np.clip(most, 1e-9, 1 - 1e-9) / np.clip(1 - most, 1e-9, 1 - 1e-9)), -15, 15)
     design = np.stack([x, np.ones_like(x)], 1)
@@ -231,14 +253,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
         q = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         hessian = design.T @ (design * (q * (1 - q))[:, None]) + np.diag([0.5, 0.05])
         beta -= np.linalg.solve(hessian, design.T @ (q - toxic) + np.array([0.5, 0.05]) * beta)
-    field.slope, field.offset = float(max(beta[0], 0.05)), float(beta[1])
-    return field
+    sampled = toxic.sum() / (~toxic).sum()
+    field.slope, field.offset = float(max(beta[0], 0.05)), float(beta[1] + np.log(odds / sampled))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held: int, rows: int, chars: int) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held: int, rows: int, chars: int) -> tuple[list[tuple[str, int]], float]:
     """At most ``rows`` labelled texts per class and ``chars`` characters in all, by hash of the id, from the learning folds.
 
     Ids and lengths are ordered, the chosen texts are then read; a text longer than what is left is passed over.
+    With it come the odds of the labels in the learning folds.
     """
     marks = labels.select(F.col("doc_id").cast("string").alias("l_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     pool = docs.where(fold("doc_id", parts) != held).select("doc_id", F.length("text").alias("n")).join(marks, F.col("doc_id") == F.col("l_id"))
@@ -250,11 +273,12 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held:
                 left -= r["n"]
                 chosen[r["doc_id"]] = label
     if not chosen:
-        return []
+        return [], 1.0
+    counts = {r["label"]: r["count"] for r in pool.groupBy("label").count().collect()}
     wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "w_id string")
     found = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("w_id"), "left_semi").collect()
     texts = {r["doc_id"]: r["text"] for r in sorted(found, key=lambda r: r["text"])}
-    return [(texts[i], chosen[i]) for i in sorted(texts)]
+    return [(texts[i], chosen[i]) for i in sorted(texts)], max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1)
 
 
 def score_toxicity(
@@ -264,13 +288,13 @@ def score_toxicity(
     """One row per input row: doc_id, held_out, score, predicted, n_toxic (expected toxic tokens), spans.
 
     ``spans`` are (start, end, probability) in characters of the text, one for each run of tokens
-    with marginal of at least one half. A null text counts as empty; a text without words
+    whose marginal alone gives a score of at least one half. A null text counts as empty; a text without words
     scores as one whose largest marginal is 0. Without labels of both classes no token is
     toxic. Labels outside the learning folds are never read; repeated rows score alike.
     """
     rows_in, kind = keyed(docs, id_col, text_col)
-    learned = sample(rows_in, labels, label_col, parts, held, rows, chars)
-    field = fit([t for t, _ in learned], np.array([y for _, y in learned], dtype=bool))
+    learned, odds = sample(rows_in, labels, label_col, parts, held, rows, chars)
+    field = fit([t for t, _ in learned], np.array([y for _, y in learned], dtype=bool), odds)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def spans(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
@@ -296,7 +320,7 @@ def score_toxicity(
                 score = model.score(most)
                 yield pd.DataFrame({
                     "doc_id": piece["doc_id"], "score": score, "n_toxic": [float(p.sum()) for p in tagged],
-                    "spans": [spans(t, p) for t, p in zip(texts, tagged, strict=True)],
+                    "spans": [spans(t, model.score(p)) for t, p in zip(texts, tagged, strict=True)],
                 })
 
     schema = "doc_id string, score double, n_toxic double, spans array<struct<start:int,end:int,probability:double>>"
