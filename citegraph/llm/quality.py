@@ -220,19 +220,17 @@ def score_quality(
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **folds) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    parts: int = 4, held: int = 2, threshold: float = THRESHOLD,
+) -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, with their own columns.
 
-    The model is fitted as in ``score_quality``; its score is a column expression of the text, so texts are not shuffled.
+    The model is fitted as in ``score_quality``. Its score is a column expression, so statistics
+    are taken twice, but no text is shuffled and rows that share an id are judged by their texts.
     """
-    described = describe(docs, id_col, text_col)
-    if labels is not None:
-        parts, held = folds.get("parts", 4), folds.get("held", 2)
-        ids = labels.select(F.col("doc_id").alias("l_id")).where("l_id is not null").distinct()
-        chosen = docs.join(ids, F.col(id_col) == F.col("l_id"), "left_semi")
-        model = fit(materialise(labelled_rows(describe(chosen, id_col, text_col), labels, folds.get("label_col", "quality"), parts, held)))
-    else:
-        model = fit(described.withColumn("label", F.lit(1)).limit(0))
+    described = materialise(describe(docs, id_col, text_col))
+    model = fit(labelled_rows(described, labels, label_col, parts, held))
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
