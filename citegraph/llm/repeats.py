@@ -37,10 +37,12 @@ GRAM = 16
 PLACES = LENGTH - GRAM + 1
 LONGEST = LENGTH + PLACES - 1
 WIDE = 48
-BLOCK_BYTES = 8_000_000
-BLOCKS_PER_RANGE = 3
+BLOCK_BYTES = 5_000_000
+BLOCKS_PER_RANGE = 2
+# Slices handled at a time where they are wide arrays.
+CHUNK = 16_384
 # Suffixes sorted at a time.
-BATCH = 1_500_000
+BATCH = 1_000_000
 LAST = np.iinfo(np.int64).max
 _BASE = 0x100000001B3
 _powers: dict[int, np.uint64] = {}
@@ -57,6 +59,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def evened(h: np.ndarray) -> np.ndarray:
+    """Named hashes are the smallest of many and lie low; mixed once more they fill all ranges evenly and stay distinct."""
+    return mixed(h ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each place; GRAM is a power of two, so widths are doubled."""
     h, width = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
@@ -87,7 +94,7 @@ def named_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     places = place[at]
-    return places, h[places], at, np.append(at[1:], n) - 1
+    return places, evened(h[places]), at, np.append(at[1:], n) - 1
 
 
 def ranged(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -195,9 +202,12 @@ def named_in_two(rows: DataFrame, ranges_: int, bits: int) -> DataFrame:
 
 def rows_of(texts: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """Slices as rows of ``width`` bytes, zero behind their ends."""
-    at = start[:, None] + np.arange(width)
-    inside = np.arange(width) < size[:, None]
-    return np.where(inside, texts[np.minimum(at, len(texts) - 1)], 0).astype(np.uint8)
+    out = np.zeros((len(start), width), np.uint8)
+    for at in range(0, len(start), CHUNK):
+        part = slice(at, at + CHUNK)
+        place = start[part, None] + np.arange(width)
+        out[part] = np.where(np.arange(width) < size[part, None], texts[np.minimum(place, len(texts) - 1)], 0)
+    return out
 
 
 def row_hash(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -335,15 +345,24 @@ def windows_to_remove(hashes, order, size, rows) -> np.ndarray:
     n = len(lead)
     slices, sizes, named = rows[lead], size[lead].astype(np.int64), hashes[lead]
     # Window hashes from running sums of the row; only windows that another slice or document holds can have copies.
-    run = np.zeros((n, LONGEST + 1), np.uint64)
-    for j in range(LONGEST):
-        run[:, j + 1] = run[:, j] * power(1) + slices[:, j].astype(np.uint64) + np.uint64(1)
-    window = mixed(run[:, LENGTH:] - run[:, :-LENGTH] * power(LENGTH))
+    window = np.empty((n, PLACES), np.uint64)
+    for at in range(0, n, CHUNK):
+        # Bytes of one place of all slices lie together here.
+        part = np.ascontiguousarray(slices[at:at + CHUNK].T)
+        run = np.zeros((LONGEST + 1, part.shape[1]), np.uint64)
+        for j in range(LONGEST):
+            run[j + 1] = run[j] * power(1) + part[j] + np.uint64(1)
+        window[at:at + CHUNK] = mixed(run[LENGTH:] - run[:-LENGTH] * power(LENGTH)).T
     valid = np.arange(PLACES) <= (sizes - LENGTH)[:, None]
     flat = window[valid]
-    _, back, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    # A table of the low bits of repeated hashes lets a few others pass too; the suffix arrays decide.
+    ascending = np.sort(flat)
+    twice = ascending[1:][ascending[1:] == ascending[:-1]]
+    low = np.uint64((1 << max(16, (16 * len(twice)).bit_length())) - 1)
+    table = np.zeros(int(low) + 1, bool)
+    table[twice & low] = True
     candidate = np.zeros((n, PLACES), bool)
-    candidate[valid] = seen[back] > 1
+    candidate[valid] = table[flat & low]
     candidate |= valid & several[:, None]
     best = np.where(valid, doc[:, None], LAST)
     use = candidate.any(1)
@@ -388,7 +407,7 @@ def answer_slices(requests: DataFrame) -> DataFrame:
         while width < GRAM:
             h = h[:, 0::2] * power(width) + h[:, 1::2]
             width *= 2
-        gone = windows_to_remove(mixed(h[:, 0]), order, size, rows)
+        gone = windows_to_remove(evened(mixed(h[:, 0])), order, size, rows)
         edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         r, lo = np.nonzero(edge == 1)
         hi = np.nonzero(edge == -1)[1] - 1 + LENGTH
