@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_of, unkeyed
+from .common import table, text_of, unkeyed
 from .lyndon import ranges, suffix_arrays
 
 # Fixed value of the contract.
@@ -37,12 +37,12 @@ GRAM = 16
 PLACES = LENGTH - GRAM + 1
 LONGEST = LENGTH + PLACES - 1
 WIDE = 48
-BLOCK_BYTES = 5_000_000
-BLOCKS_PER_RANGE = 2
+BLOCK_BYTES = 4_000_000
+BLOCKS_PER_RANGE = 1
 # Slices handled at a time where they are wide arrays.
-CHUNK = 16_384
+CHUNK = 8_192
 # Suffixes sorted at a time.
-BATCH = 1_000_000
+BATCH = 400_000
 LAST = np.iinfo(np.int64).max
 _BASE = 0x100000001B3
 _powers: dict[int, np.uint64] = {}
@@ -485,7 +485,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # So many bits that two of the named hashes agree by chance in about one of a thousand cases.
     bits = int(min(64, max(40, total.bit_length() + 10)))
     flags = named_in_two(rows, parts, bits)
-    state = materialise(cut_slices(blocked_texts(rows), flags, parts, texts_out))
+    # Not stored: cutting is cheap and repeatable, its inputs' exchange is shared, and a stored copy would hold all texts once more.
+    state = cut_slices(blocked_texts(rows), flags, parts, texts_out)
     replies = answer_slices(state.where("kind = 2").select("block", "part", "payload"))
     later = remove(state.where("kind = 1").select("block", "payload"), replies, texts_out)
     done = state.where("kind = 0").select(later.columns).unionByName(later)
