@@ -3,8 +3,8 @@
 Texts become tokens; numbers, capitalised words and units after numbers turn into typed placeholders, all other words are
 lower-cased. Windows of ``WINDOW`` tokens of the benchmark are hashed in two views: the template (used where at least half of the
 window is words) and the lower-cased tokens themselves, which also finds copies whose case changed. Document windows meet them in
-a hash join. Per document, item and alignment the values in the slots must map one to one; an item counts as contained if its
-consistent windows cover at least ``COVERED`` of its tokens.
+a hash join. Per document, item and alignment the values in the slots of its template windows must map one to one, or these windows
+do not count; an item counts as contained if its other windows cover at least ``COVERED`` of its tokens.
 """
 
 from __future__ import annotations
@@ -185,10 +185,11 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
     pairs = F.arrays_zip(F.col("slots").alias("b"), F.col("doc_slots").alias("d"))
     aligned = found.where(F.size("slots") == F.size("doc_slots")).groupBy("doc_id", "text_key", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"), F.collect_set("at").alias("at"),
-        F.first("size").alias("size"), F.first("n_tokens").alias("n_tokens"),
+        F.collect_set(F.when(F.size("slots") == 0, F.col("at"))).alias("verbatim"), F.first("size").alias("size"), F.first("n_tokens").alias("n_tokens"),
     )
+    # Windows without slots match as they are; a conflict of slots takes only the template windows of the alignment away.
     one_to_one = (F.size(F.array_distinct("pairs.b")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.d")) == F.size("pairs"))
-    merged = aligned.where(one_to_one).groupBy("doc_id", "text_key", "item_id").agg(
+    merged = aligned.withColumn("at", F.when(one_to_one, F.col("at")).otherwise(F.col("verbatim"))).groupBy("doc_id", "text_key", "item_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.first("size").alias("size"), F.first("n_tokens").alias("n_tokens"),
     )
     tokens = F.aggregate("at", F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda a, x: F.struct(

@@ -199,6 +199,18 @@ def test_decontamination_of_new_parameters(spark):
     assert len(decontaminate.drop_leaks(docs, items).collect()) == 6
 
 
+def test_decontamination_of_an_edited_verbatim_copy(spark):
+    """One changed capitalised word that recurs in the item takes its template windows away, never the verbatim ones."""
+    item = ("The old mill by the river grinds corn for every village in the valley. "
+            "The miller sleeps under a wide oak tree while slow water turns his heavy wheel all day")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    edited = item.replace(". The", ". An")
+    docs = spark.createDataFrame([(1, f"intro {edited} outro"), (2, f"intro {item} outro"), (3, "An old mill by")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["covered"]) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got[1][0] == [1] and math.isclose(got[1][1], 30 / 31) and got[2] == ([1], 1.0) and got[3] == ([], 0.0)
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, items).collect()] == [3]
+
+
 def test_decontamination_without_the_filter(spark, monkeypatch):
     rng = random.Random(3)
     items = [(i, prose(rng, 20)) for i in range(5)]
