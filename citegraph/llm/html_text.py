@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of host paths.
 
 A page is read once into containers and text blocks. Blocks inside menus, headers, footers, asides, adverts, forms, comments
-and the like are boilerplate; the page's own choice is the deepest container that holds most of the rest, and its generalised
+and the like are boilerplate; the page's own choice is the deepest container that holds most of the rest, but never a plain one
+inside a chosen article or main, and never one with text right next to it, which belongs to the same text. Its generalised
 tag-class path is the page's vote. Votes are summed per host in Spark; pages are then read again and give the text of the
 containers on the host's winning paths. A page on which no winning path holds a fair part of its text falls back to its own choice.
 """
@@ -56,10 +57,10 @@ _number = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "boiler", "good", "first", "last")
+    __slots__ = ("tag", "path", "parent", "boiler", "good", "own", "first", "last")
 
     def __init__(self, tag, path, parent, boiler, first):
-        self.tag, self.path, self.parent, self.boiler, self.good, self.first, self.last = tag, path, parent, boiler, 0.0, first, None
+        self.tag, self.path, self.parent, self.boiler, self.good, self.own, self.first, self.last = tag, path, parent, boiler, 0.0, 0.0, first, None
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -185,21 +186,48 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str, bool, int]]
         if boiler:
             continue
         value = len(text) * max(0.0, 1.0 - linked_chars / max(1, len(text))) ** 2
+        if 2 * linked_chars <= len(text):
+            nodes[at].own += value
         while at >= 0:
             nodes[at].good += value
             at = nodes[at].parent
     return nodes, blocks
 
 
+def inside(nodes: list[Node], node: Node, outer: Node) -> bool:
+    while node.parent >= 0:
+        node = nodes[node.parent]
+        if node is outer:
+            return True
+    return False
+
+
+def whole(nodes: list[Node], node: Node) -> Node:
+    """The lowest container that also holds the text next to ``node`` and its ancestors: loose blocks, and further sections beside a section.
+
+    An article or main is whole by itself, but for text beside it in an article or main around it.
+    """
+    best, below, found = node, node, node.tag in ("article", "main")
+    while below.parent >= 0:
+        up = nodes[below.parent]
+        if not found or up.tag in ("article", "main"):
+            beside = below.tag == "section" and any(n.parent == below.parent and n.tag == "section" and n is not below and not n.boiler and n.good > 0 for n in nodes)
+            if up.own > 0 or beside or up.tag in ("article", "main") and not found:
+                best = up
+        found = found or up.tag in ("article", "main")
+        below = up
+    return best
+
+
 def own_choice(nodes: list[Node]) -> Node:
-    """The deepest container with most of the page's text; an article or main that holds a fair part comes first."""
+    """The deepest container with most of the page's text, made whole; an article or main that holds a fair part comes first."""
     total = nodes[0].good
     best = nodes[0]
     for node in nodes[1:]:
         if not node.boiler and node.tag in CONTAINERS and node.good >= (FAIR if node.tag in ("article", "main") and best.tag not in ("article", "main") else SHARE) * total > 0:
-            if node.good >= SHARE * best.good or node.tag in ("article", "main"):
+            if node.tag in ("article", "main") or node.good >= SHARE * best.good and not (best.tag in ("article", "main") and inside(nodes, node, best)):
                 best = node
-    return best
+    return whole(nodes, best)
 
 
 def text_of_nodes(chosen: list[Node], blocks: list[tuple[int, str, bool, int]]) -> str:
@@ -225,7 +253,7 @@ def extract(source: str, winners: list[str]) -> str:
     for path in winners:
         chosen = [n for n in nodes if n.path == path and not n.boiler]
         if chosen and sum(n.good for n in chosen) >= FAIR * total:
-            return text_of_nodes(chosen, blocks)
+            return text_of_nodes(sorted((whole(nodes, n) for n in chosen), key=lambda n: (n.first, -n.last)), blocks)
     return text_of_nodes([own_choice(nodes)], blocks)
 
 

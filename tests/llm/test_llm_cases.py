@@ -307,6 +307,28 @@ def test_html_host_votes_decide(spark):
     assert got[9] == ("Main text " * 20).strip() and got[0] == ("Main text " * 30).strip()
 
 
+def test_html_keeps_what_stands_beside_the_body(spark):
+    """Title, lead and further sections around a large inner container, inside and outside of an article, and where hosts mix both."""
+    body = "<p>" + "Main text " * 40 + "</p>"
+    text = ("Main text " * 40).strip()
+    layouts = {
+        "a": f"<article><h1>Title</h1><p>Lead</p><div class='article-body'>{body}</div></article>",
+        "b": f"<article><section class=x>{body}</section><section class=y><p>Title</p><p>Lead</p></section></article>",
+        "c": f"<div class=page><h1>Title</h1><p>Lead</p><div class=wrap><div class=text>{body}</div></div></div>",
+        "d": f"<div class=page><section class=x>{body}</section><section class=y><p>Title</p><p>Lead</p></section></div>",
+        "e": f"<main><h1>Title</h1><p>Lead</p><article>{body}</article></main>",
+    }
+    side = "<nav>Menu</nav>{}<div class=extra><p>short</p></div><footer>Foot</footer>"
+    rows = [(f"{k}{n}", f"http://{k}.example/{n}", f"<body>{side.format(layout)}</body>") for k, layout in layouts.items() for n in range(4)]
+    bare = f"<div class=page><div class=wrap><div class=text>{body}</div></div></div>"
+    rows += [(f"m{n}", f"http://m.example/{n}", f"<body>{side.format(layouts['c'] if n == 0 else bare)}</body>") for n in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    for k in layouts:
+        expected = f"{text} Title Lead" if k in "bd" else f"Title Lead {text}"
+        assert {got[f"{k}{n}"] for n in range(4)} == {expected}, k
+    assert got["m0"] == f"Title Lead {text}" and {got[f"m{n}"] for n in range(1, 8)} == {text}
+
+
 def test_token_counts_of_a_small_vocabulary():
     """Ties: of equal paths the one whose last piece is longer wins; unknown runs without byte fallback count once."""
     counter = token_counts.Counter({"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -2.0, "▁": -1.0}, -2.0, False)
