@@ -3,7 +3,8 @@
 1. Sizes per source give targets: shares by weight, none above ``cap`` times the source, the excess shared anew by weight.
 2. A target of f full passes and a remainder takes every document f times and, once more, documents of the remainder. Each
    source is cut by a keyed hash into ``BLOCKS`` blocks of ``BLOCKS`` cells; in the hash order of blocks, cells and documents
-   the remainder takes what fits, so a running sum never covers more than ``BLOCKS`` rows or one cell.
+   the remainder takes what fits, so a running sum never covers more than ``BLOCKS`` rows or one cell. The same steps repeat on
+   the free documents that are no longer than the rest until none is left, so a long document never ends the filling.
 3. Every source's block quota is split among the output shards by a binary tree of shards: at each node the left half of the
    shards receives a hypergeometric part of every source's blocks, the right half the rest. Leaves hold exact quotas, and
    each source's permuted blocks are dealt to the leaves by their running quotas, so shards are disjoint.
@@ -146,6 +147,52 @@ def quotas(blocks: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFra
     return nodes.select("shard", F.explode("parts").alias("p")).select("p.source", "shard", F.col("p.n").alias("quota"))
 
 
+def filled(free: DataFrame, gaps: DataFrame, seed: int) -> DataFrame:
+    """Rows (_row) of ``free`` (_row, key, source, block, cell, size) that fill the ``gap`` of their source, given by rows (source, gap).
+
+    A round takes the documents no longer than the rest in the order of blocks, cells and documents up to the first that does
+    not fit, which is longer than what is left then. Rounds end when no free document is as short as the rest of its source.
+    Before each round and at the end the free document nearest to the rest could be the last one; of these endings the one
+    nearest to the target is kept, so going on never makes a source miss by more.
+    """
+    def near(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+        gaps = gaps.withColumnRenamed("source", "g_source")
+        return materialise(rows.join(gaps, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source").where("size > 0 and size < 2 * gap"))
+
+    def endings(rows: DataFrame, gaps: DataFrame, number: int) -> DataFrame:
+        alone = gaps.where("gap > 0").select("source", F.col("gap").alias("off"), F.lit(None).cast("long").alias("_row"))
+        last = rows.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("_row"))).alias("p")).select("source", "p.*")
+        return alone.unionByName(last).withColumn("round", F.lit(number))
+
+    rows, number = near(free, gaps), 0
+    ends, taken = endings(rows, gaps, 0), free.select("_row", "source", F.lit(0).alias("round")).limit(0)
+    while not rows.where("size <= gap").isEmpty():
+        longer, rows = rows.where("size > gap"), rows.where("size <= gap")
+        cells = rows.groupBy("source", "block", "cell").agg(F.sum("size").alias("cell_size"), F.first("gap").alias("gap"))
+        blocks = cells.groupBy("source", "block").agg(F.sum("cell_size").alias("block_size"), F.first("gap").alias("gap"))
+        permuted = [uniform(seed, "order", F.col("source"), F.col("block")), F.col("block")]
+        blocks = fitting(blocks, ["source"], permuted, "block_size", F.col("gap")).where(F.col("_before") < F.col("gap")).select(
+            F.col("source").alias("b_source"), F.col("block").alias("b_block"), F.col("_fits").alias("block_fits"), (F.col("gap") - F.col("_before")).alias("b_room"))
+        in_block = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block"))
+        cells = cells.join(blocks, in_block)
+        inner = fitting(cells.where("not block_fits"), ["source"], ["cell"], "cell_size", F.col("b_room")).where(F.col("_before") < F.col("b_room"))
+        open_cells = cells.where("block_fits").select("source", "block", "cell", F.lit(True).alias("whole"), F.lit(0.0).alias("c_room")).unionByName(
+            inner.select("source", "block", "cell", F.col("_fits").alias("whole"), (F.col("b_room") - F.col("_before")).cast("double").alias("c_room")))
+        open_cells = open_cells.select(F.col("source").alias("c_source"), F.col("block").alias("c_block"), F.col("cell").alias("c_cell"), "whole", "c_room")
+        placed = rows.join(open_cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")) & (F.col("cell") == F.col("c_cell")), "left")
+        placed = materialise(placed.select(*rows.columns, "whole", "c_room"))
+        edge = fitting(placed.where("not whole"), ["source"], ["size", "key", "_row"], "size", F.col("c_room"))
+        decided = materialise(placed.where("whole is null or whole").withColumn("hit", F.coalesce("whole", F.lit(False))).select(*rows.columns, "hit").unionByName(
+            edge.select(*rows.columns, F.col("_fits").alias("hit"))))
+        taken = taken.unionByName(decided.where("hit").select("_row", "source", F.lit(number).alias("round")))
+        gaps = materialise(decided.groupBy("source").agg((F.first("gap") - F.sum(F.when(F.col("hit"), F.col("size")).otherwise(0))).alias("gap")))
+        rows, number = near(decided.where("not hit").drop("hit", "gap").unionByName(longer.drop("gap")), gaps), number + 1
+        ends = ends.unionByName(endings(rows, gaps, number))
+    best = materialise(ends.groupBy("source").agg(F.min(F.struct("off", "round", "_row")).alias("e")).select(F.col("source").alias("e_source"), "e.round", "e._row"))
+    before = taken.withColumnRenamed("round", "taken_in").join(best.drop("_row"), F.col("source").eqNullSafe(F.col("e_source"))).where("taken_in < round")
+    return before.select("_row").unionByName(best.where("_row is not null").select("_row"))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, levels: int = LEVELS, seed: int = SEED, row_col: str | None = None,
@@ -153,8 +200,8 @@ def mix(
     """One row per input row: doc_id, source, size, source_size, target, copies, taken, shard, place; _row if ``row_col`` numbers the rows.
 
     ``size`` counts words, a null text has none; a null source is a source of its own, ordered
-    last. ``taken`` is copies times size; a source's sum misses its target by less than the one
-    document that comes nearest to what is open. Rows that repeat an id are
+    last. ``taken`` is copies times size; a source's sum misses its target by no
+    more than what is open when no free document fits. Rows that repeat an id are
     decided one by one. ``shard`` and
     ``place`` say where a taken document goes: shard number, and a key that shuffles the shard;
     null where no copy is taken. An empty table gives no rows.
@@ -208,19 +255,17 @@ def mix(
     last = fitting(rows.where(in_edge), ["source"], ["size", F.xxhash64("doc_id"), "_row"], "size", F.col("edge_cell.c_room"))
     last = last.withColumn("extra", F.col("_fits").cast("int")).drop("_before", "_fits")
     drawn = materialise(settled.unionByName(last).select(
-        "doc_id", "source", "size", "source_size", "target", "full", "extra", "shard", "_row",
+        "doc_id", "source", "block", "cell", "size", "source_size", "target", "full", "extra", "shard", "_row",
         ((F.col("full") + F.col("extra")) * F.col("size")).alias("taken"),
     ))
-    # What documents too long for the rest have left open goes to the one document of the source nearest to it in size.
-    gaps = drawn.groupBy("source").agg((F.first("target") - F.sum("taken")).alias("gap"))
-    free = drawn.where("extra = 0 and full < " + str(cap)).join(gaps.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source")))
-    off = F.abs(F.col("size") - F.col("gap"))
-    picked = free.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("_row"))).alias("p"))
-    rows = drawn.join(picked.select(F.col("p._row").alias("_picked")), F.col("_row") == F.col("_picked"), "left")
-    copies = F.col("full") + F.col("extra") + F.col("_picked").isNotNull().cast("int")
+    # What documents too long for the rest have left open goes to free documents that fit, and to the one nearest in size.
+    gaps = materialise(drawn.groupBy("source").agg((F.first("target") - F.sum("taken")).alias("gap")))
+    free = drawn.where("extra = 0 and full < " + str(cap)).select("_row", F.xxhash64("doc_id").alias("key"), "source", "block", "cell", "size")
+    rows = drawn.join(filled(free, gaps, seed).select(F.col("_row").alias("_more")), F.col("_row") == F.col("_more"), "left")
+    copies = F.col("full") + F.col("extra") + F.col("_more").isNotNull().cast("int")
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken"),
-        F.when(copies > 0, F.coalesce(F.col("shard"), F.lit(0))).alias("shard"),
+        F.when(copies > 0, F.coalesce(F.col("shard"), part(2**levels, seed, "spare", F.col("source"), F.col("block")))).alias("shard"),
         F.when(copies > 0, F.xxhash64(F.lit(seed), F.lit("place"), F.col("doc_id"))).alias("place"), *(["_row"] if row_col else []),
     )
 

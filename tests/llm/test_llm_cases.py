@@ -269,6 +269,18 @@ def test_mixing_targets_and_tree(spark):
     assert sum(shards) == 296 and max(shards) - min(shards) <= 1
 
 
+def test_mixing_goes_on_past_a_long_document(spark):
+    """Short free documents fill what a long one leaves open."""
+    sizes = [("s0", 7)] * 100 + [(f"s{k}", n) for k in range(1, 8) for n in [3] * 100 + [130]]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, weights=(7, 1, 1, 1, 1, 1, 1, 1)).collect()
+    assert len(rows) == len(sizes)
+    for k in range(1, 8):
+        own = [r for r in rows if r["source"] == f"s{k}"]
+        assert own[0]["target"] == 265.0 and abs(sum(r["taken"] for r in own) - 265) < 3
+        assert all(r["copies"] in (0, 1) and (r["shard"] is None) == (r["copies"] == 0) for r in own)
+
+
 def test_hypergeometric_follows_its_law(spark):
     draws = spark.range(4000).select(mixing.hypergeometric(F.lit(10), F.lit(8), F.lit(12), mixing.uniform(1, F.col("id"))).alias("x")).collect()
     x = np.array([r["x"] for r in draws])
