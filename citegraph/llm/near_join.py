@@ -1,11 +1,11 @@
-"""Near-duplicate join on word shingles: MinHash LSH forest, then exact verification.
+"""Near-duplicate join on word shingles: MinHash bands, then exact verification.
 
 1. Each text gives its set of hashed shingles of five words, ``TREES`` short signatures (the labels along a path of a prefix
    tree) and ``TREES * DEPTH`` single bytes of the same minima. Rows of equal texts form a class; the rest of the work is done
    once per class.
-2. In every tree two classes meet if they share a prefix. Prefixes start at full length and are shortened until the expected
-   share of pairs at the threshold that meet in some tree reaches ``RECALL``; that depth is the bucket key, and a task reads
-   its buckets in the order of the longer prefixes below it.
+2. In every tree two classes meet if they share a prefix. Its depth is fixed in advance by constants, never by the data: the
+   longest one at which the expected share of pairs at the threshold that meet in some tree reaches ``RECALL``. So the trees
+   are bands of minima; the order of the longer prefixes inside a bucket is not used to pick pairs.
 3. Inside a bucket, byte signatures pick likely pairs; they are reduced to one link per class at once, so no pair leaves a
    task. Large buckets are split into blocks, and every two blocks meet in a task of their own.
 4. Connected components of those links are verified exactly: all pairs of a component are counted through an index of shared
