@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, exact_dedup, html_text, mixing, near_join, quality, repeats, token_counts, toxicity
+from . import (
+    bisector, brown, covering, decontaminate, exact_dedup, html_text, mixing, near_join, quality, repair, repeats, token_counts, toxicity,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_repair": repair.op11_repair,
+    "op12_bisector": bisector.op12_bisector,
+    "op13_simhash": covering.op13_simhash,
 }
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op11_repair": repair.ORACLE, "op12_bisector": bisector.ORACLE}

@@ -49,7 +49,7 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root): the smallest node of each connected component, for nodes with an edge (a, b).
 
     Large-star and small-star steps alternate: in the first each node links its larger
@@ -59,7 +59,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     small = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
