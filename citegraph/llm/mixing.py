@@ -4,7 +4,8 @@
 2. A target of f full passes and a remainder takes every document f times and, once more, documents of the remainder. Each
    source is cut by a keyed hash into ``BLOCKS`` blocks of ``BLOCKS`` cells; in the hash order of blocks, cells and documents
    the remainder takes what fits, so a running sum never covers more than ``BLOCKS`` rows or one cell. The same steps repeat on
-   the free documents that are no longer than the rest until none is left, so a long document never ends the filling.
+   the free documents that are no longer than the rest until none is left, so a long document never ends the filling. A source
+   that still misses its target exchanges copies: a dynamic programme over sums of a few short documents' copies.
 3. Every source's block quota is split among the output shards by a binary tree of shards: at each node the left half of the
    shards receives a hypergeometric part of every source's blocks, the right half the rest. Leaves hold exact quotas, and
    each source's permuted blocks are dealt to the leaves by their running quotas, so shards are disjoint.
@@ -26,6 +27,10 @@ CAP = 3
 BLOCKS = 256
 LEVELS = 5
 SEED = 17
+# Sources that miss by a larger share exchange copies of documents of up to REACH words, TRADED from either end.
+NEAR = 0.001
+TRADED = 8
+REACH = 4096
 
 
 def words(text) -> Column:
@@ -193,6 +198,46 @@ def filled(free: DataFrame, gaps: DataFrame, seed: int) -> DataFrame:
     return before.select("_row").unionByName(best.where("_row is not null").select("_row"))
 
 
+def exchanges(rows: DataFrame, cap: int) -> DataFrame:
+    """Rows (_row, change): copies to add or give back, from stored rows (_row, key, source, size, copies, target).
+
+    Only sources that miss their target by more than ``NEAR`` of it take part, and of each at most 2 * ``TRADED`` documents: the
+    shortest and those nearest in size to the gap, among up to eight of every size. Each may have 0 to ``cap`` copies. The sums that the first
+    k documents can reach, at most 2 * ``REACH`` + 1 of them, form one array per k; the sum nearest to the gap is then traced
+    back through the arrays, unchanged documents first. An exchange never makes a source miss by more.
+    """
+    gaps = rows.groupBy("source").agg(F.first("target").alias("g_target"), F.sum(F.col("copies") * F.col("size")).alias("g_taken"))
+    gaps = materialise(gaps.select(F.col("source").alias("g_source"), (F.col("g_target") - F.col("g_taken")).alias("gap"), "g_target").where(
+        F.abs("gap") > F.col("g_target") * NEAR).drop("g_target"))
+    if gaps.isEmpty():
+        return rows.select("_row", F.lit(0).alias("change")).limit(0)
+    near = rows.where((F.col("size") > 0) & (F.col("size") <= REACH)).join(gaps, F.col("source").eqNullSafe(F.col("g_source")))
+    one = F.struct("key", "_row", "copies")
+    few = near.groupBy("source", "gap", "size", F.pmod("key", F.lit(4)).alias("slot")).agg(F.min(one).alias("a"), F.max(one).alias("b"))
+    few = few.select("source", "gap", "size", F.explode(F.array_distinct(F.array("a", "b"))).alias("d"))
+    own = Window.partitionBy("source")
+    picked = few.withColumn("short", F.row_number().over(own.orderBy("size", "d"))).withColumn(
+        "close", F.row_number().over(own.orderBy(F.abs(F.col("size") - F.abs("gap")), "d"))).where((F.col("short") <= TRADED) | (F.col("close") <= TRADED))
+    items = picked.groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct("size", "d._row", "d.copies")), asc=False).alias("items"))
+    choices = lambda p: F.transform(F.array_sort(F.transform(
+        F.sequence(-p["copies"], F.lit(cap) - p["copies"]), lambda c: F.struct(F.abs(c).alias("moved"), c.alias("c")))), lambda x: x["c"].cast("long"))
+    sums = F.aggregate("items", F.array(F.array(F.lit(0).cast("long"))), lambda acc, p: F.concat(acc, F.array(F.array_distinct(F.filter(
+        F.flatten(F.transform(choices(p), lambda c: F.transform(F.element_at(acc, -1), lambda x: x + c * p["size"]))), lambda x: F.abs(x) <= REACH)))))
+    reached = items.withColumn("sums", sums).withColumn("goal", F.array_min(F.transform(
+        F.element_at("sums", -1), lambda x: F.struct(F.abs(F.col("gap") - x).alias("off"), x.alias("x"))))["x"])
+    kind = "struct<k:int,rest:long,changes:array<struct<_row:long,change:int>>>"
+
+    def back(acc, p):
+        change = F.filter(choices(p), lambda c: F.array_contains(F.element_at("sums", acc["k"]), acc["rest"] - c * p["size"]))[0]
+        return let(change, lambda c: F.struct(
+            (acc["k"] - 1).alias("k"), (acc["rest"] - c * p["size"]).alias("rest"),
+            F.concat(acc["changes"], F.array(F.struct(p["_row"].alias("_row"), c.cast("int").alias("change")))).alias("changes")).cast(kind))
+
+    start = F.struct(F.size("items").alias("k"), F.col("goal").alias("rest"), F.array().cast("array<struct<_row:long,change:int>>").alias("changes"))
+    traced = reached.select(F.aggregate(F.reverse("items"), start.cast(kind), back)["changes"].alias("changes"))
+    return traced.select(F.explode("changes").alias("x")).select("x._row", "x.change").where("change <> 0")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, levels: int = LEVELS, seed: int = SEED, row_col: str | None = None,
@@ -262,7 +307,10 @@ def mix(
     gaps = materialise(drawn.groupBy("source").agg((F.first("target") - F.sum("taken")).alias("gap")))
     free = drawn.where("extra = 0 and full < " + str(cap)).select("_row", F.xxhash64("doc_id").alias("key"), "source", "block", "cell", "size")
     rows = drawn.join(filled(free, gaps, seed).select(F.col("_row").alias("_more")), F.col("_row") == F.col("_more"), "left")
-    copies = F.col("full") + F.col("extra") + F.col("_more").isNotNull().cast("int")
+    rows = materialise(rows.withColumn("copies", (F.col("full") + F.col("extra") + F.col("_more").isNotNull().cast("int")).cast("int")))
+    traded = exchanges(rows.select("_row", F.xxhash64("doc_id").alias("key"), "source", "size", "copies", "target"), cap)
+    rows = rows.join(traded.select(F.col("_row").alias("_traded"), "change"), F.col("_row") == F.col("_traded"), "left")
+    copies = F.col("copies") + F.coalesce("change", F.lit(0))
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken"),
         F.when(copies > 0, F.coalesce(F.col("shard"), part(2**levels, seed, "spare", F.col("source"), F.col("block")))).alias("shard"),
