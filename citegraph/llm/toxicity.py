@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field of two states, clean and toxic.
 
 Learning uses a bounded sample of labelled documents (``SAMPLE_ROWS`` per class, ``SAMPLE_CHARS`` in all). Documents carry one
-label, so tokens get theirs first: a token of a toxic document is toxic if one of its surface features is much more frequent in
-toxic than in clean documents of the sample. The field has a weight per hashed surface feature (word, prefixes, suffix), a bias, a
+label, so tokens get theirs first: a token of a toxic document is toxic if one of its surface features is held by far more
+toxic documents of the sample than chance explains. Documents are scored by two views of the marginals, the largest one and
+the sum of their squares, through a logistic curve fitted to fields that have not seen the document. The field has a weight per hashed surface feature (word, prefixes, suffix), a bias, a
 start weight and four transition weights, and is fitted by gradient steps on the penalised log-likelihood.
 
 Scoring is one pass over the texts without a shuffle. The odds toxic : clean of the forward and of the backward recursion pass from
@@ -27,10 +28,16 @@ from .common import fold, keyed, table, unkeyed
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 5_000_000
 BUCKETS = 1 << 18
-ROUNDS = 40
+ROUNDS = 25
 PENALTY = 1e-3
 THRESHOLD = 0.7
 SPAN = 0.5
+FOLDS = 5
+# A surface feature tells from this likelihood ratio statistic and this ratio of rates on.
+RATIO_TEST = 9.0
+RATE = 6.0
+# Surface features of a word.
+WIDTH = 6
 # Words whose weights a worker keeps; when full the store starts anew.
 KEPT = 500_000
 # Characters of text scored at a time.
@@ -111,13 +118,13 @@ def _recursions(unary, lengths, transition, start):
 
 
 class Field:
-    """Fitted weights; ``clean`` texts score near 0, toxic near 1 through a logistic curve of the largest marginal."""
+    """Fitted weights; ``clean`` texts score near 0, toxic near 1 through a logistic curve of the marginals' evidence."""
 
     def __init__(self):
         self.weights: dict[int, float] = {}
         self.bias, self.start = -6.0, 0.0
         self.transition = np.zeros((2, 2))
-        self.slope, self.offset = 1.0, 0.0
+        self.slopes, self.offset = np.array([1.0, 0.0]), 0.0
         self.known: dict[str, float] = {}
 
     def __getstate__(self):
@@ -143,70 +150,96 @@ class Field:
         unary = np.concatenate([self.unary(w) for w in words]) if words else np.zeros(0)
         return np.split(marginals(unary, lengths, self.transition, self.start), np.cumsum(lengths)[:-1])
 
-    def score(self, most: np.ndarray) -> np.ndarray:
-        most = np.clip(most, 1e-9, 1 - 1e-9)
-        return 1.0 / (1.0 + np.exp(-(self.slope * np.log(most / (1 - most)) + self.offset)))
-
-
-def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
-    """0/1 per token from the documents' labels.
-
-    A feature speaks for toxicity if at least three toxic documents hold it and its smoothed
-    rate in toxic documents is 30 times that in clean ones; a token is toxic in a toxic document
-    if its word or a prefix of four or more letters does.
-    """
-    in_toxic, in_clean = {}, {}
-    for words, label in zip(docs, toxic, strict=True):
-        counts = in_toxic if label else in_clean
-        for f in {f for w in set(words) for f in features(w)[:5] if f[0] not in "3e"}:
-            counts[f] = counts.get(f, 0) + 1
-    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    telling = {f for f, c in in_toxic.items() if c >= 3 and (c / n_toxic) >= 30 * (in_clean.get(f, 0) + 0.1) / n_clean}
-    known: dict[str, bool] = {}
-
-    def tells(w: str) -> bool:
-        if w not in known:
-            known[w] = any(f in telling for f in features(w)[:5])
-        return known[w]
-
-    return [np.array([label and tells(w) for w in words], dtype=bool) for words, label in zip(docs, toxic, strict=True)]
+    def evidence(self, tagged: list[np.ndarray]) -> np.ndarray:
+        """Per text the logit of the largest marginal and log(1 + sum of squared marginals).
+
+        Squares count toxic tokens and keep the faint background of a long clean text from adding up.
+        """
+        most = np.clip([p.max() if len(p) else 0.0 for p in tagged], 1e-9, 1 - 1e-9)
+        total = np.array([(p * p).sum() for p in tagged])
+        return np.stack([np.clip(np.log(most / (1 - most)), -15, 15), np.log1p(total)], 1).reshape(-1, 2)
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(evidence @ self.slopes + self.offset, -40, 40)))
+
+
+class Tokens:
+    """Texts as numbers of words and of hashed features, built once for all fits on parts of them."""
+
+    def __init__(self, texts: list[str]):
+        docs = [list(map(sys.intern, _words(lowered(t)))) for t in texts]
+        self.lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        vocabulary: dict[str, int] = {}
+        self.word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d), np.int64, int(self.lengths.sum()))
+        self.doc = np.repeat(np.arange(len(docs)), self.lengths)
+        self.slots: dict[int, int] = {}
+        self.grid = np.array([[self.slots.setdefault(bucket(f), len(self.slots)) for f in features(w)] for w in vocabulary], dtype=np.int64).reshape(-1, WIDTH)
+        # Features that may tell: the word itself and prefixes of at least four letters.
+        names: dict[str, int] = {}
+        self.signs = np.array([[names.setdefault(f, len(names)) for f in telling_features(w)] for w in vocabulary], dtype=np.int64).reshape(-1, 4)
+        pair = np.unique(self.doc * max(1, len(vocabulary)) + self.word)
+        held = np.stack([np.repeat(pair // max(1, len(vocabulary)), 4), self.signs[pair % max(1, len(vocabulary))].ravel()], 1)
+        # Every (document, feature) once.
+        self.held = np.unique(held, axis=0)
+        self.n_signs = len(names)
+
+    def labels(self, toxic: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """0/1 per token from the labels of the documents in ``own``.
+
+        A feature speaks for toxicity if more toxic documents hold it than chance explains (likelihood ratio at
+        least ``RATIO_TEST``) and its smoothed rate there is ``RATE`` times that in clean ones; a token is toxic in
+        a toxic document if its word or a prefix of four or more letters does.
+        """
+        docs, signs = self.held[own[self.held[:, 0]]].T
+        n_toxic, n_clean = int((toxic & own).sum()), int((~toxic & own).sum())
+        a = np.bincount(signs[toxic[docs]], minlength=self.n_signs).astype(float)
+        b = np.bincount(signs[~toxic[docs]], minlength=self.n_signs).astype(float)
+        expected = np.maximum((a + b) * n_toxic / (n_toxic + n_clean), 1e-9), np.maximum((a + b) * n_clean / (n_toxic + n_clean), 1e-9)
+        ratio = 2 * sum(np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / e), 0.0) for x, e in zip((a, b), expected))
+        telling = (ratio >= RATIO_TEST) & (a * n_clean >= RATE * (b + 0.1) * n_toxic)
+        return telling[self.signs].any(1)[self.word] & toxic[self.doc]
+
+
+def telling_features(word: str) -> list[str]:
+    return ["w=" + word, "4=" + word[:4], "5=" + word[:5], "6=" + word[:6]]
 
 
 def fit(texts: list[str], toxic: np.ndarray, odds: float = 1.0) -> Field:
-    """A field from two thirds of the texts, its curve from the others; ``odds`` are the labels' toxic : clean.
+    """A field from all texts, its curve from evidence of fields that did not see the text; ``odds`` are the labels' toxic : clean.
 
-    A text the field was fitted to scores surer than a new one, so the curve needs texts of its own.
+    A text the field was fitted to scores surer than a new one, so the texts are dealt into ``FOLDS`` parts, and each part is
+    tagged by a field of the others.
     """
     field = Field()
     toxic = toxic.astype(bool)
     if not toxic.any() or toxic.all():
         field.offset = -2.0 if not toxic.any() else 2.0
         return field
-    own = np.ones(len(texts), bool)
+    tokens = Tokens(texts)
+    part = np.zeros(len(texts), np.int64)
     for label in (True, False):
-        own[np.flatnonzero(toxic == label)[2::3]] = False
-    learned, kept = ([t for t, x in zip(texts, own, strict=True) if x == side] for side in (True, False))
-    fit_weights(field, learned, toxic[own])
-    if not toxic[~own].any() or toxic[~own].all():
-        fit_curve(field, texts, toxic, odds)
-    else:
-        fit_curve(field, kept, toxic[~own], odds)
+        at = np.flatnonzero(toxic == label)
+        part[at] = np.arange(len(at)) % FOLDS
+    evidence = np.zeros((len(texts), 2))
+    for k in range(FOLDS):
+        own = part != k
+        if not (own & toxic).any() or not (own & ~toxic).any():
+            own = np.ones(len(texts), bool)
+        fit_weights(field, tokens, toxic, own)
+        left = np.flatnonzero(part == k)
+        evidence[left] = field.evidence(field.tag([texts[i] for i in left]))
+    fit_weights(field, tokens, toxic, np.ones(len(texts), bool))
+    fit_curve(field, evidence, toxic, odds)
     return field
 
 
-def fit_weights(field: Field, texts: list[str], toxic: np.ndarray) -> None:
-    """Penalised maximum likelihood by Rprop steps; the gradient is model expectation less observation."""
-    docs = [list(map(sys.intern, _words(lowered(t)))) for t in texts]
-    gold = token_labels(docs, toxic)
-    lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    y = np.concatenate(gold)
-    vocabulary: dict[str, int] = {}
-    word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d), np.int64, int(lengths.sum()))
-    slots: dict[int, int] = {}
-    grid = np.array([[slots.setdefault(bucket(f), len(slots)) for f in features(w)] for w in vocabulary], dtype=np.int64)
-    del docs, gold
+def fit_weights(field: Field, tokens: Tokens, toxic: np.ndarray, own: np.ndarray) -> None:
+    """Penalised maximum likelihood over the documents in ``own`` by Rprop steps; the gradient is model expectation less observation."""
+    inside = own[tokens.doc]
+    y, word, lengths = tokens.labels(toxic, own)[inside], tokens.word[inside], tokens.lengths[own]
+    grid = tokens.grid
     n_words, width = grid.shape
-    size = len(slots) + 6  # bias, start, four transitions
+    size = len(tokens.slots) + 6  # bias, start, four transitions
     theta = np.zeros(size)
     theta[-6] = -3.0
     step, last = np.full(size, 0.3), np.zeros(size)
@@ -216,7 +249,7 @@ def fit_weights(field: Field, texts: list[str], toxic: np.ndarray) -> None:
     pairs = np.flatnonzero(inner)
     seen = np.bincount(word[y], minlength=n_words)
     observed_pairs = np.bincount(2 * y[pairs - 1] + y[pairs], minlength=4)
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if len(word) else 0):
         unary = (theta[grid].sum(1) + theta[-6])[word]
         transition = theta[-4:].reshape(2, 2)
         forward, backward, p = _recursions(unary, lengths, transition, theta[-5])
@@ -228,33 +261,49 @@ def fit_weights(field: Field, texts: list[str], toxic: np.ndarray) -> None:
         cells /= cells.sum(0)
         by_word = np.bincount(word, weights=p, minlength=n_words) - seen
         gradient = np.zeros(size)
-        gradient[:-6] = np.bincount(grid.ravel(), weights=np.repeat(by_word, width), minlength=len(slots))
+        gradient[:-6] = np.bincount(grid.ravel(), weights=np.repeat(by_word, width), minlength=len(tokens.slots))
         gradient[-6] = by_word.sum()
         gradient[-5] = (p[heads] - y[heads]).sum()
         gradient[-4:] = cells.sum(1) - observed_pairs
-        gradient += PENALTY * len(texts) * theta * 0.1
+        gradient += PENALTY * len(lengths) * theta * 0.1
         agree = gradient * last
         step = np.clip(np.where(agree > 0, step * 1.3, np.where(agree < 0, step * 0.5, step)), 1e-4, 1.0)
         theta -= np.sign(gradient) * step
         theta[-4:] = np.clip(theta[-4:], -4, 4)
         last = np.where(agree < 0, 0.0, gradient)
-    names = list(slots)
+    names = list(tokens.slots)
     field.weights = {names[i]: float(theta[i]) for i in np.flatnonzero(np.abs(theta[:-6]) > 1e-6)}
     field.bias, field.start, field.transition = float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy()
+    field.known = {}
 
 
-def fit_curve(field: Field, texts: list[str], toxic: np.ndarray, odds: float) -> None:
-    """Logistic curve from the logit of the largest marginal to the document's label, by Newton steps, for labels of these odds."""
-    most = np.array([m.max() if len(m) else 0.0 for m in field.tag(texts)])
-    x = np.clip(np.log(np.clip(most, 1e-9, 1 - 1e-9) / np.clip(1 - most, 1e-9, 1 - 1e-9)), -15, 15)
-    design = np.stack([x, np.ones_like(x)], 1)
-    beta = np.array([0.5, 0.0])
-    for _ in range(25):
-        q = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hessian = design.T @ (design * (q * (1 - q))[:, None]) + np.diag([0.5, 0.05])
-        beta -= np.linalg.solve(hessian, design.T @ (q - toxic) + np.array([0.5, 0.05]) * beta)
+def fit_curve(field: Field, evidence: np.ndarray, toxic: np.ndarray, odds: float) -> None:
+    """Logistic curve from the evidence to the document's label for labels of these odds.
+
+    More evidence never lowers a score: a slope that would fall below zero is held at zero and the others, the intercept
+    included, are fitted anew. Evidence that is the same for all texts leaves the labels' odds.
+    """
+    spread = evidence.std(0)
+    middle = evidence.mean(0)
+    free = [j for j in range(evidence.shape[1]) if spread[j] > 1e-9]
+    while True:
+        design = np.column_stack([*[(evidence[:, j] - middle[j]) / spread[j] for j in free], np.ones(len(evidence))])
+        penalty = np.diag([0.3] * len(free) + [1e-6])
+        beta = np.zeros(len(free) + 1)
+        beta[-1] = np.log(toxic.sum() / (~toxic).sum())
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+            change = np.linalg.solve(design.T @ (design * (q * (1 - q))[:, None]) + penalty, design.T @ (q - toxic) + penalty @ beta)
+            beta -= np.clip(change, -2, 2)
+        negative = [j for j, v in zip(free, beta[:-1]) if v < 0]
+        if not negative:
+            break
+        free = [j for j in free if j not in negative]
+    field.slopes = np.zeros(evidence.shape[1])
+    for j, v in zip(free, beta[:-1]):
+        field.slopes[j] = v / spread[j]
     sampled = toxic.sum() / (~toxic).sum()
-    field.slope, field.offset = float(max(beta[0], 0.05)), float(beta[1] + np.log(odds / sampled))
+    field.offset = float(beta[-1] - field.slopes @ middle + np.log(odds / sampled))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held: int, rows: int, chars: int) -> tuple[list[tuple[str, int]], float]:
@@ -264,21 +313,23 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held:
     With it come the odds of the labels in the learning folds.
     """
     marks = labels.select(F.col("doc_id").cast("string").alias("l_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    pool = docs.where(fold("doc_id", parts) != held).select("doc_id", F.length("text").alias("n")).join(marks, F.col("doc_id") == F.col("l_id"))
+    pool = docs.where(fold("doc_id", parts) != held).select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("key")).join(marks, F.col("doc_id") == F.col("l_id"))
     chosen: dict = {}
     for label in (1, 0):
         left = chars // 2
-        for r in pool.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():
+        for r in pool.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "n", "key").limit(rows).collect():
             if r["n"] <= left and r["doc_id"] not in chosen:
                 left -= r["n"]
-                chosen[r["doc_id"]] = label
+                chosen[r["doc_id"]] = label, r["key"]
     if not chosen:
         return [], 1.0
     counts = {r["label"]: r["count"] for r in pool.groupBy("label").count().collect()}
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "w_id string")
-    found = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("w_id"), "left_semi").collect()
-    texts = {r["doc_id"]: r["text"] for r in sorted(found, key=lambda r: r["text"])}
-    return [(texts[i], chosen[i]) for i in sorted(texts)], max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1)
+    wanted = docs.sparkSession.createDataFrame([(i, key) for i, (_, key) in chosen.items()], "w_id string, w_key long")
+    # Of rows that repeat an id only the chosen text is fetched, and once.
+    same = (F.col("doc_id") == F.col("w_id")) & (F.xxhash64("text") == F.col("w_key"))
+    found = docs.join(F.broadcast(wanted), same, "left_semi").dropDuplicates(["doc_id"]).collect()
+    texts = {r["doc_id"]: r["text"] for r in found}
+    return [(texts[i], chosen[i][0]) for i in sorted(texts)], max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1)
 
 
 def score_toxicity(
@@ -288,8 +339,8 @@ def score_toxicity(
     """One row per input row: doc_id, held_out, score, predicted, n_toxic (expected toxic tokens), spans.
 
     ``spans`` are (start, end, probability) in characters of the text, one for each run of tokens
-    whose marginal alone gives a score of at least one half. A null text counts as empty; a text without words
-    scores as one whose largest marginal is 0. Without labels of both classes no token is
+    whose marginal is at least one half. A null text counts as empty; a text without words
+    scores as one without evidence. Without labels of both classes no token is
     toxic. Labels outside the learning folds are never read; repeated rows score alike.
     """
     rows_in, kind = keyed(docs, id_col, text_col)
@@ -316,11 +367,10 @@ def score_toxicity(
             for _, piece in frame.groupby(sizes, sort=True):
                 texts = piece["text"].tolist()
                 tagged = model.tag(texts)
-                most = np.array([p.max() if len(p) else 0.0 for p in tagged])
-                score = model.score(most)
+                score = model.score(model.evidence(tagged))
                 yield pd.DataFrame({
                     "doc_id": piece["doc_id"], "score": score, "n_toxic": [float(p.sum()) for p in tagged],
-                    "spans": [spans(t, model.score(p)) for t, p in zip(texts, tagged, strict=True)],
+                    "spans": [spans(t, p) for t, p in zip(texts, tagged, strict=True)],
                 })
 
     schema = "doc_id string, score double, n_toxic double, spans array<struct<start:int,end:int,probability:double>>"

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import plain  # noqa: E402
 
-from citegraph.llm import bisector, catalogue, covering, repair  # noqa: E402
+from citegraph.llm import bisector, catalogue, covering, mixing, repair, toxicity  # noqa: E402
 from citegraph.llm.groups import components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -234,3 +234,39 @@ def test_links_of_large_buckets(spark, bucket):
     links = covering.covered_links(spark.createDataFrame([(p,) for p in prints], "fp long"), bucket=bucket)
     got = {r["node"]: r["root"] for r in components(links).where(F.col("node") != F.col("root")).collect()}
     assert got == {prints[i]: prints[r] for i, r in enumerate(roots(np.array(prints).view(np.uint64))) if r != i}
+
+
+def held_out_auc(rows, labels):
+    known = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    toxic, clean = ([s for s, y in known if y == side] for side in (1, 0))
+    return sum((t > c) + (t == c) / 2 for t in toxic for c in clean) / (len(toxic) * len(clean)), known
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall())
+    auc, known = held_out_auc(catalogue.QUERIES["op1_toxicity"](spark, sf).collect(), labels)
+    assert auc > 0.85 and sum((s >= 0.7) == y for s, y in known) >= 0.95 * len(known)
+
+
+@pytest.mark.parametrize("n, n_toxic", [(60, 30), (300, 30), (80, 20)])
+def test_toxicity_without_telling_words_keeps_the_odds(n, n_toxic):
+    rng = random.Random(n)
+    toxic = np.array([k < n_toxic for k in range(n)])
+    field = toxicity.fit([" ".join(f"u{rng.randrange(10**9)}" for _ in range(20)) for _ in range(n)], toxic, n_toxic / (n - n_toxic))
+    score = field.score(field.evidence(field.tag([f"v{k} w{k}" for k in range(20)])))
+    assert np.allclose(score, n_toxic / n, atol=0.1) and (field.slopes >= 0).all()
+
+
+def test_mixing_exchanges_copies_in_small_sources(spark):
+    rng = random.Random(12)
+    rows = [(s * 100 + k, "w " * rng.choice([90, 170, 260, 310, 420, 777]), f"s{s}") for s in range(9) for k in range(8)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {r["source"] for r in out}:
+        own = [r for r in out if r["source"] == s]
+        sums = {0}
+        for r in own:
+            sums = {x + c * r["size"] for x in sums for c in range(4)}
+        nearest = min(abs(x - own[0]["target"]) for x in sums)
+        miss = abs(sum(r["taken"] for r in own) - own[0]["target"])
+        assert miss <= max(nearest, 0.01 * own[0]["target"]) and all(0 <= r["copies"] <= 3 for r in own)
