@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..params import check_fractions
 from ..schemas import PAPER_COLUMNS
+from .bitset import bit_set, may_contain
 from .ranking import quantiles
 
 
@@ -34,13 +35,16 @@ def dedup_edges(raw: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """One row per (cited, citing) pair pointing at a seed.
 
     The influence flag is OR-ed. Contexts and intents are taken independently from the
-    copy with the smallest citation id that has them. Copies are combined map-side and then
-    exchanged by both ids, so a pair that makes up most of the rows shrinks before the shuffle
-    and a very cited paper spreads over its citers. Seeds are met after that, by an inner join
-    with their distinct ids: a semi-join would be moved below the aggregate, and its exchange
-    by the cited paper alone would gather a hot paper's raw copies in one task.
+    copy with the smallest citation id that has them. A broadcast bit set of the seeds drops
+    nearly all edges of other papers where the edges are read, so only edges of seeds are
+    aggregated and shuffled. Copies are combined map-side and then exchanged by both ids, so a
+    pair that makes up most of the rows shrinks before the shuffle and a very cited paper
+    spreads over its citers. The seeds themselves are met after that, by an inner join with
+    their distinct ids, which removes what shares a bit with a seed.
     """
     edges = raw.where(F.col("citingcorpusid").isNotNull() & F.col("citedcorpusid").isNotNull())
+    if seeds is not None:
+        edges = may_contain(edges, "citedcorpusid", bit_set(seeds, "corpusid"))
 
     def first_known(name: str):
         # NULL content last, then NULL ids last; a hash of the content settles equal ids.

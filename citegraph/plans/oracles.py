@@ -485,7 +485,8 @@ REPLIES = {"answers": """SELECT doc_id, CASE lang WHEN 'en' THEN '**Abstract:**
 TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 oracle("strip_reasoning", [], "SELECT doc_id, md5(a) AS answer FROM answers", REPLIES)
 oracle("parse_list", [],
-       "SELECT doc_id, CAST(2 AS INTEGER) AS n, md5(" + TRIM.format("text") + ") AS first, source AS second FROM documents")
+       "SELECT doc_id, CAST(CASE WHEN lang IN ('de', 'fr') THEN 1 ELSE 2 END AS INTEGER) AS n, md5(" + TRIM.format("text")
+       + ") AS first, CASE WHEN lang NOT IN ('de', 'fr') THEN source END AS second FROM documents")
 
 ROLE = ("CASE WHEN length(s) < 20 THEN NULL WHEN contains(s, ',') THEN 'RESULT' WHEN length(s) > 200 THEN 'OTHER' "
         "WHEN contains(s, '-') THEN 'OBJECTIVE' WHEN length(s) > 120 THEN 'METHOD' ELSE 'BACKGROUND' END")

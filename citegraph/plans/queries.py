@@ -625,14 +625,16 @@ def clean_output(spark, sf_dir):
 
 @query("parse_list")
 def parse_list(spark, sf_dir):
-    """Abstracts of verbalised replies: two documents' texts per reply, as a JSON list inside prose."""
-    items = F.to_json(F.array(
-        F.struct(F.col("text").alias("abstract"), F.lit(0.5).alias("probability")),
-        F.struct(F.col("source").alias("abstract"), F.lit(0.5).alias("probability")),
-    ))
-    replies = sample.table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("Sure:\n"), items, F.lit("\nDone.")).alias("raw")
+    """Abstracts of verbalised replies: a JSON list inside prose, or loose objects behind or inside stray braces, by language."""
+    entry = lambda name: F.to_json(F.struct(F.col(name).alias("abstract"), F.lit(0.5).alias("probability")))
+    one, two = entry("text"), entry("source")
+    lang = F.col("lang")
+    raw = (
+        F.when(lang == "de", F.concat(F.lit("Set {x of "), one)).when(lang == "fr", F.concat(F.lit("{note: "), one, F.lit("}")))
+        .when(lang == "es", F.concat(F.lit('A set { 1, 2 "open and '), one, F.lit(" "), two))
+        .otherwise(F.concat(F.lit("Sure:\n["), one, F.lit(", "), two, F.lit("]\nDone.")))
     )
+    replies = sample.table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
     found = replies.select("doc_id", TX.parse_list(F.col("raw")).alias("found"))
     return found.select("doc_id", F.size("found").alias("n"), F.md5(F.get("found", F.lit(0))).alias("first"), F.get("found", F.lit(1)).alias("second"))
 

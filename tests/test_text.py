@@ -226,3 +226,13 @@ def test_strip_benchmark_and_generations(spark, tmp_path):
     rows, counters = strip.strip_generations(gens, gl)
     assert {(r.seed_id, r.gen_idx): r.text for r in rows.collect()} == {("1", 0): "B is.", ("1", 1): "", ("2", 0): "D is."}
     assert (counters.first().seeds, counters.first().seeds_short_of_original) == (2, 1)
+
+
+def test_objects_behind_and_inside_stray_braces():
+    from citegraph.functions.text import listed_abstracts
+
+    assert listed_abstracts('Set {x of {"abstract": "Blue"}') == ["Blue"]
+    assert listed_abstracts('{note: {"abstract":"A"}}') == ["A"]
+    assert listed_abstracts('A set { 1, 2 "open and {"abstract": "Red"} {"abstract": "Green"}') == ["Red", "Green"]
+    assert listed_abstracts('{"abstract": "a } b", "more": {"abstract": "inner"}} tail {') == ["a } b"]
+    assert listed_abstracts("{" * 3000) == []
