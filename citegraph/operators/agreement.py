@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from ..session import materialise
 from .ranking import quantiles, tied_ranks
 
 
@@ -59,20 +58,21 @@ def correlation_p(rho: pa.Array, n: pa.Array) -> pa.Array:
 def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = (), at_least: int = 10) -> DataFrame:
     """Rank correlation with average ties; groups with fewer than ``at_least`` rows are left out.
 
-    Equal (x, y) rows are counted once. Ranks come from the sliced order statistics, and
-    as both rank means equal (n + 1) / 2 the moments are summed already centred.
+    Equal (x, y) rows are counted once, and both axes are ranked in one pass, as rows of the
+    axis and its value (two kinds of numbers are compared as doubles). As both rank means
+    equal (n + 1) / 2, the moments are summed already centred.
     """
     group = list(group)
+    kinds = dict(df.dtypes)
     valid = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    # Both rankings and the final sums read the points.
-    points = materialise(df.where(valid(x) & valid(y)).groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("w")))
-
-    def ranks(value: str, name: str) -> DataFrame:
-        counts = points.groupBy(*group, value).agg(F.sum("w").alias("c"))
-        ranked = tied_ranks(counts, value, group)
-        return ranked.select(*group, value, (F.col("rank") - (F.col("n_rows") + 1) / 2).alias(name))
-
-    joined = points.join(ranks(x, "rx"), [*group, x]).join(ranks(y, "ry"), [*group, y])
+    same = (lambda c: F.col(c)) if kinds[x] == kinds[y] else (lambda c: F.col(c).cast("double"))
+    points = df.where(valid(x) & valid(y)).groupBy(*group, same(x).alias("_x"), same(y).alias("_y")).agg(F.count(F.lit(1)).alias("w"))
+    axis = lambda name: F.struct(F.lit(name).alias("axis"), F.col(name).alias("value"))
+    counts = points.select(*group, "w", F.explode(F.array(axis("_x"), axis("_y"))).alias("p")).groupBy(
+        *group, F.col("p.axis").alias("axis"), F.col("p.value").alias("value")).agg(F.sum("w").alias("c"))
+    ranked = tied_ranks(counts, "value", [*group, "axis"]).withColumn("r", F.col("rank") - (F.col("n_rows") + 1) / 2)
+    ranks = lambda name, rank: ranked.where(F.col("axis") == name).select(*group, F.col("value").alias(name), F.col("r").alias(rank))
+    joined = points.join(ranks("_x", "rx"), [*group, "_x"]).join(ranks("_y", "ry"), [*group, "_y"])
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     rho = F.sum(w * rx * ry) / F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))
     result = joined.groupBy(*group).agg(F.sum("w").alias("n"), rho.alias("rho")).where(F.col("n") >= at_least)

@@ -1,10 +1,10 @@
 """Exact order statistics without a single-task sort.
 
-Every operator here first collapses equal values to one counted row, then cuts the value
-range of a group into ``SLICES`` order-preserving slices. Prefix sums over the slice
-counts (at most ``SLICES`` rows per group) say how many rows precede a slice; a window
-inside the slice does the rest. A group holding most of the data is therefore ranked by
-many tasks, and nothing is approximated.
+Every operator here first collapses equal values to one counted row, then cuts the rows at
+splitters, values of a sample of those rows, into about ``SLICES`` slices of even size. Prefix
+sums over the slice counts (at most ``SLICES`` rows per group) say how many rows precede a
+slice; a window inside the slice does the rest. A group holding most of the data is therefore
+ranked by many tasks, however its values are spread, and nothing is approximated.
 """
 
 from __future__ import annotations
@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_slice
 
-SLICES = 16_384
+# Splitters form SIDE runs of SIDE values.
+SIDE = 32
+SLICES = SIDE * SIDE
+# Rows of the sample per slice; a slice holds a few times its share of the rows at most.
+PER_SLICE = 8
 
 
 def value_counts(df: DataFrame, value: str, group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -25,24 +29,40 @@ def value_counts(df: DataFrame, value: str, group: Sequence[str] = (), weight: s
     return df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(measure.alias("c"))
 
 
-def _squeezed(value: Column) -> Column:
-    """Monotone map that pulls in outliers, so that one far value cannot empty the slices."""
-    x = value.cast("double")
-    return F.signum(x) * F.log1p(F.abs(x))
+def splitters(counts: DataFrame, value: str) -> Column:
+    """Scalar subquery (firsts, runs): SIDE runs of SIDE ascending cut points and the first of each, from a sample of the rows.
+
+    The sample takes the rows whose hash is divisible by a power of two that leaves about
+    ``PER_SLICE`` rows per slice, so its size is bounded. Readers of the same rows, and a task
+    that is run again, find the same cut points; a sketch with random compaction would let two
+    branches of one plan disagree on the slices.
+    """
+    x = F.col(value).cast("double")
+    # Some 8,192 to 16,384 rows of any number stay.
+    level = F.floor(F.log2(F.greatest(F.count(F.lit(1)) / float(SLICES * PER_SLICE), F.lit(1.0)))).cast("int")
+    rarity = counts.agg(level.alias("level")).scalar()
+    keys = [c for c in counts.columns if c != "c"]
+    sample = counts.select(x.alias("x"), F.xxhash64(*keys).alias("h"), rarity.alias("level")).where(
+        F.pmod("h", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))) == 0)
+    points = sample.agg(F.sort_array(F.collect_list("x")).alias("all"))
+    n = F.size("all")
+    cut = lambda i: F.get("all", F.floor((i + 1) * n / float(SLICES + 1)).cast("int"))
+    run = lambda i: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda j: cut(i * SIDE + j))
+    runs = points.select(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), run).alias("runs"))
+    return runs.select(F.struct(F.transform("runs", lambda r: r[0]).alias("firsts"), "runs")).scalar()
 
 
 def _sliced(counts: DataFrame, value: str) -> DataFrame:
-    """Attach the slice number.
+    """Attach the slice number, the number of splitters not above the value.
 
-    All groups share the cut points, which come from one scalar subquery: a row of a hot
-    group then needs no join to learn its group's range.
+    All groups share the splitters, which come from one scalar subquery: a row of a hot
+    group then needs no join to learn its group's range. The run is found by the runs' first
+    values, the place in it by the run.
     """
-    squeezed = _squeezed(F.col(value))
-    bounds = counts.agg(F.min(squeezed).alias("lo"), F.max(squeezed).alias("hi")).select(F.struct("lo", "hi").alias("b"))
-    low, width = F.col("b.lo"), F.col("b.hi") - F.col("b.lo")
-    position = F.least(F.floor((squeezed - low) / width * SLICES).cast("int"), F.lit(SLICES - 1))
-    sliced = counts.withColumn("b", bounds.scalar()).withColumn("slice", F.when(width > 0, position).otherwise(F.lit(0)))
-    return sliced.drop("b")
+    x = F.col(value).cast("double")
+    reached = lambda points: F.size(F.filter(points, lambda p: p <= x))
+    placed = counts.withColumn("cuts", splitters(counts, value)).withColumn("run", F.greatest(reached(F.col("cuts.firsts")) - 1, F.lit(0)))
+    return placed.withColumn("slice", F.col("run") * SIDE + reached(F.element_at("cuts.runs", F.col("run") + 1))).drop("cuts", "run")
 
 
 def _slice_offsets(sliced: DataFrame, value: str, group: Sequence[str]) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DRAWS_PER_HASH = 8
+# Units whose weights are held at a time: 8 MB with 1,000 replicates.
+UNITS_AT_ONCE = 1024
 # Bounds of a 32-bit draw at which a Poisson(1) weight grows by one, from its distribution function.
 POISSON_BOUNDS = tuple(math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
 
@@ -21,9 +26,19 @@ def cells(df: DataFrame, value: str, unit: str, keys: Sequence[str] = ()) -> Dat
     )
 
 
-def poisson_weight(draw: Column) -> Column:
-    """Weight of a draw in 0..2^32 - 1."""
-    return sum((draw >= bound).cast("int") for bound in POISSON_BOUNDS)
+def poisson_weights(units: Sequence[str | None], n_boot: int, seed: int) -> np.ndarray:
+    """Weights of a block of units (rows) in all replicates (columns).
+
+    The counter of a draw is (unit, block of eight replicates, seed); its SHA-256 gives the eight 32-bit draws of the block.
+    """
+    blocks = -(-n_boot // DRAWS_PER_HASH)
+    digest = hashlib.sha256
+    tails = [f"{block}|{seed}".encode() for block in range(blocks)]
+    # A null unit is left out of the counter.
+    heads = [b"" if unit is None else f"{unit}|".encode("utf-8", "surrogatepass") for unit in units]
+    raw = b"".join([digest(head + tail).digest() for head in heads for tail in tails])
+    draws = np.frombuffer(raw, ">u4").reshape(len(heads), blocks * DRAWS_PER_HASH)[:, :n_boot]
+    return np.searchsorted(np.array(POISSON_BOUNDS), draws, side="right")
 
 
 def bootstrap(
@@ -34,25 +49,39 @@ def bootstrap(
     In every replicate each unit has an independent Poisson(1) weight, the limit of drawing
     units with replacement. Weights are read off the digits of a hash of unit, replicate and
     seed, eight to a hash, so they depend neither on order nor on partitioning and any SQL
-    engine can repeat them. Weighted cells are summed map-side; a key has ``n_boot`` sums.
+    engine can repeat them. A task draws the weights of a block of units for all replicates
+    at once and sends two sums per key and replicate; a unit that occurs under several keys
+    next to each other is drawn once.
     """
     keys = list(keys)
     rows = unit_cells if keys else unit_cells.withColumn("all_units", F.lit(0))
     by = keys or ["all_units"]
-    blocks = rows.select(
-        *by, F.col("total").cast("double").alias("total"), F.col("cnt").cast("double").alias("cnt"), F.col(unit).cast("string").alias("_unit"),
-        F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // DRAWS_PER_HASH) - 1))).alias("_block"),
-    ).withColumn("_hash", F.sha2(F.concat_ws("|", "_unit", "_block", F.lit(seed)), 256))
-    draws = blocks.select(*by, "total", "cnt", "_block", "_hash", F.explode(F.sequence(F.lit(0), F.lit(DRAWS_PER_HASH - 1))).alias("_draw"))
-    drawn = F.conv(F.substring("_hash", F.col("_draw") * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    weighted = draws.withColumn("_b", F.col("_block") * DRAWS_PER_HASH + F.col("_draw")).where(F.col("_b") < n_boot).withColumn("_w", poisson_weight(drawn))
-    replicates = weighted.groupBy(*by, "_b").agg(
-        F.sum(F.col("_w") * F.col("total")).alias("_t"), F.sum(F.col("_w") * F.col("cnt")).alias("_c"),
+    # Keys travel through Python as one text, nulls included.
+    named = rows.withColumn("_key", F.to_json(F.struct(*by)))
+    flat = named.select(
+        F.col("_key").alias("key"), F.col(unit).cast("string").alias("unit"),
+        F.col("total").cast("double").alias("total"), F.col("cnt").cast("double").alias("cnt"),
+    )
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), UNITS_AT_ONCE):
+                part = frame.iloc[at:at + UNITS_AT_ONCE]
+                place, units = pd.factorize(part["unit"], use_na_sentinel=False)
+                weights = poisson_weights([u if isinstance(u, str) else None for u in units], n_boot, seed)[place].astype(np.float64)
+                code, key = pd.factorize(part["key"])
+                values = part[["total", "cnt"]].to_numpy().T
+                held = [values[:, code == k] @ weights[code == k] for k in range(len(key))]
+                yield pd.DataFrame({"key": key, "t": [h[0] for h in held], "c": [h[1] for h in held]})
+
+    partial = flat.mapInPandas(sums, "key string, t array<double>, c array<double>")
+    replicates = partial.select("key", F.posexplode(F.arrays_zip("t", "c"))).groupBy("key", "pos").agg(
+        F.sum("col.t").alias("_t"), F.sum("col.c").alias("_c"),
     ).withColumn("_ratio", F.col("_t") / F.greatest("_c", F.lit(1.0)))
-    interval = replicates.groupBy(*by).agg(F.percentile("_ratio", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"))
-    means = rows.groupBy(*by).agg(F.sum("total").alias("_t"), F.sum("cnt").alias("_c"))
+    interval = replicates.groupBy(F.col("key").alias("_key")).agg(F.percentile("_ratio", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"))
+    means = named.groupBy("_key", *by).agg(F.sum("total").alias("_t"), F.sum("cnt").alias("_c"))
     known, nan = F.col("_c") > 0, F.lit(float("nan"))
-    result = means.join(interval, by).select(
+    result = means.join(interval, "_key").select(
         *by, F.when(known, F.col("_t") / F.col("_c")).otherwise(nan).alias("mean"),
         F.when(known, F.col("_q")[0]).otherwise(nan).alias("ci_low"), F.when(known, F.col("_q")[1]).otherwise(nan).alias("ci_high"),
     )

@@ -249,3 +249,20 @@ def test_histograms_fill_and_trim(spark):
     assert bars[0] == ("3-4", 2) and bars[2] == ("10-19", 2) and bars[-1] == ("10,000+", 1) and bars[1] == ("5-9", 0)
     years = spark.createDataFrame([(1971,), (1989,), (1990,), (1993,)], "y int")
     assert {r.label: r.n for r in D.year_bars(years, "y").collect()} == {"<1990": 2, "1990": 1, "1991": 0, "1992": 0, "1993": 1}
+
+
+def test_slices_are_even_beside_an_outlier(spark):
+    rows = spark.range(1_000_000).selectExpr("1 + id * 1e-12 AS v", "1L AS c").unionByName(spark.createDataFrame([(1e300, 1)], "v double, c long"))
+    sizes = [r["count"] for r in ranking._sliced(rows, "v").groupBy("slice").count().collect()]
+    assert len(sizes) > 900 and max(sizes) < 10_000
+    assert [r["before"] for r in ranking.cumulative(rows, "v").where("v > 1e299 or v = 1").orderBy("v").collect()] == [0, 1_000_000]
+
+
+def test_spearman_starts_no_job_while_it_is_built(spark):
+    df = spark.range(500).selectExpr("id % 3 AS g", "(id * 7919) % 101 AS x", "CAST((id * 31) % 17 AS double) AS y")
+    tracker = spark.sparkContext.statusTracker()
+    before = tracker.getJobIdsForGroup(None)
+    built = A.spearman(df, "x", "y", ["g"])
+    assert sorted(tracker.getJobIdsForGroup(None)) == sorted(before)
+    expected = df.toPandas().groupby("g")[["x", "y"]].apply(lambda p: p["x"].rank().corr(p["y"].rank()))
+    assert {r.g: round(r.rho, 9) for r in built.collect()} == {g: round(v, 9) for g, v in expected.items()}
