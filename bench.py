@@ -29,7 +29,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
-    spark = ship(local_session(cpus, "citegraph-bench"))
+    spark = ship(local_session(cpus, "citegraph-bench", **{"spark.ui.showConsoleProgress": "false"}))
     # Start-up of the JVM and of a Python worker is not part of any query.
     spark.range(1000).selectExpr("sum(id)").collect()
     spark.range(8).mapInPandas(lambda frames: frames, "id long").collect()

@@ -68,11 +68,13 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = (), at_least:
     same = (lambda c: F.col(c)) if kinds[x] == kinds[y] else (lambda c: F.col(c).cast("double"))
     points = df.where(valid(x) & valid(y)).groupBy(*group, same(x).alias("_x"), same(y).alias("_y")).agg(F.count(F.lit(1)).alias("w"))
     axis = lambda name: F.struct(F.lit(name).alias("axis"), F.col(name).alias("value"))
-    counts = points.select(*group, "w", F.explode(F.array(axis("_x"), axis("_y"))).alias("p")).groupBy(
-        *group, F.col("p.axis").alias("axis"), F.col("p.value").alias("value")).agg(F.sum("w").alias("c"))
-    ranked = tied_ranks(counts, "value", [*group, "axis"]).withColumn("r", F.col("rank") - (F.col("n_rows") + 1) / 2)
-    ranks = lambda name, rank: ranked.where(F.col("axis") == name).select(*group, F.col("value").alias(name), F.col("r").alias(rank))
-    joined = points.join(ranks("_x", "rx"), [*group, "_x"]).join(ranks("_y", "ry"), [*group, "_y"])
+    long = points.select(*group, "_x", "_y", "w", F.explode(F.array(axis("_x"), axis("_y"))).alias("p")).select(*group, "_x", "_y", "w", "p.*")
+    counts = long.groupBy(*group, "axis", "value").agg(F.sum("w").alias("c"))
+    ranked = tied_ranks(counts, "value", [*group, "axis"])
+    ranked = ranked.select(*group, "axis", "value", (F.col("rank") - (F.col("n_rows") + 1) / 2).alias("r"))
+    centred = lambda name: F.max(F.when(F.col("axis") == name, F.col("r")))
+    joined = long.join(ranked, [*group, "axis", "value"]).groupBy(*group, "_x", "_y").agg(
+        F.first("w").alias("w"), centred("_x").alias("rx"), centred("_y").alias("ry"))
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     rho = F.sum(w * rx * ry) / F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))
     result = joined.groupBy(*group).agg(F.sum("w").alias("n"), rho.alias("rho")).where(F.col("n") >= at_least)

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_slice
 
-# Splitters form SIDE runs of SIDE values.
-SIDE = 32
-SLICES = SIDE * SIDE
+# A power of two, so that halving finds a value's slice.
+SLICES = 1024
 # Rows of the sample per slice; a slice holds a few times its share of the rows at most.
 PER_SLICE = 8
 
@@ -30,7 +29,7 @@ def value_counts(df: DataFrame, value: str, group: Sequence[str] = (), weight: s
 
 
 def splitters(counts: DataFrame, value: str) -> Column:
-    """Scalar subquery (firsts, runs): SIDE runs of SIDE ascending cut points and the first of each, from a sample of the rows.
+    """Scalar subquery: SLICES - 1 ascending cut points as an array, from a sample of the rows.
 
     The sample takes the rows whose hash is divisible by a power of two that leaves about
     ``PER_SLICE`` rows per slice, so its size is bounded. Readers of the same rows, and a task
@@ -46,23 +45,24 @@ def splitters(counts: DataFrame, value: str) -> Column:
         F.pmod("h", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))) == 0)
     points = sample.agg(F.sort_array(F.collect_list("x")).alias("all"))
     n = F.size("all")
-    cut = lambda i: F.get("all", F.floor((i + 1) * n / float(SLICES + 1)).cast("int"))
-    run = lambda i: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda j: cut(i * SIDE + j))
-    runs = points.select(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), run).alias("runs"))
-    return runs.select(F.struct(F.transform("runs", lambda r: r[0]).alias("firsts"), "runs")).scalar()
+    cut = lambda i: F.get("all", F.floor(i * n / float(SLICES)).cast("int"))
+    return points.select(F.transform(F.sequence(F.lit(1), F.lit(SLICES - 1)), cut).alias("cuts")).scalar()
 
 
-def _sliced(counts: DataFrame, value: str) -> DataFrame:
-    """Attach the slice number, the number of splitters not above the value.
+def _sliced(counts: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """Attach the slice number, the number of splitters not above the value, and deal the rows by group and slice.
 
     All groups share the splitters, which come from one scalar subquery: a row of a hot
-    group then needs no join to learn its group's range. The run is found by the runs' first
-    values, the place in it by the run.
+    group then needs no join to learn its group's range. Each halving step is a projection of
+    its own, so it is computed once, in generated code. Slice counts and windows read the same exchange.
     """
-    x = F.col(value).cast("double")
-    reached = lambda points: F.size(F.filter(points, lambda p: p <= x))
-    placed = counts.withColumn("cuts", splitters(counts, value)).withColumn("run", F.greatest(reached(F.col("cuts.firsts")) - 1, F.lit(0)))
-    return placed.withColumn("slice", F.col("run") * SIDE + reached(F.element_at("cuts.runs", F.col("run") + 1))).drop("cuts", "run")
+    placed = counts.withColumn("cuts", splitters(counts, value)).withColumn("slice", F.lit(0))
+    step = SLICES // 2
+    while step:
+        reached = F.get("cuts", F.col("slice") + (step - 1)) <= F.col(value).cast("double")
+        placed = placed.withColumn("slice", F.col("slice") + F.when(reached, step).otherwise(0))
+        step //= 2
+    return placed.drop("cuts").repartition(*group, "slice")
 
 
 def _slice_offsets(sliced: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
@@ -91,7 +91,7 @@ def cumulative(counts: DataFrame, value: str, group: Sequence[str] = ()) -> Data
 
     The window and the join that follows share one shuffle by (group, slice).
     """
-    sliced = _sliced(counts, value)
+    sliced = _sliced(counts, value, group)
     placed = _within(sliced, value, group).join(_slice_offsets(sliced, value, group), [*group, "slice"])
     return placed.select(
         *counts.columns, (F.col("before_slice") + F.col("before_within")).alias("before"), "n_rows", "total"
@@ -124,7 +124,7 @@ def quantiles(
     wanted position are sorted. No values give no row.
     """
     counts = value_counts(df, value, group, weight)
-    sliced = _sliced(counts, value)
+    sliced = _sliced(counts, value, group)
     wanted = F.lit(False)
     for p in probs.values():
         for at in _rank_positions(kind, p, F.col("n_rows"))[:2]:
