@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,19 +81,51 @@ def coverage_at(scored: DataFrame, tau: float, group: Sequence[str] = ("seed_id"
     return scored.groupBy(*group).agg(F.avg(reaches(F.col("best_cos"), tau).cast("double")).alias("coverage_at_tau"))
 
 
+def _keyed(items: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Group columns, their text as ``_key`` (nulls included) and the vector."""
+    return items.select(*group, F.to_json(F.struct(*group)).alias("_key"), "vec")
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(key, place of one of its rows, its vectors as a matrix) for each key of a batch."""
+    codes = batch["_key"].dictionary_encode()
+    code, keys = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+    vectors = batch["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    order = np.argsort(code, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+        yield keys[code[rows[0]]], int(rows[0]), vectors[rows]
+
+
+def _key_schema(df: DataFrame, group: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{k}` {kinds[k]}" for k in group)
+
+
 def _sums(items: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Per group: n, sum of squared norms and the sum vector (element position kept).
+    """Per group: n, sum of squared norms and the squared length of the sum vector.
 
-    Elements are exploded and summed with map-side combining, which needs no gathering
-    of a group, whatever its size.
+    Vectors are added inside Arrow batches; a batch sends one sum vector per group, whose
+    elements are then summed with map-side combining. No group is gathered, whatever its size.
     """
-    elements = items.select(*group, F.posexplode("vec").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    per_element = elements.groupBy(*group, "pos").agg(
-        F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n")
-    )
+    group = list(group)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = list(_parts(batch))
+            at = pa.array([i for _, i, _ in found])
+            yield pa.RecordBatch.from_arrays([
+                *[batch[k].take(at) for k in group], pa.array([len(v) for *_, v in found], pa.int64()),
+                pa.array([float((v * v).sum()) for *_, v in found]), pa.array([v.sum(0) for *_, v in found], pa.list_(pa.float64())),
+            ], names=[*group, "n", "norms", "sums"])
+
+    partial = _keyed(items, group).mapInArrow(add, f"{_key_schema(items, group)}, n long, norms double, sums array<double>")
+    elements = partial.select(*group, "n", "norms", F.posexplode("sums").alias("pos", "s")).groupBy(*group, "pos").agg(
+        F.sum("s").alias("s"), F.sum("norms").alias("norms"), F.sum("n").alias("n"))
     # A group has as many rows here as a vector has elements.
-    return per_element.groupBy(*group).agg(
-        F.max("n").alias("n"), F.sum("q").alias("norms"), F.sum(F.col("s") * F.col("s")).alias("sum_sq"),
+    return elements.groupBy(*group).agg(
+        F.max("n").alias("n"), F.max("norms").alias("norms"), F.sum(F.col("s") * F.col("s")).alias("sum_sq"),
     )
 
 
@@ -119,73 +152,92 @@ def seed_similarity(items: DataFrame, seeds: DataFrame, group: Sequence[str] = (
     return items.join(seeds, list(group)).select(*group, "item_id", dot(F.col("vec"), F.col("seed_vec")).alias("sim"))
 
 
-def _entropy_count(gram: np.ndarray) -> float:
-    spectrum = np.linalg.eigvalsh(gram)
+def _entropy_count(factor: np.ndarray, n: int) -> float:
+    """Effective number from a factor F with F' F = V' V, whose nonzero spectrum is that of V V'."""
+    spectrum = np.linalg.svd(factor, compute_uv=False) ** 2 / n
     spectrum = spectrum[spectrum > 1e-12]
     return float(np.exp(-np.sum(spectrum * np.log(spectrum))))
 
 
-def _vendi_of(vectors: np.ndarray) -> float:
-    """The nonzero spectra of V V' and V' V agree, so the smaller of the two is decomposed."""
-    n, d = vectors.shape
-    return _entropy_count((vectors @ vectors.T if n <= d else vectors.T @ vectors) / n)
+class _Factors:
+    """Running factor per key: the vectors themselves, or the triangle of their QR decomposition once they are many."""
+
+    def __init__(self, group: Sequence[str], most_rows: int):
+        self.group, self.most_rows = group, most_rows
+        self.held: dict[str, list] = {}
+
+    def add(self, key: str, names: pa.RecordBatch, n: int, rows: np.ndarray) -> None:
+        entry = self.held.setdefault(key, [names, 0, []])
+        entry[1] += n
+        entry[2].append(rows)
+        if sum(map(len, entry[2])) > max(self.most_rows, 2 * rows.shape[1]):
+            entry[2] = [self.squeezed(entry[2])]
+
+    @staticmethod
+    def squeezed(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts)
+        return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+    def emptied(self, task: int) -> pa.RecordBatch:
+        factors = [self.squeezed(parts) for _, _, parts in self.held.values()]
+        columns = [pa.concat_arrays([names.column(i) for names, *_ in self.held.values()]) for i in range(len(self.group) + 1)]
+        out = pa.RecordBatch.from_arrays([
+            *columns, pa.array([task] * len(factors), pa.int64()), pa.array([n for _, n, _ in self.held.values()], pa.int64()),
+            pa.array([f.shape[1] for f in factors], pa.int32()), pa.array([f.tobytes() for f in factors], pa.binary()),
+        ], names=[*self.group, "_key", "_task", "n", "_width", "_factor"])
+        self.held = {}
+        return out
+
+
+# Groups whose factors a task holds at a time, and factors of a group that meet in one step of the tree.
+HELD_GROUPS = 256
+FAN_IN = 64
 
 
 def vendi(items: DataFrame, group: Sequence[str] = ("seed_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Effective number of distinct items, with the item count ``n``.
 
-    A group larger than a block is cut into pieces. Each piece contributes its d x d
-    second-moment matrix, the matrices add up, and the spectrum of the total gives the
+    A task folds the vectors of a group into a factor of at most d rows (the triangle of a QR
+    decomposition, ``block_rows`` vectors at a time) that has their second moments. Factors
+    of a group are joined in a tree, ``FAN_IN`` tasks at a time, so no step meets more than
+    that however many vectors the group has. The spectrum of the last factor gives the
     same score as the n x n kernel would.
     """
     group = list(group)
-    hot = hot_groups(items, group, block_rows)
-    pieces = (
-        with_pieces(items, group, F.col("item_id"), block_rows, hot)
-        .groupBy(*group, "piece").agg(F.collect_list("vec").alias("vecs"), F.count(F.lit(1)).alias("n"))
-    )
-    kinds = dict(items.dtypes)
-    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in group)
+    names = [*group, "_key"]
+    shape = f"{_key_schema(items, group)}, _key string, _task long, n long, _width int, _factor binary"
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, factors = TaskContext.get().partitionId(), _Factors(group, block_rows)
         for batch in batches:
-            values = [_vendi_of(m) for m in _matrices(batch["vecs"])]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch[k] for k in group], batch["n"], pa.array(values, pa.float64())], names=[*group, "n", "vendi"]
-            )
-
-    if hot is None:
-        return pieces.drop("piece").mapInArrow(score, f"{key_schema}, n long, vendi double")
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, at, rows in _parts(batch) if batch.num_rows else ():
+                if key not in factors.held and len(factors.held) >= HELD_GROUPS:
+                    yield factors.emptied(task)
+                factors.add(key, batch.select(names).slice(at, 1), len(rows), rows)
+        if factors.held:
+            yield factors.emptied(task)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, at = _Factors(group, block_rows), (None, 0)
         for batch in batches:
-            grams = [(m.T @ m).ravel() for m in _matrices(batch["vecs"])]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch[k] for k in group], batch["n"], pa.array(grams, pa.list_(pa.float64()))],
-                names=[*group, "n", "gram"],
-            )
+            columns = (batch[c].to_pylist() for c in ("_key", "_task", "n", "_width", "_factor"))
+            for i, (key, task, n, width, raw) in enumerate(zip(*columns)):
+                if at != (key, task) and factors.held:
+                    yield factors.emptied(at[1])
+                at = (key, task)
+                factors.add(key, batch.select(names).slice(i, 1), n, np.frombuffer(raw, np.float64).reshape(-1, width))
+        if factors.held:
+            yield factors.emptied(at[1])
 
     def spectrum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = []
-            for n, cells in zip(batch["n"].to_pylist(), batch["cells"]):
-                flat = cells.values.to_numpy(zero_copy_only=False)
-                side = int(round(len(flat) ** 0.5))
-                values.append(_entropy_count(flat.reshape(side, side) / n))
+            values = [_entropy_count(np.frombuffer(raw, np.float64).reshape(-1, width), n) for n, width, raw in zip(
+                *(batch[c].to_pylist() for c in ("n", "_width", "_factor")))]
             yield pa.RecordBatch.from_arrays(
-                [*[batch[k] for k in group], batch["n"], pa.array(values, pa.float64())], names=[*group, "n", "vendi"]
-            )
-
-    whole = pieces.join(hot.select(*group), group, "left_anti").drop("piece")
-    cut = pieces.join(hot.select(*group), group, "left_semi").drop("piece")
-    cells = (
-        cut.mapInArrow(moments, f"{key_schema}, n long, gram array<double>")
-        .select(*group, "n", F.posexplode("gram").alias("pos", "x"))
-        .groupBy(*group, "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    )
-    # d * d cells per group, whatever the group's size.
-    grams = cells.groupBy(*group).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c")
-    ).select(*group, "n", F.transform("c", lambda c: c["x"]).alias("cells"))
-    total = grams.mapInArrow(spectrum, f"{key_schema}, n long, vendi double")
-    return whole.mapInArrow(score, f"{key_schema}, n long, vendi double").unionByName(total)
+                [*[batch[k] for k in group], batch["n"], pa.array(values, pa.float64())], names=[*group, "n", "vendi"])
+
+    factors = _keyed(items, group).mapInArrow(fold, shape)
+    for size in (FAN_IN, FAN_IN, None):
+        up = F.floor(F.col("_task") / size) if size else F.lit(0)
+        factors = factors.withColumn("_task", up.cast("long")).repartition("_key", "_task").sortWithinPartitions("_key", "_task").mapInArrow(meet, shape)
+    return factors.mapInArrow(spectrum, f"{_key_schema(items, group)}, n long, vendi double")

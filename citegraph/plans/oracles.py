@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.resampling import POISSON_BOUNDS
+from ..params import K_HEADLINE
 
 # Shared views. Each query takes only the ones it needs, in this order.
 VIEWS = {
@@ -39,12 +40,29 @@ FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_date, count
         """SELECT p.*, text AS abstract FROM cited_papers p JOIN documents ON doc_id = corpusid
 WHERE acl_id IS NOT NULL AND text IS NOT NULL""",
     ),
-    "edges": (
+    # One view per thing an edge keeps: whether it exists, its first known contexts, its first known intents.
+    "seed_links": (
         ["raw_edges", "seeds"],
-        """SELECT citedcorpusid, citingcorpusid, bool_or(isinfluential) AS isinfluential,
-  first(contexts ORDER BY contexts IS NULL, citationid NULLS LAST, contexts) AS contexts,
-  first(intents ORDER BY intents IS NULL, citationid NULLS LAST, intents) AS intents
-FROM raw_edges WHERE citedcorpusid IN (SELECT corpusid FROM seeds) AND citingcorpusid IS NOT NULL GROUP BY 1, 2""",
+        """SELECT r.* FROM raw_edges r SEMI JOIN seeds s ON r.citedcorpusid = s.corpusid WHERE r.citingcorpusid IS NOT NULL""",
+    ),
+    "known_contexts": (
+        ["seed_links"],
+        """SELECT citedcorpusid, citingcorpusid, contexts,
+  row_number() OVER (PARTITION BY citedcorpusid, citingcorpusid ORDER BY citationid NULLS LAST, contexts) AS place
+FROM seed_links WHERE contexts IS NOT NULL""",
+    ),
+    "known_intents": (
+        ["seed_links"],
+        """SELECT citedcorpusid, citingcorpusid, intents,
+  row_number() OVER (PARTITION BY citedcorpusid, citingcorpusid ORDER BY citationid NULLS LAST, intents) AS place
+FROM seed_links WHERE intents IS NOT NULL""",
+    ),
+    "edges": (
+        ["seed_links", "known_contexts", "known_intents"],
+        """SELECT links.citedcorpusid, links.citingcorpusid, links.isinfluential, k.contexts, n.intents
+FROM (SELECT citedcorpusid, citingcorpusid, max(isinfluential) AS isinfluential FROM seed_links GROUP BY ALL) links
+LEFT JOIN known_contexts k ON k.place = 1 AND k.citedcorpusid = links.citedcorpusid AND k.citingcorpusid = links.citingcorpusid
+LEFT JOIN known_intents n ON n.place = 1 AND n.citedcorpusid = links.citedcorpusid AND n.citingcorpusid = links.citingcorpusid""",
     ),
     "citers": (
         ["edges", "citing_papers"],
@@ -63,16 +81,26 @@ FROM cited_papers WHERE acl_id IS NOT NULL AND year IS NOT NULL GROUP BY 1""",
         ["edges"],
         """SELECT *, list_sort(list_distinct(list_filter(flatten(list_filter(coalesce(intents, []), lambda l: l IS NOT NULL)),
   lambda x: x IS NOT NULL AND x <> ''))) AS flat FROM edges""",
+    ),
+    # A pair is a usable seed, a usable citer and a link between them that fits both.
+    "usable_seeds": (
+        ["seeds", "thresholds"],
+        """SELECT corpusid AS seed_id, p.year AS seed_year, authors AS seed_authors,
+  floor IS NOT NULL AND icc >= floor AND icc < coalesce(cap, icc + 1) AS banded
+FROM (SELECT *, coalesce(influentialcitationcount, 0) AS icc FROM seeds) p LEFT JOIN thresholds ON thresholds.year = p.year
+WHERE p.year IS NOT NULL AND length(abstract) >= 200 AND length(abstract) <= 5000""",
+    ),
+    "usable_citers": (
+        ["citers"],
+        """SELECT corpusid AS citer_id, year AS citer_year, authors AS citer_authors FROM citers
+WHERE year IS NOT NULL AND length(abstract) >= 200 AND length(abstract) <= 5000""",
     ),
     "base_pairs": (
-        ["labelled", "seeds", "citers", "thresholds"],
-        """SELECT s.corpusid AS seed_id, c.corpusid AS citer_id, e.isinfluential, e.flat,
-  coalesce(s.influentialcitationcount, 0) >= t.floor AND (t.cap IS NULL OR coalesce(s.influentialcitationcount, 0) < t.cap) AS banded
-FROM labelled e JOIN seeds s ON s.corpusid = e.citedcorpusid JOIN citers c ON c.corpusid = e.citingcorpusid
-LEFT JOIN thresholds t ON t.year = s.year
-WHERE s.year IS NOT NULL AND length(s.abstract) BETWEEN 200 AND 5000 AND c.abstract IS NOT NULL
-  AND length(c.abstract) BETWEEN 200 AND 5000 AND c.year IS NOT NULL AND c.year >= s.year
-  AND c.corpusid <> s.corpusid AND NOT coalesce(list_has_any(c.authors, s.authors), FALSE)""",
+        ["labelled", "usable_seeds", "usable_citers"],
+        """SELECT seed_id, citer_id, isinfluential, flat, banded
+FROM usable_seeds JOIN labelled ON citedcorpusid = seed_id JOIN usable_citers ON citingcorpusid = citer_id
+WHERE citer_id <> seed_id AND citer_year >= seed_year
+  AND len(list_intersect(coalesce(citer_authors, []), coalesce(seed_authors, []))) = 0""",
     ),
     "pairs": (
         ["base_pairs"],
@@ -124,7 +152,9 @@ def with_views(names: list[str], query: str, extra: dict[str, str] | None = None
     """Prefix ``query`` with the shared views it uses (and its own extra ones)."""
     parts = [f"{name} AS MATERIALIZED ({VIEWS[name][1]})" for name in _needed(names)]
     parts += [f"{name} AS MATERIALIZED ({text})" for name, text in (extra or {}).items()]
-    return f"WITH {', '.join(parts)} {query}" if parts else query
+    # A view that reads itself is computed step by step.
+    parts = [p.replace(" AS MATERIALIZED (", " AS (", 1) if f"FROM {p.split(' ')[0]} " in p else p for p in parts]
+    return f"WITH RECURSIVE {', '.join(parts)} {query}" if parts else query
 
 
 ORACLES: dict[str, str] = {}
@@ -346,6 +376,34 @@ oracle("centroid_dispersion", [],
 FROM (SELECT seed_id, max(n) AS n, sqrt(sum(s * s)) / max(n) AS len FROM
   (SELECT seed_id, i, sum(x) AS s, count(*) AS n FROM
     (SELECT seed_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vec) GROUP BY 1, 2) GROUP BY 1)""", VEC)
+# Two-sided Jacobi rotations on the second-moment matrix, 64 x 64 as a list. In a step every index has one partner (a round of a
+# tournament), so 32 rotations that do not touch each other are one rewriting of the list; 63 steps meet all pairs.
+SIDE, SWEEPS = 64, 8
+PLACES, CELLS = f"range({SIDE})", f"range({SIDE * SIDE})"
+cell = lambda i, j: f"a[({i}) * {SIDE} + ({j}) + 1]"
+of = lambda name, i: f"{name}[({i}) + 1]"
+ROW, COLUMN = f"k // {SIDE}", f"k % {SIDE}"
+TURNED = " + ".join(
+    f"{of(x, ROW)} * {of(y, COLUMN)} * {cell(i, j)}"
+    for x, i in (("c", ROW), ("g", of("p", ROW))) for y, j in (("c", COLUMN), ("g", of("p", COLUMN))))
+JACOBI = {
+    **VEC,
+    "moments": f"""SELECT seed_id, any_value(n) AS n, list(v ORDER BY i, j) AS a FROM (
+  SELECT seed_id, count(*) AS n, i, j, sum(vec[i] * vec[j]) / count(*) AS v
+  FROM vec, (SELECT unnest(range(1, {SIDE + 1})) AS i), (SELECT unnest(range(1, {SIDE + 1})) AS j) GROUP BY seed_id, i, j) GROUP BY seed_id""",
+    "turned": f"""SELECT seed_id, n, 0 AS step, a FROM moments UNION ALL
+SELECT seed_id, n, step + 1, list_transform({CELLS}, lambda k: {TURNED}) FROM (
+  SELECT *, list_transform({PLACES}, lambda i: 1 / sqrt(1 + {of('t', 'i')} ** 2)) AS c,
+    list_transform({PLACES}, lambda i: CASE WHEN i < {of('p', 'i')} THEN -1 ELSE 1 END * {of('t', 'i')} / sqrt(1 + {of('t', 'i')} ** 2)) AS g
+  FROM (SELECT *, list_transform({PLACES}, lambda i: CASE WHEN {of('o', 'i')} = 0 THEN 0.0 ELSE CASE WHEN {of('d', 'i')} < 0 THEN -1 ELSE 1 END
+      * 2 * {of('o', 'i')} / (abs({of('d', 'i')}) + sqrt({of('d', 'i')} ** 2 + 4 * {of('o', 'i')} ** 2)) END) AS t
+    FROM (SELECT *, list_transform({PLACES}, lambda i: {cell('i', of('p', 'i'))}) AS o,
+        list_transform({PLACES}, lambda i: a[greatest(i, {of('p', 'i')}) * {SIDE + 1} + 1] - a[least(i, {of('p', 'i')}) * {SIDE + 1} + 1]) AS d
+      FROM (SELECT *, list_transform({PLACES}, lambda i: CASE WHEN i = {SIDE - 1} THEN step % {SIDE - 1} WHEN i = step % {SIDE - 1} THEN {SIDE - 1}
+          ELSE (2 * (step % {SIDE - 1}) - i + {2 * SIDE - 2}) % {SIDE - 1} END) AS p FROM turned WHERE step < {SWEEPS * (SIDE - 1)}))))""",
+}
+oracle("vendi", [], f"""SELECT seed_id, n, {r('exp(-list_sum(list_transform(list_filter(spectrum, lambda x: x > 1e-12), lambda x: x * ln(x))))')} AS vendi
+FROM (SELECT seed_id, n, list_transform({PLACES}, lambda i: {cell('i', 'i')}) AS spectrum FROM turned WHERE step = {SWEEPS * (SIDE - 1)})""", JACOBI)
 oracle("seed_similarity", [], f"SELECT seed_id, item_id, {r('sim')} AS sim FROM s", SEED_SIMS)
 oracle("similarity_density", [],
        f"""SELECT CAST(b AS INTEGER) AS bin, count(x.sim) AS n, {r('count(x.sim) / ((SELECT count(*) FROM inside) * (any_value(hi) - any_value(lo)) / 60)')} AS density
@@ -538,10 +596,17 @@ FROM goal t JOIN gen g ON g.seed_id = t.seed_id LEFT JOIN citing_papers c ON c.c
 }
 oracle("pair_scores", ["citing_papers"],
        f"SELECT condition, mode, seed_id, citer_id, CAST(citer_year AS INTEGER) AS citer_year, citer_pubdate, n_gen, {r('best_cos')} AS best_cos FROM scores", SCORES)
+STRATA = {**SCORES, "st": """SELECT *, 'all' AS stratum FROM sides UNION ALL SELECT *, side || '_cutoff' FROM sides WHERE side IS NOT NULL
+UNION ALL SELECT *, 'year ' || CASE WHEN citer_year < 2015 THEN '<=2014' ELSE CAST(citer_year AS VARCHAR) END FROM sides WHERE coalesce(citer_year, 0) <> 0"""}
 oracle("score_strata", ["citing_papers"],
        f"""SELECT condition, mode, stratum, count(*) AS n_pairs, count(DISTINCT seed_id) AS n_seeds, {r('avg(best_cos)')} AS coverage FROM st GROUP BY 1, 2, 3""",
-       {**SCORES, "st": """SELECT *, 'all' AS stratum FROM sides UNION ALL SELECT *, side || '_cutoff' FROM sides WHERE side IS NOT NULL
-UNION ALL SELECT *, 'year ' || CASE WHEN citer_year < 2015 THEN '<=2014' ELSE CAST(citer_year AS VARCHAR) END FROM sides WHERE coalesce(citer_year, 0) <> 0"""})
+       STRATA)
+SUMMARY_KEY = "concat_ws(chr(9), condition, mode, stratum, metric)"
+SUMMARY_PARTS = ", ".join(f"split_part(cell_key, chr(9), {i}) AS {name}" for i, name in enumerate(("condition", "mode", "stratum", "metric"), 1))
+oracle("score_summary", ["citing_papers"], f"SELECT {SUMMARY_PARTS}, mean, ci_low, ci_high FROM ({boot_sql('cell_key')})", {**STRATA, **boot(
+    f"""SELECT {SUMMARY_KEY} AS cell_key, seed_id AS u, CASE WHEN metric = 'cosine_coverage' THEN coalesce(sum(best_cos), 0) ELSE 0 END::DOUBLE AS total,
+  CASE WHEN metric = 'cosine_coverage' THEN count(best_cos) ELSE 0 END::DOUBLE AS cnt
+FROM st, (SELECT unnest(['cosine_coverage', {', '.join(f"'recall@{k}'" for k in K_HEADLINE)}]) AS metric) GROUP BY condition, mode, stratum, metric, seed_id""", "cell_key")})
 oracle("undated_pairs", ["citing_papers"],
        "SELECT condition, mode, count(*) FILTER (WHERE side IS NULL) AS n_pairs_undated FROM sides GROUP BY 1, 2", SCORES)
 
