@@ -106,7 +106,7 @@ def language_candidates(pairs: DataFrame, citers: DataFrame, min_citers: int) ->
         pairs.join(eligible_seeds(pairs, min_citers), "seed_id", "left_semi")
         .select(F.col("citer_id").alias("corpusid")).distinct()
     )
-    columns = [c for c in ("corpusid", "abstract", "lang") if c in citers.columns]
+    columns = [c for c in ("corpusid", "abstract", "lang", "detected") if c in citers.columns]
     return citers.select(*columns).join(wanted, "corpusid", "left_semi")
 
 

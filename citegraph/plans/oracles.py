@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.language import TOP
 from ..operators.resampling import POISSON_BOUNDS
 from ..params import K_HEADLINE
 
@@ -168,6 +169,11 @@ def build() -> dict[str, str]:
     return dict(ORACLES)
 
 
+def r(expression: str) -> str:
+    """Six decimals, without a negative zero."""
+    return f"round({expression}, 6) + 0.0"
+
+
 # ---- corpus and cut
 
 oracle("edge_dedup", ["edges"],
@@ -185,7 +191,24 @@ oracle("pairs_any_influence", ["base_pairs"],
        "SELECT seed_id, citer_id FROM base_pairs WHERE NOT (flat = ['background']) AND coalesce(banded, FALSE)")
 oracle("pairs_without_band", ["base_pairs"],
        "SELECT seed_id, citer_id FROM base_pairs WHERE coalesce(isinfluential, FALSE) AND NOT (flat = ['background'])")
-oracle("english_pairs", ["en_pairs"], "SELECT seed_id, citer_id FROM en_pairs")
+LEARNED = {
+    "letters": r"""SELECT doc_id, lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') AS held_out,
+  string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ', '') AS c FROM documents""",
+    "grams": """SELECT doc_id, lang, held_out, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM letters""",
+    "counted": "SELECT lang, gram, count(*) AS n FROM grams WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2",
+    "vocabulary": f"""SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM counted)
+WHERE place <= {TOP}""",
+    "profiles": """SELECT gram, lang, coalesce(n, 0) AS n, ln((coalesce(n, 0) + 1) / (sum(coalesce(n, 0)) OVER w + count(*) OVER w)) AS logp
+FROM (SELECT DISTINCT lang FROM counted) CROSS JOIN vocabulary LEFT JOIN counted USING (lang, gram) WINDOW w AS (PARTITION BY lang)""",
+    "votes": "SELECT g.doc_id, p.lang, sum(logp) AS score FROM grams g JOIN profiles p USING (gram) GROUP BY 1, 2",
+    "verdicts": "SELECT doc_id, arg_min(lang, {'cost': -score, 'lang': lang}) AS detected FROM votes GROUP BY 1",
+}
+oracle("language_profiles", [], f"SELECT gram, lang, n, {r('logp')} AS logp FROM profiles", LEARNED)
+oracle("language_verdicts", [], "SELECT l.doc_id, l.lang, l.held_out, detected FROM letters l LEFT JOIN verdicts USING (doc_id)", LEARNED)
+oracle("english_pairs", ["pairs", "citers"],
+       """SELECT seed_id, citer_id FROM pairs WHERE citer_id NOT IN (
+  SELECT corpusid FROM citers LEFT JOIN verdicts ON doc_id = corpusid WHERE coalesce(detected, '') <> 'en' AND corpusid IN (
+    SELECT citer_id FROM pairs WHERE seed_id IN (SELECT seed_id FROM pairs GROUP BY 1 HAVING count(*) >= 5)))""", LEARNED)
 oracle("eligible_seeds", ["eligible"], "SELECT seed_id, n_citers FROM eligible")
 oracle("capped_cut", ["en_pairs", "eligible"],
        "SELECT seed_id, citer_id, n_citers FROM ranked WHERE rn <= 6",
@@ -200,11 +223,6 @@ oracle("benchmark_records", ["bench", "seeds"],
 FROM bench b JOIN seeds s ON s.corpusid = b.seed_id GROUP BY b.seed_id""")
 
 
-def r(expression: str) -> str:
-    """Six decimals, without a negative zero."""
-    return f"round({expression}, 6) + 0.0"
-
-
 def quants(value: str, names: dict[str, float], kind: str = "quantile_cont") -> str:
     return ", ".join(f"{r(f'{kind}({value}, {p})')} AS {n}" for n, p in names.items())
 

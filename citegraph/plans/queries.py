@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions.numeric import recall_at_k
 from ..operators import (
-    agreement as A, corpus, lexical, matching, models, pairs as P, ranking, records, removal, resampling, targets as T,
+    agreement as A, corpus, language, lexical, matching, models, pairs as P, ranking, records, removal, resampling, targets as T,
     vectors as V,
 )
 from ..params import K_GRID, CutParams
@@ -188,9 +188,38 @@ def pairs_without_band(spark, sf_dir):
     return Corpus(spark, sf_dir, stored=False).pairs(banded=False)
 
 
+def _learned_profiles(spark, sf_dir) -> DataFrame:
+    """Profiles of the documents whose id's MD5 does not start with one of the digits 0 to 3."""
+    docs = sample.table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    return language.learn_profiles(docs.where(~F.col("held_out")))
+
+
+def held_out(doc_id):
+    return F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 1).isin("0", "1", "2", "3")
+
+
+@query("language_profiles")
+def language_profiles(spark, sf_dir):
+    return rounded(_learned_profiles(spark, sf_dir))
+
+
+@query("language_verdicts")
+def language_verdicts(spark, sf_dir):
+    """Every document's language by the learned rule, held-out documents marked."""
+    docs = sample.table(spark, sf_dir, "documents").select("doc_id", "lang", "text", held_out(F.col("doc_id")).alias("held_out"))
+    found = language.judge(docs, _learned_profiles(spark, sf_dir), "doc_id")
+    return docs.drop("text").join(found, "doc_id", "left")
+
+
 @query("english_pairs")
 def english_pairs(spark, sf_dir):
-    return Corpus(spark, sf_dir).english_pairs()
+    """Pairs whose citer the learned rule judges English; only citers of seeds that reach the floor are judged."""
+    c = Corpus(spark, sf_dir)
+    pairs = c.keep(c.pairs())
+    judged = language.judge(
+        P.language_candidates(pairs, c.citers, c.params.min_citers), _learned_profiles(spark, sf_dir), "corpusid", "abstract")
+    tagged = c.citers.join(judged, "corpusid", "left")
+    return P.english_pairs(pairs, tagged, c.params.min_citers, lambda citers: F.col("detected") == "en")
 
 
 @query("eligible_seeds")
