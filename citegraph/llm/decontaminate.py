@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise, table, text_of, unkeyed
+from .common import keyed, materialise, table, text_of, unkeyed, unused
 
 WINDOW = 8
 SHORTEST = 3
@@ -222,8 +222,9 @@ def find_leaks(
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with their own columns."""
     leaks = materialise(contained(docs, items, id_col, text_col, item_col, item_text).select("doc_id", "text_key").distinct())
-    leaks = leaks.select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key"))
-    return docs.join(leaks, docs[id_col].eqNullSafe(F.col("_leak_id")) & (F.xxhash64(text_of(docs[text_col])) == F.col("_leak_key")), "left_anti")
+    leak_id, leak_key = unused(docs, "_leak_id"), unused(docs, "_leak_key")
+    leaks = leaks.select(F.col("doc_id").alias(leak_id), F.col("text_key").alias(leak_key))
+    return docs.join(leaks, docs[id_col].eqNullSafe(leaks[leak_id]) & (F.xxhash64(text_of(docs[text_col])) == leaks[leak_key]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

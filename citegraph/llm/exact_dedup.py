@@ -69,8 +69,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = unused(docs, "_row")
     stored = numbered(docs, row)
     digests = materialise(stored.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"), F.col(row).alias("_row")))
-    losers = decide(digests, support).where(~F.col("kept")).select(F.col("_row").alias("_loser"))
-    return stored.join(losers, stored[row] == F.col("_loser"), "left_anti").select(docs.columns)
+    losers = decide(digests, support).where(~F.col("kept")).select(F.col("_row").alias(unused(stored, "_loser")))
+    return stored.join(losers, stored[row] == losers[losers.columns[0]], "left_anti").select(docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

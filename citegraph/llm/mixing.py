@@ -327,8 +327,9 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stored = numbered(docs, row)
     taken = mix(stored, id_col, text_col, source_col, row_col=row, **rules).where("copies > 0")
     added = {name: unused(docs, name) for name in ("copies", "shard", "place")}
-    taken = taken.select(F.col("_row").alias("_taken"), *[F.col(n).alias(a) for n, a in added.items()])
-    return stored.join(taken, stored[row] == F.col("_taken")).select(*docs.columns, *added.values())
+    number = unused(stored, "_taken")
+    taken = taken.select(F.col("_row").alias(number), *[F.col(n).alias(a) for n, a in added.items()])
+    return stored.join(taken, stored[row] == taken[number]).select(*docs.columns, *added.values())
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, keyed, materialise, table, text_of, unkeyed
+from .common import UPPER, keyed, materialise, table, text_of, unkeyed, unused
 from .groups import components, merge_labels, whole_groups
 
 SHINGLE = 5
@@ -252,9 +252,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Classes without links stay with all their rows, so exact copies are left to exact de-duplication.
     """
     rows, linked = near_classes(docs, id_col, text_col)
+    key = unused(docs, "_gone")
     gone = materialise(rows.join(linked.where("class_id <> group_id"), "class_id").select(
-        F.col("text_key").alias("_gone")).distinct())
-    return docs.join(gone, F.unhex(F.md5(text_of(docs[text_col]).cast("binary"))) == F.col("_gone"), "left_anti")
+        F.col("text_key").alias(key)).distinct())
+    return docs.join(gone, F.unhex(F.md5(text_of(docs[text_col]).cast("binary"))) == gone[key], "left_anti")
 
 
 def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

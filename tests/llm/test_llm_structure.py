@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import plain  # noqa: E402
 
-from citegraph.llm import bisector, catalogue, covering, mixing, repair, toxicity  # noqa: E402
+from citegraph.llm import bisector, catalogue, covering, decontaminate, exact_dedup, mixing, near_join, quality, repair, toxicity  # noqa: E402
 from citegraph.llm.groups import components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -270,3 +270,20 @@ def test_mixing_exchanges_copies_in_small_sources(spark):
         nearest = min(abs(x - own[0]["target"]) for x in sums)
         miss = abs(sum(r["taken"] for r in own) - own[0]["target"])
         assert miss <= max(nearest, 0.01 * own[0]["target"]) and all(0 <= r["copies"] <= 3 for r in own)
+
+
+def test_stage_functions_with_columns_of_their_own_names(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve "
+    docs = spark.createDataFrame(
+        [(1, text, "s", 1), (2, text + "thirteen", "s", 2), (2, text, "s", 3), (None, None, None, 4)], "doc_id long, text string, source string, _gone int")
+    for name in ("_loser", "_leak_id", "_leak_key", "_taken", "_row", "text_key", "class_id"):
+        docs = docs.withColumn(name, F.col("_gone") * 10)
+    items = spark.createDataFrame([(7, text)], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(r["_gone"] for r in exact_dedup.drop_copies(docs).collect()) in ([1, 2, 4], [2, 3, 4])
+    assert [r["_leak_key"] for r in decontaminate.drop_leaks(docs, items).collect()] == [40]
+    assert near_join.keep_one(docs).columns == docs.columns and near_join.keep_one(docs).count() >= 2
+    assert mixing.mixed_rows(docs).columns == [*docs.columns, "copies", "shard", "place"] and mixing.mixed_rows(docs).count() >= 1
+    none = docs.limit(0)
+    for out in (quality.keep_good(none, labels), exact_dedup.drop_copies(none), near_join.keep_one(none), decontaminate.drop_leaks(none, items)):
+        assert out.columns == docs.columns and out.collect() == []
