@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in catalogue.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in catalogue.QUERIES} == set(range(1, 14))
     assert set(catalogue.QUERIES) | {"pipeline"} <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing to target weights"]
