@@ -475,15 +475,18 @@ SYSTEMS = {"per_seed": """SELECT o_orderpriority || '/' || o_orderstatus AS syst
   avg(dayofyear(o_orderdate)) AS mean_len FROM orders GROUP BY 1, 2"""}
 ONE_SYSTEM_TABLE = {**SYSTEMS, "tab": """SELECT system, avg(coverage) AS coverage, avg(vendi) AS vendi, avg(mps) AS mps, avg(disp) AS disp,
   avg(mean_len) AS mean_len FROM per_seed GROUP BY 1"""}
-oracle("spearman", [],
-       f"""SELECT system, metric, {r('corr(ry, rx)')} AS rho, count(*) AS n FROM ranked GROUP BY 1, 2 HAVING count(*) >= 10""",
-       {**SYSTEMS, "long": """SELECT system, coverage, metric, value FROM (SELECT system, coverage, unnest(['vendi', 'mps', 'disp', 'mean_len']) AS metric,
+RANKED = {**SYSTEMS, "long": """SELECT system, coverage, metric, value FROM (SELECT system, coverage, unnest(['vendi', 'mps', 'disp', 'mean_len']) AS metric,
   unnest([vendi, mps, disp, mean_len]) AS value FROM per_seed)""",
         "kept": "SELECT * FROM long WHERE (system, metric) IN (SELECT (system, metric) FROM long GROUP BY system, metric HAVING count(*) >= 10)",
         "pooled": "SELECT * FROM kept UNION ALL SELECT 'pooled', coverage, metric, value FROM kept",
         "ranked": """SELECT system, metric,
   rank() OVER (PARTITION BY system, metric ORDER BY coverage) + (count(*) OVER (PARTITION BY system, metric, coverage) - 1) / 2.0 AS rx,
-  rank() OVER (PARTITION BY system, metric ORDER BY value) + (count(*) OVER (PARTITION BY system, metric, value) - 1) / 2.0 AS ry FROM pooled"""})
+  rank() OVER (PARTITION BY system, metric ORDER BY value) + (count(*) OVER (PARTITION BY system, metric, value) - 1) / 2.0 AS ry FROM pooled"""}
+oracle("spearman", [], f"""SELECT system, metric, {r('corr(ry, rx)')} AS rho, count(*) AS n FROM ranked GROUP BY 1, 2 HAVING count(*) >= 10""", RANKED)
+# Without correlation rho = sin(angle) has a density like cos(angle) to the power n - 3; both integrals by Simpson's rule.
+SIMPSON = "list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 ELSE 2 + 2 * (i % 2) END) * cos({low} + i * ({high} - {low}) / 4000) ** (n - 3))) * ({high} - {low})"
+oracle("spearman_significance", [], f"""SELECT system, metric, {r(f"({SIMPSON.format(low='asin(least(abs(rho), 1))', high='pi() / 2')}) / ({SIMPSON.format(low='0', high='pi() / 2')})")} AS p
+FROM (SELECT system, metric, corr(ry, rx) AS rho, count(*) AS n FROM ranked GROUP BY 1, 2 HAVING count(*) >= 10)""", RANKED)
 oracle("system_table", [],
        "SELECT system, " + ", ".join(f"{r(m)} AS {m}" for m in ("coverage", "vendi", "mps", "disp", "mean_len")) + " FROM tab", ONE_SYSTEM_TABLE)
 oracle("system_rankings", [],
