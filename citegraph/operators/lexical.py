@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions import lexical as L
 from ..functions.stemming import porter
@@ -105,12 +105,14 @@ def self_bleu(texts: DataFrame, group: Sequence[str], order: str, text: str = "t
     return scored.select(*group, F.when(F.col("n") >= 2, F.col("mean")).otherwise(F.lit(float("nan"))).alias("self_bleu"))
 
 
-def _blocks(texts: DataFrame, group: list[str], order: str, text: str) -> DataFrame:
-    """(group, items): all non-blank texts of a group in arrays of about BLOCK_TEXTS."""
-    kept = texts.where(strip(F.col(text)) != "")
-    sizes = kept.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).alias("blocks"))
-    dealt = kept.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(order), F.col("blocks")))
-    return dealt.groupBy(*group, "block").agg(F.collect_list(text).alias("items")).drop("block")
+def _piece_counts(texts: DataFrame, group: list[str], name: str) -> DataFrame:
+    """(group, name): number of blocks of about BLOCK_TEXTS texts."""
+    return texts.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias(name))
+
+
+def _dealt(texts: DataFrame, sizes: DataFrame, group: list[str], spread: Column, name: str) -> DataFrame:
+    """The texts with the number of their block, dealt evenly by a hash."""
+    return texts.join(sizes, group).withColumn("_piece", F.pmod(F.xxhash64(spread), F.col(name)).cast("int")).drop(name)
 
 
 def rouge_l_max(
@@ -119,26 +121,39 @@ def rouge_l_max(
 ) -> DataFrame:
     """Mean over references of the best ROUGE-L F1 against all predictions of the group.
 
-    Every reference meets every block of its group's predictions in a row of its own; the best
-    of the blocks counts. Equal references of a group are scored once and weighted.
+    Equal references of a group are scored once and weighted; a null reference counts as empty,
+    blank predictions do not count and a group without predictions has no row. Every text becomes tokens
+    once. A block of references meets a block of predictions in one row under a key of its own, so
+    a hot group spreads over the tasks; inside it an inverted index bounds every score and most
+    pairs are never scored (``PredictionIndex``). The best of the blocks counts.
     """
     group = list(group)
 
-    @arrow_udf(DoubleType())
-    def best(refs: pa.Array, items: pa.Array) -> pa.Array:
-        known: dict[str, list[str]] = {}
-
-        def words(t: str) -> list[str]:
-            if t not in known:
-                known[t] = L.rouge_tokens(t, stem)
-            return known[t]
-
-        return pa.array([
-            max(L.rouge_l_f1(words(ref), words(t)) for t in texts) for ref, texts in zip(refs.to_pylist(), items.to_pylist())
-        ], pa.float64())
+    @arrow_udf(ArrayType(StringType()))
+    def words(texts: pa.Array) -> pa.Array:
+        return pa.array([L.rouge_tokens(t, stem) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    distinct = references.groupBy(*group, F.col(text).alias("reference")).agg(F.count(F.lit(1)).alias("times"))
-    met = distinct.join(_blocks(predictions, group, order, text), group)
-    scored = met.select(*group, "reference", "times", best("reference", "items").alias("best"))
-    tops = scored.groupBy(*group, "reference", "times").agg(F.max("best").alias("best"))
+    @arrow_udf(ArrayType(DoubleType()))
+    def best(refs: pa.Array, items: pa.Array) -> pa.Array:
+        scores = []
+        for targets, texts in zip(refs, items):
+            index = L.PredictionIndex(texts.as_py())
+            scores.append([index.best(target) for target in targets.as_py()])
+        return pa.array(scores, pa.list_(pa.float64()))
+
+    targets = references.groupBy(*group, F.coalesce(text, F.lit("")).alias("reference")).agg(F.count(F.lit(1)).alias("times"))
+    texts = predictions.where(strip(F.col(text)) != "").select(*group, F.col(order).alias("_order"), F.col(text).alias("item"))
+    pieces = _piece_counts(targets, group, "_pieces")
+    target_blocks = _dealt(targets, pieces, group, F.col("reference"), "_pieces").select(
+        *group, "_piece", "times", words("reference").alias("words"),
+    ).groupBy(*group, "_piece").agg(F.array_sort(F.collect_list(F.struct("words", "times"))).alias("targets"))
+    text_blocks = _dealt(texts, _piece_counts(texts, group, "_blocks"), group, F.col("_order"), "_blocks").select(
+        *group, F.col("_piece").alias("_block"), words("item").alias("words"),
+    ).groupBy(*group, "_block").agg(F.collect_list("words").alias("texts"))
+    copies = text_blocks.join(pieces, group).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+    met = target_blocks.join(copies, [*group, "_piece"])
+    scored = met.select(*group, "_piece", F.col("targets.times").alias("times"), best("targets.words", "texts").alias("best"))
+    # A piece's targets are sorted, so a place means the same target in every row of the piece.
+    by_target = scored.select(*group, "_piece", F.posexplode(F.arrays_zip("times", "best")).alias("at", "s"))
+    tops = by_target.groupBy(*group, "_piece", "at").agg(F.max("s.best").alias("best"), F.max("s.times").alias("times"))
     return tops.groupBy(*group).agg((F.sum(F.col("best") * F.col("times")) / F.sum("times")).alias("rouge_l"))

@@ -557,6 +557,19 @@ oracle("mean_length", [],
        f"""SELECT role, conv_id, {r('avg(n)')} AS mean_len FROM (SELECT role, conv_id,
   len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations) GROUP BY 1, 2""")
 
+# The recursive view goes through the answer token by token; a state holds the common length up to every token of the question.
+oracle("rouge_l_unstemmed", [],
+       f"""SELECT conv_id, {r('avg(best)')} AS rouge_l FROM (
+  SELECT conv_id, turn, max(CASE WHEN shared = 0 THEN 0 ELSE 2 * (shared / m) * (shared / n) / (shared / m + shared / n) END) AS best FROM common GROUP BY 1, 2) GROUP BY 1""",
+       {"said": """SELECT conv_id, turn, role, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations""",
+        "met": """SELECT u.conv_id, u.turn, a.turn AS other, u.w AS x, a.w AS y FROM said u JOIN said a USING (conv_id)
+  WHERE u.role = 'user' AND a.role = 'assistant' AND regexp_matches(a.text, '\S')""",
+        "common": """WITH RECURSIVE walk AS (SELECT conv_id, turn, other, x, y, 0 AS k, list_transform(x, lambda t: 0) AS state FROM met
+  UNION ALL SELECT conv_id, turn, other, x, y, k + 1,
+    list_transform(range(1, len(x) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i:
+      CASE WHEN x[i] = y[k + 1] THEN 1 + CASE WHEN i = 1 THEN 0 ELSE state[i - 1] END ELSE state[i] END))) FROM walk WHERE k < len(y))
+  SELECT conv_id, turn, len(x) AS m, len(y) AS n, coalesce(state[-1], 0) AS shared FROM walk WHERE k = len(y)"""})
+
 # ---- model output and result removal
 
 REPLIES = {"answers": """SELECT doc_id, CASE lang WHEN 'en' THEN '**Abstract:** ' || text

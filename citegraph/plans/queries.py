@@ -627,6 +627,13 @@ def rouge_l(spark, sf_dir):
     ))
 
 
+@query("rouge_l_unstemmed")
+def rouge_l_unstemmed(spark, sf_dir):
+    return rounded(lexical.rouge_l_max(
+        _turns(spark, sf_dir, "assistant"), _turns(spark, sf_dir, "user"), ["conv_id"], "turn", stem=None
+    ))
+
+
 # ---- model output and result removal
 
 def _raw_replies(spark, sf_dir) -> DataFrame:

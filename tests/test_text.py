@@ -185,6 +185,31 @@ def test_every_text_of_a_large_set_counts(spark):
     assert lexical.rouge_l_max(df, frame, ["g"], "i", stem=None).first().rouge_l == pytest.approx(sum(best) / 2)
 
 
+def test_bound_leaves_most_pairs_out():
+    import random
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 60))] for _ in range(60)]
+    index = L.PredictionIndex(texts)
+    for target in [texts[7][:40] + ["new"], texts[11], [], ["unknown"], *texts[20:30]]:
+        assert index.best(target) == max(L.rouge_l_f1(target, t) for t in texts)
+    assert index.scored < 14 * len(texts) / 4
+
+
+def test_rouge_meets_every_block(spark):
+    """More texts than a block on both sides, a hot group, repeated and null references, blank predictions."""
+    import random
+    rng = random.Random(6)
+    said = lambda: " ".join(rng.choice("red green blue grey pink teal".split()) for _ in range(rng.randint(1, 9)))
+    texts, refs = [said() for _ in range(3 * lexical.BLOCK_TEXTS)] + [" "], [said() for _ in range(2 * lexical.BLOCK_TEXTS)] + [None]
+    refs += refs[:5]
+    best = [max(L.rouge_l_f1(L.rouge_tokens(r or ""), L.rouge_tokens(t)) for t in texts) for r in refs]
+    frame = spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)] + [("h", 0, "red"), ("blank", 0, " ")], "g string, i int, text string")
+    asked = spark.createDataFrame([("g", r) for r in refs] + [("h", "red"), ("blank", "x"), ("none", "x")], "g string, text string")
+    found = {r.g: r.rouge_l for r in lexical.rouge_l_max(frame, asked, ["g"], "i", stem=None).collect()}
+    assert found == {"g": pytest.approx(sum(best) / len(best)), "h": 1.0}
+
+
 def test_13a_words(spark):
     assert apply(spark, lexical._words_13a, ["It's 3.5, ok-ish (yes)."]) == [["It's", "3.5", ",", "ok-ish", "(", "yes", ")", "."]]
 
