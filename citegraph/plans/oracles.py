@@ -563,7 +563,7 @@ oracle("rouge_l_unstemmed", [],
   SELECT conv_id, turn, max(CASE WHEN shared = 0 THEN 0 ELSE 2 * (shared / m) * (shared / n) / (shared / m + shared / n) END) AS best FROM common GROUP BY 1, 2) GROUP BY 1""",
        {"said": """SELECT conv_id, turn, role, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations""",
         "met": """SELECT u.conv_id, u.turn, a.turn AS other, u.w AS x, a.w AS y FROM said u JOIN said a USING (conv_id)
-  WHERE u.role = 'user' AND a.role = 'assistant' AND regexp_matches(a.text, '\S')""",
+  WHERE u.role = 'user' AND a.role = 'assistant' AND regexp_matches(a.text, '\\S')""",
         "common": """WITH RECURSIVE walk AS (SELECT conv_id, turn, other, x, y, 0 AS k, list_transform(x, lambda t: 0) AS state FROM met
   UNION ALL SELECT conv_id, turn, other, x, y, k + 1,
     list_transform(range(1, len(x) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i:
