@@ -224,11 +224,13 @@ def label_texts(
     """(key, labels), one label or NULL per sentence of ``text``.
 
     The sentences are asked about in windows of ``per_prompt``, each numbered from 0, and the
-    windows' labels joined again in order. A text without a sentence has no labels.
+    windows' labels joined again in order. A text without a sentence has no labels. Without a
+    ``splitter`` the items bring their ``sentences`` (``operators.sentences``).
     """
     kinds = dict(items.dtypes)
     title = F.col("title") if "title" in items.columns else F.lit(None).cast("string")
-    split = items.select(*key, title.alias("title"), splitter(F.col("text")).alias("sentences"))
+    sentences = F.col("sentences") if splitter is None else splitter(F.col("text"))
+    split = items.select(*key, title.alias("title"), sentences.alias("sentences"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("sentences"), F.lit(1)), F.lit(per_prompt))
     windows = split.select(*key, "title", "sentences", F.posexplode(starts).alias("window", "start")).select(
         *key, "window", "title", F.slice("sentences", F.col("start"), F.lit(per_prompt)).alias("part"),

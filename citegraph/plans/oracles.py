@@ -593,15 +593,68 @@ oracle("parse_labels", [],
 oracle("kept_text", [],
        "SELECT doc_id AS citer_id, CAST(len(ls) AS INTEGER) AS n_sentences, md5(coalesce(array_to_string(k, ' '), '')) AS kept, len(k) = 0 AS emptied FROM kept", LINES)
 WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
-oracle("removal_counters", [],
-       "SELECT lang, count(*) AS units, " + ", ".join(f"CAST(sum({e}) AS BIGINT) AS {n}" for n, e in {
+COUNTERS = ("SELECT lang, count(*) AS units, " + ", ".join(f"CAST(sum({e}) AS BIGINT) AS {n}" for n, e in {
            "sentences": "len(ls)", "sentences_removed": "len(ls) - len(k)", "unlabelled_too_long": "(len(ls) > 120)::INT",
            "emptied": "(len(k) = 0)::INT", "one_sentence_left": "(len(k) = 1)::INT", "unchanged": "(len(k) = len(ls))::INT",
            "last_sentence_removed": "coalesce((labs[-1] IN ('RESULT', 'OTHER'))::INT, 0)",
            "words": WORDS.format("text"), "words_kept": WORDS.format("coalesce(array_to_string(k, ' '), '')"),
            **{f"label_{x}": f"len(list_filter(labs, lambda x: x = '{x}'))" for x in ("BACKGROUND", "OBJECTIVE", "METHOD", "RESULT", "OTHER")},
            "label_UNPARSED": "len(list_filter(labs, lambda x: x IS NULL))",
-       }.items()) + " FROM kept GROUP BY 1", LINES)
+       }.items()) + " FROM kept GROUP BY 1")
+oracle("removal_counters", [], COUNTERS, LINES)
+
+# Sentences by corpus statistics.
+def _core(x: str) -> str:
+    bare = f"""lower(regexp_replace(regexp_replace(regexp_replace({x}, '^["''(\\[]+', ''), '["'')\\],;:!?]+$', ''), '\\.$', ''))"""
+    return f"CASE WHEN regexp_matches({bare}, '^[0-9.,-]*[0-9]$') THEN '#' ELSE {bare} END"
+
+
+def _fit(k: str, n: str, p: str) -> str:
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+def _tie(both: str, left: str, right: str, whole: str) -> str:
+    p, inside, outside = f"({right} / {whole})", f"({both} / {left})", f"(({right} - {both}) / ({whole} - {left}))"
+    rest = (f"{right} - {both}", f"({whole} - {left})")
+    ratio = " ".join([_fit(both, left, p), "+", _fit(f"({rest[0]})", rest[1], p), "-", _fit(both, left, inside), "-", _fit(f"({rest[0]})", rest[1], outside)])
+    return f"CASE WHEN {inside} > {p} THEN -2 * ({ratio}) ELSE 0.0 END"
+
+
+DOTS = "(length(word) - length(replace(word, '.', '')))"
+LETTERS = f"(length(word) - {DOTS})"
+TALK = {
+    "texts": "SELECT doc_id, lang, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents",
+    "places": "SELECT doc_id, i, w[i] AS word, w[i + 1] AS following FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)",
+    "seen": f"""SELECT doc_id, i, {_core('word')} AS f, {_core('following')} AS s,
+  regexp_matches(word, '\\.["'')\\],;:!?]*$') AS stop, regexp_extract(word, '([.!?])["'')\\]]*$', 1) AS m,
+  coalesce(regexp_matches(following, '^["''(\\[]*[\\p{{Lu}}0-9]'), FALSE) AS opening FROM places""",
+    "stops": """SELECT f AS word, count(*) FILTER (WHERE stop) AS n_stop, count(*) FILTER (WHERE NOT stop) AS n_plain FROM seen WHERE f <> '' GROUP BY 1""",
+    "overall": "SELECT sum(n_stop) / sum(n_stop + n_plain) AS chance FROM stops",
+    "abbrevs": f"""SELECT word, n_stop, n_plain, CASE WHEN regexp_matches(word, '\\p{{L}}') THEN
+  -2 * ({_fit('n_stop', '(n_stop + n_plain)', 'chance')} - {_fit('n_stop', '(n_stop + n_plain)', '0.99::DOUBLE')})
+  * exp(-{LETTERS}) * ({DOTS} + 1) * pow({LETTERS}::DOUBLE, -n_plain) ELSE 0.0 END AS score FROM stops, overall WHERE n_stop > 0""",
+    "judged": """SELECT *, stop AND (f IN (SELECT word FROM abbrevs WHERE score >= 0.3) OR regexp_matches(f, '^\\p{L}$')) AS short FROM seen""",
+    "inner_pairs": "SELECT * FROM judged WHERE s IS NOT NULL AND s <> ''",
+    "begins": """SELECT s AS word, count(*) FILTER (WHERE m <> '' AND opening AND NOT short AND (f <> '#' OR m <> '.')) AS n_after, count(*) AS n_all FROM inner_pairs GROUP BY 1""",
+    "begun": f"""SELECT word, n_after, n_all, {_tie('n_after', 'ends', 'n_all', 'total')} AS ratio
+  FROM begins, (SELECT sum(n_after) AS ends, sum(n_all) AS total FROM begins) WHERE n_after > 0""",
+    "bound": "SELECT * FROM inner_pairs WHERE stop AND (short OR f = '#')",
+    "tied": f"""SELECT f, s, n, {_tie('n', 'nf', 'ns', 'total')} AS ratio FROM (SELECT f, s, count(*) AS n FROM bound GROUP BY 1, 2)
+  JOIN (SELECT f, count(*) AS nf FROM bound GROUP BY 1) USING (f) JOIN (SELECT s, count(*) AS ns FROM inner_pairs GROUP BY 1) USING (s),
+  (SELECT count(*) AS total FROM inner_pairs) WHERE n >= 2""",
+    "ending": """SELECT doc_id, i FROM judged j WHERE m <> '' AND opening AND NOT (m = '.' AND (short OR f = '#') AND (
+    EXISTS (SELECT 1 FROM tied t WHERE t.f = j.f AND t.s = j.s AND t.ratio >= 7.88)
+    OR (short AND NOT EXISTS (SELECT 1 FROM begun b WHERE b.word = j.s AND b.ratio >= 30))))""",
+    "edges_of": "SELECT doc_id, list_sort(list(i)) AS cuts FROM ending GROUP BY 1",
+    "lines": """SELECT doc_id, lang, text, list_filter(list_transform(range(1, len(e)), lambda k: array_to_string(w[e[k] + 1:e[k + 1]], ' ')), lambda x: x <> '') AS ls
+  FROM (SELECT doc_id, lang, text, w, list_concat([0], coalesce(cuts, []), [len(w)]) AS e FROM texts LEFT JOIN edges_of USING (doc_id))""",
+}
+oracle("abbreviations", [], f"SELECT word, n_stop, n_plain, {r('score')} AS score FROM abbrevs", TALK)
+oracle("sentence_starters", [], f"SELECT word, n_after, n_all, {r('ratio')} AS ratio FROM begun", TALK)
+oracle("sentence_collocations", [], f"SELECT f AS first, s AS second, n, {r('ratio')} AS ratio FROM tied", TALK)
+oracle("learned_sentences", [],
+       "SELECT doc_id AS citer_id, CAST(len(ls) AS INTEGER) AS n_sentences, md5(array_to_string(ls, chr(10))) AS lines FROM lines", TALK)
+oracle("learned_removal_counters", [], COUNTERS, {**TALK, **{n: LINES[n] for n in ("roles", "kept")}})
 FLOOR = {**LINES, "left_pairs": "SELECT p.* FROM en_pairs p JOIN kept ON doc_id = citer_id WHERE len(k) > 0",
          "counts": """SELECT seed_id, count(*) AS n_before, count(*) FILTER (WHERE citer_id IN (SELECT citer_id FROM left_pairs)) AS n_left
 FROM en_pairs GROUP BY 1"""}

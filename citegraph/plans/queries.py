@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions.numeric import recall_at_k
 from ..operators import (
-    agreement as A, corpus, language, lexical, matching, models, pairs as P, ranking, records, removal, resampling, targets as T,
-    vectors as V,
+    agreement as A, corpus, language, lexical, matching, models, pairs as P, ranking, records, removal, resampling, sentences as S,
+    targets as T, vectors as V,
 )
 from ..params import K_GRID, CutParams
 from ..session import materialise
@@ -713,6 +713,45 @@ def removal_counters(spark, sf_dir):
     return removal.removal_counters(_stripped(spark, sf_dir), ["lang"])
 
 
+def _word_pairs(spark, sf_dir) -> DataFrame:
+    return materialise(S.word_pairs(sample.table(spark, sf_dir, "documents")))
+
+
+@query("abbreviations")
+def abbreviations(spark, sf_dir):
+    return rounded(S.abbreviations(_word_pairs(spark, sf_dir)))
+
+
+@query("sentence_starters")
+def sentence_starters(spark, sf_dir):
+    pairs = _word_pairs(spark, sf_dir)
+    return rounded(S.starters(pairs, S.abbreviations(pairs)))
+
+
+@query("sentence_collocations")
+def sentence_collocations(spark, sf_dir):
+    pairs = _word_pairs(spark, sf_dir)
+    return rounded(S.collocations(pairs, S.abbreviations(pairs)))
+
+
+def _learned(spark, sf_dir) -> DataFrame:
+    docs = sample.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("citer_id"), "lang", "text")
+    return S.learned_sentences(docs, ["citer_id"], keep=materialise)
+
+
+@query("learned_sentences")
+def learned_sentences(spark, sf_dir):
+    return _learned(spark, sf_dir).select("citer_id", F.size("sentences").alias("n_sentences"), F.md5(F.array_join("sentences", "\n")).alias("lines"))
+
+
+@query("learned_removal_counters")
+def learned_removal_counters(spark, sf_dir):
+    """Counters of the removal over sentences cut by the statistics of the corpus."""
+    units = materialise(_learned(spark, sf_dir))
+    labels = units.select("citer_id", F.transform("sentences", line_role).alias("labels"))
+    return removal.removal_counters(removal.strip_units(units, labels, ["citer_id"], None), ["lang"])
+
+
 def _refloored(spark, sf_dir):
     return removal.refloor(Corpus(spark, sf_dir).english_pairs(), _stripped(spark, sf_dir), 5)
 

@@ -13,7 +13,7 @@ CHECKED = [
     "edge_dedup", "influence_thresholds", "qualifying_pairs", "english_pairs", "benchmark_records", "citers_per_seed_bins",
     "in_degree_quantiles", "pair_covariates", "best_similarity", "mean_pairwise_similarity", "recall_curve", "shuffled_targets",
     "shard_assignment", "spearman", "decile_coverage", "distinct_2", "clean_output", "removal_counters", "score_strata", "paper_records",
-    "rouge_l_unstemmed",
+    "rouge_l_unstemmed", "abbreviations", "sentence_starters", "learned_sentences", "learned_removal_counters",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
 
