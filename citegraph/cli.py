@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
         ingest.add_argument(name, required=True)
     ingest.add_argument("--max-files", type=int)
     ingest.add_argument("--bad-lines", help="folder for malformed lines; without it the first one stops the load")
+    ingest.add_argument("--verdicts", help="folder for the outcome of every shard; broken shards are left out and tried again by the next run")
     compact = commands.add_parser("compact", help="rewrite a layer sorted by its key")
     compact.add_argument("kind", choices=["abstracts", "acl_ids", "citers", "papers"])
     compact.add_argument("--source", required=True)
@@ -99,10 +100,14 @@ def run(spark: SparkSession, args: argparse.Namespace):
     from .operators.models import DETECTORS, language_rule
     from .plans import cut
     from .sources import layers
-    from .streaming.ingest import ingest
+    from .streaming.ingest import ingest, ingest_with_verdicts
 
     if args.command in ("characterise", "contrast", "strip", "agreement"):
         return run_report(spark, args)
+    if args.command == "ingest" and args.verdicts:
+        if args.bad_lines:
+            raise SystemExit("--bad-lines keeps the good lines of a shard, --verdicts leaves the whole shard out: name one")
+        return ingest_with_verdicts(spark, args.kind, args.source, args.dest, args.checkpoint, args.verdicts, args.max_files or 256)
     if args.command == "ingest":
         return ingest(spark, args.kind, args.source, args.dest, args.checkpoint, args.max_files, args.bad_lines)
     if args.command == "compact":

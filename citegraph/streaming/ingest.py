@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -71,6 +72,106 @@ def ingest(
     return sum(added)
 
 
+class BrokenShards(RuntimeError):
+    """Shards that could not be read; all others are in the layer and the next run tries these again."""
+
+    def __init__(self, reasons: dict[str, str]):
+        super().__init__("shards not loaded: " + ", ".join(sorted(reasons)))
+        self.reasons = reasons
+
+
+def _read_all(spark: SparkSession, kind: str, shards: list[str]) -> DataFrame:
+    return NORMALISERS[kind](spark.read.schema(RAW_SCHEMAS[kind]).option("mode", "FAILFAST").json(shards))
+
+
+def broken_among(spark: SparkSession, kind: str, shards: list[str]) -> dict[str, str]:
+    """The shards that cannot be read to their end, with the reason, found by halving.
+
+    Whole halves are read by one job each; b broken shards among n take about 2 b log2(n) jobs.
+    """
+    try:
+        _read_all(spark, kind, shards).write.format("noop").mode("overwrite").save()
+        return {}
+    except Exception as error:  # noqa: BLE001 - whatever a shard breaks with becomes its verdict
+        if len(shards) == 1:
+            return {shards[0]: str(error)[:1000]}
+    half = len(shards) // 2
+    return broken_among(spark, kind, shards[:half]) | broken_among(spark, kind, shards[half:])
+
+
+def shard_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, load, loaded, reason): the newest outcome of every shard."""
+    schema = "shard string, load long, attempt long, loaded boolean, reason string"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema).drop("attempt")
+    newest = spark.read.schema(schema).json(f"{path}/*/*.json").groupBy("shard").agg(
+        F.max_by(F.struct("load", "loaded", "reason"), "attempt").alias("v"))
+    return newest.select("shard", "v.*")
+
+
+def ingest_with_verdicts(
+    spark: SparkSession, kind: str, source: str, dest: str, checkpoint: str, verdicts: str, max_files: int = 256,
+) -> int:
+    """Like ``ingest``, but one broken shard holds up no other; returns the rows added.
+
+    The stream carries the names of new shards only, at most ``max_files`` in a micro-batch. A batch
+    is written in one job; only if that fails are its broken shards looked for (bad line, truncated
+    archive), left out, and recorded under ``verdicts`` with the reason. Shards whose newest verdict
+    is a failure are tried again first by the next run. A run that leaves any behind ends with
+    ``BrokenShards`` after everything else is committed. Data and verdicts of a load have names of
+    their own and replace themselves when the load is repeated.
+    """
+    token = load_token(spark, checkpoint)
+    added, reasons = [], {}
+
+    def load(shards: list[str], name: str, number: int, attempt: int) -> None:
+        def write(good: list[str]) -> int:
+            seen = Observation()
+            rows = _read_all(spark, kind, good).observe(seen, F.count(F.lit(1)).alias("rows"))
+            write_bucketed(rows, kind, f"{dest}/load={token}-{name}", mode="overwrite")
+            return seen.get["rows"]
+
+        broken: dict[str, str] = {}
+        try:
+            added.append(write(shards))
+        except Exception:  # noqa: BLE001 - the halving below finds out which shards it was
+            broken = broken_among(spark, kind, shards)
+            good = [shard for shard in shards if shard not in broken]
+            if not broken:
+                raise
+            if good:
+                added.append(write(good))
+        for shard in shards:
+            reasons.pop(shard, None)
+        reasons.update(broken)
+        outcome = [(shard, number, attempt, shard not in broken, broken.get(shard)) for shard in shards]
+        spark.createDataFrame(outcome, "shard string, load long, attempt long, loaded boolean, reason string").coalesce(1).write.mode(
+            "overwrite").json(f"{verdicts}/load={token}-{name}")
+
+    known = shard_verdicts(spark, verdicts)
+    again = {row.shard: row.loaded for row in known.where(~F.col("loaded") | (F.col("load") < 0)).select("shard", "loaded").collect()}
+    last = spark.read.json(f"{verdicts}/*/*.json").agg(F.max("attempt")).first()[0] if exists(spark, verdicts) else None
+    attempt = 1 if last is None else last + 1
+    for shard in sorted(name for name, loaded in again.items() if not loaded):
+        # A folder per shard: however often the repeat is cut short, its rows replace themselves.
+        load([shard], "again-" + hashlib.md5(shard.encode()).hexdigest(), -1, attempt)
+
+    def batch_of(batch: DataFrame, batch_id: int) -> None:
+        # A batch repeated after a lost driver leaves out what has been tried again on its own.
+        shards = sorted(row.path for row in batch.select("path").collect() if row.path not in again)
+        if shards:
+            load(shards, str(batch_id), batch_id, attempt)
+
+    # The content is never selected, so no bytes of the shards are read here.
+    file_schema = "path string, modificationTime timestamp, length long, content binary"
+    names = spark.readStream.format("binaryFile").schema(file_schema).option("pathGlobFilter", "*.gz").option("maxFilesPerTrigger", max_files).load(source)
+    names.select("path").writeStream.foreachBatch(batch_of).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+    if reasons:
+        raise BrokenShards(reasons)
+    return sum(added)
+
+
 def append_new(units: DataFrame, key: list[str], path: str, build, partition_by: str | None = None, slices: int = 1) -> None:
     """Run ``build`` on the units not stored at ``path`` yet and append the result.
 

@@ -14,7 +14,7 @@ from citegraph.operators import models
 from citegraph.plans import cut
 from citegraph.plans.generate import generate
 from citegraph.sources import layers, results
-from citegraph.streaming.ingest import append_new, ingest
+from citegraph.streaming.ingest import BrokenShards, append_new, ingest, ingest_with_verdicts, shard_verdicts
 from standins import HashedBag, KeywordRoles, WordOverlap
 
 
@@ -221,6 +221,30 @@ def test_rerank_and_labels(spark):
     assert labels["a"] == ["OBJECTIVE", "METHOD", "RESULT"] and labels["b"] == [] and labels["c"] == ["BACKGROUND"] * 130 + ["RESULT"]
 
 
+def test_a_broken_shard_holds_up_no_other(spark, tmp_path):
+    source, dest, mark, told = tmp_path / "raw", str(tmp_path / "dest"), str(tmp_path / "mark"), str(tmp_path / "told")
+    source.mkdir()
+    for name, ids in {"a": [1, 2], "b": range(100, 400), "c": [5], "d": [6]}.items():
+        shard(source / f"{name}.gz", [{"corpusid": i, "abstract": f"text {i * 7919 % 1009}"} for i in ids])
+    whole = (source / "b.gz").read_bytes()
+    (source / "b.gz").write_bytes(whole[:len(whole) // 2])
+    shard(source / "d.gz", [{"corpusid": 6, "abstract": "x"}], ['{"corpusid": 7, "abstr'])
+    run = lambda: ingest_with_verdicts(spark, "abstracts", str(source), dest, mark, told)
+    ids = lambda: sorted(r.corpusid for r in layers.read_bucketed(spark, "abstracts", dest).collect())
+    for _ in range(2):
+        with pytest.raises(BrokenShards) as error:
+            run()
+        assert sorted(name[-4:] for name in error.value.reasons) == ["b.gz", "d.gz"]
+        assert ids() == [1, 2, 5]
+    assert {r.shard[-4:]: r.loaded for r in shard_verdicts(spark, told).collect()} == {"a.gz": True, "b.gz": False, "c.gz": True, "d.gz": False}
+    (source / "b.gz").write_bytes(whole)
+    shard(source / "d.gz", [{"corpusid": 6, "abstract": "x"}])
+    shard(source / "e.gz", [{"corpusid": 8, "abstract": "y"}])
+    assert run() == 302
+    assert ids() == [1, 2, 5, 6, 8, *range(100, 400)]
+    assert run() == 0 and shard_verdicts(spark, told).where("not loaded").isEmpty()
+
+
 def test_append_new_skips_finished(spark, tmp_path):
     units = lambda n: spark.range(n).select(F.col("id").alias("k"))
     for n in (3, 5):
