@@ -2,7 +2,7 @@
 
 import gzip
 import json
-
+import re
 import sys
 
 import pytest
@@ -211,6 +211,42 @@ def test_generation_rounds(spark, tmp_path):
     assert int(rows["2"].predictions[3].split()[0]) > 40_000
 
 
+def test_a_run_cut_short_repeats_one_slice(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "r")
+    log.mkdir()
+    fails = tmp_path / "fails"
+    fails.touch()
+
+    class Fragile:
+        """Notes every seed it is asked about and breaks down at one of them while the file stands."""
+
+        def sample(self, prompts, n_calls, settings):
+            for prompt in prompts:
+                name = re.search("seed-[0-9]+", prompt).group()
+                with open(log / name, "a") as f:
+                    f.write("x")
+                if name == "seed-7" and fails.exists():
+                    raise RuntimeError("back end gone")
+            return [[f"text {i}" for i in range(n)] for n in n_calls]
+
+    rows = [(str(i), f"seed-{i}", 2015, "abs") for i in range(24)]
+    seeds = spark.createDataFrame(rows, "seed_id string, seed_title string, seed_year int, seed_abstract string").repartition(3)
+    run = lambda: generate(seeds, Fragile, "gemma_t10", out, n=2, max_rounds=2, slice_seeds=4)
+    with pytest.raises(Exception, match="back end gone"):
+        run()
+    stored = {r.seed_id for r in spark.read.parquet(out).collect()}
+    assert "7" not in stored
+    fails.unlink()
+    rows = run().collect()
+    assert len(rows) == 24 and all(r.short_by == 0 for r in rows)
+    replies = spark.read.parquet(out)
+    assert replies.count() == 24 and {r.round for r in replies.collect()} == {0}
+    # Stored seeds are not asked again; those repeated were in the slice that broke down (retries of its tasks included).
+    assert all((log / f"seed-{i}").read_text() == "x" for i in stored)
+    repeated = [p.name for p in log.iterdir() if p.read_text() != "x"]
+    assert "seed-7" in repeated and len(repeated) <= 12
+
+
 def test_rerank_and_labels(spark):
     goals = spark.createDataFrame([("1", "a", "cat sat mat"), ("1", "b", "dog"), ("2", "c", "x"), ("3", "d", "y")], "seed_id string, citer_id string, text string")
     gens = spark.createDataFrame([("1", ["cat sat mat", "bird"]), ("2", ["x"]), ("3", [])], "seed_id string, predictions array<string>")
