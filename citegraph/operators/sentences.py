@@ -20,55 +20,70 @@ COLLOCATION_FROM = 7.88
 STARTER_FROM = 30.0
 
 SPACE = r"[ \t\n\x0B\f\r]+"
-OPENERS, CLOSERS, COMMAS = r"""["'(\[]""", r"""["')\]]""", r"""["')\],;:!?]"""
+# Single characters, cut off by trimming: a trim costs a fraction of a regular expression on every word.
+BLANKS, OPENERS, CLOSERS, COMMAS = " \t\n\x0B\f\r", "\"'([", "\"')]", "\"')],;:!?"
 
 
 def words_of(text: Column) -> Column:
     """The words between white space; null for a null text."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.trim(text, F.lit(BLANKS)), SPACE), "")
 
 
 def core(word: Column) -> Column:
     """Lower-cased word without quotes, brackets, commas and its last full stop; a number is ``#``."""
-    bare = F.regexp_replace(F.regexp_replace(word, f"^{OPENERS}+", ""), f"{COMMAS}+$", "")
-    plain = F.lower(F.regexp_replace(bare, r"\.$", ""))
-    return F.when(plain.rlike(r"^[0-9.,-]*[0-9]$"), "#").otherwise(plain)
+    bare = F.rtrim(F.ltrim(word, F.lit(OPENERS)), F.lit(COMMAS))
+    plain = F.lower(F.regexp_replace(bare, r"\.\z", ""))
+    return F.when(plain.rlike(r"^[0-9.,-]*[0-9]\z"), "#").otherwise(plain)
 
 
 def dotted(word: Column) -> Column:
-    return F.regexp_replace(word, f"{COMMAS}+$", "").endswith(".")
+    return F.rtrim(word, F.lit(COMMAS)).endswith(".")
 
 
 def mark(word: Column) -> Column:
     """The last character behind closing quotes and brackets."""
-    return F.right(F.regexp_replace(word, f"{CLOSERS}+$", ""), F.lit(1))
+    return F.right(F.rtrim(word, F.lit(CLOSERS)), F.lit(1))
 
 
 def opens(word: Column) -> Column:
     """Whether a sentence can begin with the word: an upper-case letter or a digit."""
-    return F.regexp_replace(word, f"^{OPENERS}+", "").rlike(r"^[\p{Lu}0-9]")
+    return F.ltrim(word, F.lit(OPENERS)).rlike(r"^[\p{Lu}0-9]")
 
 
-def _bigrams(texts: DataFrame, text: str) -> DataFrame:
-    """(word, next) of every word of every text; the last word of a text has no next one."""
+def _may_end(word: Column) -> Column:
+    """Whether the word holds a mark that ends sentences; false for nearly all words and cheaper than ``mark``."""
+    return F.contains(word, F.lit(".")) | F.contains(word, F.lit("!")) | F.contains(word, F.lit("?"))
+
+
+def _occurrences(texts: DataFrame, text: str) -> DataFrame:
+    """(word, next, follows) of every word of every text; only a word with a mark brings its next one, ``follows`` tells words behind one without."""
     words = texts.select(words_of(F.col(text)).alias("w"))
-    pairs = F.transform("w", lambda w, i: F.struct(w.alias("word"), F.get("w", i + 1).alias("next")))
-    return words.select(F.explode(pairs).alias("p")).select("p.word", "p.next")
+    seen = F.transform("w", lambda w, i: F.struct(
+        w.alias("word"), F.when(_may_end(w), F.get("w", i + 1)).alias("next"),
+        F.coalesce(~_may_end(F.get("w", i - 1)), F.lit(False)).alias("follows")))
+    return words.select(F.explode(seen).alias("p")).select("p.word", "p.next", "p.follows")
 
 
 def word_pairs(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(first, stop, mark, second, opens, n): counts of neighbouring words, by their cores.
+    """(first, stop, mark, second, opens, n): counts of words and, behind a word with a mark, of neighbouring words, by their cores.
 
-    One pass over the texts. Neighbours are combined map-side before the only exchange; all
-    tables of the model are sums over this one.
+    One pass over the texts. Nothing asks which plain word a word stands behind: such a word is counted once as ``first``
+    without a ``second`` and once as ``second`` without a ``first``, so rows grow with the vocabulary and not with all pairs of
+    neighbours. All tables of the model are sums over this one.
     """
-    seen = _bigrams(texts, text).groupBy("word", "next").agg(F.count(F.lit(1)).alias("n"))
+    seen = _occurrences(texts, text).groupBy("word", "next", "follows").agg(F.count(F.lit(1)).alias("n"))
     last = mark(F.col("word"))
-    return seen.select(
+    known = seen.select(
         core(F.col("word")).alias("first"), dotted(F.col("word")).alias("stop"),
         F.when(last.isin("!", "?"), last).when(last == ".", last).alias("mark"),
-        core(F.col("next")).alias("second"), F.coalesce(opens(F.col("next")), F.lit(False)).alias("opens"), "n",
-    ).groupBy("first", "stop", "mark", "second", "opens").agg(F.sum("n").alias("n"))
+        core(F.col("next")).alias("second"), F.coalesce(opens(F.col("next")), F.lit(False)).alias("opens"), "follows", "n",
+    )
+    row = F.struct("first", "stop", "mark", "second", "opens")
+    behind = F.struct(
+        F.lit(None).cast("string").alias("first"), F.lit(False).alias("stop"), F.lit(None).cast("string").alias("mark"),
+        F.col("first").alias("second"), F.lit(False).alias("opens"))
+    both = known.select(F.explode(F.when(F.col("follows"), F.array(row, behind)).otherwise(F.array(row))).alias("p"), "n")
+    return both.groupBy("p.first", "p.stop", "p.mark", "p.second", "p.opens").agg(F.sum("n").alias("n"))
 
 
 def _likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -107,13 +122,18 @@ def abbreviations(pairs: DataFrame) -> DataFrame:
 
 
 def _shortened(pairs: DataFrame, abbrevs: DataFrame) -> DataFrame:
-    """The pairs with ``short``: the first word is an abbreviation or an initial with its full stop."""
+    """The pairs whose first word has a mark, with ``short``: it is an abbreviation or an initial with its full stop."""
     known = abbrevs.where(F.col("score") >= ABBREVIATION_FROM).select(F.col("word").alias("first"), F.lit(True).alias("known"))
     initial = F.col("first").rlike(r"^\p{L}$")
-    return pairs.join(known, "first", "left").withColumn(
+    marked = pairs.where(F.col("stop") | F.col("mark").isNotNull())
+    return marked.join(known, "first", "left").withColumn(
         "short", F.col("stop") & (F.coalesce("known", F.lit(False)) | initial)).drop("known")
 
 
+def _inner(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("second").isNotNull() & (F.col("second") != ""))
+
+
 def starters(pairs: DataFrame, abbrevs: DataFrame) -> DataFrame:
     """(word, n_after, n_all, ratio) of words behind a sure sentence end; a high ``ratio`` tells sentence starters.
 
@@ -121,8 +141,10 @@ def starters(pairs: DataFrame, abbrevs: DataFrame) -> DataFrame:
     abbreviation, initial or number.
     """
     ends = F.col("mark").isNotNull() & F.col("opens") & ~F.col("short") & ((F.col("first") != "#") | (F.col("mark") != "."))
-    counts = _shortened(pairs, abbrevs).where(F.col("second").isNotNull() & (F.col("second") != "")).groupBy(F.col("second").alias("word")).agg(
-        F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("n_after"), F.sum("n").alias("n_all"))
+    none = F.lit(0).cast("long")
+    after = _inner(_shortened(pairs, abbrevs)).where(ends).select(F.col("second").alias("word"), F.col("n").alias("n_after"), none.alias("n_all"))
+    every = _inner(pairs).select(F.col("second").alias("word"), none.alias("n_after"), F.col("n").alias("n_all"))
+    counts = after.unionByName(every).groupBy("word").agg(F.sum("n_after").alias("n_after"), F.sum("n_all").alias("n_all"))
     totals = counts.agg(F.sum("n_after").alias("ends"), F.sum("n_all").alias("total"))
     ratio = collocation_ratio(F.col("n_after"), F.col("ends"), F.col("n_all"), F.col("total"))
     return counts.where(F.col("n_after") > 0).crossJoin(F.broadcast(totals)).select("word", "n_after", "n_all", ratio.alias("ratio"))
@@ -130,10 +152,10 @@ def starters(pairs: DataFrame, abbrevs: DataFrame) -> DataFrame:
 
 def collocations(pairs: DataFrame, abbrevs: DataFrame) -> DataFrame:
     """(first, second, n, ratio): an abbreviation, initial or number with its full stop and a word bound to it, seen twice or more."""
-    inner = _shortened(pairs, abbrevs).where(F.col("second").isNotNull() & (F.col("second") != ""))
-    bound = F.col("stop") & (F.col("short") | (F.col("first") == "#"))
-    both = inner.where(bound).groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
-    lefts = inner.where(bound).groupBy("first").agg(F.sum("n").alias("n_first"))
+    inner = _inner(pairs)
+    bound = _inner(_shortened(pairs, abbrevs)).where(F.col("stop") & (F.col("short") | (F.col("first") == "#")))
+    both = bound.groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
+    lefts = bound.groupBy("first").agg(F.sum("n").alias("n_first"))
     rights = inner.groupBy("second").agg(F.sum("n").alias("n_second"))
     totals = inner.agg(F.sum("n").alias("total"))
     ratio = collocation_ratio(F.col("n"), F.col("n_first"), F.col("n_second"), F.col("total"))
@@ -163,17 +185,18 @@ def split(texts: DataFrame, key: Sequence[str], kept: DataFrame, text: str = "te
     blank text has no sentences. Only the places in question meet the table, not the texts.
     """
     key = list(key)
-    words = texts.withColumn("_words", words_of(F.coalesce(text, F.lit(""))))
-    places = F.filter(
-        F.transform("_words", lambda w, i: F.struct(
-            (i + 1).alias("at"), w.alias("word"), F.get("_words", i + 1).alias("next"))),
-        lambda p: mark(p["word"]).isin(".", "!", "?") & p["next"].isNotNull() & opens(p["next"]),
-    )
+    cut = words_of(F.coalesce(text, F.lit("")))
+    words = texts.select(*key, cut.alias("_words"))
+    following = lambda i: F.get("_words", i + 1)
+    places = F.array_compact(F.transform("_words", lambda w, i: F.when(
+        _may_end(w) & mark(w).isin(".", "!", "?") & following(i).isNotNull() & opens(following(i)),
+        F.struct((i + 1).alias("at"), w.alias("word"), following(i).alias("next")))))
     asked = words.select(*key, F.explode(places).alias("p")).select(
         *key, "p.at", core(F.col("p.word")).alias("first"), core(F.col("p.next")).alias("second"), (mark(F.col("p.word")) == ".").alias("_stop"))
     held = kept.select("first", "second", F.lit(True).alias("_stop"))
     cuts = asked.join(held, ["first", "second", "_stop"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list("at")).alias("_cuts"))
-    found = words.join(cuts, key, "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<int>")))
+    # The texts travel as they are and become words again behind the join.
+    found = texts.join(cuts, key, "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<int>"))).withColumn("_words", cut)
     edges = F.concat(F.array(F.lit(0)), "_cuts", F.array(F.size("_words")))
     pieces = F.transform(
         F.arrays_zip(F.slice(edges, 1, F.size("_cuts") + 1).alias("a"), F.slice(edges, 2, F.size("_cuts") + 1).alias("b")),
