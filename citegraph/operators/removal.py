@@ -9,15 +9,15 @@ from ..functions.text import audited, kept_text, split_sentences, word_count
 from ..params import MAX_SENTENCES, SENTENCE_LABELS
 
 
-def strip_units(units: DataFrame, labels: DataFrame, key: list[str], splitter=split_sentences) -> DataFrame:
+def strip_units(units: DataFrame, labels: DataFrame | None, key: list[str], splitter=split_sentences) -> DataFrame:
     """Per unit the audit list, the rewritten text and whether it is emptied.
 
     ``units`` has the key and ``text``; ``labels`` the key and ``labels``. A unit without
     labels is an error, as is a list of the wrong length. Without a ``splitter`` the units bring
-    their ``sentences`` (``operators.sentences``).
+    their ``sentences`` (``operators.sentences``), and without a table of ``labels`` their ``labels``.
     """
     split = units if splitter is None else units.withColumn("sentences", splitter(F.col("text")))
-    joined = split.join(labels, key, "left")
+    joined = split if labels is None else split.join(labels, key, "left")
     missing = F.raise_error(F.lit("unit without labels")).cast("array<string>")
     audit = audited(F.col("sentences"), F.when(F.col("labels").isNull(), missing).otherwise(F.col("labels")))
     return (

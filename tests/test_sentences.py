@@ -30,6 +30,21 @@ def test_abbreviations_and_starters(corpus):
     assert tied == {("ca", "sixty"): 30}
 
 
+def test_counts_grow_with_the_vocabulary(spark, corpus):
+    """Plain words stand alone; the sums over firsts and seconds are those of all neighbours."""
+    texts = spark.createDataFrame([(" ".join(f"{a} {b}" for a in "abcdefghijkl" for b in "abcdefghijkl"),), ("End. Abc d!\u2028 (\"x.,\" 3.5, Y",)], "text string")
+    pairs = S.word_pairs(texts)
+    assert pairs.where("NOT stop AND mark IS NULL AND first IS NOT NULL AND second IS NOT NULL AND n > 0").where("first RLIKE '^[a-z]$'").count() == 0
+    assert pairs.count() < 40
+    rows = texts.unionByName(corpus.select("text")).select(F.filter(F.split("text", S.SPACE), lambda w: w != "").alias("w"))
+    words = rows.select(F.posexplode("w").alias("i", "word")).select("i", S.core(F.col("word")).alias("c"))
+    firsts = {r.c: r["count"] for r in words.groupBy("c").count().collect()}
+    seconds = {r.c: r["count"] for r in words.where("i > 0").groupBy("c").count().collect()}
+    pairs = S.word_pairs(texts.unionByName(corpus.select("text")))
+    summed = lambda name: {r[0]: r.n for r in pairs.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("n").alias("n")).collect()}
+    assert summed("first") == firsts and summed("second") == seconds
+
+
 def test_cuts(corpus):
     out = {r.id: r.sentences for r in S.learned_sentences(corpus, ["id"]).where("id < 10").collect()}
     assert out[0] == ["We saw ca. Twenty ships.", "The end"]
@@ -61,3 +76,11 @@ def test_texts_do_not_meet_the_table(corpus):
     kept = S.joined_pairs(S.word_pairs(corpus))
     plan = S.split(corpus, ["id"], kept)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "Cross" not in plan.split("LeftAnti")[0]
+
+
+def test_units_with_labels_need_no_join(spark):
+    units = spark.createDataFrame([(1, "A. B.", ["A.", "B."], ["RESULT", None]), (2, "", [], [])], "id int, text string, sentences array<string>, labels array<string>")
+    apart = removal.strip_units(units.drop("labels"), units.select("id", "labels"), ["id"], None)
+    out = removal.strip_units(units, None, ["id"], None)
+    assert sorted(out.collect()) == sorted(apart.select(out.columns).collect())
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
