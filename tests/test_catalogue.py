@@ -7,6 +7,8 @@ import os
 import duckdb
 import pytest
 
+from citegraph.plans import queries
+
 DATA = "/root/testdata/sf0.001"
 TABLES = ["lineitem", "orders", "part", "customer", "events", "documents", "embeddings", "labels", "pages", "benchmark", "conversations"]
 CHECKED = [
@@ -67,3 +69,11 @@ def test_edge_plan(spark):
     partial = next(i for i, line in enumerate(lines) if "partial_min_by" in line)
     above = [line for line in lines[:partial] if "Exchange hashpartitioning" in line][-1]
     assert "citedcorpusid" in above and "citingcorpusid" in above
+
+
+@pytest.mark.parametrize("name", ["pair_similarities", "top_intents"])
+def test_written_pairs_hold_no_texts_and_no_vectors(spark, monkeypatch, name):
+    written = []
+    monkeypatch.setattr(queries, "materialise", lambda df: written.append(df.schema.simpleString()) or df)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert written and not any("abstract" in kinds or "array<float>" in kinds for kinds in written)
