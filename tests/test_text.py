@@ -173,6 +173,21 @@ def plain_bleu(texts):
     return sum(scores) / len(scores)
 
 
+def test_self_bleu_of_large_and_small_sets_is_one(spark):
+    import random
+    rng = random.Random(5)
+    sets = {g: [[rng.choice("red green blue, grey pink 1.5 teal.".split()) for _ in range(rng.randint(1, 9))] for _ in range(n)] for g, n in
+            (("a", 1), ("b", 2), ("c", 40))}
+    rows = [(g, i, " ".join(w)) for g, texts in sets.items() for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g string, i int, text string")
+    # Every set where its texts meet, large ones n-gram by n-gram, and all of them so.
+    results = [{r.g: r.self_bleu for r in lexical.self_bleu(df, ["g"], "i", whole=n).collect()} for n in (10**6, 200, 0)]
+    assert results[0].keys() == sets.keys() and math.isnan(results[0]["a"])
+    for other in results[1:]:
+        assert all(other[g] == pytest.approx(results[0][g], nan_ok=True) for g in sets)
+    assert L.matched_orders([["a", "b", "a"], ["a", "b"], ["c"]], [1, 2, None]) == [[3, 2, 2, 1, 0, 0], [2, 1, 2, 1, 0, 0], [1, 2, 0, 0, 0, 0]]
+
+
 def test_every_text_of_a_large_set_counts(spark):
     import random
     rng = random.Random(3)
