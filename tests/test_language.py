@@ -39,3 +39,12 @@ def test_verdicts_of_odd_texts(spark, profiles):
     # Equal profiles leave the first name.
     same = profiles.where("lang = 'en'").withColumn("lang", F.explode(F.array(F.lit("b"), F.lit("a"))))
     assert language.judge(spark.createDataFrame([(1, "the")], "id long, text string"), same, "id").first()["detected"] == "a"
+
+
+def test_tasks_send_counts_and_not_occurrences(spark):
+    texts = [("en", " the the "), ("en", " the "), ("de", " \U0001d504b "), ("de", None), ("en", "  ")]
+    rows = language.count_trigrams(spark.createDataFrame(texts * 2000, "lang string, text string").coalesce(1)).collect()
+    # One row per language and trigram, characters beyond 16 bits whole.
+    assert {(r["lang"], r["gram"]): r["n"] for r in rows} == {
+        ("en", " th"): 6000, ("en", "the"): 6000, ("en", "he "): 6000, ("en", "e t"): 2000, ("de", " \U0001d504b"): 2000, ("de", "\U0001d504b "): 2000}
+    assert len(rows) == 6
