@@ -6,7 +6,8 @@ their last letters. Exchange clustering moves symbols between ``CLASSES`` classe
 list of neighbours, the class with the largest gain of average mutual information; half of the symbols may move in a round, so that
 neighbours do not swap. Lists of neighbours are as long as the set of symbols at most.
 
-Word counts never leave their hash range: texts are tokenised in blocks, a block sends its distinct words to ``ranges`` tasks, and for
+Texts are tokenised once, in pieces that are stored as their distinct words and the tokens' places among them; all passes join these
+to blocks. Word counts never leave their hash range: a block sends its distinct words to ``ranges`` tasks, and for
 scoring asks the same ranges for the counts of its rare words. What is shuffled grows with the distinct words of the blocks.
 
 Within a class, seen words give up ``DISCOUNT`` counts each, and the sum of that is the probability of words not seen in training.
@@ -34,6 +35,10 @@ PRIOR = 4.0
 # Characters of text in a block, and the number of hash ranges per block's worth of words.
 BLOCK_CHARS = 8_000_000
 BLOCKS_PER_RANGE = 3
+# Characters of text in a stored row; tasks join rows to blocks.
+PIECE_CHARS = 500_000
+# Tokens whose probabilities are held at a time.
+TOKENS_AT_ONCE = 150_000
 # Characters of text whose symbol pairs are merged by one set of tasks before those sets are merged.
 MERGED_CHARS = 40_000_000_000
 SEED = 53
@@ -70,15 +75,15 @@ class Words(dict):
         return i
 
 
-def text_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames gathered to about BLOCK_CHARS characters."""
+def text_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames gathered to about PIECE_CHARS characters."""
     held, chars = [], 0
     for frame in frames:
         start = 0
         sizes = frame["text"].str.len().to_numpy()
         for at, size in enumerate(sizes):
             chars += int(size) + 50
-            if chars >= BLOCK_CHARS:
+            if chars >= PIECE_CHARS:
                 yield pd.concat([*held, frame.iloc[start:at + 1]], ignore_index=True)
                 held, chars, start = [], 0, at + 1
         if start < len(frame):
@@ -112,16 +117,71 @@ def by_range(hashes: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     return ((r, slice(cuts[r], cuts[r + 1])) for r in range(n) if cuts[r] < cuts[r + 1])
 
 
-def count_words(train: DataFrame, ranges: int) -> DataFrame:
+def token_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (block, chars, n_train, doc_ids, train, lengths, hashes, low, high): the distinct words of a piece and its tokens as places among them.
+
+    Places are stored as two planes of 16 bits, of which the high one is mostly zero. ``rows`` are (doc_id, text, train).
+    """
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        words, task = Words(), TaskContext.get().partitionId()
+        for number, block in enumerate(text_pieces(frames)):
+            at, lengths = tokenise(block["text"], words)
+            seen = np.zeros(len(words), bool)
+            seen[at] = True
+            at = (np.cumsum(seen) - 1)[at]
+            train = block["train"].to_numpy(bool)
+            yield pd.DataFrame([{
+                "block": (task << 24) + number, "chars": int(block["text"].str.len().sum()), "n_train": int(train.sum()), "doc_ids": list(block["doc_id"]),
+                "train": pack(train), "lengths": pack(lengths), "hashes": pack(words.hashes[:len(words)][seen]),
+                "low": pack((at & 0xFFFF).astype(np.uint16)), "high": pack((at >> 16).astype(np.uint16)),
+            }])
+
+    return rows.mapInPandas(local, "block long, chars long, n_train long, doc_ids array<string>, train binary, lengths binary, hashes binary, low binary, high binary")
+
+
+def pieces_of(frames: Iterator[pd.DataFrame], trained: bool) -> Iterator[tuple]:
+    """(number, ids, words, places of all tokens, tokens per text, characters) of stored pieces, of training texts alone if ``trained``."""
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            at = np.frombuffer(row.low, np.uint16).astype(np.int32) | np.frombuffer(row.high, np.uint16).astype(np.int32) << 16
+            lengths, ids = np.frombuffer(row.lengths, np.int64), None if trained else row.doc_ids
+            if trained:
+                train = np.frombuffer(row.train, bool)
+                at, lengths = at[np.repeat(train, lengths)], lengths[train]
+            yield row.block, ids, np.frombuffer(row.hashes, np.uint64), at, lengths, row.chars
+
+
+def blocks_of(frames: Iterator[pd.DataFrame], trained: bool) -> Iterator[tuple]:
+    """(number, ids, words, places, lengths) of blocks, pieces joined to about BLOCK_CHARS characters; the number is the first piece's."""
+    def joined(pieces: list[tuple]) -> tuple:
+        numbers, ids, words, at, lengths, _ = zip(*pieces)
+        found, place = np.unique(np.concatenate(words), return_inverse=True)
+        starts = np.cumsum([0, *map(len, words)])
+        place = place.astype(np.int32)
+        at = np.concatenate([place[start:end][a] for start, end, a in zip(starts, starts[1:], at)])
+        return numbers[0], None if trained else np.concatenate(ids), found, at, np.concatenate(lengths)
+
+    held, chars = [], 0
+    for piece in pieces_of(frames, trained):
+        held.append(piece)
+        chars += piece[-1]
+        if chars >= BLOCK_CHARS:
+            yield joined(held)
+            held, chars = [], 0
+    if held:
+        yield joined(held)
+
+
+def count_words(blocks: DataFrame, ranges: int) -> DataFrame:
     """Rows (part, hashes, counts): ascending word hashes of a range with their training counts, both as binary arrays."""
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for block in text_blocks(frames):
-            rows, _ = tokenise(block["text"], words)
-            counts = np.bincount(rows, minlength=0)
+        for _, _, words, at, _ in blocks_of(frames, True):
+            counts = np.bincount(at, minlength=0)
             seen = np.flatnonzero(counts)
-            order = seen[np.argsort(words.hashes[seen], kind="stable")]
-            hashes, counts = words.hashes[order], counts[order].astype(np.int64)
+            order = seen[np.argsort(words[seen], kind="stable")]
+            hashes, counts = words[order], counts[order].astype(np.int64)
             yield pd.DataFrame([(r, pack(hashes[s]), pack(counts[s])) for r, s in by_range(hashes, ranges)], columns=["part", "hashes", "counts"])
 
     def added(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +191,7 @@ def count_words(train: DataFrame, ranges: int) -> DataFrame:
         total = np.bincount(at, weights=counts).astype(np.int64)
         return pd.DataFrame({"part": [key[0]], "hashes": [pack(found)], "counts": [pack(total)], "types": [len(found)], "tokens": [int(total.sum())]})
 
-    return train.mapInPandas(local, "part int, hashes binary, counts binary").groupBy("part").applyInPandas(
+    return blocks.drop("doc_ids").mapInPandas(local, "part int, hashes binary, counts binary").groupBy("part").applyInPandas(
         added, "part int, hashes binary, counts binary, types long, tokens long")
 
 
@@ -173,7 +233,7 @@ def with_ends(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], np.insert(symbols, ends, END)])
 
 
-def neighbour_lists(train: DataFrame, shared, parts: int, sets: int) -> DataFrame:
+def neighbour_lists(blocks: DataFrame, shared, parts: int, sets: int) -> DataFrame:
     """Rows (symbol, side, others, counts): following (side 1) and preceding (side 0) symbols with counts as binary arrays.
 
     Pairs are counted per task before they are shuffled, then per ``sets`` groups of tasks, then in all; a symbol has at
@@ -183,7 +243,7 @@ def neighbour_lists(train: DataFrame, shared, parts: int, sets: int) -> DataFram
         from pyspark import TaskContext
 
         group = TaskContext.get().partitionId() % sets
-        symbols, words = shared.value, Words()
+        symbols = shared.value
         size = symbols.size
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -202,9 +262,10 @@ def neighbour_lists(train: DataFrame, shared, parts: int, sets: int) -> DataFram
                         yield p, group, side, pack(own[s].astype(np.int32)), pack(other[s].astype(np.int32)), pack(c[s])
 
         columns = ["part", "group", "side", "own", "other", "counts"]
-        for block in text_blocks(frames):
-            rows, lengths = tokenise(block["text"], words)
-            s = with_ends(symbols.of(words.hashes[rows])[0], lengths)
+        for _, _, words, at, lengths in blocks_of(frames, True):
+            if not len(lengths):
+                continue
+            s = with_ends(symbols.of(words)[0][at], lengths)
             found, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
             codes, counts = merged([codes, found], [counts, n])
             if len(codes) > 4_000_000:
@@ -220,7 +281,7 @@ def neighbour_lists(train: DataFrame, shared, parts: int, sets: int) -> DataFram
         return pd.DataFrame({"part": [key[0]], "side": [key[1]], "own": [pack((found // size).astype(np.int32))], "other": [pack((found % size).astype(np.int32))], "counts": [pack(total.astype(np.int64))]})
 
     kind = "side int, own binary, other binary, counts binary"
-    pairs = train.mapInPandas(local, f"part int, group int, {kind}")
+    pairs = blocks.drop("doc_ids").mapInPandas(local, f"part int, group int, {kind}")
     if sets > 1:
         pairs = pairs.groupBy("part", "side", "group").applyInPandas(added, f"part int, {kind}")
     return pairs.groupBy("part", "side").applyInPandas(added, f"part int, {kind}").drop("part")
@@ -278,42 +339,48 @@ def exchange(lists: DataFrame, spark: SparkSession, n_symbols: int) -> tuple[np.
     return classes, pairs
 
 
-def score_parts(docs: DataFrame, shared, ranges: int) -> DataFrame:
+def slices(lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Slices of texts with about TOKENS_AT_ONCE tokens, and of their tokens."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    start = 0
+    while start < len(lengths):
+        end = max(start + 1, int(np.searchsorted(ends + np.arange(len(ends)), ends[start] + start + TOKENS_AT_ONCE)))
+        end = min(end, len(lengths))
+        yield slice(start, end), slice(ends[start], ends[end])
+        start = end
+
+
+def score_parts(blocks: DataFrame, shared, ranges: int) -> DataFrame:
     """Rows of two kinds per block: its documents with class scores and lists of rare words, and its questions per hash range."""
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
         symbols, classes, transition, emission, base, end_seen = shared.value
-        words, task = Words(), TaskContext.get().partitionId()
-        for number, block in enumerate(text_blocks(frames)):
-            key = (task << 24) + number
-            rows, lengths = tokenise(block["text"], words)
-            used, at = np.unique(rows, return_inverse=True)
-            symbol, own = symbols.of(words.hashes[used])
-            s = with_ends(symbol[at], lengths)
-            c = classes[s]
-            step = transition[c[:-1], c[1:]]
-            ends = np.cumsum(lengths + 1)
-            heads = ends - lengths - 1
+        for key, ids, words, at, lengths in blocks_of(frames, False):
+            symbol, own = symbols.of(words)
             # Frequent words and ends are settled here; rare tokens wait for their counts.
             certain = np.where(own, symbol, END)
-            settled = np.insert(np.where(own, emission[certain], 0.0)[at], np.cumsum(lengths), emission[END]) + step
-            basic = np.insert(np.where(own, base[certain], 0.0)[at], np.cumsum(lengths), base[END])
-            n_known = np.insert(own[at], np.cumsum(lengths), end_seen)
+            of_word = np.where(own, emission[certain], 0.0), np.where(own, base[certain], 0.0), own
+            of_end = emission[END], base[END], end_seen
+            sums = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths), np.int64)
+            for docs, tokens in slices(lengths):
+                n, part = lengths[docs], at[tokens]
+                ends = np.cumsum(n)
+                heads = ends - n + np.arange(len(n))
+                c = classes[with_ends(symbol[part], n)]
+                step = transition[c[:-1], c[1:]]
+                for i, (word, end) in enumerate(zip(of_word, of_end)):
+                    values = np.insert(word[part], ends, end)
+                    sums[i][docs] = np.add.reduceat(values + step if i == 0 else values.astype(sums[i].dtype), heads)
             rare = np.flatnonzero(~own)
-            asked = words.hashes[used[rare]]
+            asked = words[rare]
             order = np.argsort(asked, kind="stable")
-            place = np.full(len(used), -1, np.int64)
+            place = np.full(len(words), -1, np.int32)
             place[rare[order]] = np.arange(len(rare))
             which = ~own[at]
-            doc = np.repeat(np.arange(len(lengths)), lengths)[which]
-            head = {
-                "doc_ids": block["doc_id"], "n_tokens": lengths + 1, "score": np.add.reduceat(settled, heads),
-                "base": np.add.reduceat(basic, heads), "known": np.add.reduceat(n_known.astype(np.int64), heads),
-            }
+            doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[which]
+            head = {"doc_ids": ids, "n_tokens": lengths + 1, "score": sums[0], "base": sums[1], "known": sums[2]}
             sizes = np.bincount(doc, minlength=len(lengths))
             yield pd.DataFrame([{
-                "kind": 0, "block": key, "part": -1, "hashes": pack(sizes.astype(np.int32)), "counts": pack(place[at[which]].astype(np.int32)),
+                "kind": 0, "block": key, "part": -1, "hashes": pack(sizes.astype(np.int32)), "counts": pack(place[at[which]]),
                 "classes": pack(classes[symbol[rare[order]]].astype(np.uint8)), **{k: list(v) for k, v in head.items()},
             }])
             asked = asked[order]
@@ -323,7 +390,7 @@ def score_parts(docs: DataFrame, shared, ranges: int) -> DataFrame:
 
     schema = ("kind int, block long, part int, hashes binary, counts binary, classes binary, doc_ids array<string>, "
               "n_tokens array<long>, score array<double>, base array<double>, known array<long>")
-    return docs.mapInPandas(local, schema)
+    return blocks.mapInPandas(local, schema)
 
 
 def answers(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -356,17 +423,17 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """
     spark = docs.sparkSession
     rows, kind = keyed(docs, id_col, text_col)
-    train = rows.where(fold("doc_id", parts) != held).select("text")
-    size = rows.select(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    blocks = materialise(token_blocks(rows.withColumn("train", fold("doc_id", parts) != held)))
+    read = blocks.agg(F.sum("chars").alias("chars"), F.sum("n_train").alias("n_train")).first()
+    size, n_train = read["chars"] or 0, read["n_train"] or 0
     ranges = int(max(8, size / BLOCK_CHARS / BLOCKS_PER_RANGE))
-    vocabulary = materialise(count_words(train, ranges))
+    vocabulary = materialise(count_words(blocks, ranges))
     totals = vocabulary.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
-    n_train = train.count()
     tokens, types = (totals["tokens"] or 0) + n_train, (totals["types"] or 0) + bool(n_train)
     hashes, counts = frequent_words(vocabulary, max(2.0, SHARE * tokens))
     symbols = Symbols(hashes)
     shared = spark.sparkContext.broadcast(symbols)
-    lists = materialise(neighbour_lists(train, shared, int(min(4096, ranges)), 1 + int(size / MERGED_CHARS)))
+    lists = materialise(neighbour_lists(blocks, shared, int(min(4096, ranges)), 1 + int(size / MERGED_CHARS)))
     classes, pairs = exchange(lists, spark, symbols.size) if tokens else (np.zeros(symbols.size, np.int64), np.ones((CLASSES, CLASSES)))
 
     # Per class its words, tokens and types; spelled symbols' words come from the vocabulary.
@@ -382,7 +449,7 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     denominator = np.log10(tokens + types + 1)
     base = np.log10(frequent + 1) - denominator
     everything = spark.sparkContext.broadcast((symbols, classes, transition, emission, base, bool(n_train)))
-    stored = materialise(score_parts(rows, everything, ranges))
+    stored = materialise(score_parts(blocks, everything, ranges))
     replies = answers(stored.where("kind = 1").select("block", "part", "hashes"), vocabulary)
     per_class = spark.sparkContext.broadcast((np.log10(class_tokens), unseen_mass, denominator))
 

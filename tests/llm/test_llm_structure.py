@@ -287,3 +287,31 @@ def test_stage_functions_with_columns_of_their_own_names(spark):
     none = docs.limit(0)
     for out in (quality.keep_good(none, labels), exact_dedup.drop_copies(none), near_join.keep_one(none), decontaminate.drop_leaks(none, items)):
         assert out.columns == docs.columns and out.collect() == []
+
+
+def test_brown_tokenises_every_text_once(spark, tmp_path):
+    from citegraph.llm import brown
+    texts = [(1, "the cat the"), (2, None), (3, "Dog \x0b cat"), (4, "")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).selectExpr("string(doc_id) doc_id", "coalesce(text, '') text", "doc_id <> 3 train")
+    block = brown.token_blocks(rows).toPandas()
+    (_, ids, words, at, lengths), = brown.blocks_of([block, block], False)
+    assert list(ids) == ["1", "2", "3", "4"] * 2 and lengths.tolist() == [3, 0, 2, 0] * 2
+    assert words[at].tolist() == [brown.word_hash(w) for w in "the cat the dog cat".split() * 2]
+    (_, _, words, at, lengths), = brown.blocks_of([block], False)
+    assert words[at].tolist() == [brown.word_hash(w) for w in "the cat the dog cat".split()] and lengths.tolist() == [3, 0, 2, 0]
+    (_, _, words, at, lengths), = brown.blocks_of([block], True)
+    assert words[at].tolist() == [brown.word_hash(w) for w in "the cat the".split()] and lengths.tolist() == [3, 0, 0]
+    # All passes after the first read blocks: of the input, one scan.
+    scans = tmp_path / "scans"
+    scans.mkdir()
+    seen = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).mapInPandas(touched_in(str(scans)), "doc_id long, text string")
+    assert brown.score_lm(seen).count() == 4
+    assert len(list(scans.iterdir())) == 1
+
+
+def touched_in(folder):
+    def touched(frames):
+        import tempfile
+        tempfile.mkstemp(dir=folder)
+        yield from frames
+    return touched
