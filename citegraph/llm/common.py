@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bitset import bit_set, cannot_contain, may_contain
 from ..session import materialise
 
 # Fixed value: white space that separates words, space and the five controls from tab to carriage return.
@@ -56,4 +57,22 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "fold", "keyed", "materialise", "numbered", "table", "text_of", "unkeyed", "unused"]
+def split_by(df: DataFrame, name: str, members: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``name`` may be among the stored ``members``, and all other rows.
+
+    A broadcast bit set of fixed size tells them apart where they are read, so of long texts only the first part needs a join.
+    """
+    bits = bit_set(members, member)
+    return may_contain(df, name, bits), cannot_contain(df, name, bits)
+
+
+def without(df: DataFrame, name: str, gone: DataFrame, member: str, same: Column | None = None) -> DataFrame:
+    """The rows of ``df`` without a partner in the stored table ``gone``: equal keys and, if given, ``same``; other texts are not shuffled."""
+    near, rest = split_by(df, name, gone, member)
+    on = F.col(name) == F.col(member)
+    # The optimiser pushes an anti-join below the bit set, to all rows; an outer join stays above it.
+    met = near.join(gone, on if same is None else on & same, "left")
+    return rest.unionByName(met.where(F.col(member).isNull()).select(df.columns))
+
+
+__all__ = ["BLANKS", "WORD", "ascii_lower", "fold", "keyed", "materialise", "numbered", "split_by", "table", "text_of", "unkeyed", "unused", "without"]

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise, table, text_of, unkeyed, unused
+from .common import keyed, materialise, table, text_of, unkeyed, unused, without
 
 WINDOW = 8
 SHORTEST = 3
@@ -224,7 +224,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     leaks = materialise(contained(docs, items, id_col, text_col, item_col, item_text).select("doc_id", "text_key").distinct())
     leak_id, leak_key = unused(docs, "_leak_id"), unused(docs, "_leak_key")
     leaks = leaks.select(F.col("doc_id").alias(leak_id), F.col("text_key").alias(leak_key))
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks[leak_id]) & (F.xxhash64(text_of(docs[text_col])) == leaks[leak_key]), "left_anti")
+    own = unused(docs, "_key")
+    named = docs.withColumn(own, F.xxhash64(text_of(text_col)))
+    return without(named, own, leaks, leak_key, F.col(id_col).eqNullSafe(F.col(leak_id))).select(docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, numbered, table, text_of, unused
+from .common import ascii_lower, materialise, numbered, table, text_of, unused, without
 
 # Share of all rows from which a digest counts as frequent; 1 / SUPPORT bounds the broadcast rows.
 SUPPORT = 0.002
@@ -69,8 +69,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = unused(docs, "_row")
     stored = numbered(docs, row)
     digests = materialise(stored.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"), F.col(row).alias("_row")))
-    losers = decide(digests, support).where(~F.col("kept")).select(F.col("_row").alias(unused(stored, "_loser")))
-    return stored.join(losers, stored[row] == losers[losers.columns[0]], "left_anti").select(docs.columns)
+    loser = unused(stored, "_loser")
+    losers = materialise(decide(digests, support).where(~F.col("kept")).select(F.col("_row").alias(loser)))
+    return without(stored, row, losers, loser).select(docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

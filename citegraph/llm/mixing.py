@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, numbered, table, text_of, unused
+from .common import WORD, materialise, numbered, split_by, table, text_of, unused
 
 # Fixed values of the contract: weights by rank of the source, repeated, and the highest number of passes.
 WEIGHTS = (5, 2, 1)
@@ -46,6 +46,15 @@ def uniform(*keys) -> Column:
     return part(2**31 - 1, *keys) / F.lit(float(2**31 - 1))
 
 
+def block_of(seed: int, doc_id: Column) -> Column:
+    return part(BLOCKS, seed, "block", doc_id)
+
+
+def place_of(seed: int, doc_id: Column) -> Column:
+    """Key that shuffles a shard."""
+    return F.xxhash64(F.lit(seed), F.lit("place"), doc_id)
+
+
 def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
     """Adds ``target`` to rows (source, source_size, weight): min(cap * size, level * weight), summing to all sizes.
 
@@ -254,7 +263,7 @@ def mix(
     row = [F.col(row_col).alias("_row")] if row_col else []
     sized = (materialise if row_col else numbered)(docs.select(
         *row, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"),
-    ).withColumn("block", part(BLOCKS, seed, "block", F.col("doc_id"))).withColumn("cell", part(BLOCKS, seed, "cell", F.col("doc_id"))))
+    ).withColumn("block", block_of(seed, F.col("doc_id"))).withColumn("cell", part(BLOCKS, seed, "cell", F.col("doc_id"))))
     cells = materialise(sized.groupBy("source", "block", "cell").agg(F.sum("size").alias("cell_size")))
     per_source = materialise(targets(weighted(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights), cap))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -314,7 +323,7 @@ def mix(
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken"),
         F.when(copies > 0, F.coalesce(F.col("shard"), part(2**levels, seed, "spare", F.col("source"), F.col("block")))).alias("shard"),
-        F.when(copies > 0, F.xxhash64(F.lit(seed), F.lit("place"), F.col("doc_id"))).alias("place"), *(["_row"] if row_col else []),
+        F.when(copies > 0, place_of(seed, F.col("doc_id"))).alias("place"), *(["_row"] if row_col else []),
     )
 
 
@@ -323,13 +332,27 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     An output writer repeats a row ``copies`` times, sends it to its shard and orders the shard by place.
     """
-    row = unused(docs, "_row")
+    row, seed = unused(docs, "_row"), rules.get("seed", SEED)
     stored = numbered(docs, row)
-    taken = mix(stored, id_col, text_col, source_col, row_col=row, **rules).where("copies > 0")
-    added = {name: unused(docs, name) for name in ("copies", "shard", "place")}
-    number = unused(stored, "_taken")
-    taken = taken.select(F.col("_row").alias(number), *[F.col(n).alias(a) for n, a in added.items()])
-    return stored.join(taken, stored[row] == taken[number]).select(*docs.columns, *added.values())
+    decided = materialise(mix(stored, id_col, text_col, source_col, row_col=row, **rules).select(
+        "_row", "source", block_of(seed, F.col("doc_id")).alias("block"), "copies", "shard", "place"))
+    # Nearly all documents of a block share copies and shard; only texts of the others are joined by row.
+    usual = materialise(decided.groupBy("source", "block").agg(F.mode(F.struct("copies", "shard")).alias("usual")))
+    of_source, of_block, u, number = (unused(stored, n) for n in ("_source", "_block", "_usual", "_taken"))
+    usual = usual.select(F.col("source").alias(of_source), F.col("block").alias(of_block), F.col("usual").alias(u))
+    in_block = lambda source, block: source.eqNullSafe(F.col(of_source)) & (block == F.col(of_block))
+    differs = ~F.struct("copies", "shard").eqNullSafe(F.col(u))
+    odd = materialise(decided.join(usual, in_block(F.col("source"), F.col("block"))).where(differs).select(
+        F.col("_row").alias(number), F.struct("copies", "shard").alias("own")))
+    own = unused(stored, "_own")
+    odd = odd.withColumnRenamed("own", own)
+    near, rest = split_by(stored, row, odd, number)
+    found = near.join(odd, F.col(row) == F.col(number), "left").drop(number).unionByName(rest, allowMissingColumns=True)
+    found = found.join(usual, in_block(F.col(source_col).cast("string"), block_of(seed, F.col(id_col))))
+    said = F.coalesce(F.col(own), F.col(u))
+    return found.where(said["copies"] > 0).select(
+        *docs.columns, said["copies"].alias(unused(docs, "copies")), said["shard"].alias(unused(docs, "shard")),
+        place_of(seed, F.col(id_col)).alias(unused(docs, "place")))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, keyed, materialise, table, text_of, unkeyed, unused
+from .common import UPPER, keyed, materialise, split_by, table, text_of, unkeyed, unused, without
 from .groups import components, merge_labels, whole_groups
 
 SHINGLE = 5
@@ -224,8 +224,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = likely_links(named.where(F.size("keys") > 0))
     members = materialise(components(links).select(F.col("node").alias("class_id"), "root"))
     texts = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("text")).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    wanted = rows.join(members, "class_id").groupBy("class_id").agg(F.first("text_key").alias("w_key"), F.min("doc_id").alias("w_id"))
-    chosen = texts.join(wanted, (F.col("text_key") == F.col("w_key")) & F.col("d_id").eqNullSafe(F.col("w_id"))).select("class_id", "text")
+    wanted = materialise(rows.join(members, "class_id").groupBy("class_id").agg(F.first("text_key").alias("w_key"), F.min("doc_id").alias("w_id")))
+    # Only texts of components move.
+    chosen = split_by(texts, "text_key", wanted, "w_key")[0].join(wanted, (F.col("text_key") == F.col("w_key")) & F.col("d_id").eqNullSafe(F.col("w_id"))).select("class_id", "text")
     found = materialise(exact_links(chosen, members))
     exact = found.groupBy("class_id").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("class_id").alias("a"), F.col("least").alias("b")))
@@ -252,10 +253,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Classes without links stay with all their rows, so exact copies are left to exact de-duplication.
     """
     rows, linked = near_classes(docs, id_col, text_col)
-    key = unused(docs, "_gone")
+    key, own = unused(docs, "_gone"), unused(docs, "_key")
     gone = materialise(rows.join(linked.where("class_id <> group_id"), "class_id").select(
         F.col("text_key").alias(key)).distinct())
-    return docs.join(gone, F.unhex(F.md5(text_of(docs[text_col]).cast("binary"))) == gone[key], "left_anti")
+    named = docs.withColumn(own, F.unhex(F.md5(text_of(text_col).cast("binary"))))
+    return without(named, own, gone, key).select(docs.columns)
 
 
 def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

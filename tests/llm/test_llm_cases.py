@@ -15,6 +15,7 @@ import plain  # noqa: E402
 from citegraph.llm import (  # noqa: E402
     brown, decontaminate, exact_dedup, groups, html_text, mixing, near_join, quality, repeats, token_counts, toxicity,
 )
+from citegraph.llm.common import materialise  # noqa: E402
 from citegraph.llm.lyndon import suffix_arrays  # noqa: E402
 
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("ren", "lis", "tom", "nak", "s", "v")]
@@ -348,3 +349,43 @@ def test_token_counts_of_a_small_vocabulary():
     assert counter.count("a??b") == 4 and counter.count("?") == 2
     with_bytes = token_counts.Counter({"a": -1.0, "▁": -1.0}, -2.0, True)
     assert with_bytes.count("é") == 3
+
+
+def shuffled_mb(spark, run):
+    """MB written by the shuffles of ``run``."""
+    context = spark.sparkContext
+
+    def written():
+        stages = context._jsc.sc().statusStore().stageList(
+            None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+    before = written()
+    run().write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+def test_stages_shuffle_no_whole_texts(spark):
+    """Texts stay where they are, but for those a stage may drop."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(8_000)) for _ in range(380)]
+    docs = materialise(spark.createDataFrame([(i, texts[i % 380]) for i in range(384)], "doc_id long, text string").repartition(4))
+    items = spark.createDataFrame([(1, texts[7][:300])], "item_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows, run in ((380, lambda: exact_dedup.drop_copies(docs)), (384, lambda: near_join.keep_one(docs)), (383, lambda: decontaminate.drop_leaks(docs, items))):
+            assert run().count() == rows
+            assert shuffled_mb(spark, run) < 0.5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_mixed_rows_are_those_of_the_mix(spark):
+    docs = materialise(spark.createDataFrame(
+        [(None if i % 50 == 0 else i % 900, "w " * (1 + i * 7 % 60), None if i % 4 == 0 else f"s{i % 4}") for i in range(1_000)],
+        "doc_id long, text string, source string"))
+    stored = docs.withColumn("_row", F.monotonically_increasing_id())
+    told = mixing.mix(stored, row_col="_row").where("copies > 0").join(stored.select("_row", "text"), "_row")
+    names = ["doc_id", "text", "source", "copies", "shard", "place"]
+    assert sorted(map(str, mixing.mixed_rows(docs).select(names).collect())) == sorted(map(str, told.select(names).collect()))
