@@ -2,18 +2,19 @@
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a smaller id.
 
-1. Every window of LENGTH bytes names the smallest hash of its GRAM-byte strings, at the leftmost place; equal windows name equal
-   strings. Texts are read in blocks; a block sends the distinct hashes it names to tasks by hash range, which answer which of them
+1. Texts are packed into blocks. Every window of LENGTH bytes names the smallest hash of its GRAM-byte strings, at the leftmost place;
+   equal windows name equal strings. A block sends the distinct hashes it names to tasks by hash range, which answer which of them
    occur in two documents.
 2. For those the block cuts the slice of text whose windows name the place, and sends distinct slices, with the smallest document of the
-   block that holds them, to tasks by the same ranges. All copies of a window meet there.
+   block that holds them, to tasks by the same ranges. All copies of a window meet there. Where the slices lie, the block sends to itself.
 3. Such a task puts the slices of one named string into one text and sorts the suffixes of its texts by linear grouping (``lyndon``). Neighbours
    that agree in LENGTH bytes are copies; the smallest document of each run of copies decides, for every slice that was sent, which of
-   its windows go. Windows that no other slice and no other document holds are left out beforehand by their hash.
+   its windows go. Windows that no other slice holds are left out beforehand by their hash: of equal slices the smallest document is known.
 4. The block removes what the answers cover.
 
 Blocks bound what a task holds of the texts. A slice is sent once per block, however many copies the block has, and a named string with
 more than ``WIDE`` distinct slices is sorted window by window, each distinct window once, so no text of a task grows with its number.
+Texts travel once, with their block; the steps of a block read the same exchange.
 """
 
 from __future__ import annotations
@@ -38,9 +39,13 @@ PLACES = LENGTH - GRAM + 1
 LONGEST = LENGTH + PLACES - 1
 WIDE = 48
 BLOCK_BYTES = 4_000_000
-BLOCKS_PER_RANGE = 1
-# Slices handled at a time where they are wide arrays.
-CHUNK = 8_192
+# Every block writes to every range, so larger ranges keep the number of messages down; a task takes a range in pieces.
+BLOCKS_PER_RANGE = 8
+# Bytes of short texts hashed together.
+PIECE = 32_768
+# Slices handled at a time where they are wide arrays, and slices of a range compared at a time.
+CHUNK = 2_048
+SLICES = 65_536
 # Suffixes sorted at a time.
 BATCH = 400_000
 LAST = np.iinfo(np.int64).max
@@ -76,25 +81,26 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def named_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places named by the windows of ``raw`` with their hashes, and the first and last window that names each."""
-    if len(raw) < LENGTH:
+def named_places(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places named by the windows of texts that lie one after the other in ``raw``, their hashes, and the first and last window that names each."""
+    windows = ranges(np.cumsum(sizes) - sizes, np.maximum(sizes - (LENGTH - 1), 0))
+    if not len(windows):
         empty = np.zeros(0, np.int64)
         return empty, np.zeros(0, np.uint64), empty, empty
     h = gram_hashes(raw)
     # The smallest (hash, place) per window by doubling widths; the low bits hold the place, so the leftmost of equals is named.
     bits = np.uint64(max(24, int(len(h)).bit_length()))
-    v = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    low, width = v, 1
+    low, width = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * width <= PLACES:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     n = len(raw) - LENGTH + 1
     low = np.minimum(low[:n], low[PLACES - width:PLACES - width + n])
-    place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # Windows over the edge of a text are none.
+    place = (low[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     places = place[at]
-    return places, evened(h[places]), at, np.append(at[1:], n) - 1
+    return places, evened(h[places]), windows[at], windows[np.append(at[1:], len(place)) - 1]
 
 
 def ranged(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -118,7 +124,7 @@ def unpacked(value: bytes, *kinds) -> list[np.ndarray]:
 
 
 def text_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Numbered frames of about BLOCK_BYTES, numbered alike whenever the same partition is read."""
+    """Numbered frames of about BLOCK_BYTES."""
     from pyspark import TaskContext
 
     number, held, total = TaskContext.get().partitionId() << 24, [], 0
@@ -135,22 +141,21 @@ def text_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFr
         yield number, pd.concat(held, ignore_index=True)
 
 
-def block_places(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Document number, hash, slice start within the block and slice length of all named places of a block."""
-    doc, hashes, starts, sizes, offsets, base = [], [], [], [], [], 0
-    for k, raw in enumerate(texts):
-        places, h, first, last = named_places(raw)
-        if len(places):
-            doc.append(np.full(len(places), k))
-            hashes.append(h)
-            starts.append(first + base)
-            sizes.append(last - first + LENGTH)
-            offsets.append(places - first)
-        base += len(raw)
-    if not doc:
-        empty = np.zeros(0, np.int64)
-        return empty, np.zeros(0, np.uint64), empty, empty, empty
-    return tuple(map(np.concatenate, (doc, hashes, starts, sizes, offsets)))
+def block_places(texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document number, hash, slice start within the block and slice length of all named places of a block, and the place in its slice."""
+    ends = np.cumsum(sizes)
+    piece = (ends - sizes) // PIECE
+    cuts = [*np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(sizes)] if len(sizes) else [0]
+    hashes, starts, lengths, offsets = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        base = ends[a] - sizes[a]
+        places, h, first, last = named_places(texts[base:ends[b - 1]], sizes[a:b])
+        hashes.append(h)
+        starts.append(first + base)
+        lengths.append(last - first + LENGTH)
+        offsets.append(places - first)
+    start = np.concatenate(starts)
+    return np.searchsorted(ends, start, "right"), np.concatenate(hashes), start, np.concatenate(lengths), np.concatenate(offsets)
 
 
 def shared_in_block(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,59 +170,62 @@ def shared_in_block(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np
     return h[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
 
 
-def named_in_two(rows: DataFrame, ranges_: int, bits: int) -> DataFrame:
+def named_in_two(blocks: DataFrame, ranges_: int, bits: int) -> DataFrame:
     """Rows (block, part, flags): for the block's distinct hashes of a range, whether two documents name them. ``bits`` of a hash are compared."""
     drop = np.uint64(64 - bits)
 
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, block in text_blocks(frames):
-            doc, hashes, *_ = block_places([np.frombuffer(r, np.uint8) for r in block["raw"]])
+    def local(key, frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for payload in frame["payload"]:
+            _, _, sizes, texts = unblocked(payload)
+            doc, hashes, *_ = block_places(texts, sizes)
             found, both = shared_in_block(doc, hashes)
             cuts = np.searchsorted(ranged(found, ranges_), np.arange(ranges_ + 1))
-            out = []
-            for p in range(ranges_):
+            short = found >> drop
+            for p in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[p], cuts[p + 1])
-                if cuts[p] < cuts[p + 1]:
-                    short = found[s] >> drop
-                    gaps = np.diff(short, prepend=np.uint64(0))
-                    out.append((number, p, packed(gaps[:1], gaps[1:].astype(np.uint32) if gaps[1:].max(initial=0) < 2**32 else gaps[1:]), packed(both[s])))
-            yield pd.DataFrame(out, columns=["block", "part", "hashes", "both"])
+                gaps = np.diff(short[s], prepend=np.uint64(0))
+                out.append((p, packed(gaps[:1], gaps[1:].astype(np.uint32) if gaps[1:].max(initial=0) < 2**32 else gaps[1:], both[s])))
+        return pd.DataFrame({"block": key[0], "part": [p for p, _ in out], "hashes": [h for _, h in out]})
 
     def answered(key, frame: pd.DataFrame) -> pd.DataFrame:
-        both = [unpacked(v, np.bool_)[0] for v in frame["both"]]
-        hashes = []
-        for value, flags in zip(frame["hashes"], both, strict=True):
-            head, gaps = unpacked(value, np.uint64, np.uint8)
+        hashes, both = [], []
+        for value in frame["hashes"]:
+            head, gaps, flags = unpacked(value, np.uint64, np.uint8, np.bool_)
             kind = np.uint32 if len(gaps) == 4 * (len(flags) - 1) else np.uint64
             hashes.append(np.cumsum(np.concatenate([head, gaps.view(kind).astype(np.uint64)]), dtype=np.uint64))
+            both.append(flags)
         every = np.concatenate(hashes)
-        found, at, seen = np.unique(every, return_inverse=True, return_counts=True)
-        yes = (seen > 1) | (np.bincount(at, weights=np.concatenate(both), minlength=len(found)) > 0)
-        flags = np.split(yes[at], np.cumsum([len(h) for h in hashes])[:-1])
+        # A block sends a hash once, so one that comes twice is named in two blocks.
+        by = np.argsort(every)
+        head = np.append(True, every[by][1:] != every[by][:-1])
+        at = np.flatnonzero(head)
+        seen = np.diff(np.append(at, len(every)))
+        yes = np.empty(len(every), bool)
+        yes[by] = np.repeat((seen > 1) | np.logical_or.reduceat(np.concatenate(both)[by], at), seen)
+        flags = np.split(yes, np.cumsum([len(h) for h in hashes])[:-1])
         return pd.DataFrame({"block": frame["block"], "part": frame["part"], "flags": [packed(f) for f in flags]})
 
-    return rows.mapInPandas(local, "block long, part int, hashes binary, both binary").groupBy("part").applyInPandas(
+    return blocks.groupBy("block").applyInPandas(local, "block long, part int, hashes binary").groupBy("part").applyInPandas(
         answered, "block long, part int, flags binary")
 
 
 def rows_of(texts: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """Slices as rows of ``width`` bytes, zero behind their ends."""
-    out = np.zeros((len(start), width), np.uint8)
-    for at in range(0, len(start), CHUNK):
-        part = slice(at, at + CHUNK)
-        place = start[part, None] + np.arange(width)
-        out[part] = np.where(np.arange(width) < size[part, None], texts[np.minimum(place, len(texts) - 1)], 0)
+    out = sliding_window_view(np.append(texts, np.zeros(width, np.uint8)), width)[start]
+    out[np.arange(width) >= size[:, None]] = 0
     return out
 
 
 def row_hash(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
     h = size.astype(np.uint64)
-    for j in range(0, rows.shape[1], 4):
-        four = np.ascontiguousarray(rows[:, j:j + 4])
-        if four.shape[1] < 4:
-            four = np.pad(four, ((0, 0), (0, 4 - four.shape[1])))
-        h = (h + four.view(np.uint32)[:, 0].astype(np.uint64) + np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    fours = np.pad(rows, ((0, 0), (0, -rows.shape[1] % 4))).view(np.uint32)
+    for at in range(0, len(rows), CHUNK):
+        part = h[at:at + CHUNK]
+        for j, four in enumerate(fours[at:at + CHUNK].T.astype(np.uint64, order="C")):
+            part = (part + four + np.uint64(4 * j)) * np.uint64(0x9E3779B97F4A7C15)
+            part ^= part >> np.uint64(29)
+        h[at:at + CHUNK] = part
     return mixed(h)
 
 
@@ -231,57 +239,39 @@ def ends_of(raw: bytes, removed: np.ndarray | None) -> tuple[int, int, int, str]
 
 
 RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-STATE = f"kind int, block long, part int, payload binary, {RESULT}"
+# What a block keeps for itself (kind 1, ``at`` is the block) and slices for a hash range (kind 2, ``at`` is the range).
+STATE = "kind int, at long, block long, payload binary"
 
 
-def cut_slices(blocks: DataFrame, flags: DataFrame, ranges_: int, texts_out: bool) -> DataFrame:
-    """Per block: finished documents (kind 0), what waits for answers (kind 1), slices by hash range (kind 2)."""
-    nothing = {"doc_id": None, "n_bytes": None, "n_removed": None, "n_spans": None, "kept_sha256": None, "kept": None}
-
+def cut_slices(blocks: DataFrame, flags: DataFrame, ranges_: int) -> DataFrame:
+    """Per block: where its shared slices lie (kind 1) and the distinct slices themselves by hash range (kind 2)."""
     def cut(key, frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for payload in frame["payload"]:
-            ids, order, sizes, texts = unblocked(payload)
-            ends = np.cumsum(sizes)
-            raws = [texts[e - s:e] for e, s in zip(ends, sizes, strict=True)]
-            doc, hashes, start, size, offset = block_places(raws)
-            found = np.unique(hashes)
-            shared = np.concatenate([unpacked(f, np.bool_)[0] for f in reply.sort_values("part")["flags"]]) if len(reply) else np.zeros(0, bool)
-            use = shared[np.searchsorted(found, hashes)] if len(found) else np.zeros(0, bool)
-            doc, hashes, start, size, offset = (x[use] for x in (doc, hashes, start, size, offset))
-            waiting = np.zeros(len(ids), bool)
-            waiting[doc] = True
-            for k in np.flatnonzero(~waiting):
-                raw = raws[k].tobytes()
-                out.append({**nothing, "kind": 0, "doc_id": ids[k], **dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), ends_of(raw, None), strict=True)), "kept": raw if texts_out else None})
-            if not len(doc):
+        for payload in frame["payload"] if len(reply) else ():
+            _, order, sizes, texts = unblocked(payload)
+            doc, hashes, start, size, offset = block_places(texts, sizes)
+            shared = np.concatenate([unpacked(f, np.bool_)[0] for f in reply.sort_values("part")["flags"]])
+            by = np.argsort(hashes)
+            ascending = hashes[by]
+            use = by[shared[np.cumsum(np.append(True, ascending[1:] != ascending[:-1])) - 1]]
+            if not len(use):
                 continue
-            rows = rows_of(texts, start, size, LONGEST)
-            content = row_hash(rows, size)
-            by = np.lexsort((order[doc], content, hashes))
-            head = np.ones(len(by), bool)
-            head[1:] = (hashes[by][1:] != hashes[by][:-1]) | (content[by][1:] != content[by][:-1])
-            number = np.empty(len(by), np.int64)
-            number[by] = np.cumsum(head) - 1
-            lead = by[head]
-            least = order[doc[lead]]
-            later = order[doc] > least[number]
-            # Texts of waiting documents only, their slices moved accordingly.
-            kept = np.flatnonzero(waiting)
-            moved = np.zeros(len(ids), np.int64)
-            moved[kept] = np.concatenate([[0], np.cumsum(sizes[kept])[:-1]])
-            begin = start - (ends - sizes)[doc] + moved[doc]
-            out.append({**nothing, "kind": 1, "block": key[0], "payload": packed(
-                np.frombuffer("\n".join("" if ids[k] is None else ids[k] for k in kept).encode(), np.uint8), np.array([ids[k] is None for k in kept]),
-                sizes[kept].astype(np.int64), np.concatenate([raws[k] for k in kept]), begin.astype(np.int32), size.astype(np.uint8), number.astype(np.int32), later)})
-            part = ranged(hashes[lead], ranges_)
-            cuts = np.searchsorted(part, np.arange(ranges_ + 1))
-            for p in range(ranges_):
+            doc, hashes, start, size, offset = (x[use] for x in (doc, hashes, start, size, offset))
+            content = row_hash(rows_of(texts, start, size, LONGEST), size)
+            # Equal slices lie together and ranges ascend.
+            by = np.argsort(hashes >> np.uint64(40) << np.uint64(40) | mixed(hashes ^ content) >> np.uint64(24))
+            doc, hashes, start, size, offset, content = (x[by] for x in (doc, hashes, start, size, offset, content))
+            head = np.append(True, (hashes[1:] != hashes[:-1]) | (content[1:] != content[:-1]))
+            lead = np.flatnonzero(head)
+            least = np.minimum.reduceat(order[doc], lead)
+            later = order[doc] > least[np.cumsum(head) - 1]
+            out.append((1, key[0], packed(start.astype(np.int32), size.astype(np.uint8), head, later)))
+            cuts = np.searchsorted(ranged(hashes[lead], ranges_), np.arange(ranges_ + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
                 s = lead[cuts[p]:cuts[p + 1]]
-                if len(s):
-                    out.append({**nothing, "kind": 2, "block": key[0], "part": p, "payload": packed(
-                        np.array([cuts[p]], np.int64), order[doc[s]], size[s].astype(np.uint8), offset[s].astype(np.uint8), texts[ranges(start[s], size[s])])})
-        return pd.DataFrame(out, columns=["kind", "block", "part", "payload", *nothing])
+                out.append((2, p, packed(
+                    cuts[p:p + 1], least[cuts[p]:cuts[p + 1]], size[s].astype(np.uint8), offset[s].astype(np.uint8), texts[ranges(start[s], size[s])])))
+        return pd.DataFrame({"kind": [k for k, _, _ in out], "at": [a for _, a, _ in out], "block": key[0], "payload": [v for _, _, v in out]})
 
     return blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(cut, STATE)
 
@@ -341,10 +331,10 @@ def windows_to_remove(hashes, order, size, rows) -> np.ndarray:
     at = np.flatnonzero(head)
     lead = by[at]
     doc = order[lead]
-    several = np.maximum.reduceat(order[by], at) != doc
     n = len(lead)
     slices, sizes, named = rows[lead], size[lead].astype(np.int64), hashes[lead]
-    # Window hashes from running sums of the row; only windows that another slice or document holds can have copies.
+    # Window hashes from running sums of the row. Only windows that another slice holds too are compared: the smallest document with a
+    # slice is known.
     window = np.empty((n, PLACES), np.uint64)
     for at in range(0, n, CHUNK):
         # Bytes of one place of all slices lie together here.
@@ -355,15 +345,15 @@ def windows_to_remove(hashes, order, size, rows) -> np.ndarray:
         window[at:at + CHUNK] = mixed(run[LENGTH:] - run[:-LENGTH] * power(LENGTH)).T
     valid = np.arange(PLACES) <= (sizes - LENGTH)[:, None]
     flat = window[valid]
-    # A table of the low bits of repeated hashes lets a few others pass too; the suffix arrays decide.
+    # Two tables of some bits of repeated hashes let a few others pass too; the suffix arrays decide.
     ascending = np.sort(flat)
     twice = ascending[1:][ascending[1:] == ascending[:-1]]
-    low = np.uint64((1 << max(16, (16 * len(twice)).bit_length())) - 1)
-    table = np.zeros(int(low) + 1, bool)
+    low = np.uint64((1 << min(32, max(16, (16 * len(twice)).bit_length()))) - 1)
+    table, other = np.zeros((2, int(low) + 1), bool)
     table[twice & low] = True
+    other[twice >> np.uint64(32) & low] = True
     candidate = np.zeros((n, PLACES), bool)
-    candidate[valid] = table[flat & low]
-    candidate |= valid & several[:, None]
+    candidate[valid] = table[flat & low] & other[flat >> np.uint64(32) & low]
     best = np.where(valid, doc[:, None], LAST)
     use = candidate.any(1)
     first = candidate.argmax(1)
@@ -394,20 +384,32 @@ def windows_to_remove(hashes, order, size, rows) -> np.ndarray:
     return best[of] < order[:, None]
 
 
-def answer_slices(requests: DataFrame) -> DataFrame:
-    """Rows (block, part, payload): runs of removed windows per slice as (number in the block, first byte, end byte)."""
+def answer_slices(state: DataFrame) -> DataFrame:
+    """Rows (kind, block, payload): runs of removed windows per slice as (number in the block, first byte, end byte); kind 1 stays as it is."""
     def answered(key, frame: pd.DataFrame) -> pd.DataFrame:
+        if key[0] == 1:
+            return frame[["kind", "block", "payload"]]
         parts = [unpacked(p, np.int64, np.int64, np.uint8, np.uint8, np.uint8) for p in frame["payload"]]
         order, size, offset, text = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
         size = size.astype(np.int64)
-        rows = rows_of(text, np.cumsum(size) - size, size, LONGEST)
-        grams = rows[np.arange(len(rows))[:, None], offset[:, None] + np.arange(GRAM)]
-        h = (grams.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        width = 1
-        while width < GRAM:
-            h = h[:, 0::2] * power(width) + h[:, 1::2]
-            width *= 2
-        gone = windows_to_remove(evened(mixed(h[:, 0])), order, size, rows)
+        start = np.cumsum(size) - size
+        hashes = np.empty(len(size), np.uint64)
+        for at in range(0, len(size), SLICES):
+            s = slice(at, at + SLICES)
+            h = (sliding_window_view(text, GRAM)[start[s] + offset[s]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            width = 1
+            while width < GRAM:
+                h = h[:, 0::2] * power(width) + h[:, 1::2]
+                width *= 2
+            hashes[s] = evened(mixed(h[:, 0]))
+        gone = np.empty((len(size), PLACES), bool)
+        by = np.argsort(hashes)
+        ascending = hashes[by]
+        # Slices of one named string stay together.
+        edges = np.searchsorted(ascending, ascending[SLICES::SLICES], "left")
+        for part in np.split(by, np.unique(edges)):
+            if len(part):
+                gone[part] = windows_to_remove(hashes[part], order[part], size[part], rows_of(text, start[part], size[part], LONGEST))
         edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         r, lo = np.nonzero(edge == 1)
         hi = np.nonzero(edge == -1)[1] - 1 + LENGTH
@@ -416,40 +418,42 @@ def answer_slices(requests: DataFrame) -> DataFrame:
         for k, p in enumerate(parts):
             s = slice(*np.searchsorted(r, cuts[k:k + 2]))
             out.append(packed((r[s] - cuts[k] + p[0][0]).astype(np.int32), lo[s].astype(np.uint8), hi[s].astype(np.uint8)))
-        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "payload": out})
+        return pd.DataFrame({"kind": 2, "block": frame["block"], "payload": out})
 
-    return requests.groupBy("part").applyInPandas(answered, "block long, part int, payload binary")
+    return state.groupBy("kind", "at").applyInPandas(answered, "kind int, block long, payload binary")
 
 
-def remove(waiting: DataFrame, replies: DataFrame, texts_out: bool) -> DataFrame:
+def remove(blocks: DataFrame, replies: DataFrame, texts_out: bool) -> DataFrame:
     def removed(key, frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         out = []
+        own, others = reply["payload"][reply["kind"] == 1], reply["payload"][reply["kind"] == 2]
         for payload in frame["payload"]:
-            names, null, sizes, texts, begin, size, number, later = unpacked(
-                payload, np.uint8, np.bool_, np.int64, np.uint8, np.int32, np.uint8, np.int32, np.bool_)
-            ids = names.tobytes().decode().split("\n")
+            ids, _, sizes, texts = unblocked(payload)
             delta = np.zeros(len(texts) + 1, np.int32)
-            np.add.at(delta, begin[later], 1)
-            np.add.at(delta, begin[later].astype(np.int64) + size[later], -1)
-            if len(reply):
-                got = [unpacked(p, np.int32, np.uint8, np.uint8) for p in reply["payload"]]
+            for places in own:
+                begin, size, head, later = unpacked(places, np.int32, np.uint8, np.bool_, np.bool_)
+                begin = begin.astype(np.int64)
+                np.add.at(delta, begin[later], 1)
+                np.add.at(delta, begin[later] + size[later], -1)
+                # Numbers of the slices that no smaller document of the block holds.
+                number, begin = np.cumsum(head)[~later] - 1, begin[~later]
+                got = [unpacked(p, np.int32, np.uint8, np.uint8) for p in others]
                 which, lo, hi = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(3))
                 by = np.argsort(which, kind="stable")
                 which, lo, hi = which[by], lo[by], hi[by]
-                own = np.flatnonzero(~later)
-                a, b = np.searchsorted(which, number[own], "left"), np.searchsorted(which, number[own], "right")
+                a, b = np.searchsorted(which, number, "left"), np.searchsorted(which, number, "right")
                 at = ranges(a, b - a)
-                base = np.repeat(begin[own].astype(np.int64), b - a)
+                base = np.repeat(begin, b - a)
                 np.add.at(delta, base + lo[at], 1)
                 np.add.at(delta, base + hi[at], -1)
             gone = np.cumsum(delta[:-1]) > 0
             ends = np.cumsum(sizes)
             for k, (e, s) in enumerate(zip(ends, sizes, strict=True)):
-                raw = texts[e - s:e].tobytes()
-                out.append((None if null[k] else ids[k], *ends_of(raw, gone[e - s:e]), np.frombuffer(raw, np.uint8)[~gone[e - s:e]].tobytes() if texts_out else None))
+                raw, left = texts[e - s:e], ~gone[e - s:e]
+                out.append((ids[k], *ends_of(raw.tobytes(), gone[e - s:e]), raw[left].tobytes() if texts_out else None))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return waiting.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(removed, RESULT)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(removed, RESULT)
 
 
 def blocked_texts(rows: DataFrame) -> DataFrame:
@@ -484,13 +488,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(max(8, total / BLOCK_BYTES / BLOCKS_PER_RANGE))
     # So many bits that two of the named hashes agree by chance in about one of a thousand cases.
     bits = int(min(64, max(40, total.bit_length() + 10)))
-    flags = named_in_two(rows, parts, bits)
-    # Not stored: cutting is cheap and repeatable, its inputs' exchange is shared, and a stored copy would hold all texts once more.
-    state = cut_slices(blocked_texts(rows), flags, parts, texts_out)
-    replies = answer_slices(state.where("kind = 2").select("block", "part", "payload"))
-    later = remove(state.where("kind = 1").select("block", "payload"), replies, texts_out)
-    done = state.where("kind = 0").select(later.columns).unionByName(later)
-    return unkeyed(done, kind)
+    # Three steps read the exchange of the blocks; nothing of the texts is sent again but the distinct shared slices, once.
+    blocks = blocked_texts(rows)
+    replies = answer_slices(cut_slices(blocks, named_in_two(blocks, parts, bits), parts))
+    return unkeyed(remove(blocks, replies, texts_out), kind)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

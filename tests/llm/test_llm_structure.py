@@ -10,6 +10,7 @@ import sys
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import plain  # noqa: E402
 
-from citegraph.llm import bisector, catalogue, covering, decontaminate, exact_dedup, mixing, near_join, quality, repair, toxicity  # noqa: E402
+from citegraph.llm import bisector, catalogue, covering, decontaminate, exact_dedup, mixing, near_join, quality, repair, repeats, toxicity  # noqa: E402
 from citegraph.llm.groups import components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -315,3 +316,91 @@ def touched_in(folder):
         tempfile.mkstemp(dir=folder)
         yield from frames
     return touched
+
+
+def test_repeats_reads_and_cuts_texts_once(spark, tmp_path):
+    scans = tmp_path / "scans"
+    scans.mkdir()
+    shared = "a passage that two documents share and that is longer than fifty bytes"
+    rows = [(1, shared), (2, f"x{shared}y"), (3, None), (4, "short")]
+    seen = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).mapInPandas(touched_in(str(scans)), "doc_id long, text string")
+    out = repeats.remove_repeats(seen)
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {1: 0, 2: len(shared), 3: 0, 4: 0}
+    # Two partitions, read for the total and for the blocks; blocks are cut in one place and removed from in another.
+    assert len(list(scans.iterdir())) == 2 * 2
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInPandas") == 2
+
+
+def slices_of(texts, width=repeats.LONGEST):
+    rows = np.zeros((len(texts), width), np.uint8)
+    for row, text in zip(rows, texts):
+        row[:len(text)] = np.frombuffer(text, np.uint8)
+    return rows, np.array([len(t) for t in texts])
+
+
+def test_repeats_sorts_only_windows_of_several_slices(monkeypatch):
+    sorted_bytes = []
+    plainly = repeats.copies
+    monkeypatch.setattr(repeats, "copies", lambda text, *rest: sorted_bytes.append(len(text)) or plainly(text, *rest))
+    rng = random.Random(7)
+    alone, one = ("".join(rng.choices("abcdef ", k=n)).encode() for n in (60, 70))
+    # The same slice in four documents, two of one id, and a slice that nothing shares.
+    rows, size = slices_of([one, alone, one, one, one])
+    gone = repeats.windows_to_remove(np.array([5, 9, 5, 5, 5], np.uint64), np.array([3, 1, 2, 2, 8]), size, rows)
+    assert gone.sum(1).tolist() == [21, 0, 0, 0, 21] and sum(sorted_bytes) == 0
+    # Another slice holds its last 55 bytes, in a smaller document.
+    rows, size = slices_of([one, b"+" + one[-55:], one])
+    gone = repeats.windows_to_remove(np.array([5, 5, 5], np.uint64), np.array([3, 1, 2]), size, rows)
+    assert [np.flatnonzero(g).tolist() for g in gone] == [list(range(21)), [], list(range(15, 21))] and sum(sorted_bytes) == 2 * 55
+
+
+class Steps:
+    """Stands for a DataFrame; keeps the functions of an operator's steps."""
+    def __init__(self):
+        self.found = []
+
+    def groupBy(self, *names):
+        return self
+
+    def cogroup(self, other):
+        return self
+
+    def applyInPandas(self, function, schema):
+        self.found.append(function)
+        return self
+
+    mapInPandas = applyInPandas
+
+
+def repeats_in_steps(rows, parts):
+    frame = pd.DataFrame({"doc_id": [str(i) for i, _ in rows], "place": [str(i) for i, _ in rows], "raw": [(t or "").encode() for _, t in rows]})
+    steps = Steps()
+    repeats.remove(repeats.blocked_texts(steps), repeats.answer_slices(repeats.cut_slices(steps, repeats.named_in_two(steps, parts, 64), parts)), False)
+    blocked, local, named, cut, answered, removed = steps.found
+    blocks = pd.concat(blocked(iter([frame])))
+    each = [((k,), g) for k, g in blocks.groupby("block")]
+    flags = pd.concat([named((k,), g) for k, g in pd.concat([local(*e) for e in each]).groupby("part")])
+    state = pd.concat([cut(*e, flags[flags["block"] == e[0][0]]) for e in each])
+    replies = pd.concat([answered(k, g) for k, g in state.groupby(["kind", "at"])])
+    out = pd.concat([removed(*e, replies[replies["block"] == e[0][0]]) for e in each])
+    return len(each), state, out
+
+
+@pytest.mark.parametrize("wide", [1, 48])
+def test_repeats_over_many_blocks_and_ranges(monkeypatch, wide):
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    for name, value in (("BLOCK_BYTES", 9_000), ("PIECE", 700), ("SLICES", 40), ("CHUNK", 16), ("WIDE", wide), ("BATCH", 3_000)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(30)}" for _ in range(n))
+    passages = [prose(rng.choice([8, 12, 30, 200])) for _ in range(25)]
+    rows = [(i, " ".join(rng.choice([prose(rng.randrange(12)), rng.choice(passages), rng.choice(passages)[5:90], "z" * 70]) for _ in range(rng.randrange(9)))) for i in range(150)]
+    rows += [(5, rows[5][1]), (6, rows[90][1]), (200, rows[90][1]), (201, None), (202, prose(40) + passages[0][:50]), (203, passages[0][:49])]
+    blocks, state, out = repeats_in_steps(rows, 12)
+    assert blocks > 3 and state["at"][state["kind"] == 2].nunique() > 6
+    # What a block keeps for itself holds no text.
+    assert (state["payload"][state["kind"] == 1].map(len) < 9_000).all()
+    got = {}
+    for i, *rest in out[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False):
+        got.setdefault(int(i), []).append(tuple(rest))
+    assert {i: sorted(v) for i, v in got.items()} == plain.repeats(rows)
