@@ -100,7 +100,8 @@ def buckets(rows: DataFrame) -> DataFrame:
     """Adds ``members`` to rows (mask, fp): how many share mask and masked value. Rows alone in their bucket go."""
     keyed_rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     size = keyed_rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return keyed_rows.join(size, ["mask", "key"])
+    # Spark takes rows behind an explode for as large as those before it, and would broadcast all of them.
+    return keyed_rows.join(size.hint("merge"), ["mask", "key"])
 
 
 def linked(met: DataFrame, radius: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Conversation repair, bisector clustering and covering fingerprints against SQL and plain versions."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -19,6 +20,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import plain  # noqa: E402
 
 from citegraph.llm import bisector, catalogue, covering, decontaminate, exact_dedup, mixing, near_join, quality, repair, repeats, toxicity  # noqa: E402
+from citegraph.llm.common import materialise  # noqa: E402
 from citegraph.llm.groups import components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -237,6 +239,19 @@ def test_links_of_large_buckets(spark, bucket):
     assert got == {prints[i]: prints[r] for i, r in enumerate(roots(np.array(prints).view(np.uint64))) if r != i}
 
 
+def test_rows_of_buckets_are_not_broadcast(spark):
+    rng = random.Random(8)
+    prints = spark.createDataFrame([(covering.signed(rng.getrandbits(12) << 30),) for _ in range(600)], "fp long").distinct()
+    masks = [covering.signed(m) for m in covering.covering_masks(list(range(64)))]
+    rows = materialise(prints).select(F.explode(F.array(*map(F.lit, masks))).alias("mask"), "fp")
+    met = covering.buckets(rows)
+    every = [(r["mask"], r["mask"] & r["fp"], r["fp"]) for r in rows.collect()]
+    size = collections.Counter(k[:2] for k in every)
+    assert sorted((r["mask"], r["key"], r["fp"], r["members"]) for r in met.collect()) == sorted((*k, size[k[:2]]) for k in every if size[k[:2]] > 1)
+    # Behind the explode there are 31 times the rows that Spark counts on; at this size it would broadcast them.
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def held_out_auc(rows, labels):
     known = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
     toxic, clean = ([s for s, y in known if y == side] for side in (1, 0))
