@@ -111,8 +111,8 @@ def suffix_arrays(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
     begin, lengths = start[by_size], size[by_size]
     ends = begin + lengths - 1
     sa[begin], placed[ends] = ends, True
-    for i in range(int(lengths[0])):
-        many = int(np.searchsorted(-lengths, -i, "left"))
+    longer = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left").tolist()
+    for i, many in enumerate(longer):
         s, low = sa[begin[:many] + i] - 1, begin[:many]
         while len(s):
             open_ = (s >= low) & ~placed[s]

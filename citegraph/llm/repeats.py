@@ -38,6 +38,8 @@ GRAM = 16
 PLACES = LENGTH - GRAM + 1
 LONGEST = LENGTH + PLACES - 1
 WIDE = 48
+# Windows sorted in one text where they are sorted by themselves; texts of a batch advance together, so short ones take fewer steps.
+WINDOWS = 8
 BLOCK_BYTES = 4_000_000
 # Every block writes to every range, so larger ranges keep the number of messages down; a task takes a range in pieces.
 BLOCKS_PER_RANGE = 8
@@ -376,7 +378,7 @@ def windows_to_remove(hashes, order, size, rows) -> np.ndarray:
         head = np.append(True, w[by_w][1:] != w[by_w][:-1])
         lead_w = by_w[head]
         text = slices[np.repeat(r[lead_w], LENGTH), ranges(c[lead_w], np.full(len(lead_w), LENGTH))]
-        string = np.arange(len(lead_w)) // WIDE
+        string = np.arange(len(lead_w)) // WINDOWS
         found = copies(text, np.full(len(lead_w), LENGTH), string, doc[r[lead_w]])[::LENGTH]
         number = np.empty(len(w), np.int64)
         number[by_w] = np.cumsum(head) - 1
@@ -402,22 +404,27 @@ def answer_slices(state: DataFrame) -> DataFrame:
                 h = h[:, 0::2] * power(width) + h[:, 1::2]
                 width *= 2
             hashes[s] = evened(mixed(h[:, 0]))
-        gone = np.empty((len(size), PLACES), bool)
         by = np.argsort(hashes)
         ascending = hashes[by]
         # Slices of one named string stay together.
         edges = np.searchsorted(ascending, ascending[SLICES::SLICES], "left")
-        for part in np.split(by, np.unique(edges)):
-            if len(part):
-                gone[part] = windows_to_remove(hashes[part], order[part], size[part], rows_of(text, start[part], size[part], LONGEST))
-        edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        r, lo = np.nonzero(edge == 1)
-        hi = np.nonzero(edge == -1)[1] - 1 + LENGTH
+        r, lo, hi = [], [], []
+        for some in np.split(by, np.unique(edges)):
+            if len(some):
+                gone = windows_to_remove(hashes[some], order[some], size[some], rows_of(text, start[some], size[some], LONGEST))
+                edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+                at, first = np.nonzero(edge == 1)
+                r.append(some[at])
+                lo.append(first.astype(np.uint8))
+                hi.append((np.nonzero(edge == -1)[1] - 1 + LENGTH).astype(np.uint8))
+        r, lo, hi = map(np.concatenate, (r, lo, hi))
+        by = np.argsort(r, kind="stable")
+        r, lo, hi = r[by], lo[by], hi[by]
         cuts = np.cumsum([0] + [len(p[1]) for p in parts])
         out = []
         for k, p in enumerate(parts):
             s = slice(*np.searchsorted(r, cuts[k:k + 2]))
-            out.append(packed((r[s] - cuts[k] + p[0][0]).astype(np.int32), lo[s].astype(np.uint8), hi[s].astype(np.uint8)))
+            out.append(packed((r[s] - cuts[k] + p[0][0]).astype(np.int32), lo[s], hi[s]))
         return pd.DataFrame({"kind": 2, "block": frame["block"], "payload": out})
 
     return state.groupBy("kind", "at").applyInPandas(answered, "kind int, block long, payload binary")
